@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import classifier, licenses, mixing, quality, urls
+from . import chat, classifier, decontam, jaccard, licenses, lm, mixing, quality, suffix, urls
 from .common import table
 
 
@@ -12,12 +12,17 @@ def queries():
     return {
         "op1_license_scan": lambda spark, d: licenses.license_scan(table(spark, d, "documents")).drop("matches"),
         "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op3_chat_formatting": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
+        "op4_jaccard_join": lambda spark, d: jaccard.jaccard_join(table(spark, d, "documents")).drop("n_links"),
+        "op5_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
+        "op7_suffix_dedup": lambda spark, d: suffix.suffix_dedup(table(spark, d, "documents")),
         "op8_url_filters": lambda spark, d: urls.url_filter(table(spark, d, "pages")),
+        "op9_lm_score": lambda spark, d: lm.lm_score(table(spark, d, "documents")),
         "op10_quality_classifier": lambda spark, d: classifier.quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op8_url_filters": urls.SQL}
+    return {"op4_jaccard_join": jaccard.SQL, "op5_decontamination": decontam.SQL, "op8_url_filters": urls.SQL}

@@ -8,7 +8,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Bytes of text handled at a time; a longer document is handled alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
