@@ -54,10 +54,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sketch = scratch.table(sketch, "sketch")
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    probes = _shingled(texts, "doc_id", "hash").select("doc_id", "hash", F.explode("shingles").alias("h"))
+    # explode_outer: for explode, the optimiser adds a filter that computes the shingles' words anew for each shingle
+    probes = _shingled(texts, "doc_id", "hash").select("doc_id", "hash", F.explode_outer("shingles").alias("h"))
     candidates = scratch.table(probes.join(_small(sketch), "h", "left_semi").select(F.col("doc_id").alias("id"), F.col("hash").alias("of")).distinct(), "candidates")
     read = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left_semi")
-    exact = _shingled(read, "doc_id", "hash").select("doc_id", "hash", F.explode("shingles").alias("h")).distinct()
+    exact = _shingled(read, "doc_id", "hash").select("doc_id", "hash", F.explode_outer("shingles").alias("h")).distinct()
     every = items.select("item_id", "variant", "n_item", F.explode("shingles").alias("h"))
     shared = exact.join(_small(every), "h").groupBy("doc_id", "hash", "item_id", "variant", "n_item").agg(F.count("*").alias("n_shared"))
     found = shared.where(100 * F.col("n_shared") >= PERCENT * F.col("n_item"))
