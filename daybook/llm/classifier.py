@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch
-from .kernels import SPACED, Hasher, Words, as_bytes, chunks, shingles
+from .kernels import SPACED, Hasher, Words, as_bytes, chunks, pieces, shingles
 
 #: Predicted 1 at this score; share of every fifth document (by crc32 of doc_id) held out of training.
 CUT, FOLDS = 0.3, 5
@@ -76,7 +76,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def _map_statistics(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         values = statistics(as_bytes(batch.column("text")))
         flat = pa.ListArray.from_arrays(np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32), pa.array(values.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), flat], ["doc_id", "held_out", "x"])

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import ALNUM, Words, as_bytes, chunks
+from .kernels import ALNUM, Words, as_bytes, chunks, pieces
 
 
 class Template(NamedTuple):
@@ -111,7 +111,7 @@ SCHEMA = (
 
 def _scan(batches):
     index = Index()
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [t.lower() for t in as_bytes(batch.column("text"))]  # bytes.lower() changes A-Z alone
         found = index.scan(texts)
         rows = []
