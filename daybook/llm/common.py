@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,11 @@ class Scratch:
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of finished queries now, not whenever the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

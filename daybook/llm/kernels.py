@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at a time; a longer document is handled alone.
@@ -118,3 +120,15 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 def as_bytes(texts) -> list[bytes]:
     """UTF-8 bytes of an Arrow column of strings; null is empty."""
     return [b"" if t is None else t for t in texts.cast("binary").to_pylist()]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of about `limit` bytes of `text`, so that what a task holds has a bound."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            upto = (ends[low - 1] if low else 0) + limit
+            high = max(low + 1, int(np.searchsorted(ends, upto, side="right")))
+            yield batch.slice(low, high - low)
+            low = high

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, partitions
-from .kernels import U64, Hasher, as_bytes, chunks, sliding_minimum
+from .kernels import U64, Hasher, as_bytes, chunks, pieces, sliding_minimum
 
 LENGTH, GRAM = 400, 64
 #: Bytes before an anchor that a string of LENGTH holding it can reach.
@@ -44,7 +44,7 @@ def anchors(texts: list[bytes]):
 
 
 def _anchors(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         u, v = batch.column("u"), batch.column("v")
         for doc, place, gram in anchors(as_bytes(batch.column("text"))):
             take = pa.array(doc)
@@ -54,7 +54,7 @@ def _anchors(batches):
 def _contexts(batches, buckets: int):
     """Each anchor with the bytes after it, and those before it from near to far."""
     names = ["bucket", "gram", "u", "v", "at", "before", "after"]
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[list] = [[] for _ in names]
         held = 0
         for text, u, v, places in zip(as_bytes(batch.column("text")), batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("places").to_pylist(), strict=True):
@@ -207,7 +207,7 @@ CUT = "u long, v long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _cuts(batches, texts: bool):
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[list] = [[] for _ in range(5)]
         for text, copies, spans in zip(as_bytes(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if copies > 1 and len(text) >= LENGTH:
@@ -247,6 +247,7 @@ def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     )
     spans = scratch.table(contexts.groupBy("bucket").applyInArrow(_families, "u long, v long, start long, end long"), "spans")
     scratch.drop("anchors")
+    scratch.release()
     spans = spans.groupBy("u", "v").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return once().join(spans, ["u", "v"], "left").mapInArrow(lambda batches: _cuts(batches, texts), CUT)
 
