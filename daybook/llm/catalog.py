@@ -25,4 +25,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_jaccard_join": jaccard.SQL, "op5_decontamination": decontam.SQL, "op8_url_filters": urls.SQL}
+    return {
+        "op3_chat_formatting": chat.SQL,
+        "op4_jaccard_join": jaccard.SQL,
+        "op5_decontamination": decontam.SQL,
+        "op6_mixing": mixing.SQL,
+        "op7_suffix_dedup": suffix.SQL,
+        "op8_url_filters": urls.SQL,
+    }

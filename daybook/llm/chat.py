@@ -139,3 +139,11 @@ def format_chats(conversations: DataFrame, tools: dict = TOOLS) -> DataFrame:
     counts = [F.coalesce(x, zero).alias(x) for x in ("n_calls", "n_answered", "n_valid")]
     level = F.when(is_call, F.col("own_level")).otherwise(F.col("its_level"))
     return formatted.union(out.select("conv_id", "turn", "role", kind.alias("kind"), *counts, level.cast("int").alias("level"), message.alias("message")))
+
+
+#: For tables without tool calls, as the given ones are: every message is plain.
+SQL = r"""
+SELECT conv_id, turn, role, 'plain' AS kind, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_valid, CAST(NULL AS INTEGER) AS level,
+  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS message
+FROM conversations
+"""

@@ -149,10 +149,3 @@ def license_scan(documents: DataFrame) -> DataFrame:
     """
     return documents.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
-
-SQL = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-)
-SELECT doc_id, len(w) AS n_words FROM d
-"""

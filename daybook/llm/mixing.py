@@ -89,3 +89,26 @@ def mix(documents: DataFrame) -> DataFrame:
     part = lambda spent: F.greatest(F.lit(0), F.least(F.col("size"), spent - start))
     taken = part(F.col("spent")) + part(F.col("spent") - F.col("source_size"))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('daybook-mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS h FROM documents
+), s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(place - 1) % 3 + 1] AS DOUBLE) AS weight, 2 * source_size AS most, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS total FROM s),
+l AS (
+  SELECT *, row_number() OVER o AS nth,
+         (total - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, place)
+), t AS (SELECT source, place, source_size, total, least(most, coalesce((SELECT level FROM l WHERE level <= most / weight ORDER BY nth LIMIT 1), 0) * weight) AS target FROM l),
+b AS (SELECT place, total, sum(target) OVER (ORDER BY place) AS upto, CAST(greatest(16, ceil(total / 1048576)) AS BIGINT) AS block FROM t),
+i AS (SELECT unnest(range(0, (SELECT CAST(ceil(max(total) / max(block)) AS BIGINT) FROM b))) AS slot),
+p AS (SELECT ((slot + CAST(0.5 AS DOUBLE)) * CAST(0.6180339887498949 AS DOUBLE) - floor((slot + CAST(0.5 AS DOUBLE)) * CAST(0.6180339887498949 AS DOUBLE))) * (SELECT max(upto) FROM b) AS u, slot FROM i),
+n AS (SELECT place, count(*) AS slots FROM (SELECT slot, min(place) AS place FROM p JOIN b ON upto > u GROUP BY slot) GROUP BY place),
+q AS (SELECT t.source, t.source_size, t.target, coalesce(n.slots, 0) * b.block AS spent FROM t JOIN b ON b.place = t.place LEFT JOIN n ON n.place = t.place),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(greatest(0, least(size, spent - start)) + greatest(0, least(size, spent - source_size - start)) AS BIGINT) AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
+"""

@@ -273,3 +273,17 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     text = F.coalesce("kept", "text")
     columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in documents.columns]
     return out.select(*columns)
+
+
+SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, p, md5(substr(h, 2 * p + 1, 800)) AS m FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM b WHERE length(h) >= 800)),
+again AS (SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+fresh AS (SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 400 THEN 0 ELSE 1 END AS f FROM again),
+spans AS (SELECT row, min(p) AS a, max(p) + 400 AS z FROM (SELECT row, p, sum(f) OVER (PARTITION BY row ORDER BY p) AS k FROM fresh) GROUP BY row, k),
+gaps AS (SELECT row, z AS a, lead(a) OVER (PARTITION BY row ORDER BY a) AS z FROM (SELECT row, a, z FROM spans UNION ALL SELECT row, -1, 0 FROM b)),
+kept AS (SELECT g.row, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, length(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps g JOIN b ON b.row = g.row GROUP BY 1),
+n AS (SELECT row, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM b JOIN kept ON kept.row = b.row LEFT JOIN n ON n.row = b.row
+"""
