@@ -141,7 +141,7 @@ def mood_scale(raw: Column, low: float = 1.0, high: float = 10.0, top: float = 1
     value = F.regexp_replace(F.regexp_extract(text, r"^(-?\d+(?:[.,]\d+)?)(?:/(\d+))?$", 1), ",", ".").try_cast("double")
     own = F.coalesce(F.regexp_extract(text, r"^(-?\d+(?:[.,]\d+)?)(?:/(\d+))?$", 2).try_cast("double"), F.lit(float(high)))
     held = F.greatest(F.lit(float(low)), F.least(value, own))
-    return F.when(own > low, F.round(1 + (held - low) * (top - 1) / (own - low), 2))
+    return F.when(value.isNotNull() & (own > low), F.round(1 + (held - low) * (top - 1) / (own - low), 2))
 
 
 def csv_guard(cell: Column) -> Column:
