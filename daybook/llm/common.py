@@ -26,12 +26,13 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.root = f"{shared_folder(spark)}/daybook-{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
@@ -43,6 +44,14 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(conf).delete(path, True)
+        self.names.discard(name)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Writes what an operator returns, and removes the tables that led to it."""
+        done = self.table(df, "result")
+        for name in self.names - {"result"}:
+            self.drop(name)
+        return done
 
 
 def partitions(spark: SparkSession) -> int:

@@ -63,7 +63,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = exact.join(_small(every), "h").groupBy("doc_id", "hash", "item_id", "variant", "n_item").agg(F.count("*").alias("n_shared"))
     found = shared.where(100 * F.col("n_shared") >= PERCENT * F.col("n_item"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_item").cast("long").alias("n_item"), F.col("b.n_shared").alias("n_shared"), F.col("b.containment").alias("containment"))
+    return scratch.result(best.select("doc_id", "item_id", F.col("b.n_item").cast("long").alias("n_item"), F.col("b.n_shared").alias("n_shared"), F.col("b.containment").alias("containment")))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -260,14 +260,14 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "suffix")
     named = _named(documents.select("doc_id", "text"))
-    cuts = scratch.table(_cut_texts(named, scratch, False).drop("kept"), "cuts")
+    cuts = scratch.result(_cut_texts(named, scratch, False).drop("kept"))
     return named.select("doc_id", "u", "v").join(cuts, ["u", "v"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """The documents with what suffix_dedup removes cut from `text` (to whole characters), and n_chars counted anew."""
     scratch = Scratch(documents.sparkSession, "suffix")
-    cuts = scratch.table(_cut_texts(_named(documents.select("text")), scratch, True).where("n_removed > 0").select("u", "v", "kept"), "cuts")
+    cuts = scratch.result(_cut_texts(_named(documents.select("text")), scratch, True).where("n_removed > 0").select("u", "v", "kept"))
     out = documents.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in documents.columns)))
     out = _named(out.select("__row", F.col("__row.text").alias("text"))).join(cuts, ["u", "v"], "left")
     text = F.coalesce("kept", "text")
