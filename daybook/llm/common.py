@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held if held else tempfile.mkdtemp(prefix="daybook-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="daybook-checkpoints-")
+        _own[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
