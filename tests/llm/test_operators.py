@@ -146,7 +146,7 @@ def test_quality_score_is_the_log_ratio_of_hashed_ngrams(spark, docs, labels):
 
     def weight(g):
         t, a = totals[g >= quality.BUCKETS]
-        return math.log((trusted[g] + 1) / (t + quality.BUCKETS)) - math.log((every[g] + 1) / (a + quality.BUCKETS))
+        return math.log((trusted[g] + quality.PRIOR * t / a) / (t / a * (every[g] + quality.PRIOR)))
 
     want = sorted((repr(r.doc_id), round(sum(map(weight, r.g)) / max(len(r.g), 1), 9)) for r in grams)
     got = sorted((repr(r.doc_id), round(r.score, 9)) for r in quality.quality_rules(docs, labels).collect())
