@@ -8,7 +8,8 @@ agrees on empty parts alone has a chance below 1e-8, since small bands are dealt
 Equal sets are one class. Signatures travel packed, and are grouped by bucket. Groups of up to SMALL classes give their pairs;
 larger groups give a star around one class first, then rounds in which each class tries the class of another component whose
 parity sketch is nearest, and, once no round joins any, all pairs still apart that the sketches can't rule out (a sketch's
-bits that differ are at most the shingles that differ). Every pair is verified on the whole sets.
+bits that differ are at most the shingles that differ). No class leaves a group for the group's size: very large ones are
+dealt into blocks, and the last round takes all pairs of blocks. Every pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from .kernels import U64, Words, as_bytes, chunks, mix, pieces, shingles
 
 #: A group of classes with one signature gives all its pairs up to this size: a constant number for each member.
 SMALL = 8
-#: Larger than this, a group is shared text rather than a family: a class stays in it only if QUARTER of its own
-#: signatures are in such groups (else it shares others with any similar set), or if it is small.
-FREQUENT, QUARTER, SURE = 512, 4, 100
+#: Larger groups are dealt into blocks of about so many classes: the rounds look within each block, the last one takes every
+#: pair of blocks, each in a task of its own.
+BLOCK = 2048
 #: Of a class's larger groups, in how many it tries its nearest.
 ACTIVE = 4
 #: Other components that a class tries in a round, the nearest first.
@@ -107,8 +108,8 @@ def identity(elements: np.ndarray) -> tuple[int, int]:
     return int(np.int64(np.array(one).view(np.int64))), int(np.int64(np.array(two).view(np.int64)))
 
 
-PACKED = "bucket int, kind int, blob binary, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary, n_sigs long"
-FOUND = "kind int, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary, n_sigs long, a long, b long"
+PACKED = "bucket int, kind int, blob binary, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary"
+FOUND = "kind int, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary, a long, b long"
 
 
 def _batch(fields: dict, names: list[str], kinds: list[pa.DataType], n: int) -> pa.RecordBatch:
@@ -158,7 +159,7 @@ def _sign(batches, buckets: int):
     signs, owners, held = [], [], 0
     for batch in pieces(batches):
         texts = as_bytes(batch.column("text"))
-        rows = {x: [] for x in ("n", "c1", "c2", "parity", "n_sigs")}
+        rows = {x: [] for x in ("n", "c1", "c2", "parity")}
         for elements in sets(texts):
             c1, c2 = identity(elements)
             new = len(elements) and (c1, c2) not in met
@@ -168,7 +169,7 @@ def _sign(batches, buckets: int):
                 signs.append(own)
                 owners.append(c1)
                 held += len(own)
-            for x, v in zip(rows, (len(elements), c1, c2, parity(elements) if new else None, len(own) if new else None), strict=True):
+            for x, v in zip(rows, (len(elements), c1, c2, parity(elements) if new else None), strict=True):
                 rows[x].append(v)
             if held >= PACK:
                 yield _pack(buckets, signs, owners)
@@ -246,17 +247,21 @@ TRIED = "sign long, a struct<c1:bigint,c2:bigint>, b struct<c1:bigint,c2:bigint>
 
 
 def _across(table: pa.Table, every: bool) -> pa.Table:
-    """Of one large group, pairs of different components that sizes and sketches don't rule out: all, or each class's nearest.
+    """Of one large group, or of a pair of its blocks, pairs of different components that sizes and sketches don't rule out: all,
+    or each class's nearest.
 
-    A group with any such pair gives a row without classes too: the others needn't be tried again.
+    A group with any such pair gives a row without classes too: the others needn't be tried again. So does a group of more
+    than one block, since pairs across blocks are only tried in the last round.
     """
+    block, other_block = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    several, side = table.column("blocks")[0].as_py() > 1, table.column("block").to_numpy()
     n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
     sketches, active = table.column("parity").to_pylist(), np.array(table.column("active").to_pylist(), bool)
     sign, node = table.column("sign")[0].as_py(), table.column("node").combine_chunks()
     order = np.argsort(n, kind="stable")
-    n, label, node = n[order], label[order], node.take(pa.array(order))
+    n, label, node, side = n[order], label[order], node.take(pa.array(order)), side[order]
     sketches, active = [sketches[k] for k in order], active[order]
-    one, two, some = [], [], False
+    one, two, some = [], [], several and not every
     close: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(n))]  # by label, the nearest class and its share
     low = 0
     while low < len(n):  # blocks of one sketch size, against all that are as large and near enough
@@ -272,6 +277,8 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
             for i in range(low, high):
                 j = np.arange(max(k, i + 1), top)
                 j = j[(label[j] != label[i]) & _near(n[j], n[i])]
+                if block != other_block:
+                    j = j[side[j] != side[i]]
                 if not len(j):
                     continue
                 bits = np.bitwise_count(own[i - low] ^ other[j - k]).sum(1, dtype=np.int64)
@@ -302,6 +309,14 @@ def _trying(every: bool):
     return lambda group: _across(group, every)
 
 
+def _dealt(rows: DataFrame, every: bool) -> DataFrame:
+    """Members (with sign, blocks, block) as the tasks (sign, i, j) want them: each block alone, or with every other too."""
+    if not every:
+        return rows.withColumns({"i": F.col("block"), "j": F.col("block")})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    return rows.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+
+
 def _elements(batches):
     for batch in pieces(batches):
         found = [(identity(e), e) for e in sets(as_bytes(batch.column("text")))]
@@ -361,14 +376,14 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     packed = documents.mapInArrow(partial(_sign, buckets=buckets), PACKED)
     found = scratch.table(packed.groupBy("bucket").applyInArrow(_group, FOUND), "found")
     scratch.release()
-    rows = found.where("kind = 0").select("doc_id", "text_hash", "n", "c1", "c2", "parity", "n_sigs")
+    rows = found.where("kind = 0").select("doc_id", "text_hash", "n", "c1", "c2", "parity")
     node = F.struct("c1", "c2").alias("node")
     classes = (
         rows.where("n > 0")
         .groupBy("c1", "c2", "n")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.max("parity").alias("parity"), F.max("n_sigs").alias("n_sigs"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.max("parity").alias("parity"))
     )
-    classes = scratch.table(classes.select(node, "c1", "n", "rep", "parity", "n_sigs"), "classes")
+    classes = scratch.table(classes.select(node, "c1", "n", "rep", "parity"), "classes")
     side = lambda x: classes.select(F.col("c1").alias(f"c_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
     pairs = found.where("kind = 1").select(F.col("a").alias("c_a"), F.col("b").alias("c_b")).distinct()
     pairs = pairs.join(side("a"), "c_a").join(side("b"), "c_b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
@@ -380,18 +395,17 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     members = found.where("kind = 2").select(F.col("a").alias("sign"), F.col("b").alias("c1"))
     if not members.isEmpty():
         sizes = members.groupBy("sign").agg(F.count("*").alias("m"))
-        large = members.join(sizes, "sign").join(classes.select("c1", "node", "n", "n_sigs"), "c1")
-        own = large.where(F.col("m") > FREQUENT).groupBy("node").agg(F.count("*").alias("in_frequent"))
-        large = large.join(own, "node", "left").where((F.col("m") <= FREQUENT) | (F.col("n") < SURE) | (QUARTER * F.col("in_frequent") >= F.col("n_sigs")))
+        large = members.join(sizes, "sign").join(classes.select("c1", "node"), "c1")
+        blocks = F.ceil(F.col("m") / BLOCK)
         active = F.row_number().over(Window.partitionBy("node").orderBy("sign")) <= ACTIVE
-        live = scratch.table(large.select("sign", "node", active.alias("active")), "live")
+        live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block"), active.alias("active")), "live")
         facts = scratch.table(classes.select("node", "n", "parity").join(live.select("node").distinct(), "node", "left_semi"), "facts")
         k, every = 0, False
         while True:
             k += 1
             now = live.join(labels.withColumn("label", F.xxhash64("label")), "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
             apart = now.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sign")
-            trying = now.join(apart, "sign", "left_semi").join(facts, "node").groupBy("sign").applyInArrow(_trying(every), TRIED)
+            trying = _dealt(now.join(apart, "sign", "left_semi"), every).join(facts, "node").groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED)
             found_ = scratch.table(trying, f"trying-{k}")
             live = live.join(found_.where("a IS NULL").select("sign"), "sign", "left_semi")
             tried = found_.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

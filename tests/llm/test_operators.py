@@ -205,6 +205,36 @@ def test_jaccard_join_of_a_large_family(spark, monkeypatch):
     assert by_id(found.drop("n_links")) == component_rows(texts)
 
 
+def test_jaccard_join_of_texts_that_hold_a_common_passage(spark):
+    """A class stays in a very large group though few of its signatures are in such groups."""
+    rng = random.Random(11)
+    fresh = iter(range(10**9))
+    passage = [f"p{k}" for k in range(93)]  # 89 shingles
+    with_own = lambda n: " ".join([*passage, *(f"o{next(fresh)}" for _ in range(n))])
+    texts = [(k, with_own(rng.randint(8, 12))) for k in range(1200)]
+    texts += [(2000 + k, with_own(2)) for k in range(3)] + [(3000 + k, with_own(27)) for k in range(12)]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = {i: shingle_set(t) for i, t in texts}
+    for i in range(3000, 3012):
+        assert all(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(2000, 2003))
+        assert found[i] == found[2000] == 0, i
+
+
+def test_jaccard_join_takes_pairs_across_blocks(spark, monkeypatch):
+    """The last round alone, and blocks of a few classes: all pairs of a group are still tried."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(12)
+    base = prose(rng, 100).split()
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+        texts.append((k, " ".join(own)))
+    found = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert by_id(found.drop("n_links")) == component_rows(texts)
+
+
 def test_partenum_gives_similar_sets_a_signature():
     rng = np.random.default_rng(4)
     for n in [*range(1, 40), 60, 99, 150, 400]:
