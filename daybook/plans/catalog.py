@@ -434,7 +434,7 @@ def _(j):
 @query("day_links", f", {WRITING} SELECT DISTINCT w.entry_id, e.entry_id AS day_entry_id FROM writing w JOIN entries e ON w.target = strftime(e.entry_date, '%Y-%m-%d') WHERE w.entry_id <> e.entry_id AND w.entry_id < 300", "entries")
 def _(j):
     files = j.spark.range(0).select(F.lit("").alias("key"), F.col("id").alias("entry_id"))
-    return links.day_links(_writing(j).where("entry_id < 300"), j.entries, files)
+    return links.day_links(_writing(j), j.entries, files)
 
 
 @query("shared_aliases", f", {TITLES} SELECT key, count(DISTINCT note_id) AS n_notes, min(note_id) AS first_note FROM note_names WHERE key NOT IN (SELECT key FROM titles) GROUP BY 1 HAVING count(DISTINCT note_id) > 1", "notes", "note_names")
