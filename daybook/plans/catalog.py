@@ -608,7 +608,7 @@ def _(j):
 
 
 def _terms(j: Journal) -> DataFrame:
-    return j.table("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.tokens(F.col("text")), 1, 4)).alias("term"))
+    return j.table("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
 
 
 TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\\pL\\pN]+'), lambda x: x <> '')"
