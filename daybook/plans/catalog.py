@@ -393,7 +393,7 @@ def _(j):
 
 
 def _titles(j: Journal) -> DataFrame:
-    return j.notes.where("note_id % 7 = 0").select(F.lower("title").alias("key"), "note_id")
+    return j.notes.select(F.lower("title").alias("key"), "note_id")
 
 
 TITLES = "titles AS (SELECT lower(title) AS key, note_id FROM notes WHERE note_id % 7 = 0)"
@@ -598,7 +598,7 @@ def _(j):
     "entries", "entry_tags",
 )
 def _(j):
-    out = privacy.withheld_entries(j.entry_tags.where("entry_id % 50 = 0"), ["1-urgent"])
+    out = privacy.withheld_entries(j.entry_tags, ["1-urgent"])
     first = F.date_trunc("week", "entry_date").cast("date")
     weeks = j.entries.select(first.alias("first_day"), F.date_add(first, 6).alias("last_day")).distinct()
     return privacy.withhold({"entries": j.entries, "digests": weeks}, out, j.notes.limit(0).select("note_id"))["digests"]

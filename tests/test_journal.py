@@ -66,6 +66,11 @@ CUTS = {
     "day_links": " AND w.entry_id < 300",
     "doc_bm25": "[1:4]",
     "rrf_fusion": "[1:4]",
+    "withheld_digests": " AND entry_id % 50 = 0",
+    "link_targets": " WHERE note_id % 7 = 0",
+    "resolved_links": " WHERE note_id % 7 = 0",
+    "unresolved_targets": " WHERE note_id % 7 = 0",
+    "shared_aliases": " WHERE note_id % 7 = 0",
 }
 
 
