@@ -6,14 +6,21 @@ its shuffled, repeated stream of documents. So a document's share follows from i
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import SPACED_WORD, Scratch
 
 #: Weights by a source's place in code-point order, repeating; the mix's tokens over all tokens; most repeats of a source.
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
-#: The schedule has at most so many slots; a block has the whole mix's tokens over this, and LEAST_BLOCK tokens at least.
-SLOTS, LEAST_BLOCK = 1 << 20, 16
+#: Tokens of a block, at every size of the corpus: a source's words are off its target by a few blocks, however large the mix is.
+LEAST_BLOCK = 16
+#: Slots that a task places.
+RUN = 1 << 22
 GOLDEN = 0.6180339887498949
 SEED = "daybook-mix-1"
 
@@ -43,22 +50,30 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "place", "source_size", "total", F.least(F.col("most"), F.coalesce("held", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def schedule(spark: SparkSession, shares: DataFrame) -> DataFrame:
-    """(slot, place, nth): the source of every slot and its rank among that source's slots. At most SLOTS rows."""
-    bounds = shares.select("place", "total", F.sum("target").over(Window.orderBy("place")).alias("upto"))
-    one = bounds.groupBy().agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("upto", "place"))).alias("bounds"))
-    block = block_size(F.col("total"))
-    slots = one.select("bounds", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("total") / block) - 1, F.lit(0)))).alias("slot"))
-    point = (F.col("slot") + 0.5) * GOLDEN
-    at = (point - F.floor(point)) * F.element_at("bounds", -1)["upto"]
-    slots = slots.withColumn("at", at)
-    place = F.get(F.filter("bounds", lambda b: b["upto"] > F.col("at")), F.lit(0))["place"]
-    placed = slots.select("slot", place.alias("place")).where("place IS NOT NULL")
-    return placed.withColumn("nth", F.row_number().over(Window.partitionBy("place").orderBy("slot")))
+def _place(batches, uptos: np.ndarray, places: np.ndarray):
+    """How many of a task's slots fall to each source."""
+    counts = np.zeros(len(places) + 1, np.int64)
+    for batch in batches:
+        point = (batch.column("id").to_numpy() + 0.5) * GOLDEN
+        at = (point - np.floor(point)) * uptos[-1]
+        counts += np.bincount(np.searchsorted(uptos, at, side="right"), minlength=len(counts))
+    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[:-1])], ["place", "slots"])
 
 
-def block_size(total: Column) -> Column:
-    return F.greatest(F.lit(LEAST_BLOCK), F.ceil(total / SLOTS)).cast("long")
+def schedule(spark: SparkSession, shares: DataFrame) -> DataFrame:
+    """(place, slots): how many of the schedule's slots each source gets.
+
+    The slots grow with the corpus: tasks place a run of them each and give a count for each source. The driver reads a row
+    for each source.
+    """
+    rows = shares.select("place", "total", F.sum("target").over(Window.orderBy("place")).alias("upto")).orderBy("upto", "place").collect()
+    uptos, places = np.array([r.upto for r in rows], np.float64), np.array([r.place for r in rows], np.int64)
+    count = max(math.ceil(rows[0].total / LEAST_BLOCK), 1) if rows else 0
+    slots = spark.range(0, count, 1, max(1, -(-count // RUN)))
+    if not rows:
+        return slots.select(F.col("id").alias("place"), F.col("id").alias("slots"))
+    placed = slots.mapInArrow(partial(_place, uptos=uptos, places=places), "place long, slots long")
+    return placed.groupBy("place").agg(F.sum("slots").alias("slots"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
@@ -74,9 +89,9 @@ def mix(documents: DataFrame) -> DataFrame:
     sized = documents.select("doc_id", "source", token_count(F.col("text")).alias("size"), order.alias("h"))
     sized = scratch.table(sized.withColumn("run", F.substring("h", 1, 3)), "sizes")
     shares = scratch.table(targets(sized), "targets")
-    slots = schedule(spark, shares).groupBy("place").agg(F.max("nth").alias("slots"))
+    slots = schedule(spark, shares)
     plan = shares.join(slots, "place", "left").select(
-        F.col("source").alias("of"), "source_size", "target", (F.coalesce("slots", F.lit(0)) * block_size(F.col("total"))).alias("spent")
+        F.col("source").alias("of"), "source_size", "target", (F.coalesce("slots", F.lit(0)) * LEAST_BLOCK).alias("spent")
     )
     runs = sized.groupBy("source", "run").agg(F.sum("size").alias("tokens"))
     ahead = F.sum("tokens").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))

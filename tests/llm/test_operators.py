@@ -326,6 +326,15 @@ def repeat_rows(texts, length):
         yield len(t), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()
 
 
+def test_mixing_spends_a_small_source_beside_a_huge_one(spark):
+    """The schedule's blocks don't grow with the corpus: a source of 300 words beside 10**8 gets its share."""
+    shares = mixing.targets(spark.createDataFrame([("a", 10**8), ("b", 300), ("c", 5000)], "source string, size long"))
+    target = {r.place: r.target for r in shares.collect()}
+    slots = {r["place"]: r["slots"] for r in mixing.schedule(spark, shares).collect()}
+    for place in (2, 3):
+        assert abs(slots.get(place, 0) * mixing.LEAST_BLOCK - target[place]) <= 4 * mixing.LEAST_BLOCK
+
+
 def test_suffix_dedup(docs, rows, none, clashing):
     found = suffix.suffix_dedup(docs)
     want = [(r[0], *x) for r, x in zip(rows, repeat_rows([(r[1] or "").encode() for r in rows], suffix.LENGTH), strict=True)]
