@@ -396,7 +396,7 @@ def _titles(j: Journal) -> DataFrame:
     return j.notes.select(F.lower("title").alias("key"), "note_id")
 
 
-TITLES = "titles AS (SELECT lower(title) AS key, note_id FROM notes WHERE note_id % 7 = 0)"
+TITLES = "titles AS (SELECT lower(title) AS key, note_id FROM notes)"
 TARGETS = TITLES + ", targets AS (SELECT key, min(note_id) AS note_id FROM titles GROUP BY 1 UNION ALL SELECT key, min(note_id) FROM note_names WHERE key NOT IN (SELECT key FROM titles) GROUP BY 1 HAVING count(DISTINCT note_id) = 1)"
 
 
@@ -431,7 +431,7 @@ def _(j):
     return links.unresolved(_writing(j), links.link_targets(_titles(j), j.note_names), files)
 
 
-@query("day_links", f", {WRITING} SELECT DISTINCT w.entry_id, e.entry_id AS day_entry_id FROM writing w JOIN entries e ON w.target = strftime(e.entry_date, '%Y-%m-%d') WHERE w.entry_id <> e.entry_id AND w.entry_id < 300", "entries")
+@query("day_links", f", {WRITING} SELECT DISTINCT w.entry_id, e.entry_id AS day_entry_id FROM writing w JOIN entries e ON w.target = strftime(e.entry_date, '%Y-%m-%d') WHERE w.entry_id <> e.entry_id", "entries")
 def _(j):
     files = j.spark.range(0).select(F.lit("").alias("key"), F.col("id").alias("entry_id"))
     return links.day_links(_writing(j), j.entries, files)
@@ -594,7 +594,7 @@ def _(j):
 
 @query(
     "withheld_digests",
-    ", lost AS (SELECT DISTINCT entry_date FROM entries JOIN entry_tags USING (entry_id) WHERE tag = '1-urgent' AND entry_id % 50 = 0), m AS (SELECT DISTINCT CAST(date_trunc('week', entry_date) AS DATE) AS first_day, CAST(date_trunc('week', entry_date) AS DATE) + 6 AS last_day FROM entries) SELECT first_day, last_day FROM m WHERE NOT EXISTS (SELECT 1 FROM lost WHERE entry_date BETWEEN first_day AND last_day)",
+    ", lost AS (SELECT DISTINCT entry_date FROM entries JOIN entry_tags USING (entry_id) WHERE tag = '1-urgent'), m AS (SELECT DISTINCT CAST(date_trunc('week', entry_date) AS DATE) AS first_day, CAST(date_trunc('week', entry_date) AS DATE) + 6 AS last_day FROM entries) SELECT first_day, last_day FROM m WHERE NOT EXISTS (SELECT 1 FROM lost WHERE entry_date BETWEEN first_day AND last_day)",
     "entries", "entry_tags",
 )
 def _(j):
@@ -614,7 +614,7 @@ def _terms(j: Journal) -> DataFrame:
 TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\\pL\\pN]+'), lambda x: x <> '')"
 BM25 = f"""WITH d AS (SELECT doc_id, {TOKENS.format(x="text")} AS t FROM documents), n AS (SELECT count(*) AS docs, sum(len(t)) AS words FROM d),
 p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d), tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format(x="text")}[1:4]) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format(x="text")}) AS term FROM benchmark),
 s AS (SELECT query_id, doc_id, round(sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (words / docs)))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)"""
 
@@ -692,7 +692,7 @@ def _(j):
     return search.fuse(near.union(words), 30)
 
 
-@query("hybrid_search", BM25.replace("(SELECT DISTINCT item_id AS query_id, unnest(" + TOKENS.format(x="text") + "[1:4]) AS term FROM benchmark)", "(SELECT 0 AS query_id, unnest(['apache', 'license']) AS term)") + f", {KNN}, l AS (SELECT 0 AS list, doc_id, rank FROM k WHERE rank <= 20 UNION ALL SELECT 1, doc_id, rank FROM r WHERE rank <= 20), f AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((list, rank)) AS first FROM l GROUP BY 1) SELECT doc_id, score FROM f ORDER BY score DESC, first, doc_id LIMIT 20")
+@query("hybrid_search", BM25.replace("(SELECT DISTINCT item_id AS query_id, unnest(" + TOKENS.format(x="text") + ") AS term FROM benchmark)", "(SELECT 0 AS query_id, unnest(['apache', 'license']) AS term)") + f", {KNN}, l AS (SELECT 0 AS list, doc_id, rank FROM k WHERE rank <= 20 UNION ALL SELECT 1, doc_id, rank FROM r WHERE rank <= 20), f AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((list, rank)) AS first FROM l GROUP BY 1) SELECT doc_id, score FROM f ORDER BY score DESC, first, doc_id LIMIT 20")
 def _(j):
     return search.hybrid(j.table("documents"), j.table("embeddings"), ["apache", "license"], _query_vector(j), 20)
 
