@@ -16,11 +16,15 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, one of our own in local mode alone: on a cluster executors
+    couldn't see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="daybook-checkpoints-")
-        _own[spark.sparkContext.applicationId] = folder
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own.get(context.applicationId) or tempfile.mkdtemp(prefix="daybook-checkpoints-")
+        _own[context.applicationId] = folder
     return folder.rstrip("/")
 
 
@@ -60,6 +64,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input that a bucket stands for at most.
+BUCKET = 64 << 20
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets rows made from `df` are dealt into: by its size, so that a bucket's memory has a bound, and enough for
+    all tasks."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(partitions(df.sparkSession), size // BUCKET), 1 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures, exact at a similarity of 3/4, with connected components.
 
-Sets of size n in a band of sizes up to r differ in at most 2r/7 shingles if they are similar. So the shingle domain is dealt
-into one part more than that: at least one part holds the same shingles in both. Each part's content gives a signature, for a
-set's own band and for the next one if a partner may lie there. Empty parts say nothing and are left out; that a similar pair
-agrees on empty parts alone has a chance below 1e-8, since small bands are dealt several times by different hashes.
-
-Equal sets are one class. Signatures travel packed, and are grouped by bucket. Groups of up to SMALL classes give their pairs;
-larger groups give a star around one class first, then rounds in which each class tries the class of another component whose
-parity sketch is nearest, and, once no round joins any, all pairs still apart that the sketches can't rule out (a sketch's
-bits that differ are at most the shingles that differ). No class leaves a group for the group's size: very large ones are
-dealt into blocks, and the last round takes all pairs of blocks. Every pair is verified on the whole sets.
+Sets A and B of distinct shingles are similar if they differ in at most (|A| + |B|) / 7 shingles. Sizes are dealt into bands; a set
+signs its own band, and the next one if a partner may lie there. In a band of sizes up to r similar sets differ in at most
+k = 2r / 7 shingles. The shingle domain is dealt into 3 (k + 1) parts, and each part's content gives a signature. At most k parts
+differ, so of any k + 1 signatures of a set a similar one has at least one; and if all sets keep their first k + 1 in one and the
+same order, they share one of those. The order puts signatures that were seen often last, so a passage that many documents hold
+brings hardly any set into a large group. Any order gives the same links.
+
+Sets of up to SINGLE shingles take each shingle as a part. For larger ones a similar pair would be missed only if every shared
+shingle fell into a part with a differing one: three shared ones for each differing one, among over 50 parts.
+
+Equal sets are one class. Signatures travel packed, and meet in buckets. Groups of up to SMALL classes give their pairs. Larger
+ones first give a star around their least class. Then, where a group still holds several components, its classes try the ones of
+other components that sizes and parity sketches don't rule out (a sketch's bits that differ are at most the shingles that differ):
+all of them where they are few, else each class's nearest, in rounds; a last round tries all that is left. No class leaves a group
+for the group's size: very large ones are dealt into blocks, and the last round takes all pairs of blocks. Every pair is verified
+on the whole sets.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, buckets_for
 from .graph import components
 from .kernels import U64, Words, as_bytes, chunks, mix, pieces, shingles
 
@@ -30,52 +36,69 @@ SMALL = 8
 #: Larger groups are dealt into blocks of about so many classes: the rounds look within each block, the last one takes every
 #: pair of blocks, each in a task of its own.
 BLOCK = 2048
-#: Of a class's larger groups, in how many it tries its nearest.
+#: Of a class's larger groups, in how many it tries its nearest. The last round tries all.
 ACTIVE = 4
-#: Other components that a class tries in a round, the nearest first.
+#: Other components that a class tries in a round, the nearest first. A group with at most so many pairs for each class tries all.
 TRIES = 3
-#: The rounds end when under one in FEW of the pairs tried is a link.
+#: The rounds end when under one in FEW of the pairs tried is a link; the last round tries what is left.
 FEW = 50
 #: A side of at most so many rows (24 bytes each) may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: One large group in so many gives a star. A family shares many groups, and the rounds after the stars try every one, so this
-#: decides what is shuffled, not what is found.
-STARS = 8
-#: Signatures packed at a time.
+#: Signatures known as frequent, counted on one text in SAMPLE: this changes how work is dealt, never a result.
+FREQUENT, SAMPLE = 1 << 17, 8
+#: Signatures held at a time.
 PACK = 1 << 21
+#: Sets of up to so many shingles have each shingle as a part.
+SINGLE = 64
 
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 8 // 5))
 
 
-def plan(band: int) -> tuple[int, int]:
-    """Parts of the domain, and how often it is dealt, for a band of sizes."""
-    most = BOUNDS[band + 1] - 1
-    parts = 2 * most // 7 + 1
-    return parts, 1 if most >= 100 or parts == 1 else 2 if most >= 40 else 4 if most >= 15 else 6
-
-
-def signatures(elements: np.ndarray) -> np.ndarray:
-    """The signatures of a set of distinct 64-bit shingles."""
-    n, out = len(elements), []
-    if not n:
-        return elements
-    band = bisect_right(BOUNDS, n) - 1
+def plan(n: int) -> list[tuple[int, int, int]]:
+    """For a set of n shingles: (band, parts, most differing shingles) of each band it signs."""
+    out, band = [], bisect_right(BOUNDS, n) - 1
     first = band
     while band == first or 4 * n >= 3 * BOUNDS[band]:
-        parts, deals = plan(band)
-        for deal in range(deals):
-            tag = U64((band * 8 + deal + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            mixed = mix(elements ^ tag)
-            part = ((mixed >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-            sums, filled = np.zeros(parts, U64), np.zeros(parts, bool)
-            np.add.at(sums, part, mixed)
-            filled[part] = True
-            at = np.flatnonzero(filled)
-            out.append(mix(sums[at] ^ mix(at.astype(U64) + tag)))
+        most = BOUNDS[band + 1] - 1
+        differ = (n + min(most, 4 * n // 3)) // 7
+        if differ:  # otherwise only equal sets are similar
+            out.append((band, (1 << 32) - 1 if most <= SINGLE else 3 * (2 * most // 7 + 1), differ))
         band += 1
-    return np.concatenate(out)
+    return out
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray, counts: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, frequent) of some sets of distinct 64-bit shingles, one after another in `flat`.
+
+    `often` are the frequent signatures, sorted, and `counts` how often they were seen. `whole`: all signatures, not the first.
+    """
+    jobs = [(d, *job) for d, n in enumerate(sizes.tolist()) if n for job in plan(n)]
+    if not jobs:
+        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, bool)
+    owner, band, parts, differ = (np.array(x, np.int64) for x in zip(*jobs, strict=True))
+    tag = mix(band.astype(U64) + U64(0x9E3779B97F4A7C15))
+    starts, lengths = (np.cumsum(sizes) - sizes)[owner], sizes[owner]
+    job = np.repeat(np.arange(len(jobs)), lengths)
+    at = np.arange(len(job)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[job]
+    mixed = mix(flat[at] ^ tag[job])
+    key = job.astype(U64) << U64(32) | (mixed >> U64(32)) * parts.astype(U64)[job] >> U64(32)
+    order = np.argsort(key, kind="stable")
+    key, mixed = key[order], mixed[order]
+    edges = np.flatnonzero(np.diff(key, prepend=key[:1] ^ U64(1)))
+    job = (key[edges] >> U64(32)).astype(np.int64)
+    signs = mix(np.add.reduceat(mixed, edges) ^ mix((key[edges] & U64(0xFFFFFFFF)) + tag[job]))
+    seen = np.zeros(len(signs), np.int64)
+    if len(often):
+        place = np.minimum(np.searchsorted(often, signs), len(often) - 1)
+        seen = np.where(often[place] == signs, counts[place], 0)
+    if whole:
+        return owner[job], signs, seen > 0
+    order = np.lexsort((signs, seen, job))
+    rank = np.arange(len(job)) - np.searchsorted(job, job)  # the order keeps the jobs in theirs
+    kept = order[rank <= differ[job]]
+    return owner[job[kept]], signs[kept], seen[kept] > 0
 
 
 def parity(elements: np.ndarray) -> bytes:
@@ -101,14 +124,18 @@ def sets(texts: list[bytes]):
             yield np.unique(shingles(hashes[words.first[d] : words.first[d + 1]]))
 
 
-def identity(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    one = np.add.reduce(mix(elements ^ U64(0x5851F42D4C957F2D)), dtype=U64)
-    two = np.add.reduce(mix(elements ^ U64(0x14057B7EF767814F)), dtype=U64)
-    return int(np.int64(np.array(one).view(np.int64))), int(np.int64(np.array(two).view(np.int64)))
+def identities(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set."""
+    sizes = np.array([len(e) for e in found], np.int64)
+    out = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        sums = np.concatenate([[U64(0)], np.cumsum(mix(np.concatenate([*found, np.empty(0, U64)]) ^ U64(salt)), dtype=U64)])
+        ends = np.cumsum(sizes)
+        out.append((sums[ends] - sums[ends - sizes]).view(np.int64))
+    return out[0], out[1]
 
 
-PACKED = "bucket int, kind int, blob binary, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary"
+PACKED = "bucket int, kind int, blob binary, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary, a long, b long"
 FOUND = "kind int, doc_id long, text_hash long, n long, c1 long, c2 long, parity binary, a long, b long"
 
 
@@ -124,18 +151,15 @@ _packed_kinds = [_KINDS.get(x, pa.int64()) for x in _packed]
 _found_kinds = [_KINDS.get(x, pa.int64()) for x in _found]
 
 
-def _pack(buckets: int, signs: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+def _pack(buckets: int, signs: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket: 40 bits of every signature, and the classes with how many of them each has."""
-    order = sorted(range(len(owners)), key=owners.__getitem__)
-    lengths = np.array([len(signs[k]) for k in order])
-    signs_, owner = np.concatenate([signs[k] for k in order]), np.repeat(np.array([owners[k] for k in order], np.int64), lengths)
-    bucket = (signs_ >> U64(40)) % U64(buckets)
-    by = np.argsort(bucket, kind="stable")
-    signs_, owner, bucket = signs_[by] & U64((1 << 40) - 1), owner[by], bucket[by]
+    bucket = (signs >> U64(40)) % U64(buckets)
+    by = np.lexsort((owners, bucket))
+    signs, owner, bucket = signs[by] & U64((1 << 40) - 1), owners[by], bucket[by]
     edges = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + U64(1)))
     ids, blobs = [], []
     for low, high in zip(edges, [*edges[1:], len(bucket)], strict=True):
-        own, s = owner[low:high], signs_[low:high]
+        own, s = owner[low:high], signs[low:high]
         runs = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
         counts = np.diff(np.append(runs, len(own))).astype(np.uint32)
         head = np.array([len(s), len(runs)], np.int64).tobytes()
@@ -153,33 +177,60 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(U64) | high.astype(U64) << U64(32), np.repeat(own, counts)
 
 
-def _sign(batches, buckets: int):
-    """Rows of kind 0 for documents, and packed signatures, once for each class that a task meets."""
+def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*found, np.empty(0, U64)]), np.array([len(e) for e in found], np.int64)
+
+
+def _seen_twice(batches):
+    """Signatures that two classes of a task's texts have, with how many do."""
+    met: set[tuple[int, int]] = set()
+    held: list[np.ndarray] = []
+
+    def counted():
+        sign, n = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(sign[n > 1].view(np.int64)), pa.array(n[n > 1])], ["sign", "n"])
+
+    none = np.empty(0, np.int64)
+    for batch in pieces(batches):
+        found = list(sets(as_bytes(batch.column("text"))))
+        names = list(zip(*(x.tolist() for x in identities(found)), strict=True))
+        new = [k for k in range(len(found)) if names[k] not in met and not met.add(names[k])]
+        held.append(signatures(*_flat([found[k] for k in new]), none.view(U64), none, True)[1])
+        if sum(map(len, held)) >= PACK:
+            yield from counted()
+            held = []
+    if held:
+        yield from counted()
+
+
+def _sign(batches, buckets: int, frequent):
+    """Rows of kind 0 for documents; of kind 1 for packed signatures, once for each class that a task meets; of kind 2 for
+    frequent signatures (a) and the class that has them (b)."""
+    often, counts = frequent.value
     met: set[tuple[int, int]] = set()
     signs, owners, held = [], [], 0
     for batch in pieces(batches):
-        texts = as_bytes(batch.column("text"))
-        rows = {x: [] for x in ("n", "c1", "c2", "parity")}
-        for elements in sets(texts):
-            c1, c2 = identity(elements)
-            new = len(elements) and (c1, c2) not in met
-            own = signatures(elements) if new else elements[:0]
-            if new:
-                met.add((c1, c2))
-                signs.append(own)
-                owners.append(c1)
-                held += len(own)
-            for x, v in zip(rows, (len(elements), c1, c2, parity(elements) if new else None), strict=True):
-                rows[x].append(v)
-            if held >= PACK:
-                yield _pack(buckets, signs, owners)
-                signs, owners, held = [], [], 0
-        n = len(texts)
-        doc = batch.column("doc_id")
+        found = list(sets(as_bytes(batch.column("text"))))
+        c1, c2 = identities(found)
+        names = list(zip(c1.tolist(), c2.tolist(), strict=True))
+        new = [k for k in range(len(found)) if len(found[k]) and names[k] not in met and not met.add(names[k])]
+        owner, sign, known = signatures(*_flat([found[k] for k in new]), often, counts)
+        owner = c1[np.array(new, np.int64)][owner]
+        signs.append(sign[~known])
+        owners.append(owner[~known])
+        held += len(signs[-1])
+        if known.any():
+            where = (mix(owner[known].view(U64)) % U64(buckets)).astype(np.int32)
+            yield _batch({"bucket": where, "kind": np.full(len(where), 2, np.int32), "a": sign[known].view(np.int64), "b": owner[known]}, _packed, _packed_kinds, len(where))
+        if held >= PACK:
+            yield _pack(buckets, np.concatenate(signs), np.concatenate(owners))
+            signs, owners, held = [], [], 0
+        n, doc, fresh = len(found), batch.column("doc_id"), set(new)
         where = mix(np.array([0 if x is None else x for x in doc.to_pylist()], np.int64).view(U64) + np.arange(n, dtype=U64)) % U64(buckets)
+        rows = {"n": [len(e) for e in found], "c1": c1, "c2": c2, "parity": [parity(found[k]) if k in fresh else None for k in range(n)]}
         yield _batch({"bucket": where.astype(np.int32), "kind": [0] * n, "doc_id": doc, "text_hash": batch.column("text_hash")} | rows, _packed, _packed_kinds, n)
     if held:
-        yield _pack(buckets, signs, owners)
+        yield _pack(buckets, np.concatenate(signs), np.concatenate(owners))
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +242,11 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _group(table: pa.Table) -> pa.Table:
-    """One bucket: document rows pass; signatures give pairs (kind 1), and the members of larger groups (kind 2)."""
-    kinds = table.column("kind").to_numpy()
-    rows = table.filter(pa.array(kinds == 0))
-    out = [pa.table([rows.column(x).combine_chunks() if x in rows.column_names else pa.nulls(len(rows), k) for x, k in zip(_found, _found_kinds, strict=True)], names=_found)]
+    """One bucket: rows of documents and frequent signatures pass; signatures give pairs (kind 1), and the members of larger
+    groups (kind 2)."""
+    kinds, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
+    rows = table.filter(pa.array(kinds != 1))
+    out = [pa.table([rows.column(x).combine_chunks() for x in _found], names=_found)]
     blobs = table.column("blob").filter(pa.array(kinds == 1)).to_pylist()
     if blobs:
         parts = [_unpack(b) for b in blobs]
@@ -215,13 +267,9 @@ def _group(table: pa.Table) -> pa.Table:
             a.append(members[:, one].ravel())
             b.append(members[:, two].ravel())
         large = np.repeat(size > SMALL, size)
-        first = np.repeat(own[edges], size) if len(edges) else own
-        rest = large & (sign % U64(STARS) == 0)
-        rest[edges] = False
-        a.append(first[rest])
-        b.append(own[rest])
         a, b = _distinct(np.concatenate(a), np.concatenate(b))
-        for kind, x, y in ((1, a, b), (2, sign[large].view(np.int64), own[large])):
+        named = sign[large] | U64(bucket) << U64(40)
+        for kind, x, y in ((1, a, b), (2, named.view(np.int64), own[large])):
             out.append(pa.Table.from_batches([_batch({"kind": np.full(len(x), kind, np.int32), "a": x, "b": y}, _found, _found_kinds, len(x))]))
     return pa.concat_tables(out)
 
@@ -247,11 +295,11 @@ TRIED = "sign long, a struct<c1:bigint,c2:bigint>, b struct<c1:bigint,c2:bigint>
 
 
 def _across(table: pa.Table, every: bool) -> pa.Table:
-    """Of one large group, or of a pair of its blocks, pairs of different components that sizes and sketches don't rule out: all,
-    or each class's nearest.
+    """Of one large group, or of a pair of its blocks, pairs of different components that sizes and sketches don't rule out: all
+    if `every` is asked for or they are few, else each class's nearest.
 
-    A group with any such pair gives a row without classes too: the others needn't be tried again. So does a group of more
-    than one block, since pairs across blocks are only tried in the last round.
+    A group with pairs left gives a row without classes too: the others needn't be tried again. So does a group of more than one
+    block, since pairs across blocks are only tried in the last round.
     """
     block, other_block = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     several, side = table.column("blocks")[0].as_py() > 1, table.column("block").to_numpy()
@@ -261,7 +309,7 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
     order = np.argsort(n, kind="stable")
     n, label, node, side = n[order], label[order], node.take(pa.array(order)), side[order]
     sketches, active = [sketches[k] for k in order], active[order]
-    one, two, some = [], [], several and not every
+    one, two, all_ = [], [], True
     close: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(n))]  # by label, the nearest class and its share
     low = 0
     while low < len(n):  # blocks of one sketch size, against all that are as large and near enough
@@ -284,23 +332,21 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                 bits = np.bitwise_count(own[i - low] ^ other[j - k]).sum(1, dtype=np.int64)
                 near = 7 * bits <= n[j] + n[i]
                 j, share = j[near], (bits / (n[j] + n[i]))[near]
-                some = some or bool(len(j))
-                if every:
+                if all_:
                     one.extend([i] * len(j))
                     two.extend(j.tolist())
-                else:
+                    all_ = every or len(one) <= TRIES * len(n)
+                if not every:
                     first = np.argsort(share, kind="stable")[: 4 * TRIES]
                     for x, part in zip(j[first].tolist(), share[first].tolist(), strict=True):
                         for here, there in ((i, x), (x, i)):
                             if part < close[here].get(label[there], (np.inf, 0))[0]:
                                 close[here][label[there]] = (part, there)
         low = high
-    if not every:
-        for i in np.flatnonzero(active).tolist():
-            for _, x in sorted(close[i].values())[:TRIES]:
-                one.append(i)
-                two.append(x)
-    mark = [None] * some
+    if not all_:
+        nearest = [(i, x) for i in np.flatnonzero(active).tolist() for _, x in sorted(close[i].values())[:TRIES]]
+        one, two = [x[0] for x in nearest], [x[1] for x in nearest]
+    mark = [None] * (not all_ or (several and not every))
     one, two = pa.array([*one, *mark], pa.int64()), pa.array([*two, *mark], pa.int64())
     return pa.table({"sign": pa.array([sign] * len(one), pa.int64()), "a": node.take(one), "b": node.take(two)})
 
@@ -319,9 +365,9 @@ def _dealt(rows: DataFrame, every: bool) -> DataFrame:
 
 def _elements(batches):
     for batch in pieces(batches):
-        found = [(identity(e), e) for e in sets(as_bytes(batch.column("text")))]
-        node = pa.StructArray.from_arrays([pa.array([f[0][k] for f in found], pa.int64()) for k in (0, 1)], ["c1", "c2"])
-        yield pa.RecordBatch.from_arrays([node, pa.array([f[1].tobytes() for f in found], pa.binary())], ["node", "elements"])
+        found = list(sets(as_bytes(batch.column("text"))))
+        node = pa.StructArray.from_arrays([pa.array(x) for x in identities(found)], ["c1", "c2"])
+        yield pa.RecordBatch.from_arrays([node, pa.array([e.tobytes() for e in found], pa.binary())], ["node", "elements"])
 
 
 def _verified(batches):
@@ -337,6 +383,10 @@ def _verified(batches):
 NODE = "struct<c1:bigint,c2:bigint>"
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class _Verifier:
     """Verifies pairs on whole sets. A class's set is made once, from the text of the document that stands for it."""
 
@@ -351,9 +401,7 @@ class _Verifier:
         wanted = self.scratch.table(nodes.join(self.classes, "node").select("rep"), f"wanted-{self.round}")
         if not wanted.isEmpty():
             same = self.documents.doc_id.eqNullSafe(wanted["rep.doc_id"]) & (self.documents.text_hash == wanted["rep.text_hash"])
-            # what a later round adds is little: a checked broadcast spares it another shuffle of all texts
-            few = self.sets is not None and wanted.count() <= BROADCAST_ROWS
-            texts = self.documents.join(F.broadcast(wanted) if few else wanted, same, "left_semi").select("text")
+            texts = self.documents.join(_small(wanted), same, "left_semi").select("text")
             more = self.scratch.table(texts.mapInArrow(_elements, f"node {NODE}, elements binary").dropDuplicates(["node"]), f"sets-{self.round}")
             self.sets = more if self.sets is None else self.sets.union(more)
         left = self.sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
@@ -362,20 +410,22 @@ class _Verifier:
         return self.scratch.table(whole.mapInArrow(_verified, f"a {NODE}, b {NODE}"), f"links-{self.round}")
 
 
-def jaccard_join(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), n_links.
+def _frequent(documents: DataFrame):
+    """The signatures that a part of the texts shows to be frequent: at most FREQUENT numbers and their counts, for all tasks."""
+    some = documents.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_seen_twice, "sign long, n long")
+    most = some.groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(FREQUENT)
+    rows = [(r.sign, r.n) for r in most.toLocalIterator()]
+    sign, n = np.array([r[0] for r in rows], np.int64).view(U64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(sign)
+    return documents.sparkSession.sparkContext.broadcast((sign[order], n[order]))
 
-    n_links counts the verified links of a document's class to classes of other sets; chains inside large families need not
-    be all counted, since members already joined aren't compared again. Null, empty and wordless texts have an empty set,
-    link with nothing, and are their own component. Repeated rows and copies are one class and so one component.
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    buckets = partitions(spark)
+
+def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per document: doc_id, text_hash, n, component_id, kept (the document that stands for the component), n_links."""
+    buckets = buckets_for(documents)
     documents = documents.select("doc_id", "text").withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    packed = documents.mapInArrow(partial(_sign, buckets=buckets), PACKED)
+    packed = documents.mapInArrow(partial(_sign, buckets=buckets, frequent=_frequent(documents)), PACKED)
     found = scratch.table(packed.groupBy("bucket").applyInArrow(_group, FOUND), "found")
-    scratch.release()
     rows = found.where("kind = 0").select("doc_id", "text_hash", "n", "c1", "c2", "parity")
     node = F.struct("c1", "c2").alias("node")
     classes = (
@@ -385,54 +435,94 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     )
     classes = scratch.table(classes.select(node, "c1", "n", "rep", "parity"), "classes")
     side = lambda x: classes.select(F.col("c1").alias(f"c_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
-    pairs = found.where("kind = 1").select(F.col("a").alias("c_a"), F.col("b").alias("c_b")).distinct()
+    members = found.where("kind = 2").select(F.col("a").alias("sign"), F.col("b").alias("c1"))
+    groups = scratch.table(members.groupBy("sign").agg(F.count("*").alias("m"), F.min("c1").alias("c_a")).where("m > 1"), "groups")
+    groups_ = _small(groups)
+    stars = members.join(groups_.select("sign", "c_a"), "sign").where("c1 <> c_a").select("c_a", F.col("c1").alias("c_b"))
+    pairs = found.where("kind = 1").select(F.col("a").alias("c_a"), F.col("b").alias("c_b")).union(stars).distinct()
     pairs = pairs.join(side("a"), "c_a").join(side("b"), "c_b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
     pairs = scratch.table(pairs.mapInArrow(_possible, f"a {NODE}, b {NODE}"), "pairs")
     verifier = _Verifier(documents, classes, scratch)
     links = pairs if pairs.isEmpty() else verifier.links(pairs)
     labels = scratch.table(components(links, scratch, "star"), "labels-0")
 
-    members = found.where("kind = 2").select(F.col("a").alias("sign"), F.col("b").alias("c1"))
-    if not members.isEmpty():
-        sizes = members.groupBy("sign").agg(F.count("*").alias("m"))
-        large = members.join(sizes, "sign").join(classes.select("c1", "node"), "c1")
+    if not groups.isEmpty():
+        large = members.join(groups_.select("sign", "m"), "sign").join(classes.select("c1", "node"), "c1")
         blocks = F.ceil(F.col("m") / BLOCK)
         active = F.row_number().over(Window.partitionBy("node").orderBy("sign")) <= ACTIVE
         live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block"), active.alias("active")), "live")
-        facts = scratch.table(classes.select("node", "n", "parity").join(live.select("node").distinct(), "node", "left_semi"), "facts")
         k, every = 0, False
-        while True:
+        while not live.isEmpty():
             k += 1
             now = live.join(labels.withColumn("label", F.xxhash64("label")), "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
-            apart = now.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sign")
-            trying = _dealt(now.join(apart, "sign", "left_semi"), every).join(facts, "node").groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED)
+            apart = scratch.table(now.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sign"), f"apart-{k}")
+            if apart.isEmpty():
+                break
+            facts = classes.select("node", "n", "parity")
+            trying = _dealt(now.join(_small(apart), "sign", "left_semi"), every).join(facts, "node").groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED)
             found_ = scratch.table(trying, f"trying-{k}")
-            live = live.join(found_.where("a IS NULL").select("sign"), "sign", "left_semi")
+            live = live.join(_small(found_.where("a IS NULL").select("sign").distinct()), "sign", "left_semi")
             tried = found_.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             more = tried if tried.isEmpty() else verifier.links(tried)
             joined = more.count()
             if joined:
                 links = links.union(more)
                 labels = scratch.table(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")), scratch, f"round-{k}"), f"labels-{k}")
-            scratch.release()
             if every:
                 break
-            every = FEW * joined <= tried.count()  # the rounds only spare the last one work: it tries all that is left
+            every = FEW * joined <= tried.count()
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = classes.select("node", "rep").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
-    placed = placed.join(least, "label").select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    filled = rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(placed, ["c1", "c2"])
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return scratch.result(filled.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(empty.select("doc_id", "n", "component_id", "n_links")))
+    least = placed.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"), F.min("rep").alias("kept"))
+    placed = placed.join(least, "label").select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    filled = rows.where("n > 0").select("doc_id", "text_hash", "n", "c1", "c2").join(placed, ["c1", "c2"])
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    empty = rows.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), own.alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    columns = ("doc_id", "text_hash", "n", "component_id", "kept", "n_links")
+    return filled.select(*columns).union(empty.select(*columns))
+
+
+def jaccard_join(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), n_links.
+
+    n_links counts the verified links of a document's class to classes of other sets. Inside families of over SMALL classes it is
+    a lower bound: members already in one component aren't compared again. Null, empty and wordless texts have an empty set, link
+    with nothing, and are their own component. Repeated rows and copies are one class and so one component. A component whose
+    documents all lack a doc_id has none either.
+    """
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    return scratch.result(_linked(documents, scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Of each component the document with the least doc_id, unchanged; of rows that repeat it, one. Null doc_ids all stay."""
-    found = jaccard_join(documents).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    once = documents.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return once.dropDuplicates(["doc_id"]).union(documents.where("doc_id IS NULL"))
+    """Of each component one document, unchanged: the one with the least doc_id (null ones last), then the least hash of its text.
+
+    Documents are told apart by doc_id and text, so unlike texts under one doc_id are judged each by itself. Of rows that repeat
+    both, one stays, the one with the least hash of all columns. Every empty or wordless text is a component of its own.
+    """
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    linked = _linked(documents, scratch)
+    own = (F.col("kept.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("kept.text_hash") == F.col("text_hash"))
+    told = scratch.result(linked.groupBy("doc_id", "text_hash").agg(F.max(own).alias("stays"), F.count("*").alias("times")))
+    hash_ = F.coalesce(F.xxhash64("text"), F.lit(0))
+    out = documents.withColumns({"__id": F.col("doc_id"), "__hash": hash_})
+
+    def those(condition: str) -> DataFrame:
+        return told.where(condition).select(F.col("doc_id").alias("__of"), F.col("text_hash").alias("__as"))
+
+    def same(side: DataFrame):
+        return out["__id"].eqNullSafe(side["__of"]) & (out["__hash"] == side["__as"])
+
+    gone = _small(those("NOT stays OR times > 1"))
+    once = out.join(gone, same(gone), "left_anti")
+    again = those("stays AND times > 1")
+    if not again.isEmpty():
+        again = _small(again)
+        order = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns)))
+        again = out.join(again, same(again), "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+        once = once.unionByName(again)
+    return once.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 SQL = r"""
