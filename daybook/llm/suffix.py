@@ -1,10 +1,13 @@
 """Suffix-array dedup: bytes in strings of LENGTH that also start elsewhere, from a common-prefix interval tree.
 
-A sparse suffix array: of any LENGTH bytes, the GRAM-byte string with the least hash is an anchor, chosen by the content alone,
-so equal strings hold the same anchor at the same offset. Anchors met once can't be repeats. The suffixes at the others are
-sorted within their family (equal anchors), the common prefixes of neighbours give the tree of intervals by one stack scan,
-and in every interval the diversity of what stands to the left tells how far each occurrence extends with any other. All bytes
-are compared; hashes only bring candidates together.
+A sparse suffix array: of any LEAST bytes, the GRAM-byte string with the least hash is an anchor, chosen by the content alone, so
+equal strings hold the same anchor at the same offset. Anchors met once can't be repeats. The suffixes at the others are sorted
+within their family (equal anchors), the common prefixes of neighbours give the tree of intervals by one stack scan, and in every
+interval the diversity of what stands to the left tells how far each occurrence extends with any other. All bytes are compared;
+hashes only bring candidates together. A string of LENGTH is found at the anchor of its first LEAST bytes.
+
+The same intervals give passages: strings of LEAST bytes that another row holds too. Over fifty words are that long where a word
+has four letters.
 """
 
 from __future__ import annotations
@@ -15,65 +18,88 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, buckets_for
 from .kernels import U64, Hasher, as_bytes, chunks, pieces, sliding_minimum
 
-LENGTH, GRAM = 400, 64
-#: Bytes before an anchor that a string of LENGTH holding it can reach.
-BEFORE = LENGTH - GRAM
-#: Low bits of an anchor's rank that hold its place: a text may have 2 ** PLACE bytes.
-PLACE = 28
+LENGTH, LEAST, GRAM = 400, 256, 32
+#: Bytes before an anchor that a string whose first LEAST bytes hold it can reach.
+BEFORE = LEAST - GRAM
+#: Low bits of an anchor's rank that hold its place in a chunk: no Arrow string is longer.
+PLACE = 31
+#: A family of more places is dealt by content: LEAST equal bytes have HALF more than the anchor on one side of it, so its contexts
+#: meet once with those that share HALF bytes before it, and once with those that share HALF after it.
+HOT, HALF = 4096, BEFORE // 2
 
 
 def anchors(texts: list[bytes]):
-    """For each chunk: (place in `texts`, offset, hash) of the anchors of every text of LENGTH bytes or more."""
+    """For each chunk: (place in `texts`, offset, hash) of the anchors of every text of LEAST bytes or more."""
     for low, high in chunks(texts):
         buffer = np.frombuffer(b"\n".join(texts[low:high]) + b"\n", np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[low:high]])])
-        if len(buffer) <= LENGTH:
+        if len(buffer) <= LEAST:
             continue
+        if len(buffer) >> PLACE:
+            raise ValueError(f"a text of {len(buffer)} bytes is too long")
         grams = Hasher(buffer).windows(GRAM)
         ranks = grams & ~U64((1 << PLACE) - 1) | np.arange(len(grams), dtype=U64)
         least = sliding_minimum(ranks, BEFORE + 1) & U64((1 << PLACE) - 1)
         at = least[np.flatnonzero(np.diff(least, prepend=least[:1] + U64(1)))].astype(np.int64)
         doc = np.searchsorted(offsets, at, side="right") - 1
         ends = offsets[doc + 1] - 1
-        keep = (at + GRAM <= ends) & (ends - offsets[doc] >= LENGTH)
+        keep = (at + GRAM <= ends) & (ends - offsets[doc] >= LEAST)
         at, doc = at[keep], doc[keep]
         yield low + doc, at - offsets[doc], grams[at].view(np.int64)
 
 
 def _anchors(batches):
+    """The anchors of every text, once for each text that a task meets."""
+    met: set[tuple[int, int]] = set()
     for batch in pieces(batches):
         u, v = batch.column("u"), batch.column("v")
-        for doc, place, gram in anchors(as_bytes(batch.column("text"))):
+        names = list(zip(u.to_pylist(), v.to_pylist(), strict=True))
+        texts = [b"" if name in met or met.add(name) else text for name, text in zip(names, as_bytes(batch.column("text")), strict=True)]
+        for doc, place, gram in anchors(texts):
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(gram), u.take(take), v.take(take), pa.array(place)], ["gram", "u", "v", "at"])
 
 
+_MEMBER = np.dtype([("u", np.int64), ("v", np.int64), ("at", np.int64)])
+
+
+def _keys(gram: int, hot: bool, before: bytes, after: bytes):
+    """The families in which a context meets others."""
+    if not hot:
+        yield gram
+        return
+    for side, shared, needed in ((b"b", before, HALF), (b"a", after, GRAM + HALF)):
+        if len(shared) >= needed:
+            yield int.from_bytes(hashlib.blake2b(side + gram.to_bytes(8, "little", signed=True) + shared[:needed], digest_size=8).digest(), "little", signed=True)
+
+
 def _contexts(batches, buckets: int):
-    """Each anchor with the bytes after it, and those before it from near to far."""
-    names = ["bucket", "gram", "u", "v", "at", "before", "after"]
+    """Each anchor's bytes from it on, and those before it from near to far, with its places; equal contexts of a batch are one row."""
+    rows: dict[tuple[int, bytes, bytes], list] = {}
+    held = 0
     for batch in pieces(batches):
-        rows: list[list] = [[] for _ in names]
-        held = 0
         for text, u, v, places in zip(as_bytes(batch.column("text")), batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("places").to_pylist(), strict=True):
             for place in places:
                 at, gram = place["at"], place["gram"]
-                row = (gram % buckets, gram, u, v, at, text[max(0, at - BEFORE) : at][::-1], text[at : at + LENGTH])
-                for out, value in zip(rows, row, strict=True):
-                    out.append(value)
+                before, after = text[max(0, at - BEFORE) : at][::-1], text[at : at + LENGTH]
+                for key in _keys(gram, place["hot"], before, after):
+                    rows.setdefault((key, before, after), []).append((u, v, at))
                 held += 1
             if held >= 1 << 14:
-                yield _context_batch(rows, names)
-                rows, held = [[] for _ in names], 0
-        if held:
-            yield _context_batch(rows, names)
+                yield _context_batch(rows, buckets)
+                rows, held = {}, 0
+    if rows:
+        yield _context_batch(rows, buckets)
 
 
-def _context_batch(rows, names):
-    kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
+def _context_batch(rows: dict, buckets: int) -> pa.RecordBatch:
+    keys = [k[0] for k in rows]
+    columns = ([k % buckets for k in keys], keys, [k[1] for k in rows], [k[2] for k in rows], [np.array(m, _MEMBER).tobytes() for m in rows.values()])
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "key", "before", "after", "members"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -117,65 +143,84 @@ class _LeftOrder:
             step = 1 << (len(self.levels) - 1)
             self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
 
-    def furthest(self, low: int, high: int) -> np.ndarray:
-        """For each of low..high, how many bytes to the left it shares with some other of them."""
+    def furthest(self, low: int, high: int, of: np.ndarray) -> np.ndarray:
+        """For each of low..high, how many bytes to the left it shares with some other of them that isn't `of` the same."""
         ranks = self.rank[low : high + 1]
         order = np.argsort(ranks)
-        first, last = ranks[order][:-1] + 1, ranks[order][1:] + 1
-        level = np.frexp(last - first)[1] - 1
-        shared = np.empty(len(first), np.int64)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            shared[at] = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << int(k))])
-        best = np.zeros(len(order), np.int64)
-        best[order[:-1]] = shared
-        best[order[1:]] = np.maximum(best[order[1:]], shared)
-        return best
-
-
-def family(contexts: list[tuple[bytes, bytes]], copies: list[int]) -> list[tuple[int, int]]:
-    """For each distinct context (bytes before, reversed; bytes after): how far its repeats of LENGTH reach to either side."""
-    reach = [(len(b), len(a)) if n > 1 and len(a) + len(b) >= LENGTH else (0, 0) for (b, a), n in zip(contexts, copies, strict=True)]
-    if len(contexts) == 1:
-        return reach
-    order = sorted(range(len(contexts)), key=lambda k: contexts[k][1])
+        ranks, of = ranks[order], of[low : high + 1][order]
+        edges = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+        run = np.searchsorted(edges, np.arange(len(of)), side="right") - 1
+        best = np.zeros(len(of), np.int64)
+        for here, there in ((run > 0, edges[run] - 1), (run < len(edges) - 1, np.append(edges[1:], 0)[run])):
+            here = np.flatnonzero(here)
+            first, last = np.minimum(ranks[here], ranks[there[here]]) + 1, np.maximum(ranks[here], ranks[there[here]]) + 1
+            level = np.frexp(last - first)[1] - 1
+            for k in np.unique(level):
+                at = np.flatnonzero(level == k)
+                shared = np.minimum(self.levels[k][first[at]], self.levels[k][last[at] - (1 << int(k))])
+                best[here[at]] = np.maximum(best[here[at]], shared)
+        out = np.empty(len(of), np.int64)
+        out[order] = best
+        return out
+
+
+def family(contexts: list[tuple[bytes, bytes]], copies: list[int], texts: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """For each distinct context (bytes before, reversed; bytes after): how far its repeats of LENGTH reach to either side, and how
+    far its matches of LEAST bytes with other texts do. `copies`: places that have it; `texts`: the text of each, or one of its own
+    below zero where several have it. Without `texts` each context is taken to be of another text.
+    """
+    n = len(contexts)
+    texts_ = np.arange(n) if texts is None else np.array(texts)
+    reach = [(len(b), len(a)) if c > 1 and len(a) + len(b) >= LENGTH else (0, 0) for (b, a), c in zip(contexts, copies, strict=True)]
+    match = [(len(b), len(a)) if t < 0 and len(a) + len(b) >= LEAST else (0, 0) for (b, a), t in zip(contexts, texts_.tolist(), strict=True)]
+    if n == 1:
+        return reach, match
+    order = sorted(range(n), key=lambda k: contexts[k][1])
     befores, afters = [contexts[k][0] for k in order], [contexts[k][1] for k in order]
     prefixes = [0] + [common(a, b) for a, b in zip(afters, afters[1:], strict=False)]
-    left = _LeftOrder(befores)
-    out_left = np.array([reach[k][0] for k in order])
-    out_right = np.array([reach[k][1] for k in order])
+    left, single, of = _LeftOrder(befores), np.arange(n), texts_[order]
+    out = np.array([reach[k] for k in order])
+    shared = np.array([match[k] for k in order])
     for low, high, length in intervals(prefixes):
-        if length + BEFORE < LENGTH:
+        if length + BEFORE < LEAST:
             continue
-        best = left.furthest(low, high)
-        at = np.flatnonzero(best + length >= LENGTH)
-        if len(at):
-            out_left[low + at] = np.maximum(out_left[low + at], best[at])
-            out_right[low + at] = np.maximum(out_right[low + at], length)
-    for k, x, y in zip(order, out_left.tolist(), out_right.tolist(), strict=True):
-        reach[k] = (x, y)
-    return reach
+        for most, apart, into in ((LENGTH, single, out), (LEAST, of, shared)):
+            if length + BEFORE < most or (apart[low : high + 1] == apart[low]).all():
+                continue
+            best = left.furthest(low, high, apart)
+            at = np.flatnonzero(best + length >= most)
+            into[low + at, 0] = np.maximum(into[low + at, 0], best[at])
+            into[low + at, 1] = np.maximum(into[low + at, 1], length)
+    for k, x, y in zip(order, out.tolist(), shared.tolist(), strict=True):
+        reach[k], match[k] = tuple(x), tuple(y)
+    return reach, match
+
+
+SPANS = "u long, v long, start long, end long, passage boolean"
 
 
 def _families(table: pa.Table) -> pa.Table:
-    """Of one bucket of families: the spans that are repeated."""
-    grams = table.column("gram").to_numpy()
-    order = np.argsort(grams, kind="stable")
-    edges = np.flatnonzero(np.diff(grams[order], prepend=grams[order][:1] - 1))
-    u, v, at = (table.column(x).to_numpy() for x in ("u", "v", "at"))
-    before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
-    rows, starts, ends = [], [], []
+    """Of one bucket of families: the spans that are repeated, and the passages that another text holds."""
+    keys = table.column("key").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
+    before, after, members = (table.column(x) for x in ("before", "after", "members"))
+    found: list[np.ndarray] = [np.empty((0, 5), np.int64)]
     for low, high in zip(edges, [*edges[1:], len(order)], strict=True):
-        own: dict[tuple[bytes, bytes], list[int]] = {}
-        for k in order[low:high]:
-            own.setdefault((before[k], after[k]), []).append(int(k))
-        reach = family(list(own), [len(x) for x in own.values()])
-        for (x, y), members in zip(reach, own.values(), strict=True):
-            if y:
-                rows.extend(members)
-                starts.extend(int(at[k]) - x for k in members)
-                ends.extend(int(at[k]) + y for k in members)
-    return pa.table({"u": u[rows], "v": v[rows], "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
+        own: dict[tuple[bytes, bytes], list[bytes]] = {}
+        for k in order[low:high].tolist():
+            own.setdefault((before[k].as_py(), after[k].as_py()), []).append(members[k].as_py())
+        places = [np.unique(np.frombuffer(b"".join(m), _MEMBER)) for m in own.values()]
+        names = {}
+        texts = [names.setdefault((int(p["u"][0]), int(p["v"][0])), k) if (p["u"] == p["u"][0]).all() and (p["v"] == p["v"][0]).all() else -1 - k for k, p in enumerate(places)]
+        reach, match = family(list(own), [len(p) for p in places], texts)
+        for p, r, m in zip(places, reach, match, strict=True):
+            for (x, y), passage in ((r, 0), (m, 1)):
+                if y:
+                    found.append(np.stack([p["u"], p["v"], p["at"] - x, p["at"] + y, np.full(len(p), passage)], 1))
+    rows = np.concatenate(found)
+    columns = [pa.array(rows[:, k]) for k in range(4)]
+    return pa.table([*columns, pa.array(rows[:, 4] == 1)], names=["u", "v", "start", "end", "passage"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -203,25 +248,29 @@ def cut(text: bytes, spans: list[list[int]], whole_characters: bool = False) ->
     return b"".join(kept)
 
 
-CUT = "u long, v long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+CUT = "u long, v long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept string"
 
 
 def _cuts(batches, texts: bool):
+    """What is cut from each text. With `texts`, passages go too, and what is left of the text is given."""
     for batch in pieces(batches):
-        rows: list[list] = [[] for _ in range(5)]
-        for text, copies, spans in zip(as_bytes(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if copies > 1 and len(text) >= LENGTH:
-                spans = [[0, len(text)]]
-            else:
-                spans = merged([(s["start"], s["end"]) for s in spans or ()])
+        rows: list[list] = [[] for _ in range(6)]
+        for text, copies, found in zip(as_bytes(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            spans = [(s["start"], s["end"]) for s in found or () if not s["passage"]]
+            passages = [(s["start"], s["end"]) for s in found or () if s["passage"]]
+            if copies > 1:
+                spans += [(0, len(text))] * (len(text) >= LENGTH)
+                passages += [(0, len(text))] * (len(text) >= LEAST)
+            every, passages, spans = merged(spans + passages), merged(passages), merged(spans)
             kept = cut(text, spans)
-            edited = cut(text, spans, True).decode() if texts else None
-            for out, value in zip(rows, (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), edited), strict=True):
+            edited = cut(text, every, True).decode() if texts and every else None
+            values = (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in passages), edited)
+            for out, value in zip(rows, values, strict=True):
                 out.append(value)
-        kinds = [pa.int64()] * 3 + [pa.string()] * 2
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("u"), batch.column("v"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
-            ["u", "v", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            ["u", "v", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept"],
         )
 
 
@@ -232,47 +281,46 @@ def _named(documents: DataFrame) -> DataFrame:
 
 def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     """For every distinct text, named by 128 bits, what is cut from it. Copies are read once."""
-    spark = named.sparkSession
+    buckets = buckets_for(named)
     rows = named.select("u", "v", F.coalesce("text", F.lit("")).alias("text"))
     found = scratch.table(rows.mapInArrow(_anchors, "gram long, u long, v long, at long"), "anchors")
     place = F.xxhash64("u", "v", "at")
-    often = found.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("gram")
-    places = found.join(often, "gram", "left_semi").distinct().groupBy("u", "v").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
+    often = found.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x != y")
+    # written, so that the join's sides come straight from shuffles and Spark can split a frequent anchor's partition
+    often = scratch.table(often.select("gram", (F.col("n") > HOT).alias("hot")), "often")
+    places = found.join(often, "gram").groupBy("u", "v").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("places"))
     once = lambda: rows.groupBy("u", "v").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    buckets = partitions(spark)
-    contexts = (
-        once()
-        .join(places, ["u", "v"])
-        .mapInArrow(lambda batches: _contexts(batches, buckets), "bucket int, gram long, u long, v long, at long, before binary, after binary")
-    )
-    spans = scratch.table(contexts.groupBy("bucket").applyInArrow(_families, "u long, v long, start long, end long"), "spans")
+    contexts = once().join(places, ["u", "v"]).mapInArrow(lambda batches: _contexts(batches, buckets), "bucket int, key long, before binary, after binary, members binary")
+    spans = scratch.table(contexts.groupBy("bucket").applyInArrow(_families, SPANS), "spans")
     scratch.drop("anchors")
-    scratch.release()
-    spans = spans.groupBy("u", "v").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy("u", "v").agg(F.collect_set(F.struct("start", "end", "passage")).alias("spans"))
     return once().join(spans, ["u", "v"], "left").mapInArrow(lambda batches: _cuts(batches, texts), CUT)
 
 
 def suffix_dedup(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of what is left.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of what is left, and
+    n_passage_bytes, the bytes in strings of LEAST bytes that another row holds too.
 
-    Removed is each byte of a string of LENGTH bytes that also starts elsewhere, in the same or another row, judged on the
-    whole input. Null text is empty. Texts under LENGTH bytes keep all. A repeated row counts as another document.
+    Removed is each byte of a string of LENGTH bytes that also starts elsewhere, in the same or another row, judged on the whole
+    input. Null text is empty. Texts under LENGTH bytes keep all. A repeated row counts as another document. Passages change nothing
+    of what is removed.
     """
     scratch = Scratch(documents.sparkSession, "suffix")
     named = _named(documents.select("doc_id", "text"))
     cuts = scratch.result(_cut_texts(named, scratch, False).drop("kept"))
-    return named.select("doc_id", "u", "v").join(cuts, ["u", "v"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return named.select("doc_id", "u", "v").join(cuts, ["u", "v"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """The documents with what suffix_dedup removes cut from `text` (to whole characters), and n_chars counted anew."""
+    """The documents with repeated strings of LENGTH bytes and passages cut from `text` (to whole characters), and n_chars counted
+    anew where something was cut."""
     scratch = Scratch(documents.sparkSession, "suffix")
-    cuts = scratch.result(_cut_texts(_named(documents.select("text")), scratch, True).where("n_removed > 0").select("u", "v", "kept"))
+    cuts = scratch.result(_cut_texts(_named(documents.select("text")), scratch, True).where("kept IS NOT NULL").select("u", "v", "kept"))
     out = documents.withColumn("__row", F.struct(*(F.col(f"`{c}`") for c in documents.columns)))
     out = _named(out.select("__row", F.col("__row.text").alias("text"))).join(cuts, ["u", "v"], "left")
-    text = F.coalesce("kept", "text")
-    columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in documents.columns]
-    return out.select(*columns)
+    new = {"text": F.coalesce("kept", "text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("__row.n_chars")) if "n_chars" in documents.columns else None}
+    kinds = dict(documents.dtypes)
+    return out.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col("__row")[c].alias(c) for c in documents.columns))
 
 
 SQL = r"""
@@ -283,7 +331,12 @@ fresh AS (SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p
 spans AS (SELECT row, min(p) AS a, max(p) + 400 AS z FROM (SELECT row, p, sum(f) OVER (PARTITION BY row ORDER BY p) AS k FROM fresh) GROUP BY row, k),
 gaps AS (SELECT row, z AS a, lead(a) OVER (PARTITION BY row ORDER BY a) AS z FROM (SELECT row, a, z FROM spans UNION ALL SELECT row, -1, 0 FROM b)),
 kept AS (SELECT g.row, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, length(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps g JOIN b ON b.row = g.row GROUP BY 1),
-n AS (SELECT row, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY 1)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
-FROM b JOIN kept ON kept.row = b.row LEFT JOIN n ON n.row = b.row
+n AS (SELECT row, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY 1),
+pw AS (SELECT row, p, md5(substr(h, 2 * p + 1, 512)) AS m FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 255)) AS p FROM b WHERE length(h) >= 512)),
+held AS (SELECT row, p FROM (SELECT row, p, min(row) OVER (PARTITION BY m) AS x, max(row) OVER (PARTITION BY m) AS y FROM pw) WHERE x < y),
+steps AS (SELECT row, least(256, coalesce(lead(p) OVER (PARTITION BY row ORDER BY p) - p, 256)) AS c FROM held),
+passages AS (SELECT row, sum(c) AS bytes FROM steps GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256,
+  CAST(coalesce(bytes, 0) AS BIGINT) AS n_passage_bytes
+FROM b JOIN kept ON kept.row = b.row LEFT JOIN n ON n.row = b.row LEFT JOIN passages ON passages.row = b.row
 """

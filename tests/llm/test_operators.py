@@ -372,15 +372,24 @@ def test_mixing(docs, rows, none, clashing):
     assert mixing.mix(docs.where("text IS NULL")).first().taken == 0
 
 
-def repeat_rows(texts, length):
+def repeat_rows(texts, length, passage):
+    def covered(wide, counted):
+        for k, t in enumerate(texts):
+            gone = [False] * len(t)
+            for p in range(len(t) - wide + 1):
+                if counted(t[p : p + wide], k):
+                    gone[p : p + wide] = [True] * wide
+            yield t, gone
+
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
-    for t in texts:
-        gone = [False] * len(t)
-        for p in range(len(t) - length + 1):
-            if seen[t[p : p + length]] > 1:
-                gone[p : p + length] = [True] * length
+    owners = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - passage + 1):
+            owners.setdefault(t[p : p + passage], set()).add(k)
+    shared = covered(passage, lambda x, k: len(owners[x]) > 1)
+    for (t, gone), (_, also) in zip(covered(length, lambda x, k: seen[x] > 1), shared, strict=True):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
-        yield len(t), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()
+        yield len(t), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), sum(also)
 
 
 def test_mixing_spends_a_small_source_beside_a_huge_one(spark):
@@ -394,7 +403,7 @@ def test_mixing_spends_a_small_source_beside_a_huge_one(spark):
 
 def test_suffix_dedup(docs, rows, none, clashing):
     found = suffix.suffix_dedup(docs)
-    want = [(r[0], *x) for r, x in zip(rows, repeat_rows([(r[1] or "").encode() for r in rows], suffix.LENGTH), strict=True)]
+    want = [(r[0], *x) for r, x in zip(rows, repeat_rows([(r[1] or "").encode() for r in rows], suffix.LENGTH, suffix.LEAST), strict=True)]
     assert by_id(found) == sorted(want, key=repr)
     assert sum(w[2] > 0 for w in want) >= 6
     assert suffix.suffix_dedup(none).count() == 0
@@ -421,15 +430,34 @@ def test_intervals_are_all_groups_of_equal_prefixes():
 def test_family_reach_is_that_of_all_pairs():
     rng = random.Random(9)
     for _ in range(100):
-        contexts = list({("".join(rng.choices("ab", k=rng.randint(300, 336)))[:0] + "b" * rng.choice([0, 100, 336]) + rng.choice("ab"), "a" * rng.choice([64, 200, 399]) + rng.choice("bc")) for _ in range(8)})
-        contexts = [(b.encode()[: suffix.BEFORE], a.encode()) for b, a in contexts]
-        contexts = list(dict.fromkeys(contexts))
-        want = []
-        for k, (b, a) in enumerate(contexts):
-            pairs = [(suffix.common(b, y), suffix.common(a, x)) for j, (y, x) in enumerate(contexts) if j != k]
-            good = [(p, q) for p, q in pairs if p + q >= suffix.LENGTH]
-            want.append((max((p for p, _ in good), default=0), max((q for _, q in good), default=0)))
-        assert suffix.family(contexts, [1] * len(contexts)) == want
+        contexts = [("b" * rng.choice([0, 100, 200, 224]) + rng.choice("ab"), "a" * rng.choice([32, 64, 160, 399]) + rng.choice("bc")) for _ in range(8)]
+        contexts = list(dict.fromkeys((b.encode()[: suffix.BEFORE], a.encode()) for b, a in contexts))
+        texts = [rng.randrange(3) for _ in contexts]
+        wants = []
+        for least, apart in ((suffix.LENGTH, range(len(contexts))), (suffix.LEAST, texts)):
+            want = []
+            for k, (b, a) in enumerate(contexts):
+                pairs = [(suffix.common(b, y), suffix.common(a, x)) for j, (y, x) in enumerate(contexts) if apart[j] != apart[k]]
+                good = [(p, q) for p, q in pairs if p + q >= least]
+                want.append((max((p for p, _ in good), default=0), max((q for _, q in good), default=0)))
+            wants.append(want)
+        assert suffix.family(contexts, [1] * len(contexts), texts) == tuple(wants)
+
+
+def test_suffix_dedup_of_frequent_anchors(spark, monkeypatch):
+    """Families dealt by content, and passages of all lengths around the limits, in texts and across them."""
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(21)
+    passage = prose(rng, 200)
+    texts = []
+    for k in range(40):
+        low = rng.randrange(0, 300)
+        part = passage[low : low + rng.choice([100, 250, 256, 257, 399, 400, 401, 700])]
+        texts.append(prose(rng, rng.randint(0, 30)) + part + prose(rng, rng.randint(0, 30)) + (part if k % 5 == 0 else ""))
+    texts += [texts[3], texts[3], passage[:300], passage[:300]]
+    want = [(k, *x) for k, x in enumerate(repeat_rows([t.encode() for t in texts], suffix.LENGTH, suffix.LEAST))]
+    found = suffix.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert by_id(found) == sorted(want, key=repr)
 
 
 def test_cut_keeps_whole_characters():

@@ -46,15 +46,18 @@ def test_one_of_each_group_of_near_copies_stays(stages):
 
 
 def test_repeated_passages_are_cut(stages):
+    """Strings of LENGTH bytes that stand anywhere else, and strings of LEAST bytes that another document holds."""
     before, after = ({r.doc_id: r for r in df.collect()} for df in stages[2:4])
-    seen = Counter()
-    for r in before.values():
-        b = r.text.encode()
-        seen.update(b[p : p + suffix.LENGTH] for p in range(len(b) - suffix.LENGTH + 1))
-    for i, r in before.items():
-        b = r.text.encode()
-        again = any(seen[b[p : p + suffix.LENGTH]] > 1 for p in range(len(b) - suffix.LENGTH + 1))
-        assert (after[i].text != r.text) == again and after[i].n_chars == len(after[i].text)
+    texts = {i: r.text.encode() for i, r in before.items()}
+    windows = lambda b, n: (b[p : p + n] for p in range(len(b) - n + 1))
+    seen, owners = Counter(), {}
+    for i, b in texts.items():
+        seen.update(windows(b, suffix.LENGTH))
+        for x in windows(b, suffix.LEAST):
+            owners.setdefault(x, set()).add(i)
+    for i, b in texts.items():
+        again = any(seen[x] > 1 for x in windows(b, suffix.LENGTH)) or any(len(owners[x]) > 1 for x in windows(b, suffix.LEAST))
+        assert (after[i].text != before[i].text) == again and after[i].n_chars == len(after[i].text)
 
 
 def test_contaminated_documents_go(stages):
