@@ -4,8 +4,8 @@ Sets A and B of distinct shingles are similar if they differ in at most (|A| + |
 signs its own band, and the next one if a partner may lie there. In a band of sizes up to r similar sets differ in at most
 k = 2r / 7 shingles. The shingle domain is dealt into 3 (k + 1) parts, and each part's content gives a signature. At most k parts
 differ, so of any k + 1 signatures of a set a similar one has at least one; and if all sets keep their first k + 1 in one and the
-same order, they share one of those. The order puts signatures that were seen often last, so a passage that many documents hold
-brings hardly any set into a large group. Any order gives the same links.
+same order, they share one of those. The order puts parts that hold frequent shingles alone last, so a passage that many documents
+hold brings hardly any set into a large group. Any order gives the same links.
 
 Sets of up to SINGLE shingles take each shingle as a part. For larger ones a similar pair would be missed only if every shared
 shingle fell into a part with a differing one: three shared ones for each differing one, among over 50 parts.
@@ -36,18 +36,17 @@ SMALL = 8
 #: Larger groups are dealt into blocks of about so many classes: the rounds look within each block, the last one takes every
 #: pair of blocks, each in a task of its own.
 BLOCK = 2048
-#: Of a class's larger groups, in how many it tries its nearest. The last round tries all.
-ACTIVE = 4
 #: Other components that a class tries in a round, the nearest first. A group with at most so many pairs for each class tries all.
 TRIES = 3
 #: The rounds end when under one in FEW of the pairs tried is a link; the last round tries what is left.
 FEW = 50
 #: A side of at most so many rows (24 bytes each) may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Signatures known as frequent, counted on one text in SAMPLE: this changes how work is dealt, never a result.
-FREQUENT, SAMPLE = 1 << 17, 8
-#: Signatures held at a time.
-PACK = 1 << 21
+#: Shingles known as frequent, counted on one text in SAMPLE, and the count from which a signature skips the buckets: this changes
+#: how work is dealt, never a result.
+FREQUENT, SAMPLE, HEAVY = 1 << 17, 4, 64
+#: Signatures held at a time, and shingles that are signed at a time.
+PACK, STEP = 1 << 21, 1 << 18
 #: Sets of up to so many shingles have each shingle as a part.
 SINGLE = 64
 
@@ -69,14 +68,18 @@ def plan(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray, counts: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, frequent) of some sets of distinct 64-bit shingles, one after another in `flat`.
+def signatures(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, count) of some sets of distinct 64-bit shingles, one after another in `flat`.
 
-    `often` are the frequent signatures, sorted, and `counts` how often they were seen. `whole`: all signatures, not the first.
+    `often` are the frequent shingles, sorted, and `counts` how often they were seen. A signature counts as its rarest shingle.
     """
     jobs = [(d, *job) for d, n in enumerate(sizes.tolist()) if n for job in plan(n)]
     if not jobs:
-        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64)
+    seen = np.zeros(len(flat), np.int64)
+    if len(often):
+        place = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+        seen = np.where(often[place] == flat, counts[place], 0)
     owner, band, parts, differ = (np.array(x, np.int64) for x in zip(*jobs, strict=True))
     tag = mix(band.astype(U64) + U64(0x9E3779B97F4A7C15))
     starts, lengths = (np.cumsum(sizes) - sizes)[owner], sizes[owner]
@@ -84,26 +87,21 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, often: np.ndarray, counts: n
     at = np.arange(len(job)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[job]
     mixed = mix(flat[at] ^ tag[job])
     key = job.astype(U64) << U64(32) | (mixed >> U64(32)) * parts.astype(U64)[job] >> U64(32)
-    order = np.argsort(key, kind="stable")
-    key, mixed = key[order], mixed[order]
+    order = np.argsort(key)
+    key = key[order]
     edges = np.flatnonzero(np.diff(key, prepend=key[:1] ^ U64(1)))
     job = (key[edges] >> U64(32)).astype(np.int64)
-    signs = mix(np.add.reduceat(mixed, edges) ^ mix((key[edges] & U64(0xFFFFFFFF)) + tag[job]))
-    seen = np.zeros(len(signs), np.int64)
-    if len(often):
-        place = np.minimum(np.searchsorted(often, signs), len(often) - 1)
-        seen = np.where(often[place] == signs, counts[place], 0)
-    if whole:
-        return owner[job], signs, seen > 0
-    order = np.lexsort((signs, seen, job))
+    signs = mix(np.add.reduceat(mixed[order], edges) ^ mix((key[edges] & U64(0xFFFFFFFF)) + tag[job]))
+    seen = np.minimum.reduceat(seen[at[order]], edges)
+    order = np.lexsort((np.minimum(seen, 0xFFFF).astype(U64) << U64(48) | signs >> U64(16), job))
     rank = np.arange(len(job)) - np.searchsorted(job, job)  # the order keeps the jobs in theirs
     kept = order[rank <= differ[job]]
-    return owner[job[kept]], signs[kept], seen[kept] > 0
+    return owner[job[kept]], signs[kept], seen[kept]
 
 
 def parity(elements: np.ndarray) -> bytes:
     """One bit for every residue of the shingles: whether an odd number has it. Halves xored give the sketch of half the size."""
-    bits = max(64, 1 << (4 * max(len(elements), 1) - 1).bit_length())
+    bits = max(64, 1 << (2 * max(len(elements), 1) - 1).bit_length())
     counts = np.bincount((elements & U64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -177,30 +175,38 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(U64) | high.astype(U64) << U64(32), np.repeat(own, counts)
 
 
-def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([*found, np.empty(0, U64)]), np.array([len(e) for e in found], np.int64)
+def _steps(found: list[np.ndarray]):
+    """The sets in steps of about STEP shingles: from, to, and those between one after another with their sizes."""
+    low = held = 0
+    for k, elements in enumerate(found, 1):
+        held += len(elements)
+        if held >= STEP or k == len(found):
+            yield low, k, np.concatenate(found[low:k]), np.array([len(e) for e in found[low:k]], np.int64)
+            low, held = k, 0
+
+
+def _names(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    c1, c2 = identities(found)
+    return c1, c2, list(zip(c1.tolist(), c2.tolist(), strict=True))
 
 
 def _seen_twice(batches):
-    """Signatures that two classes of a task's texts have, with how many do."""
+    """Shingles that two classes of a task's texts have, with how many do."""
     met: set[tuple[int, int]] = set()
     held: list[np.ndarray] = []
 
     def counted():
-        sign, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(sign[n > 1].view(np.int64)), pa.array(n[n > 1])], ["sign", "n"])
+        shingle, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingle[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
 
-    none = np.empty(0, np.int64)
     for batch in pieces(batches):
         found = list(sets(as_bytes(batch.column("text"))))
-        names = list(zip(*(x.tolist() for x in identities(found)), strict=True))
-        new = [k for k in range(len(found)) if names[k] not in met and not met.add(names[k])]
-        held.append(signatures(*_flat([found[k] for k in new]), none.view(U64), none, True)[1])
+        held += [e for e, name in zip(found, _names(found)[2], strict=True) if name not in met and not met.add(name)]
         if sum(map(len, held)) >= PACK:
-            yield from counted()
+            yield counted()
             held = []
     if held:
-        yield from counted()
+        yield counted()
 
 
 def _sign(batches, buckets: int, frequent):
@@ -211,17 +217,18 @@ def _sign(batches, buckets: int, frequent):
     signs, owners, held = [], [], 0
     for batch in pieces(batches):
         found = list(sets(as_bytes(batch.column("text"))))
-        c1, c2 = identities(found)
-        names = list(zip(c1.tolist(), c2.tolist(), strict=True))
+        c1, c2, names = _names(found)
         new = [k for k in range(len(found)) if len(found[k]) and names[k] not in met and not met.add(names[k])]
-        owner, sign, known = signatures(*_flat([found[k] for k in new]), often, counts)
-        owner = c1[np.array(new, np.int64)][owner]
-        signs.append(sign[~known])
-        owners.append(owner[~known])
-        held += len(signs[-1])
-        if known.any():
-            where = (mix(owner[known].view(U64)) % U64(buckets)).astype(np.int32)
-            yield _batch({"bucket": where, "kind": np.full(len(where), 2, np.int32), "a": sign[known].view(np.int64), "b": owner[known]}, _packed, _packed_kinds, len(where))
+        classes = c1[np.array(new, np.int64)]
+        for low, high, flat, sizes in _steps([found[k] for k in new]):
+            owner, sign, seen = signatures(flat, sizes, often, counts)
+            owner, heavy = classes[low:high][owner], seen >= HEAVY
+            signs.append(sign[~heavy])
+            owners.append(owner[~heavy])
+            held += len(signs[-1])
+            if heavy.any():
+                where = (mix(owner[heavy].view(U64)) % U64(buckets)).astype(np.int32)
+                yield _batch({"bucket": where, "kind": np.full(len(where), 2, np.int32), "a": sign[heavy].view(np.int64), "b": owner[heavy]}, _packed, _packed_kinds, len(where))
         if held >= PACK:
             yield _pack(buckets, np.concatenate(signs), np.concatenate(owners))
             signs, owners, held = [], [], 0
@@ -304,11 +311,11 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
     block, other_block = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     several, side = table.column("blocks")[0].as_py() > 1, table.column("block").to_numpy()
     n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
-    sketches, active = table.column("parity").to_pylist(), np.array(table.column("active").to_pylist(), bool)
+    sketches = table.column("parity").to_pylist()
     sign, node = table.column("sign")[0].as_py(), table.column("node").combine_chunks()
     order = np.argsort(n, kind="stable")
     n, label, node, side = n[order], label[order], node.take(pa.array(order)), side[order]
-    sketches, active = [sketches[k] for k in order], active[order]
+    sketches = [sketches[k] for k in order]
     one, two, all_ = [], [], True
     close: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(n))]  # by label, the nearest class and its share
     low = 0
@@ -344,7 +351,7 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                                 close[here][label[there]] = (part, there)
         low = high
     if not all_:
-        nearest = [(i, x) for i in np.flatnonzero(active).tolist() for _, x in sorted(close[i].values())[:TRIES]]
+        nearest = [(i, x) for i in range(len(n)) for _, x in sorted(close[i].values())[:TRIES]]
         one, two = [x[0] for x in nearest], [x[1] for x in nearest]
     mark = [None] * (not all_ or (several and not every))
     one, two = pa.array([*one, *mark], pa.int64()), pa.array([*two, *mark], pa.int64())
@@ -411,13 +418,13 @@ class _Verifier:
 
 
 def _frequent(documents: DataFrame):
-    """The signatures that a part of the texts shows to be frequent: at most FREQUENT numbers and their counts, for all tasks."""
-    some = documents.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_seen_twice, "sign long, n long")
-    most = some.groupBy("sign").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(FREQUENT)
-    rows = [(r.sign, r.n) for r in most.toLocalIterator()]
-    sign, n = np.array([r[0] for r in rows], np.int64).view(U64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(sign)
-    return documents.sparkSession.sparkContext.broadcast((sign[order], n[order]))
+    """The shingles that a part of the texts shows to be frequent: at most FREQUENT numbers and their counts, for all tasks."""
+    some = documents.where(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(_seen_twice, "shingle long, n long")
+    most = some.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
+    rows = [(r.shingle, r.n) for r in most.toLocalIterator()]
+    shingle, n = np.array([r[0] for r in rows], np.int64).view(U64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(shingle)
+    return documents.sparkSession.sparkContext.broadcast((shingle[order], n[order]))
 
 
 def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -449,8 +456,7 @@ def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
     if not groups.isEmpty():
         large = members.join(groups_.select("sign", "m"), "sign").join(classes.select("c1", "node"), "c1")
         blocks = F.ceil(F.col("m") / BLOCK)
-        active = F.row_number().over(Window.partitionBy("node").orderBy("sign")) <= ACTIVE
-        live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block"), active.alias("active")), "live")
+        live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block")), "live")
         k, every = 0, False
         while not live.isEmpty():
             k += 1

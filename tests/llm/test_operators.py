@@ -242,7 +242,7 @@ def test_jaccard_join_of_a_family_at_the_edge_of_a_band(spark, seed):
 @pytest.mark.parametrize(("tries", "few", "small"), [(0, 1, 2), (1, 10**9, 2), (1, 1, 3)])
 def test_jaccard_join_in_rounds(spark, monkeypatch, tries, few, small):
     """Few pairs a group, early and late last rounds: the components are the same."""
-    for name, value_ in (("TRIES", tries), ("FEW", few), ("SMALL", small), ("BROADCAST_ROWS", 3), ("ACTIVE", 1), ("BLOCK", 9)):
+    for name, value_ in (("TRIES", tries), ("FEW", few), ("SMALL", small), ("BROADCAST_ROWS", 3), ("BLOCK", 9), ("SAMPLE", 1), ("HEAVY", 3)):
         monkeypatch.setattr(jaccard, name, value_)
     rng = random.Random(5)
     base = prose(rng, 120).split()
@@ -295,13 +295,10 @@ def test_partenum_gives_similar_sets_a_signature():
 
 
 def signs(elements, frequent):
-    """The signatures that a set keeps where every `frequent`-th one counts as often seen."""
-    flat, sizes, none = np.unique(elements), np.array([len(np.unique(elements))]), np.empty(0, np.int64)
-    if not frequent:
-        return jaccard.signatures(flat, sizes, none.view(np.uint64), none)[1]
-    every = np.unique(jaccard.signatures(flat, sizes, none.view(np.uint64), none, True)[1])
-    often = every[every % np.uint64(frequent) < 1] if frequent < 10**6 else every
-    return jaccard.signatures(flat, sizes, often, (often % np.uint64(7)).astype(np.int64) + 1)[1]
+    """The signatures that a set keeps where every `frequent`-th shingle counts as often seen."""
+    flat = np.unique(elements)
+    often = flat[flat % np.uint64(frequent) < 1] if 0 < frequent < 10**6 else flat if frequent else flat[:0]
+    return jaccard.signatures(flat, np.array([len(flat)]), often, (often % np.uint64(7)).astype(np.int64) + 1)[1]
 
 
 def test_parity_bounds_the_difference():
