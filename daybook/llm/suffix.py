@@ -26,9 +26,11 @@ LENGTH, LEAST, GRAM = 400, 256, 32
 BEFORE = LEAST - GRAM
 #: Low bits of an anchor's rank that hold its place in a chunk: no Arrow string is longer.
 PLACE = 31
-#: A family of more places is dealt by content: LEAST equal bytes have HALF more than the anchor on one side of it, so its contexts
-#: meet once with those that share HALF bytes before it, and once with those that share HALF after it.
-HOT, HALF = 4096, BEFORE // 2
+#: A family of more places is dealt by content: of LEAST equal bytes x lie before the anchor, so for the STRIDE that x is in its
+#: contexts meet those that share all bytes that any such x gives, LEAST - STRIDE + 1 of them.
+HOT, STRIDE = 4096, 56
+#: Families of so many contexts are compared pair by pair.
+FEW = 4
 
 
 def anchors(texts: list[bytes]):
@@ -71,9 +73,11 @@ def _keys(gram: int, hot: bool, before: bytes, after: bytes):
     if not hot:
         yield gram
         return
-    for side, shared, needed in ((b"b", before, HALF), (b"a", after, GRAM + HALF)):
-        if len(shared) >= needed:
-            yield int.from_bytes(hashlib.blake2b(side + gram.to_bytes(8, "little", signed=True) + shared[:needed], digest_size=8).digest(), "little", signed=True)
+    for x in range(0, BEFORE + 1, STRIDE):
+        y = max(GRAM, LEAST - x - STRIDE + 1)
+        if len(before) >= x and len(after) >= y:
+            shared = b"%d %d " % (gram, x) + before[:x] + after[:y]
+            yield int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
 
 
 def _contexts(batches, buckets: int):
@@ -170,11 +174,18 @@ def family(contexts: list[tuple[bytes, bytes]], copies: list[int], texts: list[i
     below zero where several have it. Without `texts` each context is taken to be of another text.
     """
     n = len(contexts)
-    texts_ = np.arange(n) if texts is None else np.array(texts)
+    texts = list(range(n)) if texts is None else texts
     reach = [(len(b), len(a)) if c > 1 and len(a) + len(b) >= LENGTH else (0, 0) for (b, a), c in zip(contexts, copies, strict=True)]
-    match = [(len(b), len(a)) if t < 0 and len(a) + len(b) >= LEAST else (0, 0) for (b, a), t in zip(contexts, texts_.tolist(), strict=True)]
-    if n == 1:
+    match = [(len(b), len(a)) if t < 0 and len(a) + len(b) >= LEAST else (0, 0) for (b, a), t in zip(contexts, texts, strict=True)]
+    if n <= FEW:
+        for i in range(n):
+            for j in range(i):
+                x, y = common(contexts[i][0], contexts[j][0]), common(contexts[i][1], contexts[j][1])
+                for out, fits in ((reach, x + y >= LENGTH), (match, x + y >= LEAST and texts[i] != texts[j])):
+                    for k in (i, j) if fits else ():
+                        out[k] = (max(out[k][0], x), max(out[k][1], y))
         return reach, match
+    texts_ = np.array(texts)
     order = sorted(range(n), key=lambda k: contexts[k][1])
     befores, afters = [contexts[k][0] for k in order], [contexts[k][1] for k in order]
     prefixes = [0] + [common(a, b) for a, b in zip(afters, afters[1:], strict=False)]
@@ -204,20 +215,35 @@ def _families(table: pa.Table) -> pa.Table:
     keys = table.column("key").to_numpy()
     order = np.argsort(keys, kind="stable")
     edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
-    before, after, members = (table.column(x) for x in ("before", "after", "members"))
+    before, after, members = (table.column(x).to_pylist() for x in ("before", "after", "members"))
+    single: list[tuple[bytes, int, int, bool]] = []
     found: list[np.ndarray] = [np.empty((0, 5), np.int64)]
-    for low, high in zip(edges, [*edges[1:], len(order)], strict=True):
-        own: dict[tuple[bytes, bytes], list[bytes]] = {}
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        own: dict[tuple[bytes, bytes], bytes] = {}
         for k in order[low:high].tolist():
-            own.setdefault((before[k].as_py(), after[k].as_py()), []).append(members[k].as_py())
-        places = [np.unique(np.frombuffer(b"".join(m), _MEMBER)) for m in own.values()]
-        names = {}
-        texts = [names.setdefault((int(p["u"][0]), int(p["v"][0])), k) if (p["u"] == p["u"][0]).all() and (p["v"] == p["v"][0]).all() else -1 - k for k, p in enumerate(places)]
-        reach, match = family(list(own), [len(p) for p in places], texts)
-        for p, r, m in zip(places, reach, match, strict=True):
-            for (x, y), passage in ((r, 0), (m, 1)):
-                if y:
+            context = (before[k], after[k])
+            own[context] = own.get(context, b"") + members[k]
+        if len(own) == 1 and len(next(iter(own.values()))) == _MEMBER.itemsize:
+            continue
+        names: dict[bytes, int] = {}
+        places, copies, texts = [], [], []
+        for k, m in enumerate(own.values()):
+            one = len(m) == _MEMBER.itemsize
+            p = None if one else np.unique(np.frombuffer(m, _MEMBER))
+            same = one or len(np.unique(p[["u", "v"]])) == 1
+            places.append(p)
+            copies.append(1 if one else len(p))
+            texts.append(names.setdefault(m[:16], k) if same else -1 - k)
+        for m, p, r, t in zip(own.values(), places, *family(list(own), copies, texts), strict=True):
+            for (x, y), passage in ((r, False), (t, True)):
+                if y and p is None:
+                    single.append((m, x, y, passage))
+                elif y:
                     found.append(np.stack([p["u"], p["v"], p["at"] - x, p["at"] + y, np.full(len(p), passage)], 1))
+    if single:
+        p = np.frombuffer(b"".join(m for m, *_ in single), _MEMBER)
+        x, y, passage = (np.array(c, np.int64) for c in zip(*(s[1:] for s in single), strict=True))
+        found.append(np.stack([p["u"], p["v"], p["at"] - x, p["at"] + y, passage], 1))
     rows = np.concatenate(found)
     columns = [pa.array(rows[:, k]) for k in range(4)]
     return pa.table([*columns, pa.array(rows[:, 4] == 1)], names=["u", "v", "start", "end", "passage"])

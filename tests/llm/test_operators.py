@@ -473,6 +473,7 @@ def test_family_reach_is_that_of_all_pairs():
 def test_suffix_dedup_of_frequent_anchors(spark, monkeypatch):
     """Families dealt by content, and passages of all lengths around the limits, in texts and across them."""
     monkeypatch.setattr(suffix, "HOT", 3)
+    monkeypatch.setattr(suffix, "FEW", 2)
     rng = random.Random(21)
     passage = prose(rng, 200)
     texts = []
