@@ -12,7 +12,7 @@ def queries():
     return {
         "op1_license_scan": lambda spark, d: licenses.license_scan(table(spark, d, "documents")).drop("matches"),
         "op2_quality_rules": lambda spark, d: quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
-        "op3_chat_formatting": lambda spark, d: chat.format_chats(table(spark, d, "conversations")),
+        "op3_chat_formatting": lambda spark, d: chat.format_chats(chat.with_made_calls(table(spark, d, "conversations"))),
         "op4_jaccard_join": lambda spark, d: jaccard.jaccard_join(table(spark, d, "documents")).drop("n_links"),
         "op5_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),

@@ -21,6 +21,10 @@ TOOLS = {
 }
 
 
+#: What is added to a turn for the message made from it.
+MADE = 1_000_000
+
+
 def json_string(text: Column) -> Column:
     """A JSON string, or null."""
     whole = F.to_json(F.struct(text.alias("x")))
@@ -47,30 +51,51 @@ def verdict(name: Column, arguments: Column, tools: dict) -> Column:
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the last they wait for; none in a cycle.
+    """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the last they wait for; none in or behind a cycle.
 
-    Each round settles the calls whose predecessors are settled; ids that name no call of the conversation are ignored.
+    `calls` (conv_id, call_id, after) has each id once a conversation; ids that name no call of it are ignored. Chains of calls that
+    wait for one other each are jumped along in doubling steps, so their rounds are the logarithm of their length. What is left are
+    calls that wait for several: each round settles those whose predecessors are settled.
     """
-    ids = calls.select("conv_id", "call_id")
-    waits = calls.select("conv_id", "call_id", F.explode("after").alias("other")).distinct()
-    waits = scratch.table(waits.join(ids.withColumnRenamed("call_id", "other"), ["conv_id", "other"], "left_semi"), "waits")
-    settled = ids.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    k = 0
-    while not waits.isEmpty():
-        settled = scratch.table(settled, f"settled-{k}")
-        open_ = waits.join(settled.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        before = settled.select("conv_id", F.col("call_id").alias("other"), F.col("level").alias("other_level"))
-        ready = (
-            open_.join(before, ["conv_id", "other"], "left")
-            .groupBy("conv_id", "call_id")
-            .agg(F.max("other_level").alias("last"), F.count("*").alias("n"), F.count("other_level").alias("done"))
-            .where("n = done")
-        )
-        ready = scratch.table(ready.select("conv_id", "call_id", (F.col("last") + 1).alias("level")), f"ready-{k}")
-        if ready.isEmpty():
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key)
+    waits = calls.select(*key, F.explode("after").alias("other")).distinct().join(ids.withColumnRenamed("call_id", "other"), ["conv_id", "other"], "left_semi")
+    waits = scratch.table(waits.select(*key, "other"), "waits")
+    if waits.isEmpty():
+        return ids.withColumn("level", F.lit(0))
+    counted = waits.groupBy(*key).agg(F.count("*").alias("n"), F.min("other").alias("root"))
+    jumps = scratch.table(counted.where("n = 1").select(*key, "root", F.lit(1).alias("steps")), "jumps-0")
+    several = scratch.table(counted.where("n > 1").select(*key, "n"), "several")
+    most, k = jumps.count(), 0
+    while most >> k:  # after as many doublings a chain has ended, or it is a cycle
+        on = jumps.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        k += 1
+        now = jumps.join(on, ["conv_id", "root"], "left")
+        now = now.select(*key, F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved"))
+        jumps = scratch.table(now, f"jumps-{k}")
+        scratch.drop(f"jumps-{k - 1}")
+        if jumps.where("moved").isEmpty():
             break
-        settled, k = settled.union(ready), k + 1
-    return settled
+    first = ids.join(waits, key, "left_anti").withColumn("level", F.lit(0))
+    if not several.isEmpty():
+        ends = jumps.select("conv_id", F.col("call_id").alias("other"), "root", "steps")
+        edges = waits.join(several, key).join(ends, ["conv_id", "other"], "left")
+        edges = scratch.table(edges.select(*key, "n", F.coalesce("root", "other").alias("root"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "edges")
+        first = scratch.table(first, "settled-0")
+        new, open_, k = first, edges.withColumn("level", F.lit(None).cast("int")), 0
+        while True:  # each round fills in the predecessors settled in the one before
+            k += 1
+            settled = new.select("conv_id", F.col("call_id").alias("root"), F.col("level").alias("at"))
+            open_ = open_.join(settled, ["conv_id", "root"], "left")
+            open_ = scratch.table(open_.select(*key, "n", "root", "steps", F.coalesce("level", F.col("at") + F.col("steps")).alias("level")), f"open-{k}")
+            ready = open_.groupBy(*key, "n").agg(F.count("level").alias("done"), F.max("level").alias("level")).where("n = done").select(*key, "level")
+            new = scratch.table(ready, f"settled-{k}")
+            if new.isEmpty():
+                break
+            first = first.union(new)
+            open_ = open_.join(new.select(*key), key, "left_anti")
+    behind = jumps.join(first.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return first.select(*key, "level").union(behind)
 
 
 def format_chats(conversations: DataFrame, tools: dict = TOOLS) -> DataFrame:
@@ -100,6 +125,7 @@ def format_chats(conversations: DataFrame, tools: dict = TOOLS) -> DataFrame:
     linked = rows.where(special).select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("row"))
     linked = scratch.table(linked, "linked")
     if linked.isEmpty():
+        scratch.clear()
         return formatted
     again = linked.withColumn("parsed", F.try_parse_json("text")).withColumns({"made": made, "answers": answers})
     once = again.dropDuplicates(["row"])
@@ -138,12 +164,74 @@ def format_chats(conversations: DataFrame, tools: dict = TOOLS) -> DataFrame:
     message = F.concat(*start(content), F.when(F.col("answers").isNotNull(), name).otherwise(F.lit("")), F.when(is_call, calls).otherwise(F.lit("")), *end)
     counts = [F.coalesce(x, zero).alias(x) for x in ("n_calls", "n_answered", "n_valid")]
     level = F.when(is_call, F.col("own_level")).otherwise(F.col("its_level"))
-    return formatted.union(out.select("conv_id", "turn", "role", kind.alias("kind"), *counts, level.cast("int").alias("level"), message.alias("message")))
+    done = scratch.result(out.select("conv_id", "turn", "role", kind.alias("kind"), *counts, level.cast("int").alias("level"), message.alias("message")))
+    return formatted.union(done)
+
+
+def with_made_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations, and made messages with calls and results, as the given ones hold none: by a fixed rule, from every turn.
+
+    A user's turn makes two calls, the second after the first and the first after the user's turn before; some have a wrong argument,
+    an unknown tool or wait for themselves. An assistant's turn makes a result of the first call of the turn before it.
+    """
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    t, some = F.col("turn").cast("string"), json_string(F.substring(F.coalesce("text", F.lit("")), 1, 12))
+    limit = F.when(F.col("turn") % 6 == 4, '"many"').otherwise(t)
+    tool = F.when(F.col("turn") % 4 == 2, "clock").otherwise("weather")
+    itself = F.when(F.col("turn") % 10 == 8, F.concat(F.lit(',"w'), t, F.lit('"'))).otherwise("")
+    calls = F.concat(
+        F.lit('{"content":"made","tool_calls":[{"id":"q'), t, F.lit('","name":"search","arguments":{"query":'), some, F.lit(',"limit":'), limit, F.lit('},"after":["w'), (F.col("turn") - 2).cast("string"),
+        F.lit('"]},{"id":"w'), t, F.lit('","name":"'), tool, F.lit('","arguments":{"days":'), t, F.lit(',"city":'), some, F.lit('},"after":["q'), t, F.lit('"'), itself, F.lit("]}]}"),
+    )
+    result = F.concat(F.lit('{"tool_call_id":"q'), (F.col("turn") - 1).cast("string"), F.lit('","content":'), some, F.lit("}"))
+    named = rows.where("turn IS NOT NULL")
+    made = named.where("role = 'user'").select("conv_id", F.col("turn") + MADE, F.lit("assistant"), calls)
+    return rows.union(made).union(named.where("role = 'assistant'").select("conv_id", F.col("turn") + MADE, F.lit("tool"), result))
 
 
-#: For tables without tool calls, as the given ones are: every message is plain.
+#: Over with_made_calls: the rows are made, parsed, linked, ordered and validated in SQL.
 SQL = r"""
-SELECT conv_id, turn, role, 'plain' AS kind, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_valid, CAST(NULL AS INTEGER) AS level,
-  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS message
-FROM conversations
+WITH RECURSIVE rows AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+), cuts AS (SELECT *, CAST(to_json(substr(coalesce(text, ''), 1, 12)) AS VARCHAR) AS part FROM rows WHERE turn IS NOT NULL
+), every AS (
+  SELECT * FROM rows UNION ALL
+  SELECT conv_id, turn + 1000000, 'assistant', '{"content":"made","tool_calls":[{"id":"q' || turn || '","name":"search","arguments":{"query":' || part || ',"limit":' || CASE WHEN turn % 6 = 4 THEN '"many"' ELSE CAST(turn AS VARCHAR) END
+    || '},"after":["w' || (turn - 2) || '"]},{"id":"w' || turn || '","name":"' || CASE WHEN turn % 4 = 2 THEN 'clock' ELSE 'weather' END || '","arguments":{"days":' || turn || ',"city":' || part || '},"after":["q' || turn || '"'
+    || CASE WHEN turn % 10 = 8 THEN ',"w' || turn || '"' ELSE '' END || ']}]}' FROM cuts WHERE role = 'user' UNION ALL
+  SELECT conv_id, turn + 1000000, 'tool', '{"tool_call_id":"q' || (turn - 1) || '","content":' || part || '}' FROM cuts WHERE role = 'assistant'
+), parsed AS (SELECT *, CASE WHEN starts_with(ltrim(coalesce(text, '')), '{') AND json_valid(text) THEN CAST(text AS JSON) END AS j FROM every
+), marked AS (
+  SELECT *, coalesce(json_array_length(j, '$.tool_calls'), 0) > 0 AS makes, CASE WHEN role = 'tool' THEN j ->> '$.tool_call_id' END AS answers FROM parsed
+), calls AS (
+  SELECT conv_id, turn, place, json_extract(j, '$.tool_calls[' || place || ']') AS c FROM (SELECT *, unnest(range(CAST(json_array_length(j, '$.tool_calls') AS BIGINT))) AS place FROM marked WHERE makes)
+), call AS (SELECT DISTINCT conv_id, turn, place, c ->> '$.id' AS id, c ->> '$.name' AS name, c -> '$.arguments' AS args, CAST(c -> '$.after' AS VARCHAR[]) AS after FROM calls
+), first AS (SELECT conv_id, id, min((turn, place)) AS at, arg_min(after, (turn, place)) AS after FROM call WHERE conv_id IS NOT NULL GROUP BY 1, 2
+), edges AS (SELECT DISTINCT f.conv_id, f.id, p.id AS other FROM (SELECT conv_id, id, unnest(after) AS other FROM first) f JOIN first p ON p.conv_id = f.conv_id AND p.id = f.other
+), above(conv_id, id, other) AS (SELECT * FROM edges UNION SELECT a.conv_id, a.id, e.other FROM above a JOIN edges e ON e.conv_id = a.conv_id AND e.id = a.other
+), cyclic AS (SELECT conv_id, id FROM above WHERE id = other
+), lost AS (SELECT conv_id, id FROM cyclic UNION SELECT a.conv_id, a.id FROM above a JOIN cyclic c ON c.conv_id = a.conv_id AND c.id = a.other
+), steps(conv_id, id, level) AS (
+  SELECT conv_id, id, 0 FROM first WHERE (conv_id, id) NOT IN (SELECT (conv_id, id) FROM edges)
+  UNION SELECT e.conv_id, e.id, s.level + 1 FROM steps s JOIN edges e ON e.conv_id = s.conv_id AND e.other = s.id WHERE (e.conv_id, e.id) NOT IN (SELECT (conv_id, id) FROM lost)
+), level AS (SELECT conv_id, id, max(level) AS level FROM steps GROUP BY 1, 2
+), answered AS (SELECT DISTINCT conv_id, answers AS id FROM marked WHERE answers IS NOT NULL
+), judged AS (
+  SELECT c.*, f.at IS NOT NULL AND f.at = (c.turn, c.place) AS own, l.level, a.id IS NOT NULL AND f.at = (c.turn, c.place) AS has,
+    CASE c.name WHEN 'search' THEN CASE WHEN len(list_filter(json_keys(args), lambda k: k NOT IN ('query', 'limit'))) = 0 AND json_type(args, '$.query') = 'VARCHAR' AND (json_type(args, '$.limit') IS NULL OR json_type(args, '$.limit') IN ('BIGINT', 'UBIGINT')) THEN 'ok' ELSE 'invalid' END
+      WHEN 'weather' THEN CASE WHEN len(list_filter(json_keys(args), lambda k: k NOT IN ('city', 'days'))) = 0 AND json_type(args, '$.city') = 'VARCHAR' AND (json_type(args, '$.days') IS NULL OR json_type(args, '$.days') IN ('BIGINT', 'UBIGINT')) THEN 'ok' ELSE 'invalid' END
+      WHEN 'calculator' THEN CASE WHEN json_keys(args) = ['expression'] AND json_type(args, '$.expression') = 'VARCHAR' THEN 'ok' ELSE 'invalid' END ELSE 'unknown_tool' END AS valid
+  FROM call c LEFT JOIN first f ON f.conv_id = c.conv_id AND f.id = c.id LEFT JOIN level l ON l.conv_id = c.conv_id AND l.id = c.id AND f.at = (c.turn, c.place)
+  LEFT JOIN answered a ON a.conv_id = c.conv_id AND a.id = c.id
+), written AS (
+  SELECT conv_id, turn, string_agg('{"arguments":{' || array_to_string(list_transform(list_sort(json_keys(args)), lambda k: '"' || k || '":' || CAST(json_extract(args, '$.' || k) AS VARCHAR)), ',') || '},"id":' || to_json(id) || ',"name":' || to_json(name)
+      || ',"status":"' || CASE WHEN valid <> 'ok' THEN valid WHEN NOT has THEN 'unanswered' ELSE 'ok' END || '"}', ',' ORDER BY coalesce(level, 2147483647), place) AS calls,
+    count(*) AS n_calls, count(*) FILTER (has) AS n_answered, count(*) FILTER (valid = 'ok') AS n_valid, max(level) AS level FROM judged GROUP BY 1, 2
+)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN makes THEN 'calls' WHEN answers IS NULL THEN 'plain' WHEN f.id IS NULL THEN 'orphan_result' ELSE 'result' END AS kind,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_answered, 0) AS n_answered, coalesce(n_valid, 0) AS n_valid, CAST(CASE WHEN makes THEN w.level ELSE l.level END AS INTEGER) AS level,
+  '{"content":' || coalesce(CAST(to_json(CASE WHEN makes OR answers IS NOT NULL THEN j ->> '$.content' ELSE text END) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(m.role) AS VARCHAR), 'null')
+    || CASE WHEN answers IS NOT NULL THEN ',"tool_call_id":' || to_json(answers) ELSE '' END || CASE WHEN makes THEN ',"tool_calls":[' || calls || ']' ELSE '' END || ',"turn":' || coalesce(CAST(m.turn AS VARCHAR), 'null') || '}' AS message
+FROM marked m LEFT JOIN written w ON makes AND w.conv_id IS NOT DISTINCT FROM m.conv_id AND w.turn = m.turn
+LEFT JOIN first f ON f.conv_id = m.conv_id AND f.id = answers LEFT JOIN level l ON l.conv_id = m.conv_id AND l.id = answers
 """

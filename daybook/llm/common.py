@@ -52,11 +52,14 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
         self.names.discard(name)
 
+    def clear(self, keep: str = "") -> None:
+        for name in self.names - {keep}:
+            self.drop(name)
+
     def result(self, df: DataFrame) -> DataFrame:
         """Writes what an operator returns, and removes the tables that led to it."""
         done = self.table(df, "result")
-        for name in self.names - {"result"}:
-            self.drop(name)
+        self.clear("result")
         return done
 
 

@@ -627,3 +627,40 @@ def test_chat_formatting(spark):
     assert found[3, 0].level is None
     assert json.loads(found[4, 0].message) == {"content": None, "role": None, "turn": 0} and found[4, 2].kind == "plain"
     assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_chat_levels_are_the_longest_waits(spark):
+    """Random graphs of calls: chains, diamonds, cycles and what waits behind them, repeated edges and ids that name nothing."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for conv in range(25):
+        n = rng.randint(1, 14)
+        after = {k: [rng.randrange(n) if rng.random() < 0.15 else rng.randrange(max(k, 1)) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] for k in range(n)}
+        after = {k: [o for o in a if o != k or rng.random() < 0.2] for k, a in after.items()}
+        level = {}
+        for _ in range(n):
+            for k, a in after.items():
+                if k not in level and all(o in level for o in a):
+                    level[k] = max((level[o] + 1 for o in a), default=0)
+        rows += [(conv, str(k), [*map(str, a), "nobody"]) for k, a in after.items()]
+        want |= {(conv, str(k)): x for k, x in level.items()}
+    rows += [(99, str(k), [str(k - 1)]) for k in range(70)]
+    want |= {(99, str(k)): k for k in range(70)}
+    frame = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in chat.levels(frame, Scratch(spark, "test")).collect()} == want
+
+
+def test_chat_formatting_of_long_texts_and_ties(spark):
+    """Very long content and arguments, results of one id at one turn, a call repeated under one id."""
+    long_ = "é\n" * 200_000
+    turns = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": long_}}, {"id": "a", "name": "search", "arguments": {"query": "again"}}]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "x"})), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "y"})), (1, 2, "user", long_),
+        (None, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q"}}]})), (None, 1, "tool", '{"tool_call_id": "a"}'),
+    ]
+    found = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == len(turns)
+    made = json.loads(next(r.message for r in found if r.conv_id == 1 and r.turn == 0))["tool_calls"]
+    assert made[0]["arguments"]["query"] == long_ and [c["status"] for c in made] == ["ok", "unanswered"]
+    assert [r.kind for r in found if r.conv_id is None] == ["calls", "orphan_result"] or [r.kind for r in found if r.conv_id is None] == ["orphan_result", "calls"]
+    assert json.loads(next(r.message for r in found if r.turn == 2))["content"] == long_
