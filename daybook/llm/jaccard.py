@@ -46,7 +46,7 @@ BROADCAST_ROWS = 200_000
 #: how work is dealt, never a result.
 FREQUENT, SAMPLE, HEAVY = 1 << 17, 4, 64
 #: Signatures held at a time, and shingles that are signed at a time.
-PACK, STEP = 1 << 21, 1 << 18
+PACK, STEP = 1 << 19, 1 << 16
 #: Sets of up to so many shingles have each shingle as a part.
 SINGLE = 64
 

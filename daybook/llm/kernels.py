@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at a time; a longer document is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -122,7 +122,7 @@ def as_bytes(texts) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast("binary").to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 8 * CHUNK) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in pieces of about `limit` bytes of `text`, so that what a task holds has a bound."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
