@@ -541,44 +541,82 @@ def test_lm_score(docs, rows, none, clashing):
     assert lm.lm_score(none).count() == 0 and lm.lm_score(clashing).count() == len(rows)
 
 
-def test_context_tree_weighting_by_hand():
-    """Block probabilities by the estimator's definition, and the mixture at each depth."""
+class ContextTree:
+    """Context-tree weighting by its definition: a dictionary of counts for every context and node, and recursion."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children = depth, Counter(), {}
+        for text in texts:
+            for context, byte in self.symbols(text):
+                for node, bit in self.decisions(byte):
+                    for d in range(depth + 1):
+                        self.counts[context[:d], node, bit] += 1
+                        if d < depth:
+                            self.children.setdefault((context[:d], node), set()).add(context[: d + 1])
+        self.weighted = {}
+
+    def symbols(self, text):
+        whole = b"\0" * self.depth + text + b"\xff"
+        for k in range(self.depth, len(whole)):
+            yield whole[k - self.depth : k][::-1], whole[k]
+
+    def decisions(self, byte):
+        return [((256 | byte) >> (8 - k), byte >> (7 - k) & 1) for k in range(8)]
+
+    def estimate(self, context, node):
+        a, b = self.counts[context, node, 0], self.counts[context, node, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def log_weighted(self, context, node):
+        if (context, node) not in self.weighted:
+            here = self.estimate(context, node)
+            if len(context) < self.depth:
+                below = sum(self.log_weighted(c, node) for c in self.children.get((context, node), ()))
+                here = np.logaddexp(here, below) - math.log(2)
+            self.weighted[context, node] = here
+        return self.weighted[context, node]
+
+    def one(self, context, node, d=0):
+        """Probability of a one, from the node at depth d on."""
+        own = context[:d]
+        a, b = self.counts[own, node, 0], self.counts[own, node, 1]
+        here = (b + 0.5) / (a + b + 1)
+        if d == self.depth:
+            return here
+        stop = math.exp(self.estimate(own, node) - math.log(2) - self.log_weighted(own, node))
+        return stop * here + (1 - stop) * self.one(context, node, d + 1)
+
+    def log10(self, text):
+        out = 0.0
+        for context, byte in self.symbols(text):
+            for node, bit in self.decisions(byte):
+                p = self.one(context, node)
+                out += math.log10(p if bit else 1 - p)
+        return out
+
+
+@pytest.mark.parametrize(("grams", "pack"), [(1 << 19, 1 << 20), (40, 300)])
+def test_lm_score_is_context_tree_weighting(spark, monkeypatch, grams, pack):
+    """The score of whole texts by the definition: known and unknown bytes, long texts in segments, copies, empty texts."""
+    for name, value_ in (("GRAMS", grams), ("PACK", pack), ("SAMPLE", 1), ("CHUNK", 700)):
+        monkeypatch.setattr(lm, name, value_)
+    rng = random.Random(23)
+    texts = [prose(rng, rng.randint(1, 40)) for _ in range(40)] + [None, "", "ÉÉ\0x", prose(rng, 600), "zzzz qqqq !!!"]
+    texts += [texts[0], texts[1].upper()]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[5])]
+    tree = ContextTree([(t or "").encode().lower() for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], lm.DEPTH)
+    found = lm.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((repr(r.doc_id), round(r.score, 3)) for r in found)
+    assert got == sorted((repr(i), round(tree.log10((t or "").encode().lower()), 3)) for i, t in rows)
+
+
+def test_lm_estimator_by_its_definition():
     log = 0.0
     zeros = ones = 0
     for bit in (0, 0, 1, 0, 1):
         log += math.log(((zeros, ones)[bit] + 0.5) / (zeros + ones + 1))
         zeros, ones = zeros + (bit == 0), ones + (bit == 1)
     assert math.isclose(lm.log_block(np.array([3]), np.array([2]))[0], log, abs_tol=1e-9)
-    counts = np.zeros(256, int)
-    counts[[0, 128, 255]] = 5, 2, 1
-    z, o = lm.binary_tree(counts)
-    assert (z[1], o[1]) == (5, 3) and (z[3], o[3]) == (2, 1) and z[0] == 0
-
-
-def test_lm_table_is_a_distribution(spark, docs):
-    import pyarrow as pa
-
-    from daybook.llm.lm import _count, _slice, table_of
-
-    texts = [r.text for r in docs.collect()]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * len(texts))], ["text", "held_out"])
-    keys, n = [], []
-    for out in _count([batch], np.empty(0, np.uint64)):
-        for kind, key, count in zip(*(out.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
-            if kind == 1:
-                keys.append(key)
-                n.append(count)
-    keys, n = np.array(keys), np.array(n)
-
-    class Row:
-        def __init__(self, table):
-            self.__dict__.update({c: table.column(c)[0].as_py() for c in table.column_names})
-
-    slices = [Row(_slice(pa.table({"key": keys[keys >> 16 == b], "n": n[keys >> 16 == b]}))) for b in np.unique(keys >> 16)]
-    log10 = table_of(slices).astype(float)
-    assert np.allclose((10**log10).sum(-1), 1, atol=1e-4)
-    shown = log10[ord("h"), ord("t")]
-    assert shown[ord("e")] > shown[ord("q")]
 
 
 def test_quality_classifier(docs, labels, rows, none, clashing):
