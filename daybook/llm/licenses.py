@@ -1,7 +1,10 @@
 """License scans: a positional rare-token index.
 
-The templates' words get an inverse document frequency over the templates. Each template is found by its rarest words: their
-places in a text, less their places in the template, must agree; then its mandatory key phrase is verified word by word.
+Templates are licence notices; each has mandatory key phrases. A word's inverse document frequency is taken over the templates, and
+each phrase is posted under its rarest word. A text's words are looked up in these postings, so its own rarest licence words alone
+lead to phrases: places less the word's offset must agree with the phrase's next rarest word, then the phrase is verified byte by
+byte. A template stands where all its phrases do, as far apart as in the template give or take SLACK words. The cost of a text is
+that of the postings of its words, whatever the number of templates.
 """
 
 from __future__ import annotations
@@ -19,36 +22,63 @@ from .kernels import ALNUM, Words, as_bytes, chunks, pieces
 class Template(NamedTuple):
     label: str
     text: str
-    key: str
+    keys: tuple[str, ...]
     base: bool = False
 
 
-#: The phrases asked for (base), then notices of common licences with the phrase that each must hold.
+#: Words that a phrase may be off its place within a template.
+SLACK = 12
+#: The phrases asked for (base), then public notices of licences, and short forms of them, with mandatory phrases.
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {0} general public license as published by the free software foundation either version 3 of the license or at your option any later version"
 TEMPLATES = (
-    Template("cc-by", "cc by", "cc by", True),
-    Template("gpl", "general public license", "general public license", True),
-    Template("reserved", "all rights reserved", "all rights reserved", True),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
-    Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    Template("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    Template("agpl", "licensed under the gnu affero general public license", "affero general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    Template("cc0", "dedicated to the public domain under cc0", "public domain"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("cc-by", "cc by", ("cc by",), True),
+    Template("gpl", "general public license", ("general public license",), True),
+    Template("reserved", "all rights reserved", ("all rights reserved",), True),
+    Template("mit", "released under the mit license", ("mit license",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _WARRANTY, ("permission is hereby granted free of charge", "to deal in the software without restriction")),
+    Template("apache", "licensed under the apache license version 2 0", ("apache license",)),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("under the apache license", "you may not use this file except in compliance with the license")),
+    Template("gpl", "this program is free software " + _GNU.format("").replace("  ", " "), ("gnu general public license", "published by the free software foundation")),
+    Template("gpl", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
+    Template("lgpl", "this library is free software " + _GNU.format("lesser"), ("lesser general public license",)),
+    Template("agpl", "this program is free software " + _GNU.format("affero"), ("affero general public license",)),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    Template("bsd-2-clause", _BSD, ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")),
+    Template("bsd-3-clause", _BSD + " 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "may be used to endorse or promote products")),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("in no event will the authors be held liable", "to alter it and redistribute it freely")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee",)),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ("person or organization obtaining a copy of the software", "to use reproduce display distribute execute and transmit")),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software",)),
+    Template("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ("changing it is allowed as long as the name is changed",)),
+    Template("cc0", "dedicated to the public domain under cc0", ("public domain",)),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Template("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
 )
-#: Rare words looked up for each template.
-RARE = 2
+
+
+class Match(NamedTuple):
+    """A template's place in a text: the word where its first key phrase starts, and the share of its words that stand in place."""
+
+    template: int
+    word: int
+    share: float
+
+
+def _hash(words: list[str]) -> np.ndarray:
+    return Words([" ".join(words).encode()], ALNUM).hashes()
 
 
 class Index:
-    """For each template: the offsets and hashes of its key phrase's rarest words, and of all its words."""
+    """Key phrases posted under their rarest words, and the templates' words and phrases."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
@@ -57,50 +87,81 @@ class Index:
         for words in split:
             for word in set(words):
                 frequency[word] = frequency.get(word, 0) + 1
-        idf = {word: math.log(len(templates) / n) for word, n in frequency.items()}
-        self.plans = []
+        self.idf = {word: math.log(len(templates) / n) for word, n in frequency.items()}
+        self.phrases: dict[str, int] = {}
+        self.wholes, self.needs = [_hash(words) for words in split], []
         for template, words in zip(templates, split, strict=True):
-            key = template.key.split()
-            at = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
-            rare = sorted(range(len(key)), key=lambda k: (-idf[key[k]], -len(key[k]), k))[:RARE]
-            self.plans.append((at, rare, self._hash(key), self._hash(words), [k.encode() for k in key]))
+            keys = [k.split() for k in template.keys]
+            places = [next(p for p in range(len(words)) if words[p : p + len(k)] == k) for k in keys]
+            self.needs.append([(self.phrases.setdefault(k, len(self.phrases)), p) for k, p in zip(template.keys, places, strict=True)])
+        self.postings: dict[int, list[int]] = {}
+        self.plans = []
+        for n, phrase in enumerate(self.phrases):
+            words = phrase.split()
+            rare = sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], -len(words[k]), k))
+            hashes = _hash(words)
+            self.plans.append((rare, hashes, np.frombuffer(phrase.replace(" ", "").encode(), np.uint8)))
+            self.postings.setdefault(int(hashes[rare[0]]), []).append(n)
+        self.posted = np.array(sorted(self.postings), np.uint64)
+        self.first: dict[int, list[int]] = {}  # phrase: the templates whose first it is
+        for t, need in enumerate(self.needs):
+            self.first.setdefault(need[0][0], []).append(t)
+
+    def _places(self, words: Words, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """Where each phrase starts that stands in one of the texts."""
+        at = np.minimum(np.searchsorted(self.posted, hashes), len(self.posted) - 1)
+        seen = np.flatnonzero(self.posted[at] == hashes)
+        found = {}
+        for which in np.unique(at[seen]):
+            here = seen[at[seen] == which]
+            for n in self.postings[int(self.posted[which])]:
+                rare, key, spelled = self.plans[n]
+                start = here - rare[0]
+                start = start[(start >= 0) & (start + len(key) <= len(hashes))]
+                for k in rare[1:]:  # the next rarest first
+                    start = start[hashes[start + k] == key[k]]
+                doc = np.searchsorted(words.first, start, side="right")
+                start = start[start + len(key) <= words.first[doc]]
+                same = [p for p in start.tolist() if self._spelled(words, p, len(key), spelled)]
+                if same:
+                    found[n] = np.array(same)
+        return found
 
     @staticmethod
-    def _hash(words: list[str]) -> np.ndarray:
-        return Words([" ".join(words).encode()], ALNUM).hashes()
+    def _spelled(words: Words, start: int, n: int, spelled: np.ndarray) -> bool:
+        parts = [words.buffer[words.starts[k] : words.ends[k]] for k in range(start, start + n)]
+        return np.array_equal(np.concatenate(parts), spelled)
 
-    def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, float]]]:
-        """For each text (A-Z lower-cased): (template, word where its key phrase starts, share of its words in place)."""
-        found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+    def scan(self, texts: list[bytes]) -> list[list[Match]]:
+        """For each text (A-Z lower-cased) the templates that stand in it, once for each place of the first key phrase."""
+        found: list[list[Match]] = [[] for _ in texts]
         self.counts = np.zeros(len(texts), np.int64)
         for low, high in chunks(texts):
             words = Words(texts[low:high], ALNUM)
             hashes = words.hashes()
             self.counts[low:high] = np.diff(words.first)
-            wanted = np.unique(np.array([plan[2][plan[1][0]] for plan in self.plans]))
-            slot = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            seen = np.flatnonzero(wanted[slot] == hashes)
-            postings = {h: seen[hashes[seen] == h] for h in wanted}
-            for which, (at, rare, key, whole, spelled) in enumerate(self.plans):
-                start = postings[key[rare[0]]] - rare[0]
-                start = start[(start >= 0) & (start + len(key) <= len(hashes))]
-                for k in rare[1:]:  # intersect by relative position
-                    start = start[hashes[start + k] == key[k]]
-                if not len(start):
-                    continue
-                doc = np.searchsorted(words.first, start, side="right") - 1
-                for place, d in zip(start.tolist(), doc.tolist(), strict=True):
-                    if place + len(key) > words.first[d + 1] or not self._verified(words, place, spelled):
-                        continue
-                    a = place - at
-                    inside = [(a + k, h) for k, h in enumerate(whole) if words.first[d] <= a + k < words.first[d + 1]]
-                    share = sum(hashes[p] == h for p, h in inside) / len(whole)
-                    found[low + d].append((which, place - int(words.first[d]), float(share)))
+            places = self._places(words, hashes)
+            for n, starts in places.items():
+                docs = np.searchsorted(words.first, starts, side="right") - 1
+                for t in self.first.get(n, ()):
+                    (_, origin), *others = self.needs[t]
+                    for place, d in zip(starts.tolist(), docs.tolist(), strict=True):
+                        begin, end = int(words.first[d]), int(words.first[d + 1])
+                        if all(self._near(places.get(m), place - origin + p, begin, end) for m, p in others):
+                            found[low + d].append(Match(t, place - begin, self._share(hashes, self.wholes[t], place - origin, begin, end)))
         return found
 
     @staticmethod
-    def _verified(words: Words, place: int, spelled: list[bytes]) -> bool:
-        return all(words.buffer[words.starts[place + k] : words.ends[place + k]].tobytes() == w for k, w in enumerate(spelled))
+    def _near(places: np.ndarray | None, wanted: int, begin: int, end: int) -> bool:
+        if places is None:
+            return False
+        k = np.searchsorted(places, max(begin, wanted - SLACK))
+        return bool(k < len(places) and places[k] <= wanted + SLACK and places[k] < end)
+
+    @staticmethod
+    def _share(hashes: np.ndarray, whole: np.ndarray, start: int, begin: int, end: int) -> float:
+        low, high = max(start, begin), min(start + len(whole), end)
+        return float((hashes[low:high] == whole[low - start : high - start]).sum() / len(whole))
 
 
 SCHEMA = (
@@ -116,7 +177,7 @@ def _scan(batches):
         found = index.scan(texts)
         rows = []
         for hits in found:
-            own = [(index.templates[w], place, share) for w, place, share in hits]
+            own = [(index.templates[m.template], m.word, m.share) for m in hits]
             base = [place for t, place, _ in own if t.base]
             rows.append(
                 (

@@ -107,6 +107,44 @@ def test_license_scan(docs, rows, none, clashing):
     assert licenses.license_scan(clashing).count() == len(rows)
 
 
+def scanned(text, templates):
+    """Labels and score by looking for every phrase of every template at every word."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    at = lambda phrase: [p for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
+    labels, score, n = set(), 0.0, 0
+    for t in templates:
+        whole = t.text.split()
+        origin = [next(p for p in range(len(whole)) if whole[p : p + len(k.split())] == k.split()) for k in t.keys]
+        for place in at(t.keys[0]):
+            start = place - origin[0]
+            if all(any(abs(p - (start + o)) <= licenses.SLACK for p in at(k)) for k, o in zip(t.keys[1:], origin[1:], strict=True)):
+                labels.add(t.label)
+                score = max(score, sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(whole)) / len(whole))
+                n += 1
+    return ",".join(sorted(labels)), round(score, 9), n
+
+
+def test_license_scan_equals_a_search_for_every_phrase(spark):
+    """Whole notices, cut, shifted, mixed with each other and with the words of phrases in another order."""
+    rng = random.Random(41)
+    texts = [None, "", "license " * 500, "cc by cc by-nc, CC BY SA 4.0 by cc"]
+    for t in licenses.TEMPLATES:
+        words = t.text.split()
+        for _ in range(3):
+            own = list(words)
+            for _ in range(rng.randint(0, 3)):
+                own.insert(rng.randrange(len(own) + 1), rng.choice(["Acme", "2024", *words]))
+            low = rng.randint(0, len(own) // 3) if rng.random() < 0.5 else 0
+            other = rng.choice(licenses.TEMPLATES).text.split()
+            parts = [prose(rng, 5), rng.choice([", ", "\n"]).join(own[low:]).title(), " ".join(other[: rng.randint(0, len(other))]), "".join(rng.sample(words, min(4, len(words))))]
+            texts.append(" ".join(parts[: rng.randint(2, 4)]))
+    texts.append((prose(rng, 20_000) + " " + licenses.TEMPLATES[4].text + " ") * 2)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.labels, round(r.score, 9), len(r.matches)) for r in licenses.license_scan(frame).collect()}
+    assert found == {i: scanned(t, licenses.TEMPLATES) for i, t in enumerate(texts)}
+    assert len({labels for labels, *_ in found.values()}) > 15
+
+
 def signals(text):
     w = WORD.findall(text or "")
     seen = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
