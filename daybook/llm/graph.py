@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch
 
+#: So many edges at most are joined up in one task, which holds them; more by rounds over all tasks.
+TASK = 100_000
+
+
+def _joined_up(batches):
+    """The components of all edges, each node pointing at a lesser one until the least is reached."""
+    parent: dict = {}
+
+    def least(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        sides = (batch.column(c).to_pylist() for c in ("a", "b"))
+        for x, y in zip(*(([tuple(v.values()) if isinstance(v, dict) else v for v in side]) for side in sides), strict=True):
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            x, y = least(x), least(y)
+            parent[max(x, y)] = min(x, y)
+    if parent:
+        kind = schema.field("a").type
+        named = [f.name for f in kind] if pa.types.is_struct(kind) else None
+        back = lambda x: dict(zip(named, x, strict=True)) if named else x
+        nodes = sorted(parent)
+        yield pa.RecordBatch.from_arrays([pa.array([back(x) for x in nodes], kind), pa.array([back(least(x)) for x in nodes], kind)], ["node", "label"])
+
 
 def _largest(edges: DataFrame) -> DataFrame:
     """Large star: each node's larger neighbours meet its least one."""
@@ -29,6 +60,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.table(now, f"{name}-0")
+    if now.limit(TASK + 1).count() <= TASK:
+        kind = now.schema["a"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_joined_up, f"node {kind}, label {kind}")
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     seen, k = mark(now), 0
     while seen[0]:

@@ -38,6 +38,8 @@ SMALL = 8
 BLOCK = 2048
 #: Other components that a class tries in a round, the nearest first. A group with at most so many pairs for each class tries all.
 TRIES = 3
+#: A class tries its nearest in one of so many groups, picked by hash: large families share many groups.
+ACTIVE = 4
 #: The rounds end when under one in FEW of the pairs tried is a link; the last round tries what is left.
 FEW = 50
 #: A side of at most so many rows (24 bytes each) may be broadcast; a larger one is joined by a shuffle.
@@ -351,7 +353,8 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                                 close[here][label[there]] = (part, there)
         low = high
     if not all_:
-        nearest = [(i, x) for i in range(len(n)) for _, x in sorted(close[i].values())[:TRIES]]
+        active = np.flatnonzero(mix(node.field("c1").to_numpy().view(U64) ^ U64(sign & (1 << 64) - 1)) % U64(ACTIVE) == 0)
+        nearest = [(i, x) for i in active.tolist() for _, x in sorted(close[i].values())[:TRIES]]
         one, two = [x[0] for x in nearest], [x[1] for x in nearest]
     mark = [None] * (not all_ or (several and not every))
     one, two = pa.array([*one, *mark], pa.int64()), pa.array([*two, *mark], pa.int64())
@@ -401,11 +404,14 @@ class _Verifier:
         self.documents, self.classes, self.scratch, self.sets, self.round = documents, classes, scratch, None, 0
 
     def links(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b), a written table."""
         self.round += 1
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        few = pairs.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+        wanted = self.classes.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
         if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = self.scratch.table(nodes.join(self.classes, "node").select("rep"), f"wanted-{self.round}")
+            wanted = wanted.join(_small(self.sets.select("node")), "node", "left_anti")
+        wanted = self.scratch.table(wanted.select("rep"), f"wanted-{self.round}")
         if not wanted.isEmpty():
             same = self.documents.doc_id.eqNullSafe(wanted["rep.doc_id"]) & (self.documents.text_hash == wanted["rep.text_hash"])
             texts = self.documents.join(_small(wanted), same, "left_semi").select("text")
@@ -413,7 +419,7 @@ class _Verifier:
             self.sets = more if self.sets is None else self.sets.union(more)
         left = self.sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         right = self.sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-        whole = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        whole = left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b").select("a", "b", "x", "y")
         return self.scratch.table(whole.mapInArrow(_verified, f"a {NODE}, b {NODE}"), f"links-{self.round}")
 
 
@@ -447,28 +453,30 @@ def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
     groups_ = _small(groups)
     stars = members.join(groups_.select("sign", "c_a"), "sign").where("c1 <> c_a").select("c_a", F.col("c1").alias("c_b"))
     pairs = found.where("kind = 1").select(F.col("a").alias("c_a"), F.col("b").alias("c_b")).union(stars).distinct()
-    pairs = pairs.join(side("a"), "c_a").join(side("b"), "c_b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    pairs = scratch.table(pairs, "candidates")
+    pairs = side("a").join(_small(pairs), "c_a").join(side("b"), "c_b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
     pairs = scratch.table(pairs.mapInArrow(_possible, f"a {NODE}, b {NODE}"), "pairs")
     verifier = _Verifier(documents, classes, scratch)
     links = pairs if pairs.isEmpty() else verifier.links(pairs)
     labels = scratch.table(components(links, scratch, "star"), "labels-0")
 
     if not groups.isEmpty():
-        large = members.join(groups_.select("sign", "m"), "sign").join(classes.select("c1", "node"), "c1")
+        large = classes.select("c1", "node").join(_small(scratch.table(members, "members")), "c1").join(groups_.select("sign", "m"), "sign")
         blocks = F.ceil(F.col("m") / BLOCK)
         live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block")), "live")
         k, every = 0, False
         while not live.isEmpty():
             k += 1
-            now = live.join(labels.withColumn("label", F.xxhash64("label")), "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
+            now = live.join(_small(labels).withColumn("label", F.xxhash64("label")), "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
             apart = scratch.table(now.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sign"), f"apart-{k}")
             if apart.isEmpty():
                 break
-            facts = classes.select("node", "n", "parity")
-            trying = _dealt(now.join(_small(apart), "sign", "left_semi"), every).join(facts, "node").groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED)
-            found_ = scratch.table(trying, f"trying-{k}")
-            live = live.join(_small(found_.where("a IS NULL").select("sign").distinct()), "sign", "left_semi")
-            tried = found_.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            now = scratch.table(now.join(_small(apart), "sign", "left_semi"), f"now-{k}")
+            facts = classes.select("node", "n", "parity").join(_small(now), "node")
+            found_ = scratch.table(_dealt(facts, every).groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED), f"trying-{k}")
+            left = scratch.table(found_.where("a IS NULL").select("sign").distinct(), f"left-{k}")
+            live = now.select("sign", "node", "blocks", "block").join(_small(left), "sign", "left_semi")
+            tried = scratch.table(found_.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"tried-{k}")
             more = tried if tried.isEmpty() else verifier.links(tried)
             joined = more.count()
             if joined:
@@ -476,10 +484,10 @@ def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 labels = scratch.table(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")), scratch, f"round-{k}"), f"labels-{k}")
             if every:
                 break
-            every = FEW * joined <= tried.count()
+            every = FEW * joined <= tried.count()  # the rounds only spare the last one work: it tries all that is left
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.select("node", "rep").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    degree = scratch.table(links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links")), "degree")
+    placed = classes.select("node", "rep").join(_small(labels), "node", "left").join(_small(degree), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"), F.min("rep").alias("kept"))
     placed = placed.join(least, "label").select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "component_id", "kept", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     filled = rows.where("n > 0").select("doc_id", "text_hash", "n", "c1", "c2").join(placed, ["c1", "c2"])

@@ -282,6 +282,7 @@ def test_jaccard_join_in_rounds(spark, monkeypatch, tries, few, small):
     """Few pairs a group, early and late last rounds: the components are the same."""
     for name, value_ in (("TRIES", tries), ("FEW", few), ("SMALL", small), ("BROADCAST_ROWS", 3), ("BLOCK", 9), ("SAMPLE", 1), ("HEAVY", 3)):
         monkeypatch.setattr(jaccard, name, value_)
+    monkeypatch.setattr(graph, "TASK", 0)
     rng = random.Random(5)
     base = prose(rng, 120).split()
     texts, now = [], list(base)
@@ -349,7 +350,9 @@ def test_parity_bounds_the_difference():
         assert np.bitwise_count(jaccard.fold(a, size) ^ jaccard.fold(b, size)).sum() <= len(np.setxor1d(x, y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [0, 10**6])
+def test_components(spark, monkeypatch, task):
+    monkeypatch.setattr(graph, "TASK", task)
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
     found = graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()
     assert {r.node: r.label for r in found} == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
