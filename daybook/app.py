@@ -126,7 +126,7 @@ class Daybook:
         return stats.top_tags(self.chosen(**which), self.view["entry_tags"], most)
 
     def similar_tags(self) -> DataFrame:
-        return links.near_keys(self.view["entry_tags"].select(F.col("tag").alias("key")))
+        return links.similar_tags(self.view["entry_tags"]).orderBy("a", "b")
 
     def notes(self, most: int = 20, kind: str | None = None, **which) -> DataFrame:
         return stats.top_notes(self.chosen(**which), self.entities, self.view["notes"], most, kind)
@@ -173,7 +173,7 @@ class Daybook:
 
     def unresolved(self) -> DataFrame:
         written = self.view["entry_links"].join(self.entries.select("entry_id", "entry_date"), "entry_id")
-        keys = self.entries.select(F.lower(F.regexp_replace("file_path", r"^.*/|\.md$", "")).alias("key"), "entry_id")
+        keys = self.entries.select(text.folded(F.regexp_replace("file_path", r"^.*/|\.md$", "")).alias("key"), "entry_id")
         return links.unresolved(written, links.link_targets(self.view["titles"], self.view["note_names"]), keys).orderBy(F.desc("n"), "target")
 
     def unlinked(self) -> DataFrame:

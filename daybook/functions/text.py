@@ -17,11 +17,16 @@ STOP_WORDS = (
 ).split()
 
 
+def folded(name: Column) -> Column:
+    """Case folded, as Python's str.casefold: ß is ss, and a closing sigma the same letter as any other."""
+    return F.translate(F.lower(F.upper(name)), "ς", "σ")
+
+
 def link_key(target: Column) -> Column:
-    """What a link names: no label, heading or block, the last part of the path, no .md, lower case; null for attachments."""
+    """What a link names: no label, heading or block, the last part of the path, no .md, folded case; null for attachments."""
     bare = F.regexp_replace(target, r"[|#^].*$", "")
     last = F.trim(F.regexp_replace(bare, r"^.*/", ""))
-    key = F.lower(F.regexp_replace(last, r"(?i)\.md$", ""))
+    key = folded(F.regexp_replace(last, r"(?i)\.md$", ""))
     return F.when((key != "") & ~key.rlike(rf"\.({'|'.join(ATTACHMENTS)})$"), key)
 
 
@@ -38,7 +43,7 @@ def link_keys(text: Column) -> Column:
 def link_labels(text: Column) -> Column:
     """(target, label) of links whose shown text differs from what they name."""
     pairs = F.transform(F.filter(links(text), lambda t: F.contains(t, F.lit("|"))), lambda t: F.struct(link_key(t).alias("target"), F.trim(F.regexp_replace(t, r"^[^|]*\|", "")).alias("label")))
-    return F.array_distinct(F.filter(pairs, lambda p: p["target"].isNotNull() & (p["label"] != "") & (F.lower(p["label"]) != p["target"])))
+    return F.array_distinct(F.filter(pairs, lambda p: p["target"].isNotNull() & (p["label"] != "") & (folded(p["label"]) != p["target"])))
 
 
 def link_anchors(text: Column) -> Column:
@@ -132,6 +137,7 @@ def metric_value(raw: Column) -> Column:
     thousands = F.regexp_extract(text, r"^(-?\d+(?:[.,]\d+)?)\s*(k)$", 2) == "k"
     plain = F.regexp_replace(number, ",", ".").try_cast("double") * F.when(thousands, 1000.0).otherwise(1.0)
     clock = F.regexp_extract(text, r"^(\d{1,2}):([0-5]\d)$", 1).try_cast("double") + F.regexp_extract(text, r"^(\d{1,2}):([0-5]\d)$", 2).try_cast("double") / 60
+    clock = F.round(clock, 2)
     return F.when(text.isin("true", "yes"), 1.0).when(text.isin("false", "no"), 0.0).when(text.rlike(r"^\d{1,2}:[0-5]\d$"), clock).otherwise(plain)
 
 
@@ -161,32 +167,36 @@ def any_of(tests: list[Column]) -> Column:
 
 # --- plain Python, for Arrow functions and the driver ---
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: What no sentence comes from: fenced code, and lines that are headings or rows of tables.
+_NO_PROSE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)|^[ \t]*[#|][^\n]*$")
+#: A list mark with its task box, at a line's start.
+_LIST_MARK = re.compile(r"(?m)^[ \t]*(?:[*+-]|[0-9]+[.)])[ \t]+(?:\[[^\]\n]\][ \t]+)?")
+_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+")
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of running text: list marks go; headings, tables and fenced code are skipped."""
-    out, fenced = [], False
-    for line in text.split("\n"):
-        bare = line.strip()
-        if bare.startswith(("```", "~~~")):
-            fenced = not fenced
-            continue
-        if fenced or not bare or bare.startswith(("#", "|")):
-            continue
-        out += [s.strip() for s in _SENTENCE.split(re.sub(r"^(?:[-*+]|\d+[.)])\s+(?:\[.\]\s+)?", "", bare)) if s.strip()]
-    return out
+    prose = _LIST_MARK.sub("", _NO_PROSE.sub("\n", text))
+    return [s for s in _BREAK.split(prose.strip()) if s]
+
+
+#: Endings by what is left of a word: each rule is tried once, in this order, on the outcome of the one before.
+_STEM_RULES = tuple(
+    (re.compile(pattern), left)
+    for pattern, left in (
+        (r"(?<=\w\w\w)i(?:ed|es)$", "y"),
+        (r"(?<=\w\w\w)(?:ing|e[ds]|s)$", ""),
+        (r"(?<=\w\w)([^aeiouls\W])\1$", r"\1"),
+        (r"(?<=\w\w\w)e$", ""),
+    )
+)
 
 
 def stem(word: str) -> str:
     """A crude stem: hiked, hiking and hikes meet in hik."""
-    for ending in ("ing", "ied", "ies", "ed", "es", "s"):
-        if word.endswith(ending) and len(word) - len(ending) >= 3:
-            word = word[: -len(ending)] + ("y" if ending in ("ied", "ies") else "")
-            break
-    if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "aeiouls":
-        word = word[:-1]
-    return word[:-1] if len(word) > 3 and word.endswith("e") else word
+    for pattern, left in _STEM_RULES:
+        word = pattern.sub(left, word)
+    return word
 
 
 def terms(text: str) -> set[str]:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import periods, text
 from . import filters, search, stats
 
-#: Characters of context that a fast answer and a precise one may take.
+#: Characters of context that a fast answer and a precise one may take, days under which no digests serve and up to
+#: which weeks do, what a message takes in tokens.
 FAST, PRECISE = 16_000, 96_000
+NO_DIGEST_DAYS, WEEK_DIGEST_DAYS, MONTH_DIGEST_DAYS = 10, 62, 430
+CHARS_A_TOKEN, TOKENS_A_MESSAGE = 3, 8
 
 
 @dataclass
@@ -62,11 +67,11 @@ def digest_kind(since: date | None, until: date | None) -> str | None:
     if since is None or until is None:
         return "month"
     days = (until - since).days + 1
-    return None if days < 10 else "week" if days <= 62 else "month" if days <= 430 else "year"
+    return None if days < NO_DIGEST_DAYS else "week" if days <= WEEK_DIGEST_DAYS else "month" if days <= MONTH_DIGEST_DAYS else "year"
 
 
 def tokens(messages: list[str]) -> int:
-    return sum(len(m) // 3 + 8 for m in messages)
+    return sum(len(m) // CHARS_A_TOKEN + TOKENS_A_MESSAGE for m in messages)
 
 
 def window(messages: list[str], least: int = 2048, reply: int = 1024) -> int:
@@ -83,19 +88,28 @@ def aggregate_facts(plan: Plan, entries: DataFrame, tags: DataFrame) -> dict[str
 
 
 def retrieve(plan: Plan, entries: DataFrame, most: int = 8) -> DataFrame:
-    """The entries (entry_id, entry_date, text) that answer best: by keywords, else the newest. A named day is always in."""
+    """The entries (entry_id, entry_date, text) that answer best: by keywords, else the newest. A named day is always in, first."""
     rows = filters.in_range(entries, plan.since, plan.until)
-    if not plan.keywords:
-        return rows.orderBy(F.desc("entry_date"), F.desc("entry_id")).limit(most)
+    newest = rows.orderBy(F.desc("entry_date"), F.desc("entry_id")).limit(most)
+    if not plan.keywords or plan.since is not None and plan.since == plan.until:
+        return newest
     spark = entries.sparkSession
     asked = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*map(F.lit, plan.keywords))).alias("term"))
     docs = entries.select(F.col("entry_id").alias("doc_id"), "text")
     found = search.bm25(docs, asked, most, rows.select(F.col("entry_id").alias("doc_id"))).select(F.col("doc_id").alias("entry_id"), "rank")
     if found.isEmpty():
-        return rows.orderBy(F.desc("entry_date"), F.desc("entry_id")).limit(most)
+        return newest
     return rows.join(F.broadcast(found), "entry_id").orderBy("rank")
 
 
+def with_day(found: DataFrame, entries: DataFrame, day: date | None) -> DataFrame:
+    """Retrieved entries with the ones of an explicitly named day before them, each once."""
+    if day is None:
+        return found
+    own = entries.where(F.col("entry_date") == F.lit(day))
+    return own.unionByName(found.join(own.select("entry_id"), "entry_id", "left_anti"), allowMissingColumns=True)
+
+
 def cited(answer: str, days: list[date]) -> list[date]:
     """The days among those read that an answer names."""
     named = set()
@@ -107,32 +121,27 @@ def cited(answer: str, days: list[date]) -> list[date]:
     return sorted(named & set(days))
 
 
-class ThinkFilter:
-    """Streams a reply without what stands between <think> and </think>, however the pieces fall."""
-
-    OPEN, CLOSE = "<think>", "</think>"
-
-    def __init__(self):
-        self.held, self.inside = "", False
-
-    def feed(self, piece: str) -> str:
-        self.held += piece
-        out = []
-        while self.held:
-            mark = self.CLOSE if self.inside else self.OPEN
-            at = self.held.find(mark)
-            if at >= 0:
-                if not self.inside:
-                    out.append(self.held[:at])
-                self.held, self.inside = self.held[at + len(mark) :], not self.inside
-                continue
-            keep = next((n for n in range(len(mark) - 1, 0, -1) if self.held.endswith(mark[:n])), 0)
-            if not self.inside:
-                out.append(self.held[: len(self.held) - keep])
-            self.held = self.held[len(self.held) - keep :]
-            break
-        return "".join(out)
-
-    def close(self) -> str:
-        rest, self.held = ("" if self.inside else self.held), ""
-        return rest
+_TAG = re.compile(r"<(/?)think>", re.I)
+#: The longest beginning of a tag that may wait for the next piece.
+_LONGEST_TAG = len("</think>") - 1
+
+
+def without_thoughts(pieces: Iterable[str]) -> Iterator[str]:
+    """A reply's pieces as they come, without what stands between think tags, in any case and however the pieces fall.
+
+    What may be the beginning of a tag is held back until it is one or isn't. An open tag hides the rest.
+    """
+    shown, waiting = True, ""
+    for piece in chain(pieces, [None]):
+        waiting += piece or ""
+        done = 0
+        for tag in _TAG.finditer(waiting):
+            if shown and tag.start() > done:
+                yield waiting[done : tag.start()]
+            shown, done = bool(tag[1]), tag.end()
+        waiting = waiting[done:]
+        cut = waiting.rfind("<") if piece is not None else -1
+        held = cut >= 0 and len(waiting) - cut <= _LONGEST_TAG and any(t.startswith(waiting[cut:].lower()) for t in ("<think>", "</think>"))
+        ready, waiting = (waiting[:cut], waiting[cut:]) if held else (waiting, "")
+        if shown and ready:
+            yield ready

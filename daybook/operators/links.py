@@ -125,11 +125,55 @@ def learned_names(labels: DataFrame, names: DataFrame, least: int = 2, ignored:
 
 
 def near_keys(keys: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, distance) of unlike keys within an edit distance: blocked by length and by a shared first or last letter."""
+    """(a, b, distance) of unlike keys of four letters or more within an edit distance of (1 - least) of the longer one's length.
+
+    Segments: where the longer key may have d edits, the shorter is cut into d + 1 parts, and one part stands unchanged in the longer
+    one, at most d places off. Pairs meet by both lengths, the part's number and its text, so none is lost and few are tried.
+    """
     rows = keys.select("key", F.length("key").alias("n")).where("n >= 4").distinct()
-    blocks = F.array(F.concat(F.lit("<"), F.substring("key", 1, 1)), F.concat(F.lit(">"), F.substring("key", -1, 1)))
-    a = rows.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.explode(blocks).alias("block"))
-    b = rows.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.explode(blocks).alias("block"))
-    most = F.floor((1 - F.lit(least)) * F.greatest("n_a", "n_b")).cast("int")
-    pairs = a.join(b, "block").where((F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most)).select("a", "b", "n_a", "n_b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= most).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    edits = lambda n: F.floor((1 - F.lit(least)) * n + 1e-9).cast("int")
+    start = lambda l, d, i: F.floor(l * i / (d + 1)).cast("int")  # noqa: E731, E741
+    longest = F.floor(F.col("n") / least + 1e-9).cast("int")
+    short = rows.select(F.col("key").alias("short"), F.col("n").alias("l"), F.explode(F.sequence(F.col("n"), F.greatest("n", longest))).alias("n"))
+    short = short.withColumn("d", edits(F.col("n"))).where("n - l <= d").select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
+    first, end = start(F.col("l"), F.col("d"), F.col("i")), start(F.col("l"), F.col("d"), F.col("i") + 1)
+    short = short.select("short", "l", "n", "i", F.substr("short", first + 1, end - first).alias("part"))
+    long_ = rows.select(F.col("key").alias("long"), "n", edits(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(4)), F.col("n"))).alias("l"))
+    long_ = long_.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
+    size = end - first
+    places = F.sequence(F.greatest(F.lit(0), first - F.col("d")), F.greatest(F.least(F.col("n") - size, first + F.col("d")), F.greatest(F.lit(0), first - F.col("d"))))
+    long_ = long_.select("long", "l", "n", "i", F.explode(F.array_distinct(F.transform(places, lambda p: F.substr(F.col("long"), p + 1, size)))).alias("part"))
+    pairs = short.join(long_, ["l", "n", "i", "part"]).where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "n").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= edits(F.col("n"))).select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+#: Fixed values of similar tags: letters of a shared beginning, and of both tags for a ratio; the least ratio.
+PREFIX, RATIO_LETTERS, RATIO = 4, 5, 0.85
+
+
+def _ratios(batches):
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [round(SequenceMatcher(None, a, b).ratio(), 6) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "ratio"])
+
+
+def similar_tags(tags: DataFrame) -> DataFrame:
+    """(a, b, why) of unlike tags that may be one: plural of the other, the beginning of the other, or much alike in their letters.
+
+    Each test meets by a key: a tag's singular forms, its beginnings, and edit distance (a ratio of RATIO allows no more edits than
+    0.3 of the longer tag has letters).
+    """
+    own = tags.select(F.lower("tag").alias("tag")).distinct()
+    pair = lambda rows, why: rows.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(why).alias("why"))
+    forms = F.array_distinct(F.filter(F.array(F.when(F.col("tag").rlike("..ies$"), F.regexp_replace("tag", "ies$", "y")), F.when(F.col("tag").rlike("..es$"), F.regexp_replace("tag", "es$", "")), F.when(F.col("tag").rlike("..s$"), F.regexp_replace("tag", "s$", ""))), lambda x: x.isNotNull()))
+    plural = pair(own.select(F.col("tag").alias("x"), F.explode(forms).alias("y")).join(own.select(F.col("tag").alias("y")), "y"), "plural")
+    beginnings = F.transform(F.sequence(F.lit(PREFIX), F.length("tag") - 1), lambda k: F.substr(F.col("tag"), F.lit(1), k))
+    longer = own.where(F.length("tag") > PREFIX).select(F.col("tag").alias("x"), F.explode(beginnings).alias("y"))
+    prefix = pair(longer.join(own.select(F.col("tag").alias("y")), "y"), "prefix")
+    near = near_keys(own.where(F.length("tag") >= RATIO_LETTERS).select(F.col("tag").alias("key")), 0.7).select("a", "b")
+    alike = near.mapInArrow(_ratios, "a string, b string, ratio double").where(F.col("ratio") >= RATIO).select("a", "b", F.lit("letters").alias("why"))
+    return plural.unionByName(prefix).unionByName(alike).groupBy("a", "b").agg(F.max("why").alias("why"))

@@ -86,7 +86,7 @@ def keep_history(asked: DataFrame, keep: int, since=None) -> DataFrame:
 
 
 def moving_mood(entries: DataFrame, days: int = 7) -> DataFrame:
-    """For each day written, mood over it and the days before, by year so that no task orders all."""
+    """For each day written, mood over it and the days before. The window orders days, of which a lifetime has some ten thousand."""
     daily = entries.groupBy("entry_date").agg(F.sum(F.round(F.col("mood_score") * 100).cast("long")).alias("s"), F.count("mood_score").alias("n"))
-    window = Window.partitionBy(F.year("entry_date")).orderBy(F.unix_date("entry_date")).rangeBetween(1 - days, 0)
+    window = Window.orderBy(F.unix_date("entry_date")).rangeBetween(1 - days, 0)
     return daily.select("entry_date", ratio2(F.coalesce(F.sum("s").over(window), F.lit(0)), F.sum("n").over(window)).alias("avg_mood"), F.sum("n").over(window).alias("n"))

@@ -347,7 +347,7 @@ def _(j):
 
 @query(
     "moving_mood",
-    ", d AS (SELECT entry_date, sum(CAST(round(mood_score * 100) AS BIGINT)) AS s, count(mood_score) AS n FROM entries GROUP BY 1), w AS (SELECT entry_date, sum(s) OVER win AS s, sum(n) OVER win AS n FROM d WINDOW win AS (PARTITION BY year(entry_date) ORDER BY entry_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) SELECT entry_date, CASE WHEN n > 0 THEN CAST((2 * s + n) // (2 * n) AS DOUBLE) / 100.0 END AS avg_mood, CAST(n AS BIGINT) AS n FROM w",
+    ", d AS (SELECT entry_date, sum(CAST(round(mood_score * 100) AS BIGINT)) AS s, count(mood_score) AS n FROM entries GROUP BY 1), w AS (SELECT entry_date, sum(s) OVER win AS s, sum(n) OVER win AS n FROM d WINDOW win AS (ORDER BY entry_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)) SELECT entry_date, CASE WHEN n > 0 THEN CAST((2 * s + n) // (2 * n) AS DOUBLE) / 100.0 END AS avg_mood, CAST(n AS BIGINT) AS n FROM w",
     "entries",
 )
 def _(j):
@@ -437,9 +437,10 @@ def _(j):
     return links.day_links(_writing(j), j.entries, files)
 
 
-@query("shared_aliases", f", {TITLES} SELECT key, count(DISTINCT note_id) AS n_notes, min(note_id) AS first_note FROM note_names WHERE key NOT IN (SELECT key FROM titles) GROUP BY 1 HAVING count(DISTINCT note_id) > 1", "notes", "note_names")
+@query("shared_aliases", f", {TITLES}, aliases AS (SELECT note_id, key FROM note_names UNION SELECT note_id, lower(split_part(title, ' ', 2)) FROM notes) SELECT key, count(DISTINCT note_id) AS n_notes, min(note_id) AS first_note FROM aliases WHERE key NOT IN (SELECT key FROM titles) GROUP BY 1 HAVING count(DISTINCT note_id) > 1", "notes", "note_names")
 def _(j):
-    return links.shared_aliases(_titles(j), j.note_names)
+    second = j.notes.select("note_id", F.lower(F.split_part("title", F.lit(" "), F.lit(2))).alias("key"))
+    return links.shared_aliases(_titles(j), j.note_names.select("note_id", "key").union(second).distinct())
 
 
 @query("known_names", "SELECT note_id, key, name FROM note_names UNION ALL SELECT 2000000 + o_custkey, key, key FROM (SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 'author ' || CAST(o_custkey AS VARCHAR) ELSE 'supplier#000000001' END AS key FROM orders) WHERE key NOT IN (SELECT key FROM note_names)", "note_names")
@@ -462,7 +463,7 @@ def _(j):
     return links.note_outlinks(own, targets)
 
 
-@query("fuzzy_names", ", k AS (SELECT DISTINCT lower(title) AS key, length(title) AS n FROM notes WHERE length(title) >= 4) SELECT a.key AS a, b.key AS b, CAST(levenshtein(a.key, b.key) AS BIGINT) AS distance FROM k a JOIN k b ON a.key < b.key AND (a.key[1] = b.key[1] OR a.key[-1] = b.key[-1]) AND levenshtein(a.key, b.key) <= floor(0.3 * greatest(a.n, b.n))", "notes")
+@query("fuzzy_names", ", k AS (SELECT DISTINCT lower(title) AS key, length(title) AS n FROM notes WHERE length(title) >= 4) SELECT a.key AS a, b.key AS b, CAST(levenshtein(a.key, b.key) AS BIGINT) AS distance FROM k a JOIN k b ON a.key < b.key AND levenshtein(a.key, b.key) <= floor(0.3 * greatest(a.n, b.n))", "notes")
 def _(j):
     return links.near_keys(j.notes.select(F.lower("title").alias("key")), 0.7)
 
@@ -594,14 +595,15 @@ def _(j):
 
 @query(
     "withheld_digests",
-    ", lost AS (SELECT DISTINCT entry_date FROM entries JOIN entry_tags USING (entry_id) WHERE tag = '1-urgent'), m AS (SELECT DISTINCT CAST(date_trunc('week', entry_date) AS DATE) AS first_day, CAST(date_trunc('week', entry_date) AS DATE) + 6 AS last_day FROM entries) SELECT first_day, last_day FROM m WHERE NOT EXISTS (SELECT 1 FROM lost WHERE entry_date BETWEEN first_day AND last_day)",
+    ", lost AS (SELECT DISTINCT entry_date FROM entries JOIN entry_tags USING (entry_id) WHERE tag = '1-urgent'), m AS (SELECT DISTINCT CAST(date_trunc('week', entry_date) AS DATE) AS first_day, CAST(date_trunc('week', entry_date) AS DATE) + 6 AS last_day FROM entries UNION SELECT entry_date, entry_date FROM entries) SELECT first_day, last_day FROM m WHERE NOT EXISTS (SELECT 1 FROM lost WHERE entry_date BETWEEN first_day AND last_day)",
     "entries", "entry_tags",
 )
 def _(j):
+    """Digests of weeks and of single days."""
     out = privacy.withheld_entries(j.entry_tags, ["1-urgent"])
     first = F.date_trunc("week", "entry_date").cast("date")
-    weeks = j.entries.select(first.alias("first_day"), F.date_add(first, 6).alias("last_day")).distinct()
-    return privacy.withhold({"entries": j.entries, "digests": weeks}, out, j.notes.limit(0).select("note_id"))["digests"]
+    periods = j.entries.select(first.alias("first_day"), F.date_add(first, 6).alias("last_day")).union(j.entries.select("entry_date", "entry_date")).distinct()
+    return privacy.withhold({"entries": j.entries, "digests": periods}, out, j.notes.limit(0).select("note_id"))["digests"]
 
 
 # --- search ---

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import folded
 from . import markdown
 
 FILES = "path string, content_hash string, kind string, text string"
@@ -73,7 +74,7 @@ def notes(files: DataFrame, rules: markdown.Rules = markdown.Rules()) -> DataFra
 
 def child_tables(entries_: DataFrame, notes_: DataFrame) -> dict[str, DataFrame]:
     """Links, tags, sections, names and properties, exploded."""
-    names = notes_.select("note_id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")).select("note_id", F.lower("name").alias("key"), "name").distinct()
+    names = notes_.select("note_id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")).select("note_id", folded(F.col("name")).alias("key"), "name").distinct()
     properties = notes_.select("note_id", F.explode("properties").alias("name", "values")).select("note_id", F.lower("name").alias("key"), "name", F.explode("values").alias("value"))
     return {
         "entry_links": entries_.select("entry_id", F.explode("links").alias("target")),
@@ -82,7 +83,7 @@ def child_tables(entries_: DataFrame, notes_: DataFrame) -> dict[str, DataFrame]
         "entry_tags": entries_.select("entry_id", F.explode("tags").alias("tag")),
         "entry_sections": entries_.select("entry_id", F.posexplode("sections").alias("place", "s")).select("entry_id", "place", "s.*"),
         "note_names": names,
-        "titles": notes_.select(F.lower("title").alias("key"), "note_id"),
+        "titles": notes_.select(folded(F.col("title")).alias("key"), "note_id"),
         "note_property_values": properties,
         "note_links": notes_.select("note_id", F.explode("links").alias("target")),
     }

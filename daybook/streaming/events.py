@@ -32,17 +32,26 @@ def sessions(events: DataFrame, by: str = "user_id", quiet: str = "30 minutes",
 
 
 def apply_batches(stream: DataFrame, target: str, keys: list[str], checkpoint: str):
-    """Upserts every micro-batch into a Parquet table of snapshots; a replayed batch writes the same snapshot again."""
+    """Writes every micro-batch's last rows by key as a delta of its own below `target`; a replayed batch writes the same delta again.
+
+    Nothing that is there is read or rewritten, so no batch can lose another's rows. `applied` gives the table.
+    """
     from ..operators.incremental import upsert
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{target}/v{number - 1}")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = batch.limit(0)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{target}/v{number}")
+        upsert(batch.limit(0), batch, keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def applied(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The table that the deltas make: of each key the row of the last batch that had it."""
+    deltas = spark.read.parquet(target)
+    rest = [c for c in deltas.columns if c not in (*keys, "batch")]
+    last = deltas.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("last"))
+    return last.select(*keys, *(F.col("last")[c].alias(c) for c in rest))
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], into: str) -> None:
+    """Writes the table into another folder as batch -1 of it, for the deltas to come."""
+    applied(spark, target, keys).write.mode("overwrite").parquet(f"{into}/batch=-1")

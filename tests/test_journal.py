@@ -290,7 +290,7 @@ def test_csv_guards_formulas(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("7", 7), ("7,5", 7.5), ("-2", -2), ("7h", 7), ("30 min", 30), ("8k", 8000), ("7:30", 7.5), ("true", 1), ("Yes", 1), ("false", 0), ("6-7", None), ("tired", None), ("2024-01-15", None), ("", None), (None, None)],
+    [("7", 7), ("7,5", 7.5), ("-2", -2), ("7h", 7), ("30 min", 30), ("8k", 8000), ("7:30", 7.5), ("7:20", 7.33), ("true", 1), ("Yes", 1), ("false", 0), ("6-7", None), ("tired", None), ("2024-01-15", None), ("", None), (None, None)],
 )
 def test_metric_value(spark, raw, want):
     assert value(spark, text.metric_value(F.lit(raw).cast("string"))) == want
@@ -308,7 +308,10 @@ def test_periods():
     assert periods.previous("month", D(2024, 1, 1)) == "2023-12" and periods.previous("week", D(2024, 1, 1)) == "2023-W52"
     assert periods.bounds("week", "2025-W01") == (D(2024, 12, 30), D(2025, 1, 5))
     assert periods.title("range", "2024-03-02..2024-03-11") == "2 to 11 March 2024"
-    for bad in ("2024-13", "soon", "2024-01-01..2024-12-31"):
+    assert periods.title("week", "2024-W10") == "Week 10 of 2024" and periods.months_before(D(2024, 1, 31), 2) == D(2023, 11, 30)
+    for months in range(40):
+        assert periods.months_before(D(2024, 12, 1), months) == D(2024 - (months // 12), 12 - months % 12, 1)
+    for bad in ("2024-13", "soon", "2024-01-01..2024-12-31", "2024-01-05..2024-01-02"):
         with pytest.raises(ValueError):
             periods.parse(bad)
 
@@ -354,6 +357,39 @@ def test_markdown_entries():
     assert markdown.entries("undated.md", "no day here") == [] and markdown.header("---\nopen: 1\ntext")[0] == {}
 
 
+def test_keys_of_links_and_titles_meet(spark):
+    for name in ("Straße", "ΟΔΟΣ", "Ödön", "İz", "plain"):
+        assert value(spark, text.folded(F.lit(name))) == markdown.link_key(name) == value(spark, text.link_key(F.lit(name))) == name.casefold()
+    assert markdown.link_key("a/B.md#x|y") == "b" and markdown.link_key("p.PNG") is None and markdown.link_key("#top") is None
+
+
+def test_near_keys_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abc", k=rng.randint(3, 9))) for _ in range(120)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.7, 0.8):
+        found = {(r.a, r.b): r.distance for r in links.near_keys(spark.createDataFrame([(w,) for w in words], "key string"), least).collect()}
+        long_ = sorted(w for w in words if len(w) >= 4)
+        want = {(a, b): d for i, a in enumerate(long_) for b in long_[i + 1 :] if (d := distance(a, b)) <= int((1 - least) * max(len(a), len(b)) + 1e-9)}
+        assert found == want and len(want) > 20
+
+
+def test_similar_tags(spark):
+    tags = spark.createDataFrame([(t,) for t in "hike hikes city cities run running photo photography colour color walk work Hike bus".split()], "tag string")
+    found = {(r.a, r.b): r.why for r in links.similar_tags(tags).collect()}
+    assert found == {("hike", "hikes"): "prefix", ("cities", "city"): "plural", ("photo", "photography"): "prefix", ("color", "colour"): "letters"} | {("hike", "hikes"): found["hike", "hikes"]}
+
+
 def test_clean_gives_places_in_the_clean_text():
     words, places = markdown.clean("a [[X|y]] b ![[p.png]] [[Z#H]] [[Q#^id]]")
     assert words == "a y b  Z > H Q" and [(words[k:], key) for k, key in places][0] == ("y b  Z > H Q", "x")
@@ -411,10 +447,14 @@ def test_answers(spark):
     assert answer.Plan(since=D(2024, 2, 1), until=D(2024, 1, 1)).since == D(2024, 1, 1)
     assert answer.fit(["aaa", "bbbbbb", "cc"], 5) == ["aaa", "cc"]
     assert answer.digest_kind(D(2024, 1, 1), D(2024, 1, 5)) is None and answer.digest_kind(D(2023, 1, 1), D(2024, 12, 31)) == "year"
-    think = answer.ThinkFilter()
-    assert "".join(think.feed(p) for p in ("a<th", "ink>no</thi", "nk>b", "<", "c")) + think.close() == "ab<c"
+    for pieces, want in ((("a<th", "ink>no</thi", "nk>b", "<", "c"), "ab<c"), (("<THINK>a</THINK>b",), "b"), (("x<Think>y", "z"), "x"), (("1 < 2 <thi",), "1 < 2 <thi"), ((), "")):
+        assert "".join(answer.without_thoughts(pieces)) == want
     e = spark.createDataFrame([(1, D(2024, 3, 1), "a hike up"), (2, D(2024, 4, 1), "a hike down"), (3, D(2024, 3, 2), "home")], "entry_id long, entry_date date, text string")
     assert [r.entry_id for r in answer.retrieve(answer.route("the hike in 2024-03", D(2024, 6, 1)), e).collect()] == [1]
+    day = answer.route("did I hike on 2024-03-02?", D(2024, 6, 1))
+    assert [r.entry_id for r in answer.retrieve(day, e).collect()] == [3]
+    found = answer.retrieve(answer.Plan(keywords=["hike"]), e)
+    assert [r.entry_id for r in answer.with_day(found, e, D(2024, 3, 2)).collect()][0] == 3 and answer.with_day(found, e, D(2024, 3, 1)).count() == 2
     assert answer.cited("on 2024-03-01 and 2024-99-99", [D(2024, 3, 1), D(2024, 3, 2)]) == [D(2024, 3, 1)]
 
 
@@ -443,4 +483,9 @@ def test_batches_are_applied_once(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
         events.apply_batches(stream, str(tmp_path / "out"), ["k"], str(tmp_path / "ckpt")).awaitTermination()
-    assert sorted(rows(spark.read.parquet(str(tmp_path / "out/v0")))) == [(1, "a"), (2, "b")]
+    assert sorted(rows(events.applied(spark, str(tmp_path / "out"), ["k"]))) == [(1, "a"), (2, "b")]
+    spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string").write.mode("append").parquet(str(tmp_path / "in"))
+    events.apply_batches(stream, str(tmp_path / "out"), ["k"], str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(rows(events.applied(spark, str(tmp_path / "out"), ["k"]))) == [(1, "a"), (2, "c"), (3, "d")]
+    events.compact(spark, str(tmp_path / "out"), ["k"], str(tmp_path / "base"))
+    assert sorted(rows(events.applied(spark, str(tmp_path / "base"), ["k"]))) == [(1, "a"), (2, "c"), (3, "d")]
