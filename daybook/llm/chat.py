@@ -66,15 +66,18 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     counted = waits.groupBy(*key).agg(F.count("*").alias("n"), F.min("other").alias("root"))
     jumps = scratch.table(counted.where("n = 1").select(*key, "root", F.lit(1).alias("steps")), "jumps-0")
     several = scratch.table(counted.where("n > 1").select(*key, "n"), "several")
-    most, k = jumps.count(), 0
+    most, k, open_ = jumps.count(), 0, jumps
+    ended = None
     while most >> k:  # after as many doublings a chain has ended, or it is a cycle
         on = jumps.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
         k += 1
-        now = jumps.join(on, ["conv_id", "root"], "left")
+        now = open_.join(on, ["conv_id", "root"], "left")
         now = now.select(*key, F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved"))
-        jumps = scratch.table(now, f"jumps-{k}")
-        scratch.drop(f"jumps-{k - 1}")
-        if jumps.where("moved").isEmpty():
+        now = scratch.table(now, f"jumps-{k}")
+        end, open_ = now.where("NOT moved").drop("moved"), now.where("moved").drop("moved")  # only chains that still move go on
+        ended = end if ended is None else ended.union(end)
+        jumps = ended.union(open_)
+        if open_.isEmpty():
             break
     first = ids.join(waits, key, "left_anti").withColumn("level", F.lit(0))
     if not several.isEmpty():

@@ -88,5 +88,6 @@ def ascii_lower(text: Column) -> Column:
 
 
 def spaced_words(text: Column) -> Column:
-    """Words between ASCII white space; none for null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPACED_WORD), F.lit(0))
+    """Words between ASCII white space; none for null. All white space is made a space first: that splits without a pattern."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
+    return F.array_remove(F.split(spaced, " "), "")
