@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -31,8 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and outlive lost executors."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.names = spark, set()
+        self.made.append(self)
         self.root = f"{shared_folder(spark)}/daybook-{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +43,6 @@ class Scratch:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished queries now, not whenever the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -63,6 +60,16 @@ class Scratch:
         return done
 
 
+def swept(step):
+    """What `step` gives, once it has written it, with all tables removed that operators left behind on the way."""
+    first = len(Scratch.made)
+    done = step()
+    for scratch in Scratch.made[first:]:
+        scratch.clear()
+    del Scratch.made[first:]
+    return done
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

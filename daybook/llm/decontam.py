@@ -37,13 +37,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every pair of which the document holds 3/4 of the item.
-
-    Letters are compared in lower case. Null and empty texts and items have no shingles and match nothing; an item of fewer
-    than five words matches only documents that are those words. Repeated documents or items give each pair once.
-    """
-    scratch = Scratch(documents.sparkSession, "decontam")
+def _pairs(documents: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, hash, item_id, n_item, n_shared) of every text, named by its hash too, and version of an item that it holds."""
     items = _shingled(benchmark.select("item_id", "text"), "item_id").where("item_id IS NOT NULL")
     items = items.select("item_id", F.array_distinct("shingles").alias("shingles")).where("size(shingles) > 0").distinct()
     items = scratch.table(items.select("item_id", "shingles", F.size("shingles").alias("n_item"), F.xxhash64("shingles").alias("variant")), "items")
@@ -62,14 +57,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     every = items.select("item_id", "variant", "n_item", F.explode("shingles").alias("h"))
     shared = exact.join(_small(every), "h").groupBy("doc_id", "hash", "item_id", "variant", "n_item").agg(F.count("*").alias("n_shared"))
     found = shared.where(100 * F.col("n_shared") >= PERCENT * F.col("n_item"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b"))
+    return found.select("doc_id", "hash", "item_id", "n_item", "n_shared")
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every pair of which the document holds 3/4 of the item.
+
+    Letters are compared in lower case. Null and empty texts and items have no shingles and match nothing; an item of fewer than five
+    words matches only documents that are those words. Repeated documents or items give each pair once, its largest containment;
+    documents without doc_id are told apart by their text.
+    """
+    scratch = Scratch(documents.sparkSession, "decontam")
+    found = _pairs(documents, benchmark, scratch).withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("hash")))
+    best = found.groupBy("doc_id", "nameless", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b"))
     return scratch.result(best.select("doc_id", "item_id", F.col("b.n_item").cast("long").alias("n_item"), F.col("b.n_shared").alias("n_shared"), F.col("b.containment").alias("containment")))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, unchanged, that hold no benchmark item. Rows without doc_id stay."""
-    found = contaminated(documents, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__found")).distinct()
-    return documents.join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+    """The documents, unchanged, that hold no benchmark item. Each text is judged by itself, whatever its doc_id."""
+    scratch = Scratch(documents.sparkSession, "decontam")
+    found = scratch.result(_pairs(documents, benchmark, scratch).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct())
+    return documents.join(_small(found), documents.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(documents.text) == F.col("__hash")), "left_anti")
 
 
 SQL = r"""

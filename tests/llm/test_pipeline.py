@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from daybook.llm import catalog, suffix
+from daybook.llm import catalog, common, suffix
 
 DATA = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +77,25 @@ def test_run_applies_the_stages_in_turn(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()) == [6, 7, 8]
 
 
+def test_a_run_leaves_only_its_result(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:])
+    found = corpus_pipeline.run(spark, DATA)
+    assert found.count() > 100
+    assert [p.parent.name.rsplit("-", 1)[0] + "/" + p.name for p in tmp_path.glob("*/*")] == ["daybook-pipeline/2"]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_empty_tables_and_repeated_ids(spark, k):
+    stage = corpus_pipeline.STAGES[k][1]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+    long_ = " ".join(f"w{n}" for n in range(200))
+    rows = [(1, None, "en", "a", 0), (1, "", None, None, 0), (1, long_, "en", "a", 5), (1, long_ + " more", "en", "b", 5), (None, long_, "en", "a", 5), (None, None, None, None, None), (1, long_, "en", "a", 5)]
+    found = stage(spark, spark.createDataFrame(rows, docs.schema), DATA)
+    assert 0 <= found.count() <= len(rows) and (k == 4 or found.columns == docs.columns)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
