@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from daybook.llm import decontam, jaccard, mixing, quality, suffix
-from daybook.llm.common import Scratch, table
+from daybook.llm.common import Scratch, swept, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage is written and read again; what led to it is removed, and so is the stage before."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs, str(k))
+        docs = swept(lambda stage=stage, docs=docs, k=k: scratch.table(stage(spark, docs, sf_dir), str(k)))
+        if k:
+            scratch.drop(str(k - 1))
     return docs
