@@ -36,8 +36,8 @@ SMALL = 8
 #: Larger groups are dealt into blocks of about so many classes: the rounds look within each block, the last one takes every
 #: pair of blocks, each in a task of its own.
 BLOCK = 2048
-#: Other components that a class tries in a round, the nearest first. A group with at most so many pairs for each class tries all.
-TRIES = 3
+#: Other components that a class tries in a round, the nearest first. A group with no more pairs than classes tries all of them.
+TRIES = 2
 #: A class tries its nearest in one of so many groups, picked by hash: large families share many groups.
 ACTIVE = 4
 #: The rounds end when under one in FEW of the pairs tried is a link; the last round tries what is left.
@@ -344,7 +344,7 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                 if all_:
                     one.extend([i] * len(j))
                     two.extend(j.tolist())
-                    all_ = every or len(one) <= TRIES * len(n)
+                    all_ = every or len(one) <= len(n)
                 if not every:
                     first = np.argsort(share, kind="stable")[: 4 * TRIES]
                     for x, part in zip(j[first].tolist(), share[first].tolist(), strict=True):
