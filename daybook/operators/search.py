@@ -17,33 +17,44 @@ LEAST_IDF = 1e-6
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, length) of `docs` (doc_id, text)."""
-    rows = docs.select("doc_id", rules.tokens(F.col("text")).alias("terms"))
-    rows = rows.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf, length) of `docs` (doc_id, text), and a row without term for each text: to be written by term, and read by
+    every search from then on."""
+    rows = docs.select("doc_id", rules.tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
+    words = rows.select("doc_id", F.explode("terms").alias("term"), "length").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    return words.select("doc_id", "term", "tf", "length").union(rows.select("doc_id", F.lit(None).cast("string"), F.lit(0).cast("long"), "length"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, most: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best texts for each query's terms (query_id, term), any term counting.
+def scores(docs: DataFrame, queries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score): every text that has any of a query's terms (query_id, term).
 
-    Statistics are of all texts; `allowed` (doc_id) only limits what may be returned, so a text is found however low it ranks.
-    Only the terms that are asked for leave the scan.
+    Statistics are of all texts. Texts are taken apart once: without `stored` postings only the terms that are asked for leave the
+    scan, with the text's length. `stored` is what `postings` gives, written by the caller: then no text is read at all.
     """
-    terms = rules.tokens(F.col("text"))
-    rows = docs.select("doc_id", terms.alias("terms")).withColumn("length", F.size("terms"))
-    corpus = rows.agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
     queries = queries.select("query_id", "term").distinct()
     asked = queries.select("term").distinct()
-    hits = rows.select("doc_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    if stored is None:
+        terms = rules.tokens(F.col("text"))
+        rows = docs.select("doc_id", terms.alias("terms")).withColumn("length", F.size("terms"))
+        corpus = rows.agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
+        hits = rows.select("doc_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    else:
+        corpus = stored.where("term IS NULL").agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
+        hits = stored.join(asked, "term", "left_semi").select("term", "doc_id", "length", "tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(df, "term").join(F.broadcast(corpus))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     size = 1 - B + B * F.col("length") / (F.col("words") / F.col("docs"))
     weighed = weighed.withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size))
-    if allowed is not None:
-        weighed = weighed.join(allowed, "doc_id", "left_semi")
     scored = queries.join(weighed.select("term", "doc_id", "w"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-    scored = scored.withColumn("score", F.round("score", 6))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, most: int, allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best texts for each query's terms. `allowed` (doc_id) only limits what may be returned,
+    so a text is found however low it ranks."""
+    scored = scores(docs, queries, stored)
+    if allowed is not None:
+        scored = scored.join(allowed, "doc_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -54,14 +65,18 @@ def phrase_ids(docs: DataFrame, phrase: str) -> DataFrame:
     return docs.where(F.contains(spaced(F.col("text")), spaced(F.lit(phrase)))).select("doc_id")
 
 
+def distances(vectors: DataFrame, query: DataFrame, metric: str = "l2") -> DataFrame:
+    """The vectors with their distance from one query row (embedding)."""
+    one = query.limit(1).select(F.col("embedding").alias("q"))
+    measure = {"l2": l2, "cosine": cosine_distance}[metric]
+    return vectors.join(F.broadcast(one)).withColumn("distance", F.round(measure(F.col("embedding"), F.col("q")), 6)).drop("embedding", "q")
+
+
 def nearest(vectors: DataFrame, query: DataFrame, most: int, metric: str = "l2", allowed: DataFrame | None = None) -> DataFrame:
-    """(vec_id, distance) of the vectors nearest to one query row (embedding): an exact scan, with the top kept in each task."""
+    """(vec_id, distance) of the vectors nearest to one query row: an exact scan, with the top kept in each task."""
     if allowed is not None:
         vectors = vectors.join(allowed, "vec_id", "left_semi")
-    one = query.limit(1).select(F.col("embedding").alias("q"))
-    measure = {"l2": l2, "cosine": cosine_distance}[metric]
-    rows = vectors.join(F.broadcast(one)).select("vec_id", F.round(measure(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return rows.orderBy("distance", "vec_id").limit(most)
+    return distances(vectors.select("vec_id", "embedding"), query, metric).orderBy("distance", "vec_id").limit(most)
 
 
 def similar_to(vectors: DataFrame, vec_id: int, most: int, metric: str = "l2") -> DataFrame:
@@ -139,8 +154,16 @@ def best_sentences(docs: DataFrame, question: str, most: int = 280) -> DataFrame
 
 
 def best_sentence_columns(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """The same without stems or Python: sentences end at . ! ? or a line's end; a term counts 1 / its texts."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n+")).alias("place", "sentence"))
+    """The same without stems or Python: sentences end at . ! ? or a line's end; a term counts 1 / its texts.
+
+    A text without any of the terms' letters is passed over before it is cut into sentences, and a sentence before it is cut into
+    words. `terms` are as `tokens` gives them; letters that may lose an accent are let through.
+    """
+    maybe = "|".join("".join(f"(?:{c}|[^\\x00-\\x7F])[^\\x00-\\x7F]*" for c in t) for t in terms)
+    some = docs.where(F.lower("text").rlike(maybe))
+    cut = F.split("text", r"(?<=[.!?])\s+|\n+")
+    placed = F.filter(F.transform(cut, lambda s, k: F.struct(k.alias("place"), s.alias("sentence"))), lambda x: F.lower(x["sentence"]).rlike(maybe))
+    rows = some.select("doc_id", F.explode(placed).alias("s")).select("doc_id", "s.place", "s.sentence")
     words = rows.select("doc_id", "place", "sentence", F.explode(F.array_distinct(rules.tokens(F.col("sentence")))).alias("term")).where(F.col("term").isin(*terms))
     df = words.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     scored = words.join(F.broadcast(df), "term").groupBy("doc_id", "place", "sentence").agg(F.round(F.sum(1.0 / F.col("df")), 9).alias("score"))

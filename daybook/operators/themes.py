@@ -100,3 +100,68 @@ def central(placed: DataFrame, most: int = 8) -> DataFrame:
     """The entries nearest to each theme's middle."""
     order = Window.partitionBy("theme").orderBy("distance", "vec_id")
     return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+#: Share of placed entries from which a grouping is stale, entries a theme needs in a range and how many are named,
+#: the newest entries and the names that a theme's page shows.
+STALE_SHARE, IN_RANGE, SHOWN, NEWEST, NAMES = 0.2, 2, 5, 30, 8
+
+
+def shared_names(placed: DataFrame, names: DataFrame, most: int = NAMES) -> DataFrame:
+    """(theme, name, n, rank): what the entries of a theme share; `placed` (entry_id, theme), `names` (entry_id, name): tags or notes."""
+    counted = placed.join(names, "entry_id").groupBy("theme", "name").agg(F.count("*").alias("n"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("n"), "name"))).where(F.col("rank") <= most)
+
+
+def in_range(placed: DataFrame, entries: DataFrame, since, until, least: int = IN_RANGE, most: int = SHOWN) -> DataFrame:
+    """(theme, n): the themes that come up most in a range."""
+    rows = placed.join(entries.where(F.col("entry_date").between(F.lit(since).cast("date"), F.lit(until).cast("date"))).select("entry_id"), "entry_id")
+    return rows.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "theme").limit(most)
+
+
+def status(stored: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: vectors in all, those of the stored grouping, those only placed since, and whether it is stale."""
+    marked = vectors.select("vec_id").join(stored.select("vec_id", F.lit(True).alias("known")), "vec_id", "left")
+    new = F.count_if(F.col("known").isNull())
+    return marked.agg(F.count("*").alias("total"), F.count("known").alias("stored"), new.alias("placed"), (new > STALE_SHARE * F.count("*")).alias("stale"))
+
+
+def newest(placed: DataFrame, entries: DataFrame, most: int = NEWEST) -> DataFrame:
+    """(theme, entry_id, entry_date, rank): the newest entries of each theme."""
+    rows = placed.join(entries.select("entry_id", "entry_date"), "entry_id")
+    order = Window.partitionBy("theme").orderBy(F.desc("entry_date"), F.desc("entry_id"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("theme", "entry_id", "entry_date", "rank")
+
+
+def label(name: str, tags: list[str], notes: list[str]) -> str:
+    """A model's name of a theme, or what its entries share where it gave none."""
+    return name.strip().strip('"').rstrip(".") or ", ".join([*notes[:2], *tags[:3]][:3]) or "unnamed"
+
+
+def named(placed: DataFrame, tags: DataFrame, notes: DataFrame, entries: DataFrame, write) -> DataFrame:
+    """(theme, name): write(prompt) for each theme over its central entries' summaries and what they share; a failure keeps the grouping.
+
+    `placed` (vec_id, theme, distance), `entries` (entry_id, summary). The driver reads a row for each theme.
+    """
+    members = placed.select(F.col("vec_id").alias("entry_id"), "theme")
+    listed = lambda names: shared_names(members, names).groupBy("theme").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
+    middle = central(placed).join(entries.select(F.col("entry_id").alias("vec_id"), "summary"), "vec_id")
+    lines = middle.groupBy("theme").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]).alias("lines"))
+    rows = lines.join(listed(tags).withColumnRenamed("names", "tags"), "theme", "left").join(listed(notes).withColumnRenamed("names", "notes"), "theme", "left")
+    out = []
+    for row in rows.orderBy("theme").collect():
+        try:
+            name = write("\n".join(row.lines))
+        except Exception:  # a model's failure must not lose the grouping
+            name = ""
+        out.append((row.theme, label(name, row.tags or [], row.notes or [])))
+    return placed.sparkSession.createDataFrame(out, "theme long, name string")
+
+
+def persist(placed: DataFrame, vectors: DataFrame, folder: str) -> None:
+    """Writes a grouping: its themes with their centroids and central entries, and every entry's place."""
+    unit_ = vectors.select("vec_id", F.posexplode(unit(F.col("embedding"))).alias("at", "x")).join(placed.select("vec_id", "theme"), "vec_id")
+    means = unit_.groupBy("theme", "at").agg(F.avg("x").alias("x")).groupBy("theme").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centroid"))
+    from_ = central(placed).groupBy("theme").agg(F.sort_array(F.collect_list("vec_id")).alias("named_from"))
+    means.join(from_, "theme").write.mode("overwrite").parquet(f"{folder}/themes")
+    placed.write.mode("overwrite").parquet(f"{folder}/entry_themes")

@@ -2,52 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
 from ..functions.periods import day_key, month_key, months_between, week_key, year_key
-from ..operators import analytics, export, filters, incremental, links, privacy, search, sequences, stats, themes
-from ..sources.journal import VIEWS, Journal
+from ..operators import analytics, export, filters, incremental, links, lookups, privacy, search, sequences, stats, themes
+from ..sources.journal import Journal
 from ..streaming import events as streams
-
-_queries: dict[str, Callable[[Journal], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-SINCE, UNTIL = "1997-01-01", "1998-12-31"
-NOTE = 7
-QUESTION = "the thing that was with her"
-
-
-def with_views(sql: str, *names: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " if sql.lstrip().startswith(",") else " ") + sql.lstrip().lstrip(",")
-
-
-def avg(x: str) -> str:
-    n = f"count({x})"
-    return f"CASE WHEN {n} > 0 THEN CAST((2 * sum(CAST(round({x} * 100) AS BIGINT)) + {n}) // (2 * {n}) AS DOUBLE) / 100.0 END"
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    """Registers a function of a Journal; `sql` reads the named views and the driver's tables."""
-
-    def register(f):
-        _queries[name] = f
-        if sql is not None:
-            _sql[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
-def queries():
-    return {name: (lambda spark, folder, f=f: f(Journal(spark, folder))) for name, f in _queries.items()}
-
-
-def oracle_sql():
-    return dict(_sql)
-
+from .registry import NOTE, QUESTION, SINCE, UNTIL, avg, oracle_sql, queries, query, with_views
 
 # --- statistics of entries ---
 
@@ -807,3 +769,8 @@ def _(j):
 
     rows = j.events.select(F.col("user_id").cast("string").alias("path"), "ts", "event_id", F.col("event_type").alias("kind"))
     return incremental.last_events(rows, 45, datetime.datetime(2024, 1, 30, 18)).select("path", "ts", "kind")
+
+
+from . import more  # noqa: E402, F401  registers its queries after these
+
+__all__ = ["oracle_sql", "queries"]
