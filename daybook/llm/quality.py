@@ -13,6 +13,8 @@ from .common import spaced_words
 BUCKETS = 1 << 14
 #: Documents of fewer words, or with more repeated words in a hundred, fail the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Trusted ids (8 bytes each) that are broadcast at most; with more of them the texts are shuffled to meet their marks.
+BROADCAST_ROWS = 500_000
 #: N-grams that a bucket is taken to have beforehand.
 PRIOR = 10
 #: Nats per n-gram: a document whose n-grams are on average this much rarer in trusted text than in all text is rejected.
@@ -36,10 +38,11 @@ def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
     PRIOR n-grams are added to each bucket of all text, and the trusted share of as many to the trusted ones, so a bucket seen
     a few times says little however small the corpus. Trusted are documents that `labels` marks quality 1; without any, every
     weight is 0.
-    The documents meet their labels by a hash join; counts are summed before the shuffle, at most 2 * BUCKETS a task.
+    The documents meet the trusted ids, broadcast where they are few; counts are summed before the shuffle, at most 2 * BUCKETS a task.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(1))
-    marked = documents.select("doc_id", "text").join(trusted.hint("shuffle_hash"), "doc_id", "left")
+    few = trusted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = documents.select("doc_id", "text").join(F.broadcast(trusted) if few else trusted.hint("shuffle_hash"), "doc_id", "left")
     words = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), spaced_words(F.col("text")).alias("words"))
     counted = (
         words.select("trusted", F.explode(_grams(F.col("words"))).alias("bucket"))
