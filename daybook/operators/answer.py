@@ -145,3 +145,89 @@ def without_thoughts(pieces: Iterable[str]) -> Iterator[str]:
         ready, waiting = (waiting[:cut], waiting[cut:]) if held else (waiting, "")
         if shown and ready:
             yield ready
+
+
+#: Characters of a part and of all parts in a summary context, digests of weeks, months and years that it takes, characters
+#: of all notes in a precise reading, and what a fast reply says where its context doesn't hold the answer.
+PART, PARTS, WEEKS, MONTHS, NOTES, INSUFFICIENT = 700, 4000, 9, 14, 16_000, "INSUFFICIENT"
+
+
+def digests_for(plan: Plan, digests: DataFrame) -> DataFrame:
+    """The digests (period_type, period_key, summary, last_day) that give an answer's background, oldest first."""
+    kind = digest_kind(plan.since, plan.until)
+    if kind is None or plan.intent != "narrative" and plan.since is None:
+        return digests.limit(0)
+    rows = filters.in_range(digests.where(F.col("period_type") == kind), plan.since, plan.until, "last_day")
+    newest = rows.orderBy(F.desc("period_key")).limit(WEEKS if kind == "week" else MONTHS)
+    return newest.orderBy("period_key")
+
+
+def summary_context(plan: Plan, found: DataFrame, digests: DataFrame | None = None, notes: DataFrame | None = None, budget: int = FAST) -> str:
+    """What a fast answer reads: digests, entries' summaries by day (their text where they have none), notes; whole blocks by priority.
+
+    `found` (entry_id, entry_date, text, maybe summary), `notes` (title, summary). The driver reads the few rows that were retrieved.
+    """
+    held = []
+    room = PARTS
+    for row in sorted(found.collect(), key=lambda r: (r.entry_date, r.entry_id)):
+        own = row.asDict()
+        text_ = own.get("summary") or own["text"][: min(PART, max(room, 0))]
+        room -= 0 if own.get("summary") else len(text_)
+        held.append(f"[{row.entry_date}] {text_}")
+    background = [f"({r.period_key}) {r.summary}" for r in digests_for(plan, digests).collect()] if digests is not None else []
+    known = [f"{r.title}: {r.summary}" for r in notes.orderBy("title").collect()] if notes is not None else []
+    kept = set(fit([*held, *known, *background], budget))
+    return "\n".join(b for b in [*background, *held, *known] if b in kept)
+
+
+def precise_context(found: DataFrame, notes: DataFrame | None = None, budget: int = PRECISE) -> str:
+    """What a second, slower reading takes: whole texts by rank while they fit, notes within a share of the budget of their own."""
+    known = fit([f"{r.title}: {r.text}" for r in notes.orderBy("title").collect()], NOTES) if notes is not None else []
+    texts = [f"[{r.entry_date}]\n{r.text}" for r in found.collect()]
+    return "\n\n".join([*known, *fit(texts, budget - sum(map(len, known)))])
+
+
+def rewritten(question: str, history: list[tuple[str, str]], client) -> str:
+    """A follow-up as a question of its own, by the model; without history, or where it fails, as it is."""
+    if not history:
+        return question
+    told = "\n".join(f"Q: {q}\nA: {a}" for q, a in history[-6:])
+    try:
+        return client.complete(f"{told}\nRewrite as one question that stands alone: {question}").strip() or question
+    except Exception:  # the plain question still has an answer
+        return question
+
+
+def finished(reply: str, days: list[date], titles: list[str]) -> str:
+    """An answer with its sources: the days it names of those read, in order, then the notes it names, by name without case."""
+    named = sorted((t for t in set(titles) if re.search(rf"(?<!\w){re.escape(t)}(?!\w)", reply, re.I)), key=str.casefold)
+    sources = [*(d.isoformat() for d in cited(reply, days)), *named]
+    return reply.strip() + (f"\n\nSources: {', '.join(sources)}" if sources else "")
+
+
+def answer(question: str, entries: DataFrame, client, today: date, digests: DataFrame | None = None, notes: DataFrame | None = None, history: list[tuple[str, str]] = ()) -> tuple[str, str]:
+    """(stage, text): from a fast reading of summaries, or a precise one of whole texts where the fast one says it isn't enough."""
+    question = rewritten(question, list(history), client)
+    plan = route(question, today)
+    found = with_day(retrieve(plan, entries), entries, plan.since if plan.since == plan.until else None)
+    days, titles = [r.entry_date for r in found.select("entry_date").collect()], [r.title for r in notes.select("title").collect()] if notes is not None else []
+    if not days:
+        return "none", "Nothing written in that time."
+    if not plan.needs_raw:
+        reply = "".join(without_thoughts([client.complete(f"{summary_context(plan, found, digests, notes)}\n\nQuestion: {question}")]))
+        if INSUFFICIENT not in reply:
+            return "fast", finished(reply, days, titles)
+    with_text = notes if notes is not None and "text" in notes.columns else None
+    reply = "".join(without_thoughts([client.complete(f"{precise_context(found, with_text)}\n\nQuestion: {question}")]))
+    return "precise", finished(reply, days, titles)
+
+
+def prompts_context(entries: DataFrame, today: date, days: int = 14) -> DataFrame:
+    """What writing prompts are made from: the last days' entries, oldest first."""
+    return filters.in_range(entries, date.fromordinal(today.toordinal() - days), today).orderBy("entry_date", "entry_id")
+
+
+def listed(reply: str, most: int = 5) -> list[str]:
+    """The items of a reply that is a list, without marks, each once."""
+    items = (re.sub(r"^(?:[-*+]|\d+[.)])\s*", "", line.strip()).strip('"') for line in reply.splitlines())
+    return list(dict.fromkeys(i for i in items if i))[:most]
