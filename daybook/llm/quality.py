@@ -21,15 +21,22 @@ PRIOR = 10
 THRESHOLD = -0.175
 
 
-def _bucket(*words: Column) -> Column:
-    return F.xxhash64(*words).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _joined(a: Column, b: Column, shift: int, n: Column) -> Column:
+    """The hash of each of the first n values of `a` with the one of `b` that lies `shift` places on."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + shift), n), lambda x, y: F.xxhash64(x, y))
 
 
-def _grams(words: Column) -> Column:
+def hashed(rows: DataFrame, words: str = "__words") -> DataFrame:
+    """`rows` with the hashes of the words and of each two neighbours, made once for all that follows."""
+    out = rows.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    return out.withColumn("__pairs", _joined(F.col("__hashes"), F.col("__hashes"), 1, F.size("__hashes") - 1))
+
+
+def _grams() -> Column:
     """The bucket of each word, then of each pair of neighbours."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: _bucket(a, b) + F.lit(BUCKETS))
-    return F.concat(F.transform(words, lambda w: _bucket(w)), pairs)
+    bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    return F.concat(F.transform("__hashes", bucket), F.transform("__pairs", lambda h: bucket(h) + F.lit(BUCKETS)))
 
 
 def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -43,9 +50,9 @@ def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(1))
     few = trusted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marked = documents.select("doc_id", "text").join(F.broadcast(trusted) if few else trusted.hint("shuffle_hash"), "doc_id", "left")
-    words = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), spaced_words(F.col("text")).alias("words"))
+    words = hashed(marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), spaced_words(F.col("text")).alias("__words")))
     counted = (
-        words.select("trusted", F.explode(_grams(F.col("words"))).alias("bucket"))
+        words.select("trusted", F.explode(_grams()).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("n_all"), F.sum("trusted").alias("n_trusted"))
     )
@@ -66,9 +73,10 @@ def signals(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = documents.withColumns({"__words": spaced_words(F.col(text)), "__lines": lines})
+    out = hashed(documents.withColumns({"__words": spaced_words(F.col(text)), "__lines": lines}))
     n = F.size("__words")
-    windows = F.when(n > 5, F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("__words", i, 5)))).otherwise(F.array().cast("array<bigint>"))
+    fours = _joined(F.col("__pairs"), F.col("__pairs"), 2, n - 3)
+    windows = _joined(fours, F.slice("__hashes", F.lit(5), F.greatest(n - 4, F.lit(0))), 0, n - 4)
     out = out.withColumns(
         {
             "__n_words": n.cast("long"),
@@ -101,10 +109,10 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     model = weights(documents, labels).scalar()
     out = signals(documents)
     grams = F.greatest(2 * F.col("__n_words") - 1, F.lit(1))
-    total = F.aggregate(_grams(F.col("__words")), F.lit(0.0), lambda acc, g: acc + F.get(F.col("__model"), g))
+    total = F.aggregate(_grams(), F.lit(0.0), lambda acc, g: acc + F.get(F.col("__model"), g))
     out = out.withColumn("__model", model).withColumn("__score", total / grams)
     failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
-    return out.withColumn("__base_failed", failed).withColumn("__kept", ~failed & (F.col("__score") >= threshold)).drop("__words", "__model")
+    return out.withColumn("__base_failed", failed).withColumn("__kept", ~failed & (F.col("__score") >= threshold)).drop("__words", "__hashes", "__pairs", "__model")
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:

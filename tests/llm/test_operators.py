@@ -172,7 +172,7 @@ def test_quality_score_is_the_log_ratio_of_hashed_ngrams(spark, docs, labels):
 
     from daybook.llm.common import spaced_words
 
-    grams = docs.select("doc_id", "text", spaced_words(F.col("text")).alias("w")).select("doc_id", "text", quality._grams(F.col("w")).alias("g")).collect()
+    grams = quality.hashed(docs.select("doc_id", "text", spaced_words(F.col("text")).alias("__words"))).select("doc_id", "text", quality._grams().alias("g")).collect()
     trusted_ids = {r.doc_id for r in labels.where("quality = 1").collect() if r.doc_id is not None}
     every, trusted = Counter(), Counter()
     for r in grams:
