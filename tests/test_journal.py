@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from daybook import schema
 from daybook.functions import periods, text, vectors
-from daybook.operators import analytics, answer, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
+from daybook.operators import analytics, answer, export, filters, incremental, links, lookups, model, privacy, profile, search, sequences, stats, themes
 from daybook.plans import catalog
 from daybook.sources import markdown, vault
 from daybook.streaming import events
@@ -489,3 +489,135 @@ def test_batches_are_applied_once(spark, tmp_path):
     assert sorted(rows(events.applied(spark, str(tmp_path / "out"), ["k"]))) == [(1, "a"), (2, "c"), (3, "d")]
     events.compact(spark, str(tmp_path / "out"), ["k"], str(tmp_path / "base"))
     assert sorted(rows(events.applied(spark, str(tmp_path / "base"), ["k"]))) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+# --- lookups, profile, themes' later steps, answers ---
+
+
+def test_snippets_and_globs(spark):
+    long_ = "word " * 50
+    docs = [(1, "One. Two with Key in it! Three"), (2, f"{long_}key {long_}"), (3, "none"), (4, None), (5, "key")]
+    found = {r.k: r.s for r in spark.createDataFrame(docs, "k int, t string").select("k", lookups.snippet(F.col("t"), F.lit("key")).alias("s")).collect()}
+    assert found[1] == "Two with Key in it!" and found[3] is None and found[4] is None and found[5] == "key"
+    assert found[2].startswith("key word") and found[2].endswith("…") and len(found[2]) <= 160
+    paths = spark.createDataFrame([(p,) for p in ("a.md", "x/a.md", "x/y/a.md", "x/ab.md")], "path string")
+    for pattern, want in (("*.md", {"a.md"}), ("**/a.md", {"a.md", "x/a.md", "x/y/a.md"}), ("x/*.md", {"x/a.md", "x/ab.md"}), ("x/a?.md", {"x/ab.md"})):
+        assert {r.path for r in lookups.glob_match(paths, pattern).collect()} == want
+    assert lookups.date_format("YYYY-MM-DD [at] HH") == "%Y-%m-%d at %H"
+
+
+def test_targeted_runs_and_queues(spark):
+    listing = spark.createDataFrame([("n/a.md", "h", "note"), ("e/1.md", "h", None), ("e/2.md", "h", None), ("f.md", "h", None)], "path string, content_hash string, kind string")
+    assert {r.path for r in incremental.targeted(listing, ["e/", "f.md"]).collect()} == {"e/1.md", "e/2.md", "f.md"}
+    files = spark.createDataFrame([("e/1.md", "h", "indexed", None)], "path string, content_hash string, status string, kind string")
+    todo = incremental.plan(listing, files)
+    assert [r.path for r in incremental.backfill_order(todo, listing).collect()] == ["n/a.md", "e/2.md", "f.md"]
+    parts_ = spark.createDataFrame([("e/2.md", 3, 1), ("e/1.md", 5, 5)], "path string, sections int, photos int")
+    assert rows(incremental.call_counts(todo, parts_)) == [(1, 6)]
+    now = dt.datetime(2024, 1, 1, 12)
+    waiting = spark.createDataFrame([("a", "modify", now, 0)], "path string, kind string, ts timestamp, attempts int")
+    failed = spark.createDataFrame([("a", "delete", 0), ("b", "modify", 2)], "path string, kind string, attempts int")
+    queue = {r.path: (r.kind, r.attempts, r.ts) for r in incremental.requeue(waiting, failed, now).collect()}
+    assert queue["a"][0] == "modify" and queue["b"][:2] == ("modify", 3) and (queue["b"][2] - queue["a"][2]).total_seconds() == 120
+    assert {r.path for r in incremental.expand_delete(files, "e", listing.where("path <> 'e/1.md'")).collect()} == {"e/1.md"}
+    assert incremental.expand_delete(files, "e", listing.limit(0)).count() == 0
+    assert incremental.due(None, now) and not incremental.due(now, now) and not incremental.due(None, now, waiting=1)
+
+
+def test_meta_and_settings(spark):
+    meta = spark.createDataFrame([("a", "1")], "key string, value string")
+    meta = incremental.set_meta(meta, "embed_model", "m/8")
+    assert incremental.get_meta(meta, "embed_model") == "m/8" and incremental.get_meta(meta, "none") is None
+    incremental.check_model(meta, "m", 8)
+    with pytest.raises(ValueError):
+        incremental.check_model(meta, "m", 9)
+    meta = incremental.set_meta(meta, "settings.photos", incremental.fingerprint({"on": True}))
+    assert incremental.changed_settings(meta, {"photos": {"on": True}, "links": {}}) == ["links"]
+
+
+def test_profile_is_folded_in_batches(spark):
+    entries = spark.createDataFrame([("h1", D(2024, 1, 1)), ("h2", D(2024, 1, 2))], "text_hash string, entry_date date")
+    found = spark.createDataFrame([("h1", D(2024, 1, 1), "c", "Likes tea"), ("h1", D(2024, 1, 1), "c", "likes TEA "), ("h2", D(2024, 1, 3), "c", "wrong day"), ("h2", D(2024, 1, 2), "c", "Runs")], "text_hash string, entry_date date, category string, fact string")
+    facts = profile.add_facts(found.limit(0).withColumn("folded", F.lit(False)), found, entries)
+    assert facts.count() == 2 and profile.add_facts(facts, found, entries).count() == 2
+    calls = []
+    text_, facts = profile.fold(facts, "", lambda p, f: calls.append(f) or (p + "+".join(f)), 1)
+    assert len(calls) == 2 and facts.where("folded").count() == 2 and not profile.needs_update(facts).first().needed
+    assert profile.prune(facts, entries.where("text_hash = 'h2'")).count() == 1
+
+
+def test_themes_are_kept_and_named(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    middles = np.eye(4)[:3]
+    vectors = [(k, [float(x) for x in middles[k % 3] + rng.normal(0, 0.05, 4)]) for k in range(60)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    placed = themes.group(frame, 3)
+    found = {r.vec_id: r.theme for r in placed.collect()}
+    for a in range(60):
+        assert found[a] == found[a % 3]
+    assert len(set(found.values())) == 3
+    themes.persist(placed, frame, str(tmp_path))
+    kept = spark.read.parquet(str(tmp_path / "themes"))
+    assert kept.count() == 3 and all(len(r.named_from) == 8 and len(r.centroid) == 4 for r in kept.collect())
+    entries = spark.createDataFrame([(k, D(2024, 1, 1 + k % 20), f"summary {k}") for k in range(60)], "entry_id long, entry_date date, summary string")
+    tags = spark.createDataFrame([(k, f"tag{k % 3}") for k in range(60)], "entry_id long, name string")
+    names = {r.theme: r.name for r in themes.named(placed, tags, tags, entries, lambda prompt: '"Walks."' if int(prompt.split()[1]) % 3 == 0 else 1 / 0).collect()}
+    assert "Walks" in names.values() and sum(n.startswith("tag") for n in names.values()) == 2
+
+
+def test_models_retry_and_check_replies(spark):
+    class Flaky:
+        name = "flaky"
+
+        def __init__(self):
+            self.calls = 0
+
+        def complete(self, prompt):
+            self.calls += 1
+            if self.calls < 3:
+                raise ConnectionError
+            return '{"mood": "high"}' if "usable" not in prompt else '{"mood": 7}'
+
+    client = model.Retrying(Flaky(), pause=0)
+    assert model.structured(client, "x", {"mood": int}) == {"mood": 7}
+    with pytest.raises(ValueError):
+        model.structured(model.Offline(), "x", {"mood": int})
+    with pytest.raises(ConnectionError):
+        model.Retrying(Flaky(), attempts=2, pause=0).complete("x")
+    notes = spark.createDataFrame([(1, "a  short\nnote"), (2, "Long one. " * 60)], "note_id long, raw_text string")
+    assert {r.note_id: r.summary for r in model.note_summaries(notes).collect()} == {1: "a short note", 2: "Long one."}
+    vectors_ = model.embeddings(spark.createDataFrame([(1, "s", "text")], "id long, summary string, text string"))
+    assert len(vectors_.first().embedding) == 8
+    photos = spark.createDataFrame([(1, k, f"p{k}", 10**8 if k == 0 else 10) for k in range(7)], "entry_id long, place int, path string, bytes long")
+    assert [r.path for r in model.photos_to_describe(photos).orderBy("path").collect()] == ["p1", "p2", "p3", "p4"]
+
+
+def test_functions_in_sql(spark):
+    names = model.register(spark)
+    row = spark.sql("SELECT week_key(DATE '2024-12-30') AS w, month_key(DATE '2024-12-30') AS m, round(vec_distance_cosine(array(1D, 0D), array(0D, 2D)), 6) AS d, word_stem('hiking') AS s, text_sentences('A b. C!') AS t").first()
+    assert (row.w, row.m, row.d, row.s, row.t) == ("2025-W01", "2024-12", 1.0, "hik", ["A b.", "C!"]) and len(names) == 7
+
+
+def test_answers_from_context_to_sources(spark):
+    entries = spark.createDataFrame([(1, D(2024, 3, 1), "A hike up Bear Mountain.", "Hiked."), (2, D(2024, 3, 2), "home", "Rest.")], "entry_id long, entry_date date, text string, summary string")
+    notes = spark.createDataFrame([("Bear Mountain", "A hill."), ("Other", "x")], "title string, summary string")
+
+    class Model:
+        name, seen = "m", []
+
+        def complete(self, prompt):
+            self.seen.append(prompt)
+            return "<think>hm</think>INSUFFICIENT" if "Hiked." in prompt and "A hike up" not in prompt else "You hiked bear mountain on 2024-03-01."
+
+    stage, said = answer.answer("Where did I hike in 2024-03?", entries, Model(), D(2024, 6, 1), notes=notes)
+    assert stage == "precise" and said.endswith("Sources: 2024-03-01, Bear Mountain")
+    assert answer.answer("what happened in 2020?", entries, Model(), D(2024, 6, 1))[0] == "none"
+    digests = spark.createDataFrame([("week", f"2024-W{k:02d}", f"w{k}", D(2024, 1, 1) + dt.timedelta(7 * k)) for k in range(1, 16)], "period_type string, period_key string, summary string, last_day date")
+    plan = answer.Plan(since=D(2024, 1, 1), until=D(2024, 2, 25))
+    assert [r.summary for r in answer.digests_for(plan, digests).collect()] == [f"w{k}" for k in range(1, 8)]
+    assert "(2024-W01) w1" in answer.summary_context(plan, entries, digests, notes)
+    assert answer.rewritten("and then?", [], None) == "and then?"
+    assert answer.listed("1. One\n- Two\n\n* One") == ["One", "Two"]
+    assert answer.prompts_context(entries, D(2024, 3, 14), 12).count() == 1
