@@ -307,7 +307,7 @@ def _named(documents: DataFrame) -> DataFrame:
 
 def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     """For every distinct text, named by 128 bits, what is cut from it. Copies are read once."""
-    buckets = buckets_for(named)
+    buckets = 4 * buckets_for(named)  # contexts are several times the text
     rows = named.select("u", "v", F.coalesce("text", F.lit("")).alias("text"))
     found = scratch.table(rows.mapInArrow(_anchors, "gram long, u long, v long, at long"), "anchors")
     place = F.xxhash64("u", "v", "at")

@@ -569,10 +569,30 @@ def test_url_filter(spark):
     assert {r.verdict for r in urls.url_filter(pages, ()).collect()} == {"allow"}
 
 
-def test_url_stack_holds_all_rules_above():
-    rules = tuple(urls.Rule("block", h, p) for h in ("com", "a.com", "b.a.com", "aa.com", "org") for p in ("/", "/x"))
-    for key, active in urls.open_rules(rules):
-        assert sorted(active) == sorted(r for r in rules if key.startswith(urls.host_key(r.host)))
+def test_url_filter_of_random_rules(spark, monkeypatch):
+    """Nested hosts and paths, many rules, hot hosts in several ranges, very long urls: against a search of every rule."""
+    monkeypatch.setattr(urls, "PAGES", 7)
+    rng = random.Random(51)
+    label = lambda: rng.choice(["a", "b", "com", "x-y", "é"])
+    host = lambda n: ".".join(label() for _ in range(rng.randint(1, n)))
+    path = lambda n: "/" + "".join(rng.choice("ab/é") for _ in range(rng.randint(0, n)))
+    rules = [urls.Rule(rng.choice(["block", "allow"]), host(3), path(4)) for _ in range(150)]
+    rules += [urls.Rule("block", "com", ""), urls.Rule("allow", "com", ""), urls.Rule("block", "com", "/" + "a" * 500)]
+    pages = [(k, f"http://{host(4).upper()}{path(8)}{rng.choice(['', '?q/a', '#a'])}") for k in range(400)]
+    pages += [(900, "http://a.com/" + "a" * 100_000), (901, "http://" + "a." * 300 + "com/ab"), (902, None), (903, "com/ab"), (904, "http://"), (905, "http://com")] + pages[:3]
+    want = []
+    for k, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        own = re.match("[^/?#]*", rest)[0]
+        where, what = own.translate(LOWER), re.match("[^?#]*", rest[len(own) :])[0]
+        fits = [r for r in rules if (where == r.host or where.endswith("." + r.host)) and what.startswith(r.path)]
+        best = min(fits, key=lambda r: (-len(r.name), r.name, r.verdict), default=None)
+        want.append((k, where, what, best.name if best else None, best.verdict if best else "allow"))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    assert by_id(urls.url_filter(frame, tuple(rules))) == sorted(want, key=repr)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    assert by_id(urls.url_filter(frame, table)) == sorted(want, key=repr)
 
 
 def test_lm_score(docs, rows, none, clashing):
