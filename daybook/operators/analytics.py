@@ -42,7 +42,7 @@ def insights(entries: DataFrame, tags: DataFrame, entities: DataFrame, notes: Da
     gap = F.round(F.col("mood_high") - F.col("mood_low"), 2)
     metric = split.select(F.lit("metric").alias("kind"), F.col("key").alias("name"), F.col("n_high").alias("n"), F.col("mood_high").alias("avg_mood"), gap.alias("magnitude")).where(F.abs("magnitude") >= DEVIATION)
     pairs = links.tag_pairs(tags.join(entries.select("entry_id"), "entry_id", "left_semi"), SAMPLE)
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tag_a", "tag_b"))).where(F.col("rank") <= CAPS["together"])
+    pairs = pairs.orderBy(F.desc("n"), "tag_a", "tag_b").limit(CAPS["together"])
     together = pairs.select(F.lit("together").alias("kind"), F.concat_ws("+", "tag_a", "tag_b").alias("name"), "n", F.lit(None).cast("double").alias("avg_mood"), F.col("n").cast("double").alias("magnitude"))
     parts = [tag, note, grouped, _rhythm(stats.weekday_mood(entries), "weekday", "weekday"), _rhythm(stats.month_of_year_mood(entries), "season", "month"), metric, together]
     out = parts[0]

@@ -12,7 +12,10 @@ def withheld_entries(tags: DataFrame, excluded: list[str], extra: DataFrame | No
 
 
 def withhold(tables: dict[str, DataFrame], entries_out: DataFrame, notes_out: DataFrame, days: str = "entry_date") -> dict[str, DataFrame]:
-    """The tables without the withheld rows: by entry_id, by note_id, and digests of periods that cover a withheld day."""
+    """The tables without the withheld rows: by entry_id, by note_id, and digests of periods that cover a withheld day.
+
+    The withheld days are broadcast: as distinct dates they are some 36,500 a century, whatever the number of entries.
+    """
     out = {}
     lost_days = tables["entries"].join(entries_out, "entry_id", "left_semi").select(F.col(days).alias("lost")).distinct()
     for name, df in tables.items():

@@ -70,21 +70,26 @@ def group(vectors: DataFrame, count: int | None = None, least: int = 5) -> DataF
     return _nearest(rows, centroids).select("vec_id", F.get(names, F.col("theme")).cast("long").alias("theme"), F.round("distance", 6).alias("distance"))
 
 
+def _near(rows: DataFrame, centroids: DataFrame, distance) -> DataFrame:
+    """(vec_id, theme, distance): each vector looks through the centroids, one row of at most a few dozen, in its own row."""
+    one = centroids.agg(F.sort_array(F.collect_list(F.struct("theme", "centroid"))).alias("all"))
+    near = F.array_min(F.transform("all", lambda c: F.struct(distance(c["centroid"]).alias("d"), c["theme"].alias("theme"))))
+    return rows.join(F.broadcast(one)).withColumn("near", near).select("vec_id", F.col("near.theme").alias("theme"), F.col("near.d").alias("distance"))
+
+
 def membership(stored: DataFrame, vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Stored places, and for newer vectors the nearest centroid: at most a few of them, so a broadcast."""
+    """Stored places, and for newer vectors the nearest centroid by angle."""
     newer = vectors.join(stored.select("vec_id"), "vec_id", "left_anti").select("vec_id", unit(F.col("embedding")).alias("u"))
-    pairs = newer.join(F.broadcast(centroids.select("theme", unit(F.col("centroid")).alias("c"))))
-    distance = 1 - F.aggregate(F.zip_with("u", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.groupBy("vec_id").agg(F.min(F.struct(distance.alias("d"), "theme")).alias("m"))
-    return stored.select("vec_id", "theme").union(near.select("vec_id", "m.theme"))
+    angle = lambda c: 1 - F.aggregate(F.zip_with("u", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = _near(newer, centroids.select("theme", unit(F.col("centroid")).alias("centroid")), angle)
+    return stored.select("vec_id", "theme").union(near.select("vec_id", "theme"))
 
 
 def nearest_theme(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(vec_id, theme, distance) by squared distance to each centroid; ties go to the lower theme."""
-    pairs = vectors.join(F.broadcast(centroids))
-    square = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.col("centroid"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.groupBy("vec_id").agg(F.min(F.struct(F.round(F.sqrt(square), 6).alias("d"), "theme")).alias("m"))
-    return near.select("vec_id", F.col("m.theme").alias("theme"), F.col("m.d").alias("distance"))
+    """(vec_id, theme, distance) by distance to each centroid; ties go to the lower theme."""
+    own = F.col("embedding").cast("array<double>")
+    square = lambda c: F.aggregate(F.zip_with(own, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return _near(vectors, centroids, lambda c: F.round(F.sqrt(square(c)), 6))
 
 
 def overview(placed: DataFrame, entries: DataFrame) -> DataFrame:

@@ -593,9 +593,9 @@ def _(j):
     return search.phrase_ids(j.table("documents"), "General Public Licénse")
 
 
-@query("keyword_extract", "SELECT item_id, array_to_string(list_distinct_ordered[1:8], ',') AS keywords FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN][\\pL\\pN''\\-]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")) AS w FROM benchmark))")
+@query("keyword_extract", "SELECT doc_id, array_to_string(list_distinct_ordered[1:8], ',') AS keywords FROM (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN][\\pL\\pN''\\-]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")) AS w FROM documents))")
 def _(j):
-    return j.table("benchmark").select("item_id", F.array_join(text.search_keywords(F.col("text")), ",").alias("keywords"))
+    return j.table("documents").select("doc_id", F.array_join(text.search_keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query(
@@ -666,11 +666,13 @@ def _(j):
     return search.best_sentences(j.table("documents").select("doc_id", "text"), "Which licenses were released publicly?")
 
 
-@query("unlinked_mentions")
+NAMES = "names AS (SELECT item_id AS note_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN][\\pL\\pN''\\-]{2,}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "))[1] AS key FROM benchmark)"
+
+
+@query("unlinked_mentions", f"WITH {NAMES}, t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) || ' ' AS body FROM documents), k AS (SELECT DISTINCT note_id, trim(regexp_replace(key, '[^\\pL\\pN]+', ' ', 'g')) AS key FROM names WHERE length(trim(regexp_replace(key, '[^\\pL\\pN]+', ' ', 'g'))) >= 3) SELECT doc_id AS entry_id, note_id, key FROM t JOIN k ON contains(body, ' ' || key || ' ') WHERE doc_id <> note_id")
 def _(j):
-    texts = j.table("benchmark").select(F.col("item_id").alias("entry_id"), "text")
-    first = j.table("benchmark").select(F.col("item_id").alias("note_id"), text.search_keywords(F.col("text")).alias("k"))
-    names = first.select("note_id", F.col("k")[0].alias("key")).where("key IS NOT NULL")
+    texts = j.table("documents").select(F.col("doc_id").alias("entry_id"), "text")
+    names = j.table("benchmark").select(F.col("item_id").alias("note_id"), text.search_keywords(F.col("text"))[0].alias("key")).where("key IS NOT NULL")
     return search.unlinked_mentions(texts, names, names.select(F.col("note_id").alias("entry_id"), "note_id"))
 
 
@@ -693,9 +695,24 @@ def _(j):
     return j.table("documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))).alias("n_lines"))
 
 
-@query("clean_words", "SELECT item_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS words FROM benchmark")
+@query("clean_words", "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS words FROM documents")
+def _(j):
+    return j.table("documents").select("doc_id", text.words(F.col("text")).alias("words"))
+
+
+WRITTEN = "SELECT p_partkey AS note_id, 'See [[Folder/' || p_name || '.md|' || p_brand || ']] and [[' || p_brand || '#Top]], ![[' || p_brand || '.png]] or [[' || p_name || ']]. #' || p_brand AS text, p_name, p_brand FROM (SELECT p_partkey, p_name, replace(p_brand, '#', '-') AS p_brand FROM part)"
+
+
+@query("note_link_parts", f"SELECT note_id, lower(p_name) || ',' || lower(p_brand) AS keys, lower(p_name) || '=' || p_brand AS labels, lower(p_brand) || '#Top' AS anchors, p_brand || '.png' AS images FROM ({WRITTEN})")
 def _(j):
-    return j.table("benchmark").select("item_id", text.words(F.col("text")).alias("words"))
+    part = j.table("part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    body = F.concat(F.lit("See [[Folder/"), "p_name", F.lit(".md|"), "p_brand", F.lit("]] and [["), "p_brand", F.lit("#Top]], ![["), "p_brand", F.lit(".png]] or [["), "p_name", F.lit("]]. #"), "p_brand")
+    pair = lambda rows, mark, second: F.array_join(F.transform(rows, lambda x: F.concat(x["target"], F.lit(mark), x[second])), ",")
+    rows = part.select(F.col("p_partkey").alias("note_id"), body.alias("text"))
+    return rows.select(
+        "note_id", F.array_join(text.link_keys(F.col("text")), ",").alias("keys"), pair(text.link_labels(F.col("text")), "=", "label").alias("labels"),
+        pair(text.link_anchors(F.col("text")), "#", "anchor").alias("anchors"), F.array_join(text.image_names(F.col("text")), ",").alias("images"),
+    )
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
