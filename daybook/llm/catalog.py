@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from . import chat, classifier, decontam, jaccard, licenses, lm, mixing, quality, suffix, urls
@@ -21,6 +23,10 @@ def queries():
         "op9_lm_score": lambda spark, d: lm.lm_score(table(spark, d, "documents")),
         "op10_quality_classifier": lambda spark, d: classifier.quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "pipeline": corpus_pipeline.run,
+        # the operators' base columns alone, since the whole has no SQL
+        "license_scan_base": lambda spark, d: licenses.license_scan(table(spark, d, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+        "quality_rules_base": lambda spark, d: quality.quality_rules(table(spark, d, "documents"), table(spark, d, "labels")).drop("kept", "score"),
+        "lm_score_base": lambda spark, d: lm.lm_score(table(spark, d, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score")),
     }
 
 
@@ -32,4 +38,7 @@ def oracle_sql():
         "op6_mixing": mixing.SQL,
         "op7_suffix_dedup": suffix.SQL,
         "op8_url_filters": urls.SQL,
+        "license_scan_base": licenses.SQL_BASE,
+        "quality_rules_base": quality.SQL_BASE,
+        "lm_score_base": lm.SQL_BASE,
     }

@@ -210,3 +210,15 @@ def license_scan(documents: DataFrame) -> DataFrame:
     """
     return documents.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
+
+#: The base columns, which SQL can express.
+SQL_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (
+  SELECT row, i - 1 AS pos, unnest(list_filter([CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' END, CASE WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END,
+    CASE WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END], lambda x: x IS NOT NULL)) AS label FROM p
+), g AS (SELECT row, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word, coalesce(l, '') AS base_labels
+FROM d LEFT JOIN g ON g.row = d.row
+"""

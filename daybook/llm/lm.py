@@ -527,3 +527,18 @@ def lm_score(documents: DataFrame) -> DataFrame:
             (-F.col("score") * float(np.log2(10)) / F.col("size")).alias("bits_per_byte"),
         )
     )
+
+
+#: The base columns, which SQL can express; the remainder of a crc32 is worked out bit by bit.
+SQL_BASE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w,
+    coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: xor((CASE WHEN x < 0 THEN a ELSE xor(a, x) END) >> 1, CASE WHEN (CASE WHEN x < 0 THEN a ELSE xor(a, x) END) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 7 = 2, false) AS held_out
+  FROM documents
+), t AS (SELECT row, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT row, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) AS base FROM t LEFT JOIN c USING (token), n GROUP BY 1)
+SELECT doc_id, held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS BIGINT) AS n_known, CAST(n AS BIGINT) AS train_tokens, round(base, 6) AS base_score FROM d JOIN s ON s.row = d.row, n
+"""

@@ -130,3 +130,16 @@ def keep_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     out = judged(documents, labels).withColumn("__row", F.monotonically_increasing_id())
     return out.where("__kept AND __row >= 0").select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+#: The base columns, which SQL can express.
+SQL_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS n FROM g) WHERE n > 1),
+covered AS (SELECT row, sum(c) AS n FROM (SELECT row, least(5, coalesce(i - lag(i) OVER (PARTITION BY row ORDER BY i), 5)) AS c FROM again) GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM l LEFT JOIN covered ON covered.row = l.row)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
