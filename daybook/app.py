@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import config as settings
 from .functions import periods, text
-from .operators import analytics, answer, export, filters, incremental, links, model, privacy, search, sequences, stats
+from .operators import analytics, answer, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
 from .sources import markdown, vault
 
-TABLES = ("files", "entries", "entry_links", "entry_link_labels", "entry_tags", "entry_sections", "entry_metrics", "notes", "note_names", "titles", "note_property_values", "note_links")
+TABLES = ("files", "entries", "entry_links", "entry_link_labels", "entry_tags", "entry_sections", "entry_metrics", "notes", "note_names", "titles", "note_property_values", "note_links", "entry_vectors")
 
 
 def rules(config: settings.Config) -> markdown.Rules:
@@ -53,6 +53,7 @@ def index(spark: SparkSession, config: settings.Config, folder: str, client: mod
         "entry_tags": tagged,
         "entry_metrics": numbers.where("value IS NOT NULL AND key <> 'date'").dropDuplicates(["entry_id", "key"]),
         "notes": notes.select("note_id", "title", "kind", F.col("raw_text").alias("text"), F.col("path").alias("file_path")),
+        "entry_vectors": model.embeddings(entries.select(F.col("entry_id").alias("id"), "summary", F.col("raw_text").alias("text")), client).withColumnRenamed("id", "entry_id"),
         "memo": model.remember(memo, model.call(prompts, client or model.Offline(), "text", memo), "text", (client or model.Offline()).name),
     }
     number = (old.version if old else 0) + 1
@@ -155,6 +156,63 @@ class Daybook:
     def show(self, day: dt.date) -> DataFrame:
         return export.collected(self.entries.where(F.col("entry_date") == F.lit(day)), self.view["entry_tags"], self.view["entry_metrics"])
 
+    def note(self, name: str) -> DataFrame:
+        """The notes of a name, with mentions, first and last day, and how many notes link them."""
+        found = self.note_ids(name).select("note_id").distinct()
+        targets = links.link_targets(self.view["titles"], self.view["note_names"]).withColumnRenamed("note_id", "to")
+        linking = self.view["note_links"].join(targets, F.col("target") == F.col("key")).where("note_id <> to").groupBy(F.col("to")).agg(F.countDistinct("note_id").alias("backlinks"))
+        linking = linking.withColumnRenamed("to", "note_id")
+        mentions = stats.mention_stats(self.entries, self.entities)
+        return self.view["notes"].join(found, "note_id", "left_semi").join(mentions, "note_id", "left").join(linking, "note_id", "left").orderBy("title")
+
+    def similar(self, day: dt.date, most: int = 8) -> DataFrame:
+        """Entries nearest to a day's first entry, the day's own left out."""
+        own = self.entries.where(F.col("entry_date") == F.lit(day)).select("entry_id")
+        vectors = self.view["entry_vectors"].withColumnRenamed("entry_id", "vec_id")
+        query = vectors.join(own.withColumnRenamed("entry_id", "vec_id"), "vec_id", "left_semi").orderBy("vec_id").select("embedding")
+        others = vectors.join(own.withColumnRenamed("entry_id", "vec_id"), "vec_id", "left_anti")
+        near = search.nearest(others, query, most).withColumnRenamed("vec_id", "entry_id")
+        return near.join(self.entries.select("entry_id", "entry_date", "summary"), "entry_id").orderBy("distance", "entry_id")
+
+    def themes(self, count: int | None = None) -> DataFrame:
+        """The entries' themes: how many entries, first and last day, the commonest tags."""
+        placed = themes.group(self.view["entry_vectors"].withColumnRenamed("entry_id", "vec_id"), count)
+        named = themes.shared_names(placed.select(F.col("vec_id").alias("entry_id"), "theme"), self.view["entry_tags"].select("entry_id", F.col("tag").alias("name")))
+        tags = named.groupBy("theme").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("tags"))
+        return themes.overview(placed, self.entries).drop("months").join(tags, "theme", "left").orderBy("theme")
+
+    def ask(self, question: str, client: model.Client | None = None, today: dt.date | None = None, history=()) -> DataFrame:
+        """(stage, answer): see operators/answer.py."""
+        known = self.view["notes"].select("title", F.substring("text", 1, 280).alias("summary"), "text")
+        stage, said = answer.answer(question, self.entries, client or model.Offline(), today or dt.date.today(), notes=known, history=list(history))
+        return self.spark.createDataFrame([(stage, said)], "stage string, answer string")
+
+    def prompts(self, client: model.Client | None = None, today: dt.date | None = None, days: int = 14) -> DataFrame:
+        """Things to write about, from the last days' entries."""
+        told = [r.text for r in answer.prompts_context(self.entries, today or dt.date.today(), days).select("text").collect()]
+        reply = (client or model.Offline()).complete("\n\n".join(told)) if told else ""
+        return self.spark.createDataFrame([(k, x) for k, x in enumerate(answer.listed(reply), 1)], "place int, prompt string")
+
+    def rollup(self, kind: str, client: model.Client | None = None) -> DataFrame:
+        """(period, summary) of every period, written by the model from its entries' summaries."""
+        from .functions.periods import KEYS
+
+        members = self.entries.select(F.xxhash64(KEYS[kind](F.col("entry_date"))).alias("period_id"), KEYS[kind](F.col("entry_date")).alias("period"), F.col("entry_date").alias("day"), F.col("summary").alias("line"))
+        written = model.digests(members.select("period_id", "day", "line"), client)
+        return members.select("period_id", "period").distinct().join(written, F.col("period_id") == F.col("id")).select("period", "summary").orderBy("period")
+
+    def doctor(self) -> DataFrame:
+        """(check, found, ok): tables that are there, entries without files, files in error, vectors that are missing."""
+        files = self.table("files")
+        lost = self.entries.join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+        bare = self.entries.join(self.view["entry_vectors"], "entry_id", "left_anti")
+        checks = {"entries": (self.entries, False), "files in error": (files.where("status = 'error'"), True), "entries without a file": (lost, True), "entries without a vector": (bare, True)}
+        out = None
+        for name, (df, none) in checks.items():
+            one = df.agg(F.count("*").alias("found")).select(F.lit(name).alias("check"), "found", ((F.col("found") == 0) == F.lit(none)).alias("ok"))
+            out = one if out is None else out.union(one)
+        return out
+
     def compare(self, first: str, second: str) -> DataFrame:
         sides = [filters.in_range(self.entries, *periods.bounds(*periods.parse(p))) for p in (first, second)]
         tags = analytics.changes(analytics.compare_counts(*sides, self.view["entry_tags"], "tag"), "tag").withColumnRenamed("tag", "name").withColumn("of", F.lit("tag"))
@@ -195,6 +253,44 @@ class Daybook:
         return export.csv_rows(self.chosen(**which), self.view["entry_tags"], self.view["entry_metrics"], keys).orderBy("entry_date", "entry_id")
 
 
+def init(spark: SparkSession, path: str) -> DataFrame:
+    """Writes settings for a vault where there are none yet."""
+    from pathlib import Path
+
+    file = Path(path)
+    made = not file.exists()
+    if made:
+        file.write_text('[vault]\npath = "."\nnotes_path = "Links"\n\n[tags]\nignore = []\n')
+    return spark.createDataFrame([(str(file), made)], "path string, made boolean")
+
+
+def watch(spark: SparkSession, config: settings.Config, folder: str, runs: int = 0, pause: float = 45.0) -> DataFrame:
+    """Indexes again and again, a pause apart; `runs` 0: for ever. The last run's plan."""
+    import time
+
+    plan, k = index(spark, config, folder), 1
+    while not runs or k < runs:
+        time.sleep(pause)
+        plan, k = index(spark, config, folder), k + 1
+    return plan
+
+
+def _names(book: Daybook, kind: str) -> DataFrame:
+    from .serve import completions
+
+    return book.spark.createDataFrame([(x,) for x in completions(book, kind, "")], "name string")
+
+
+def _serve(book: Daybook, port: int | None) -> DataFrame:
+    from .serve import Rpc, http_server
+
+    if port is None:
+        Rpc(book).serve()
+    else:
+        http_server(book, port).serve_forever()
+    return book.spark.range(0)
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("daybook", description="Questions to a folder of dated writing.")
     p.add_argument("--tables", default="daybook-tables", help="folder of the tables")
@@ -206,11 +302,11 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("mood", "streaks", "tags", "notes", "insights", "export"):
         sub.add_parser(name, parents=[common])
-    for name in ("index", "stats", "metrics", "links", "unlinked", "lapsed", "similar-tags"):
+    for name in ("index", "watch", "stats", "metrics", "links", "unlinked", "lapsed", "similar-tags", "themes", "prompts", "doctor", "mcp"):
         sub.add_parser(name)
     for name, argument in (("search", "question"), ("groups", "key"), ("metric", "key")):
         sub.add_parser(name, parents=[common]).add_argument(argument)
-    for name, argument in (("linked-with", "name"), ("on-this-day", "day"), ("show", "day"), ("review", "period"), ("digest", "kind")):
+    for name, argument in (("linked-with", "name"), ("on-this-day", "day"), ("show", "day"), ("review", "period"), ("digest", "kind"), ("note", "name"), ("similar", "day"), ("ask", "question"), ("rollup", "kind"), ("complete", "kind"), ("browse", "port"), ("init", "path")):
         sub.add_parser(name).add_argument(argument)
     compare = sub.add_parser("compare")
     compare.add_argument("first")
@@ -223,6 +319,10 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     config = settings.load(a.config) if a.config else settings.Config()
     if a.command == "index":
         return index(spark, config, a.tables)
+    if a.command == "init":
+        return init(spark, a.path)
+    if a.command == "watch":
+        return watch(spark, config, a.tables)
     book = Daybook.open(spark, a.tables, withheld_tags=tuple(config.withheld_tags), withheld_kinds=tuple(config.withheld_kinds))
     which = {k: v for k in ("since", "until", "tag", "about", "group") if (v := getattr(a, k, None))}
     day = lambda: dt.date.fromisoformat(a.day)
@@ -231,6 +331,8 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
         "insights": lambda: book.insights(**which), "export": lambda: book.export(**which), "stats": book.stats, "metrics": book.metrics, "links": book.unresolved,
         "unlinked": book.unlinked, "lapsed": book.lapsed, "similar-tags": book.similar_tags, "search": lambda: book.search(a.question, **which), "groups": lambda: book.groups(a.key, **which),
         "metric": lambda: book.metric(a.key, **which), "linked-with": lambda: book.linked_with(a.name), "on-this-day": lambda: book.on_this_day(day()), "show": lambda: book.show(day()),
+        "note": lambda: book.note(a.name), "similar": lambda: book.similar(day()), "themes": book.themes, "ask": lambda: book.ask(a.question), "prompts": book.prompts,
+        "rollup": lambda: book.rollup(a.kind), "doctor": book.doctor, "complete": lambda: _names(book, a.kind), "mcp": lambda: _serve(book, None), "browse": lambda: _serve(book, int(a.port)),
         "review": lambda: book.review(a.period), "digest": lambda: book.digest(a.kind), "compare": lambda: book.compare(a.first, a.second),
     }[a.command]()
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 
-from daybook import app, config
+from daybook import app, config, serve
+from daybook.operators import history
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +55,58 @@ def test_withheld(book):
     assert hidden.entries.count() == 0 and app.Daybook(book.spark, book.folder, book.version, ("therapy",)).entries.count() == 10
 
 
+def test_more_questions(book, tmp_path):
+    jane = book.note("jane").first()
+    assert (jane.title, jane.mentions) == ("Jane Roe", 5)
+    near = book.similar(dt.date(2024, 1, 2), 3).collect()
+    assert len(near) == 3 and dt.date(2024, 1, 2) not in {r.entry_date for r in near}
+    stage, said = book.ask("what about the market in 2024-02?", today=dt.date(2024, 6, 1)).first()
+    assert stage in ("fast", "precise") and said
+    assert book.rollup("month").count() == 2 and all(r.ok for r in book.doctor().collect())
+    assert app.init(book.spark, str(tmp_path / "s.toml")).first().made and not app.init(book.spark, str(tmp_path / "s.toml")).first().made
+    assert config.load(str(tmp_path / "s.toml")).vault.notes_path == "Links"
+
+
+def test_serving(book):
+    import io
+    import threading
+    import urllib.error
+    import urllib.request
+
+    rpc = serve.Rpc(book)
+    say = lambda **m: json.loads(json.dumps(rpc.reply(json.dumps({"jsonrpc": "2.0", **m}))))
+    assert len(say(id=1, method="tools/list")["result"]["tools"]) == len(serve.QUESTIONS) and say(id=2, method="ping")["result"] == {}
+    called = say(id=3, method="tools/call", params={"name": "mood", "arguments": {"about": "Jane"}})["result"]
+    assert not called["isError"] and json.loads(called["content"][0]["text"])[0]["avg_mood"] == 9.0
+    assert say(id=4, method="tools/call", params={"name": "note", "arguments": {}})["result"]["isError"] and say(id=5, method="no")["error"]["code"] == -32601
+    assert rpc.reply("{") is not None and rpc.reply('{"method": "notifications/initialized"}') is None
+    out = io.StringIO()
+    rpc.serve(io.StringIO('{"id": 1, "method": "ping"}\n\n'), out)
+    assert json.loads(out.getvalue())["id"] == 1
+    assert "text" not in serve.asked(book, "day", {"day": "2024-01-02"}, raw=False)[0]
+    server = serve.http_server(book, answer=lambda q: iter(["a", q]))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}/api/"
+    assert json.load(urllib.request.urlopen(base + "streaks"))[0]["longest"] == 10
+    assert urllib.request.urlopen(base + "ask?question=b").read().decode() == 'data: "a"\n\ndata: "b"\n\n'
+    for path, headers, code in (("nothing", {}, 404), ("note", {}, 400), ("mood", {"Sec-Fetch-Site": "cross-site"}, 403), ("mood", {"Host": "evil.example"}, 403)):
+        with pytest.raises(urllib.error.HTTPError) as wrong:
+            urllib.request.urlopen(urllib.request.Request(base + path, headers=headers))
+        assert wrong.value.code == code
+    server.shutdown()
+    assert serve.completions(book, "notes", "ja") == ["Jane", "Jane Roe"] and serve.completions(book, "months", "2024-0") == ["2024-01", "2024-02"]
+    assert "mood" in serve.completion_script(["mood", "ask"]) and "complete -c" in serve.completion_script(["mood"], "fish")
+
+
+def test_history(spark):
+    asked = spark.createDataFrame([], "asked_id long, conversation string, asked_at timestamp, source string, question string, stage string, answer string")
+    for k in range(3):
+        asked = history.record(asked, "a" if k < 2 else "b", dt.datetime(2024, 1, 1 + k), "cli" if k < 2 else "web", f"q{k}", "fast", "x")
+    assert [r.question for r in history.recent(asked, 2).collect()] == ["q2", "q1"] and history.get(asked, 2).first().question == "q1"
+    assert [r.question for r in history.last_conversation(asked, "cli").collect()] == ["q0", "q1"]
+    assert history.delete(asked, 1).count() == 2 and history.clear(asked).count() == 0 and history.counts(asked).first().conversations == 2
+
+
 def test_commands(book):
     got = app.run(book.spark, ["--tables", book.folder, "mood", "--since", "2024-01-05", "--tag", "work"]).collect()
     assert [(r.month, r.entry_count) for r in got] == [("2024-01", 3)]
