@@ -161,6 +161,24 @@ def clip(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The path below a root; null for one that isn't."""
+    top = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(top)), F.substr(path, F.lit(len(top) + 1)))
+
+
+def app_url(vault: str, path: Column) -> Column:
+    """A link that opens a vault's file in a notes app; the file's name goes without .md."""
+    bare = F.regexp_replace(path, r"\.md$", "")
+    return F.concat(F.lit(f"obsidian://open?vault={_quoted(vault)}&file="), F.regexp_replace(F.url_encode(bare), r"\+", "%20"))
+
+
+def _quoted(text: str) -> str:
+    from urllib.parse import quote
+
+    return quote(text, safe="")
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 

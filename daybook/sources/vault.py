@@ -87,3 +87,61 @@ def child_tables(entries_: DataFrame, notes_: DataFrame) -> dict[str, DataFrame]
         "note_property_values": properties,
         "note_links": notes_.select("note_id", F.explode("links").alias("target")),
     }
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """(path, frontmatter) of listed files: the properties alone, nothing below them is read."""
+    texts = pa.list_(pa.string())
+    schema = pa.schema([("path", pa.string()), ("frontmatter", pa.map_(pa.string(), texts))])
+
+    def parse(batches):
+        for batch in batches:
+            rows = [{"path": p, "frontmatter": markdown.header(t or "")[0]} for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield _arrow(rows, schema)
+
+    top = F.regexp_extract("text", r"(?s)^(\x{FEFF}?---[ \t]*\r?\n.*?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|$))", 1)
+    return files.select("path", top.alias("text")).mapInArrow(parse, "path string, frontmatter map<string,array<string>>")
+
+
+def images(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path) of the files that embedded names mean: by their path, else the file of that name that is nearest to the root, the
+    first by path of equals. `files` (path): hidden folders are left out."""
+    shown = files.where(~F.col("path").rlike(r"(^|/)\.")).select("path", F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("base"), F.size(F.split("path", "/")).alias("depth"))
+    wanted = names.select("name", F.lower(F.regexp_extract("name", r"([^/]*)$", 1)).alias("base")).distinct()
+    exact = (F.lower("path") == F.lower("name")).cast("int")
+    found = wanted.join(shown, "base").groupBy("name").agg(F.min(F.struct((-exact).alias("by"), "depth", "path")).alias("f"))
+    return found.select("name", F.col("f.path").alias("path"))
+
+
+#: Where a notes app keeps its settings of daily notes and of files it leaves out.
+APP_FOLDER, DAILY, GENERAL = ".obsidian", "daily-notes.json", "app.json"
+
+
+def app_settings(vault: str) -> dict:
+    """What a notes app says of a vault: date format, folder and template of daily notes, and what it leaves out; empty without it."""
+    import json
+    from pathlib import Path
+
+    out = {}
+    for file, keys in ((DAILY, {"format": "date_format", "folder": "folder", "template": "template"}), (GENERAL, {"userIgnoreFilters": "ignore"})):
+        path = Path(vault) / APP_FOLDER / file
+        try:
+            found = json.loads(path.read_text(encoding="utf-8-sig")) if path.exists() else {}
+        except ValueError:
+            found = {}
+        out |= {ours: found[theirs] for theirs, ours in keys.items() if isinstance(found, dict) and found.get(theirs)}
+    return out
+
+
+def advice(vault: str, rules: markdown.Rules) -> list[str]:
+    """Where the settings differ from the notes app's."""
+    from ..operators.lookups import date_format
+
+    own, said = app_settings(vault), []
+    if "date_format" in own and date_format(own["date_format"].rpartition("/")[2]) != rules.date_format:
+        said.append(f"daily notes are named {own['date_format']}: set date_format to {date_format(own['date_format'].rpartition('/')[2])}")
+    for key in ("template", "ignore"):
+        for path in [own[key]] if isinstance(own.get(key), str) else own.get(key, []):
+            if path not in rules.ignore:
+                said.append(f"{path} is no daily note: add it to ignore")
+    return said

@@ -621,3 +621,18 @@ def test_answers_from_context_to_sources(spark):
     assert answer.rewritten("and then?", [], None) == "and then?"
     assert answer.listed("1. One\n- Two\n\n* One") == ["One", "Two"]
     assert answer.prompts_context(entries, D(2024, 3, 14), 12).count() == 1
+
+
+def test_headers_images_and_app_settings(spark, tmp_path):
+    (tmp_path / ".obsidian").mkdir()
+    (tmp_path / ".obsidian/daily-notes.json").write_text('{"format": "YYYY/DD.MM.YYYY", "template": "T/day"}')
+    (tmp_path / ".obsidian/app.json").write_text('{"userIgnoreFilters": ["Old/"]}')
+    assert vault.app_settings(str(tmp_path))["ignore"] == ["Old/"] and vault.app_settings(str(tmp_path / "none")) == {}
+    assert [a.split(":")[0] for a in vault.advice(str(tmp_path), markdown.Rules())] == ["daily notes are named YYYY/DD.MM.YYYY", "T/day is no daily note", "Old/ is no daily note"]
+    files = spark.createDataFrame([("a.md", "---\nmood: 3\n---\nbody\n---\nmore: 4\n---"), ("b.md", "no header"), ("c.md", None)], "path string, text string")
+    assert {r.path: r.frontmatter for r in vault.headers(files).collect()} == {"a.md": {"mood": ["3"]}, "b.md": {}, "c.md": {}}
+    found = spark.createDataFrame([("x/y/p.png",), ("z/p.png",), (".trash/q.png",), ("img/q.PNG",)], "path string")
+    names = spark.createDataFrame([("p.png",), ("x/y/p.png",), ("q.png",), ("none.png",)], "name string")
+    assert {r.name: r.path for r in vault.images(names, found).collect()} == {"p.png": "z/p.png", "x/y/p.png": "x/y/p.png", "q.png": "img/q.PNG"}
+    assert value(spark, text.relative_path(F.lit("/v/a/b.md"), "/v")) == "a/b.md" and value(spark, text.relative_path(F.lit("/w/b.md"), "/v")) is None
+    assert value(spark, text.app_url("My Vault", F.lit("a b/ü.md"))) == "obsidian://open?vault=My%20Vault&file=a%20b%2F%C3%BC"
