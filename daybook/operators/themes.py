@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import unit
 
-LEAST, SEED, ROUNDS = 20, 7, 30
+#: Vectors that a grouping needs, its seed, its most rounds, and the share of vectors that must still move for another.
+LEAST, SEED, ROUNDS, MOVING = 20, 7, 30, 1 / 500
 
 
 def theme_count(entries: int, least: int = 5) -> int:
@@ -23,45 +26,102 @@ def _nearest(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.withColumn("near", F.array_min(distances)).select("vec_id", "u", F.col("near.k").alias("theme"), F.col("near.d").alias("distance"))
 
 
-def _means(placed: DataFrame, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by theme and place: k * width numbers for the driver. Values are rounded to whole 1e-9, so order of adding can't matter."""
-    parts = placed.select("theme", F.posexplode("u").alias("at", "x")).groupBy("theme", "at").agg(F.sum(F.round(F.col("x") * 1e9).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    sums, sizes = np.zeros((k, width)), np.zeros(k, int)
-    for row in parts.toLocalIterator():
-        sums[row.theme, row.at] = float(row.s)
-        sizes[row.theme] = row.n
-    norms = np.linalg.norm(sums, axis=1, keepdims=True)
-    return sums / np.where(norms > 0, norms, 1), sizes
+def _matrix(batch) -> np.ndarray:
+    return batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _lengths(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return 1 - units @ centroids.T
+
+
+def _luck(hashes: np.ndarray, draw: int) -> np.ndarray:
+    """Numbers between 0 and 1 that follow from a vector's hash and the draw alone."""
+    x = hashes.view(np.uint64) + np.uint64(draw * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x >> np.uint64(11)).astype(np.float64) + 1) / (2.0**53 + 1)
+
+
+def _seeds(batches, centroids: np.ndarray):
+    """A task's vector with the best luck for its squared distance from all seeds; without seeds, the one of least hash."""
+    best = None
+    for batch in batches:
+        units, hashes, ids = _matrix(batch), batch.column("hash").to_numpy(), batch.column("vec_id").to_numpy()
+        if len(centroids):
+            weight = np.maximum(_lengths(units, centroids).min(1), 0) ** 2
+            turn = np.where(weight > 1e-24, -np.log(_luck(hashes, len(centroids))) / np.maximum(weight, 1e-24), np.inf)
+        else:
+            turn = hashes.astype(np.float64)
+        at = np.lexsort((ids, turn))[0] if len(ids) else None
+        if at is not None and (best is None or (turn[at], ids[at]) < best[:2]):
+            best = (float(turn[at]), int(ids[at]), units[at].tolist())
+    if best is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]])], ["turn", "vec_id", "u"])
+
+
+def _sums(batches, centroids: np.ndarray, before: np.ndarray | None):
+    """Of a task's vectors: per theme how many, how many had another before, and their sum in whole 1e-9, which no order of adding
+    changes; and the furthest vector of all."""
+    k, width = centroids.shape
+    sums, sizes, moved, far = np.zeros((k, width), np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64), (-1.0, 0, [0.0] * width)
+    for batch in batches:
+        units, ids = _matrix(batch), batch.column("vec_id").to_numpy()
+        lengths = _lengths(units, centroids)
+        theme = lengths.argmin(1)
+        np.add.at(sums, theme, np.rint(units * 1e9).astype(np.int64))
+        sizes += np.bincount(theme, minlength=k)
+        if before is not None:
+            moved += np.bincount(theme[theme != _lengths(units, before).argmin(1)], minlength=k)
+        own = lengths.min(1)
+        at = np.lexsort((ids, -own))[0] if len(ids) else None
+        if at is not None and (-own[at], ids[at]) < (-far[0], far[1]):
+            far = (float(own[at]), int(ids[at]), units[at].tolist())
+    rows = [(t, int(sizes[t]), int(moved[t]), sums[t].tolist(), 0.0, 0) for t in range(k)] + [(-1, 0, 0, np.rint(np.array(far[2]) * 1e9).astype(np.int64).tolist(), far[0], far[1])]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64()), strict=True)]
+    yield pa.RecordBatch.from_arrays(columns, ["theme", "n", "moved", "sums", "far", "vec_id"])
+
+
+def _round(rows: DataFrame, centroids: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The themes' means, their sizes, and how many vectors changed theme: the driver reads a row for each task and theme."""
+    found = rows.mapInArrow(partial(_sums, centroids=centroids, before=before), "theme long, n long, moved long, sums array<long>, far double, vec_id long").collect()
+    total, sizes, moved = np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64), 0
+    for r in found:
+        if r.theme >= 0:
+            total[r.theme] += np.array(r.sums)
+            sizes[r.theme] += r.n
+            moved += r.moved
+    means = total.astype(float)
+    furthest = sorted((r for r in found if r.theme < 0 and r.far >= 0), key=lambda r: (-r.far, r.vec_id))
+    for theme, far in zip(np.flatnonzero(sizes == 0), furthest, strict=False):
+        means[theme] = far.sums
+    norms = np.linalg.norm(means, axis=1, keepdims=True)
+    return means / np.where(norms > 0, norms, 1), sizes, moved
 
 
 def group(vectors: DataFrame, count: int | None = None, least: int = 5) -> DataFrame:
     """(vec_id, theme, distance), themes from 1, the largest first. ValueError under LEAST vectors.
 
-    Seeds: the vector of least hash, then again and again the one furthest from all seeds. A theme left empty takes the
-    furthest vector; a theme under `least` is folded into the others while over two are left.
+    Seeds: the vector of least hash, then again and again one drawn with its squared distance from all seeds as weight; a vector's
+    luck is a hash, so equal input gives equal themes. Rounds end when under MOVING of the vectors change their theme. A theme left
+    empty takes the furthest vector; a theme under `least` is folded into the others while over two are left. Each pass sums in its
+    tasks, and k * tasks short rows reach the driver.
     """
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("u")).where("u IS NOT NULL")
+    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.xxhash64("vec_id", F.lit(SEED)).alias("hash")).where("u IS NOT NULL")
     n = rows.count()
     if n < LEAST:
         raise ValueError(f"{LEAST} vectors at least, not {n}")
     k = min(count or theme_count(n, least), n)
-    first = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").first().u
-    centroids = np.array([first])
+    centroids = np.empty((0, 0))
     while len(centroids) < k:
-        far = _nearest(rows, centroids).orderBy(F.desc("distance"), "vec_id").first()
-        centroids = np.vstack([centroids, far.u])
+        drawn = min(rows.mapInArrow(partial(_seeds, centroids=centroids), "turn double, vec_id long, u array<double>").collect(), key=lambda r: (r.turn, r.vec_id))
+        centroids = np.vstack([centroids, drawn.u]) if len(centroids) else np.array([drawn.u])
     while True:
+        before = None
         for _ in range(ROUNDS):
-            placed = _nearest(rows, centroids)
-            moved, sizes = _means(placed, len(centroids), centroids.shape[1])
-            empty = np.flatnonzero(sizes == 0)
-            if len(empty):
-                for theme, far in zip(empty, placed.orderBy(F.desc("distance"), "vec_id").limit(len(empty)).collect(), strict=False):
-                    moved[theme] = far.u
-            still = np.abs(moved - centroids).max() < 1e-6
-            centroids = moved
-            if still:
+            moved, sizes, changed = _round(rows, centroids, before)
+            if before is not None and changed < max(1, n * MOVING):
                 break
+            before, centroids = centroids, moved
         if len(centroids) <= 2 or sizes.min() >= least:
             break
         centroids = np.delete(centroids, int(np.argmin(sizes)), axis=0)
