@@ -123,7 +123,8 @@ def mix_blocks(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     parts = parts.select("*", F.explode(F.sequence(first, last)).alias("block"))
     words = F.least("end", (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
     after = F.col("count") + F.col("block") * F.col("sources") + F.col("place") - 1
-    joined = parts.join(slots, ["place", "block"], "left")
+    # numbers compress so well that a file of millions of slots looks small enough to broadcast
+    joined = parts.join(slots.hint("merge"), ["place", "block"], "left")
     return rows, joined.select("row", "block", F.coalesce("slot", after).alias("slot"), words.alias("words"))
 
 
