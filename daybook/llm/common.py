@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, which holds whole texts, in the JVM and in a Python worker.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 _own: dict[str, str] = {}
 
 
@@ -35,6 +38,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.names = spark, set()
         self.made.append(self)
+        if spark.conf.get(BATCH_SETTING) == "10000":  # Spark's own default: ten thousand texts are too much to hold at once
+            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
         self.root = f"{shared_folder(spark)}/daybook-{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
