@@ -793,3 +793,18 @@ def test_chat_formatting_of_long_texts_and_ties(spark):
     assert made[0]["arguments"]["query"] == long_ and [c["status"] for c in made] == ["ok", "unanswered"]
     assert [r.kind for r in found if r.conv_id is None] == ["calls", "orphan_result"] or [r.kind for r in found if r.conv_id is None] == ["orphan_result", "calls"]
     assert json.loads(next(r.message for r in found if r.turn == 2))["content"] == long_
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from daybook.llm import common
+
+    session = lambda master, folder=None: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId=master)
+    )
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_folder(session(master))
+    assert common.shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_folder(session("local[2]")) == common.shared_folder(session("local[2]"))
