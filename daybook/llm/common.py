@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ class Scratch:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Shuffle files of finished queries stay until the driver's references to them are collected. This asks for it now, where an
+        operator would else hold the whole text twice on disk."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -319,6 +319,7 @@ def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     contexts = once().join(places, ["u", "v"]).mapInArrow(lambda batches: _contexts(batches, buckets), "bucket int, key long, before binary, after binary, members binary")
     spans = scratch.table(contexts.groupBy("bucket").applyInArrow(_families, SPANS), "spans")
     scratch.drop("anchors")
+    scratch.release()
     spans = spans.groupBy("u", "v").agg(F.collect_set(F.struct("start", "end", "passage")).alias("spans"))
     return once().join(spans, ["u", "v"], "left").mapInArrow(lambda batches: _cuts(batches, texts), CUT)
 
