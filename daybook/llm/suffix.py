@@ -314,6 +314,7 @@ def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     often = found.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x != y")
     # written, so that the join's sides come straight from shuffles and Spark can split a frequent anchor's partition
     often = scratch.table(often.select("gram", (F.col("n") > HOT).alias("hot")), "often")
+    scratch.release()
     places = found.join(often, "gram").groupBy("u", "v").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("places"))
     once = lambda: rows.groupBy("u", "v").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     contexts = once().join(places, ["u", "v"]).mapInArrow(lambda batches: _contexts(batches, buckets), "bucket int, key long, before binary, after binary, members binary")
