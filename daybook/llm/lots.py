@@ -30,8 +30,8 @@ ORDER = ("day", "lot", "sale_id", "line_no", "q", "c", "d")
 PIECE = ("client_id", "item_id", "return_no", "piece_no", "return_day", "return_sale_id", "rq", "rc", "rd", "a", "b", "lot_sale_id", "lot_line_no", "lq", "lc", "t")
 LOT_PART = PIECE[11:]
 #: An event of a group that may go on in another range, with the group's sums in this range up to it: units shipped and returned, least
-#: difference before it, lots and returns.
-OPEN = ("part", "client_id", "item_id", "day", "lot", "sale_id", "line_no", "q", "c", "d", "u", "shipped", "back", "least", "lots", "returns")
+#: difference before it, lots and returns. side: twice the range, and one more for its last group where that isn't its first too.
+OPEN = ("side", "client_id", "item_id", "day", "lot", "sale_id", "line_no", "q", "c", "d", "u", "shipped", "back", "least", "lots", "returns")
 #: A lot or a return on the unit line: from x to y, and what its pieces need. nth: a lot's or return's rank in its group; before: lots
 #: shipped before a return.
 CUT = ("client_id", "item_id", "x", "lot", "y", "nth", "before", "day", "sale_id", "line_no", "q", "c", "d", "u")
@@ -59,12 +59,12 @@ def events(sale_lines: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def _table(batches) -> dict[str, np.ndarray]:
-    """A task's rows as columns of long."""
+    """A task's rows as columns of long; NONE for null."""
     found = [b for b in batches if b.num_rows]
     if not found:
         return {}
     whole = pa.Table.from_batches(found)
-    return {c: whole.column(c).to_numpy() for c in whole.column_names}
+    return {c: whole.column(c).fill_null(int(NONE)).to_numpy() for c in whole.column_names}
 
 
 def _starts(rows: dict[str, np.ndarray]) -> np.ndarray:
@@ -154,7 +154,7 @@ def _ranges(batches):
     begins = own == np.arange(len(back))
     rows["least"] = np.full(n, FAR)
     rows["least"][back] = np.where(begins, FAR, np.concatenate([[FAR], least])[:-1])
-    rows["part"] = np.full(n, TaskContext.get().partitionId())
+    rows["side"] = 2 * TaskContext.get().partitionId() + (group > 0)
 
     within = (group > 0) & (group < groups - 1)
     lots = _take(rows, np.flatnonzero(is_lot & within))
@@ -264,21 +264,26 @@ def _sorted(df: DataFrame, *keys) -> DataFrame:
     return df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
-def _before(summaries) -> list[tuple[int, ...]]:
-    """Of each range's first and last group its sums before the range, and how far the group's line is taken back in the end.
+def _before(summaries) -> np.ndarray:
+    """By side: a group's sums before the range (units shipped and returned, least difference, lots, returns), and how far its line is
+    taken back in the end.
 
-    `summaries`: (part, client_id, item_id, shipped, back, least, lots, returns), two a range at most.
+    `summaries`: (side, client_id, item_id, shipped, back, least, lots, returns).
     """
-    out, ends, state, group = [], {}, (0,) * 5, None
-    for r in sorted(map(tuple, summaries)):
-        if r[1:3] != group:
-            group, state = r[1:3], (0,) * 5
-        out.append((*r[:3], *state))
+    rows = sorted(map(tuple, summaries))
+    out = np.zeros((6, rows[-1][0] + 1 if rows else 1), np.int64)
+    state, group, taken = (0,) * 5, None, {}
+    for side, *own_group, own_shipped, own_back, own_least, own_lots, own_returns in rows:
+        if own_group != group:
+            group, state = own_group, (0,) * 5
+        out[:5, side] = state
         shipped, back, least, lots, returns = state
-        least = least if r[5] is None else min(least, shipped - back + r[5])
-        state = (shipped + r[3], back + r[4], least, lots + r[6], returns + r[7])
-        ends[group] = state[1] + min(0, least)
-    return [(*r, ends[r[1:3]]) for r in out]
+        least = least if own_least is None else min(least, shipped - back + own_least)
+        state = (shipped + own_shipped, back + own_back, least, lots + own_lots, returns + own_returns)
+        taken[tuple(group)] = state[1] + min(0, least)
+    for side, client, item, *_ in rows:
+        out[5, side] = taken[client, item]
+    return out
 
 
 def _under_way(tails) -> list[tuple[int, ...]]:
@@ -303,7 +308,8 @@ def _longs(names: tuple[str, ...]) -> str:
 def pieces(sale_lines: DataFrame, sales: DataFrame, scratch: Scratch) -> DataFrame:
     """PIECE rows: which units of which lot each return takes.
 
-    The driver holds two rows a range and a lot and a return a range, as many as spark.sql.shuffle.partitions; that is what is broadcast.
+    The driver holds two rows a range and a lot and a return a range, and gives them back as constants of the plan: there are as many
+    ranges as spark.sql.shuffle.partitions.
     """
     spark = sale_lines.sparkSession
     lots = scratch.table(events(sale_lines, sales).withColumn("row", F.monotonically_increasing_id()), "lots")
@@ -316,15 +322,14 @@ def pieces(sale_lines: DataFrame, sales: DataFrame, scratch: Scratch) -> DataFra
 
     at_ends = ranges.where("event IS NOT NULL").select("event.*")
     least = F.min(F.when(F.col("lot") == 0, F.col("shipped") - F.col("back")))
-    summaries = at_ends.groupBy("part", *GROUP).agg(F.max("shipped"), F.max("back"), least, F.max("lots"), F.max("returns")).collect()
-    names = ("part", *GROUP, "shipped0", "back0", "least0", "lots0", "returns0", "taken")
-    at_ends = at_ends.join(F.broadcast(spark.createDataFrame(_before(summaries), _longs(names))), ["part", *GROUP])
-    shipped, back = F.col("shipped") + F.col("shipped0"), F.col("back") + F.col("back0")
-    least = F.least("least0", F.col("shipped0") - F.col("back0") + F.col("least"))
+    summaries = at_ends.groupBy("side", *GROUP).agg(F.max("shipped"), F.max("back"), least, F.max("lots"), F.max("returns")).collect()
+    shipped0, back0, least0, lots0, returns0, taken = (F.get(F.lit(x), F.col("side").cast("int")) for x in _before(summaries))
+    shipped, back = F.col("shipped") + shipped0, F.col("back") + back0
+    least = F.least(least0, shipped0 - back0 + F.col("least"))
     low, high = reflected(shipped, back, F.col("u"), least, lambda a, b: F.least(a, F.lit(b) if isinstance(b, int) else b))
     is_lot = F.col("lot") == 1
-    before = F.col("lots") + F.col("lots0")
-    cuts = at_ends.withColumns({"x": F.when(is_lot, shipped - F.col("q")).otherwise(low), "y": F.when(is_lot, shipped).otherwise(high), "before": before, "nth": F.when(is_lot, before).otherwise(F.col("returns") + F.col("returns0"))})
+    before = F.col("lots") + lots0
+    cuts = at_ends.withColumns({"taken": taken, "x": F.when(is_lot, shipped - F.col("q")).otherwise(low), "y": F.when(is_lot, shipped).otherwise(high), "before": before, "nth": F.when(is_lot, before).otherwise(F.col("returns") + returns0)})
     none = F.lit(None).cast("long")
     unmatched = cuts.where("lot = 0 AND x = y").select(
         *GROUP, F.col("nth").alias("return_no"), F.lit(1).cast("long").alias("piece_no"), F.col("day").alias("return_day"), F.col("sale_id").alias("return_sale_id"),
