@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import audit, chat, classifier, decontam, jaccard, licenses, lm, lots, mixing, quality, suffix, urls
+from . import audit, chat, classifier, decontam, jaccard, licenses, lm, lots, mixing, quality, suffix, urls, warc
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries():
         "op9_lm_score": lambda spark, d: lm.lm_score(table(spark, d, "documents")),
         "op10_quality_classifier": lambda spark, d: classifier.quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "op11_return_lots": lambda spark, d: lots.match_returns(table(spark, d, "sale_lines"), table(spark, d, "sales")),
+        "op12_warc_index": lambda spark, d: warc.archive_pages(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"),
         "op13_filter_audit": lambda spark, d: audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels")),
         "pipeline": corpus_pipeline.run,
         # the operators' base columns alone, since the whole has no SQL
@@ -41,6 +42,7 @@ def oracle_sql():
         "op7_suffix_dedup": suffix.SQL,
         "op8_url_filters": urls.SQL,
         "op11_return_lots": lots.SQL,
+        "op12_warc_index": warc.SQL,
         "op13_filter_audit": audit.SQL,
         "license_scan_base": licenses.SQL_BASE,
         "quality_rules_base": quality.SQL_BASE,
