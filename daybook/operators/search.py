@@ -40,19 +40,27 @@ def scores(docs: DataFrame, queries: DataFrame, stored: DataFrame | None = None)
     else:
         corpus = stored.where("term IS NULL").agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
         hits = stored.join(asked, "term", "left_semi").select("term", "doc_id", "length", "tf")
+    return weighed(hits, corpus, queries)
+
+
+def weighed(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) from `hits` (term, doc_id, length, tf) of all asked terms and the one row of `corpus` (docs, words)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").join(F.broadcast(corpus))
+    rows = hits.join(df, "term").join(F.broadcast(corpus))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     size = 1 - B + B * F.col("length") / (F.col("words") / F.col("docs"))
-    weighed = weighed.withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size))
-    scored = queries.join(weighed.select("term", "doc_id", "w"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    rows = rows.withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size))
+    scored = queries.join(rows.select("term", "doc_id", "w"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return scored.withColumn("score", F.round("score", 6))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, most: int, allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best texts for each query's terms. `allowed` (doc_id) only limits what may be returned,
     so a text is found however low it ranks."""
-    scored = scores(docs, queries, stored)
+    return best(scores(docs, queries, stored), most, allowed)
+
+
+def best(scored: DataFrame, most: int, allowed: DataFrame | None = None) -> DataFrame:
     if allowed is not None:
         scored = scored.join(allowed, "doc_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -788,6 +788,6 @@ def _(j):
     return incremental.last_events(rows, 45, datetime.datetime(2024, 1, 30, 18)).select("path", "ts", "kind")
 
 
-from . import more  # noqa: E402, F401  registers its queries after these
+from . import more, stored  # noqa: E402, F401  register their queries after these
 
 __all__ = ["oracle_sql", "queries"]
