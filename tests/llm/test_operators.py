@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.llm import chat, classifier, decontam, graph, jaccard, kernels, licenses, lm, mixing, quality, suffix, urls
 from daybook.llm.common import Scratch
@@ -569,6 +570,16 @@ def test_url_filter(spark):
     assert {r.verdict for r in urls.url_filter(pages, ()).collect()} == {"allow"}
 
 
+def test_url_filter_of_shuffled_pages(spark):
+    """Pages are numbered once: what a shuffle deals out anew in every branch of a plan gets the same rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", F.col("html"))
+    pages = pages.union(pages.select(F.col("page_id") + 1000, F.concat("url", F.lit("/en/7")), "html"))
+    want = sorted(map(tuple, urls.url_filter(pages).collect()))
+    some = pages.withColumn("extra", F.rand(1))
+    for shuffled in (pages.repartition(5), pages.repartition(7, "url"), pages.distinct(), some.orderBy("extra"), some.repartition(3).union(some.limit(0)), pages.repartition(4).cache()):
+        assert sorted(map(tuple, urls.url_filter(shuffled).collect())) == want
+
+
 def test_url_filter_of_random_rules(spark, monkeypatch):
     """Nested hosts and paths, many rules, hot hosts in several ranges, very long urls: against a search of every rule."""
     monkeypatch.setattr(urls, "PAGES", 7)
