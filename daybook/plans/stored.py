@@ -30,9 +30,9 @@ def _(j):
     return _index(j).match('(license OR licensed) NOT apache NOT "public license"')
 
 
-@query("fulltext_beginning", f"SELECT doc_id FROM ({WORDS}) WHERE contains(s, ' the ') AND contains(s, ' licen') AND contains(s, ' rights reser')")
+@query("fulltext_beginning", f"SELECT doc_id FROM ({WORDS}) WHERE contains(s, ' rights reser') OR contains(s, ' public ') AND contains(s, ' licen')")
 def _(j):
-    return _index(j).match('the licen* "rights reser"*')
+    return _index(j).match('"rights reser"* OR public licen*')
 
 
 def _changed(j: Journal) -> FullText:
