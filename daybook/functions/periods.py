@@ -107,33 +107,46 @@ def title(kind: str, key: str) -> str:
 
 
 _MONTHS = {name.lower(): k for k in range(1, 13) for name in (calendar.month_name[k], calendar.month_abbr[k])}
-_NAMED = "|".join(sorted(_MONTHS, key=len, reverse=True))
-_ORDINAL = r"(?:st|nd|rd|th)?"
-#: The ways to write one day; a question's first match counts.
-_DAY = re.compile(
-    rf"\b(?:(?P<iso>\d{{4}}-\d\d-\d\d)|(?P<near>today|yesterday)|"
-    rf"(?P<month_first>{_NAMED})\.?\s+(?P<second>\d{{1,2}}){_ORDINAL}(?:,?\s+(?P<year_a>\d{{4}}))?|"
-    rf"(?P<first>\d{{1,2}}){_ORDINAL}\s+(?:of\s+)?(?P<month_second>{_NAMED})(?:,?\s+(?P<year_b>\d{{4}}))?)\b"
-)
-#: Words that make a day the end of a range.
-_RANGE_WORDS = frozenset("since between from until before after".split())
+#: Words that make a day the end of a range.
+RANGE_WORDS = frozenset("since after before until till through between from during over throughout".split())
+
+
+def _number(word: str) -> int | None:
+    """A day of a month, with or without its ordinal ending."""
+    digits = word.rstrip("stndrh")
+    return int(digits) if digits.isdecimal() and len(digits) < 3 and word[len(digits) :] in ("", "st", "nd", "rd", "th") else None
+
+
+def _named_days(words: list[str]):
+    """(month, day, year or none) of the days that stand in words, month first before day first."""
+    at = lambda k: words[k] if 0 <= k < len(words) else ""
+    year = lambda k: int(at(k)) if at(k).isdecimal() and len(at(k)) == 4 else None
+    months = [(k, _MONTHS[w]) for k, w in enumerate(words) if w in _MONTHS]
+    for k, month in months:
+        if (day := _number(at(k + 1))) is not None:
+            yield month, day, year(k + 2)
+    for k, month in months:
+        if (day := _number(at(k - 2 if at(k - 1) == "of" else k - 1))) is not None:
+            yield month, day, year(k + 1)
 
 
 def explicit_day(question: str, today: date) -> date | None:
     """The one day that a question names; none beside words of a range. Without a year: its most recent past."""
-    words = question.lower()
-    found = None if _RANGE_WORDS & set(re.findall(r"[a-z]+", words)) else _DAY.search(words)
-    if found is None:
+    words = [w.strip("-_") for w in re.findall(r"[\w-]+", question.lower())]
+    if not RANGE_WORDS.isdisjoint(part for w in words for part in w.split("-")):
         return None
-    if found["near"]:
-        return today - timedelta(found["near"] == "yesterday")
+    for word, back in (("yesterday", 1), ("today", 0)):
+        if word in words:
+            return today - timedelta(back)
     try:
-        if found["iso"]:
-            return date.fromisoformat(found["iso"])
-        month, number = _MONTHS[found["month_first"] or found["month_second"]], int(found["second"] or found["first"])
-        if year := found["year_a"] or found["year_b"]:
-            return date(int(year), month, number)
-        years = (y for y in (today.year, today.year - 1) if (month, number) <= (today.month, today.day) or y < today.year)
-        return date(next(years), month, number)
+        for word in words:
+            if len(word) == 10 and word[4] == word[7] == "-":
+                return date.fromisoformat(word)
+        month, day, year = next(_named_days(words), (None, 0, None))
+        if month is None:
+            return None
+        if year is None:
+            year = today.year - ((month, day) > (today.month, today.day))
+        return date(year, month, day)
     except ValueError:
         return None

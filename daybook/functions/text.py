@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-#: Endings of files that a link may name but that are no notes, and of images.
-ATTACHMENTS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg", "pdf", "mp3", "mp4", "wav", "m4a", "mov", "webm", "zip", "csv")
-IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp")
+from .lines import sentences, stem
+
+#: Endings of files that a link may name but that are no notes, and of images that a model can look at.
+ATTACHMENTS = tuple("png jpg jpeg gif webp svg bmp avif heic tif tiff mp4 mov webm mkv avi m4v mp3 wav m4a ogg flac opus pdf canvas".split())
+IMAGES = tuple("png jpg jpeg gif webp bmp avif heic tif tiff".split())
 #: Words that say nothing in a search.
 STOP_WORDS = (
     "the and for with that this was were are have has had not you your but about from what when where which who how did does "
@@ -62,7 +64,10 @@ def image_names(text: Column) -> Column:
     """Images embedded in either notation, no web addresses, escapes undone."""
     ends = "|".join(IMAGES)
     wiki = F.regexp_extract_all(text, F.lit(rf"(?i)!\[\[([^\[\]|#]+\.(?:{ends}))(?:[|#][^\[\]]*)?\]\]"), F.lit(1))
-    mark = F.regexp_extract_all(text, F.lit(rf"(?i)!\[[^\]]*\]\(<?([^()<>:]+\.(?:{ends}))>?(?:\s+\"[^\"]*\")?\)"), F.lit(1))
+    written = F.transform(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)]*)\)"), F.lit(1)), lambda d: F.trim(d))
+    # in angle brackets a name may hold spaces; else a title follows the first one
+    places = F.transform(written, lambda d: F.when(F.startswith(d, F.lit("<")), F.substring_index(F.substring_index(d, "<", -1), ">", 1)).otherwise(F.substring_index(d, " ", 1)))
+    mark = F.filter(places, lambda d: F.lower(F.substring_index(d, ".", -1)).isin(*IMAGES) & F.contains(d, F.lit(".")) & ~F.contains(d, F.lit(":")))
     return F.array_distinct(F.concat(F.transform(wiki, lambda n: F.trim(n)), F.transform(mark, lambda n: F.try_url_decode(n))))
 
 
@@ -185,37 +190,6 @@ def any_of(tests: list[Column]) -> Column:
 
 # --- plain Python, for Arrow functions and the driver ---
 
-#: What no sentence comes from: fenced code, and lines that are headings or rows of tables.
-_NO_PROSE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)|^[ \t]*[#|][^\n]*$")
-#: A list mark with its task box, at a line's start.
-_LIST_MARK = re.compile(r"(?m)^[ \t]*(?:[*+-]|[0-9]+[.)])[ \t]+(?:\[[^\]\n]\][ \t]+)?")
-_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+")
-
-
-def sentences(text: str) -> list[str]:
-    """Sentences of running text: list marks go; headings, tables and fenced code are skipped."""
-    prose = _LIST_MARK.sub("", _NO_PROSE.sub("\n", text))
-    return [s for s in _BREAK.split(prose.strip()) if s]
-
-
-#: Endings by what is left of a word: each rule is tried once, in this order, on the outcome of the one before.
-_STEM_RULES = tuple(
-    (re.compile(pattern), left)
-    for pattern, left in (
-        (r"(?<=\w\w\w)i(?:ed|es)$", "y"),
-        (r"(?<=\w\w\w)(?:ing|e[ds]|s)$", ""),
-        (r"(?<=\w\w)([^aeiouls\W])\1$", r"\1"),
-        (r"(?<=\w\w\w)e$", ""),
-    )
-)
-
-
-def stem(word: str) -> str:
-    """A crude stem: hiked, hiking and hikes meet in hik."""
-    for pattern, left in _STEM_RULES:
-        word = pattern.sub(left, word)
-    return word
-
 
 def terms(text: str) -> set[str]:
     return {stem(w) for w in re.findall(r"\w+", text.lower()) if len(w) > 2 and w not in STOP_WORDS}

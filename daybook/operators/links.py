@@ -108,6 +108,13 @@ def names_in(texts: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
     return found.join(other, overlaps, "left_anti").select("text_id", "note_id", "key", F.col("start").cast("long").alias("start"))
 
 
+#: Words that stand for someone without naming them. A label of such words alone is no name.
+NOT_NAMES = (
+    "i me my mine myself you your yours he him his she her hers it its we us our ours they them their theirs "
+    "this that these those there here the a an and or of to"
+).split()
+
+
 def learned_names(labels: DataFrame, names: DataFrame, least: int = 2, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Labels used for exactly one note in `least` entries, that aren't names yet: the commonest spelling, and the entries.
 
@@ -115,8 +122,8 @@ def learned_names(labels: DataFrame, names: DataFrame, least: int = 2, ignored:
     """
     from ..functions.text import name_key
 
-    pronouns = ("he", "she", "they", "him", "her", "them", "his", "hers", "their", "you", "me", "us", "we", "it")
-    rows = labels.withColumn("key", name_key(F.col("label"))).where((F.length("key") >= 3) & ~F.col("key").isin(*pronouns, *ignored))
+    stand_ins = F.forall(F.split("key", " "), lambda w: w.isin(*NOT_NAMES))
+    rows = labels.withColumn("key", name_key(F.col("label"))).where((F.length("key") >= 3) & ~F.col("key").isin(*ignored) & ~stand_ins)
     rows = rows.withColumn("shown", F.regexp_replace("label", "['’]s$", ""))
     use = rows.groupBy("key").agg(F.countDistinct("note_id").alias("notes"), F.countDistinct("entry_id").alias("entries"), F.min("note_id").alias("note_id")).where(f"notes = 1 AND entries >= {least}")
     spelled = rows.groupBy("key", "shown").agg(F.count("*").alias("n"))
