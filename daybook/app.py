@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import config as settings
 from .functions import periods, text
-from .operators import analytics, answer, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
+from .operators import analytics, answer, buckets, calls, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
 from .sources import markdown, vault
 
 TABLES = ("files", "entries", "entry_links", "entry_link_labels", "entry_tags", "entry_sections", "entry_metrics", "notes", "note_names", "titles", "note_property_values", "note_links", "entry_vectors")
@@ -24,43 +24,89 @@ def rules(config: settings.Config) -> markdown.Rules:
     return markdown.Rules(v.date_format, v.split, v.notes_path, tuple(v.private_tags), min_section=config.indexing.min_section, other_files=v.other_files, ignore=tuple(v.ignore))
 
 
-def index(spark: SparkSession, config: settings.Config, folder: str, client: model.Client | None = None) -> DataFrame:
-    """Reads the vault and writes all tables; gives the plan (path, change). Model results are taken from the last run's memo.
+#: The settings that a table hangs on beside its files: where they change, it is made anew of all files, from answers that are known.
+#: `files` is how files are parsed: everything hangs on it.
+HANGS_ON = {"entries": "mood", "entry_tags": "tags", "entry_metrics": "metrics"}
 
-    A table is written whole beside the old ones and named in `current` last, so a run that fails leaves the old state.
+
+def fingerprints(config: settings.Config) -> dict[str, str]:
+    """A hash of each group of settings."""
+    v = config.vault
+    groups = {
+        "files": vars(rules(config)) | {"notes": v.notes_path},
+        "mood": {"key": config.metrics.mood_key, "least": v.mood_scale_min, "most": v.mood_scale_max},
+        "tags": {"merge": config.tags.merge, "ignore": config.tags.ignore},
+        "metrics": {"keys": config.metrics.keys},
+    }
+    return {f"settings.{name}": incremental.fingerprint(group) for name, group in groups.items()}
+
+
+def planned(spark: SparkSession, config: settings.Config, store: buckets.BucketStore, force: bool = False, named: list[str] = ()) -> tuple[DataFrame, DataFrame, set[str]]:
+    """What a run has to do: the listing, the plan (path, change) and the tables that changed settings make anew. Nothing is written.
+
+    `named` files and folders alone are looked at; then nothing else is changed, and nothing vanishes but what is named.
     """
-    own = rules(config)
-    files = vault.listing(spark, config.vault.path, own)
-    old = Daybook.open(spark, folder, missing=True)
-    known = old.table("files") if old else spark.createDataFrame([], "path string, content_hash string, status string, kind string")
-    plan = incremental.plan(files.select("path", "content_hash", "kind"), known)
-    if files.isEmpty() and old:
+    listed = vault.listing(spark, config.vault.path, rules(config))
+    known = store.table("files") if store.number else spark.createDataFrame([], "path string, content_hash string, status string, kind string")
+    now = fingerprints(config)
+    other = {name.partition(".")[2] for name, mark in now.items() if store.number and store.meta.get(name) != mark}
+    if named:
+        plan = incremental.plan(incremental.targeted(listed, named).select("path", "content_hash", "kind"), incremental.targeted(known, named), force)
+        return listed, plan, set()
+    plan = incremental.plan(listed.select("path", "content_hash", "kind"), known, force or "files" in other)
+    return listed, plan, {table for table, group in HANGS_ON.items() if group in other}
+
+
+def index(spark: SparkSession, config: settings.Config, folder: str, client: model.Client | None = None, force: bool = False, named: list[str] = (), dry_run: bool = False) -> DataFrame:
+    """Brings the tables up to date with the vault; gives the plan (path, change).
+
+    Only new and changed files are parsed and read by the model, one reading and one embedding an entry, and only their buckets are
+    written. An entry whose reading fails is stored without one; its file is in error, and the next run tries it again. Changed settings
+    make their tables anew without the model. A run that breaks off leaves the old state; what the model has said is kept.
+    """
+    client = client or model.Offline()
+    store = buckets.BucketStore(spark, folder)
+    listed, plan, anew = planned(spark, config, store, force, named)
+    if dry_run or (store.number and listed.isEmpty()):
         return plan
-    parsed, notes = vault.entries(files, own), vault.notes(files, own)
+    plan = spark.createDataFrame(plan.collect(), "path string, change string") if plan.limit(1001).count() <= 1000 else plan.persist()
+    todo = plan.where("change NOT IN ('unchanged', 'vanished')").select("path")
+    touched = plan.where("change <> 'unchanged'").select("path")
+    if store.number and not anew and touched.isEmpty():
+        return plan
+    every = listed.select("path").union(touched).distinct()
+    log = calls.CallLog(spark, f"{store.folder}/calls")
+    tables = _made(listed.join(todo, "path", "left_semi"), config, log, client)
+    changes = {name: (df, touched) for name, df in tables.items() if not store.number or not touched.isEmpty()}
+    if anew:
+        whole = _made(listed, config, log, client)
+        changes |= {name: (whole[name], every) for name in anew}
+    store.commit(changes, None if named else fingerprints(config))
+    return plan
+
+
+def _made(files: DataFrame, config: settings.Config, log: calls.CallLog, client: model.Client) -> dict[str, DataFrame]:
+    """All tables' rows of some files, with the file's path. The model's answers come from its log."""
+    own = rules(config)
+    parsed, notes = (df.withColumn(buckets.PATH, F.col("path")) for df in (vault.entries(files, own), vault.notes(files, own)))
     mood = text.mood_scale(F.try_element_at("frontmatter", F.lit(config.metrics.mood_key))[0], config.vault.mood_scale_min, config.vault.mood_scale_max)
-    memo = old.table("memo") if old else spark.createDataFrame([], "key string, kind string, model string, value string")
-    read = model.readings(parsed.select("entry_id", "raw_text"), client, memo)
+    read = model.read(log.answers(model.reading_prompts(parsed), client, "text"))
     entries = parsed.join(read.withColumnsRenamed({"mood_score": "read_mood", "tags": "read_tags"}), "entry_id", "left").withColumn("mood_score", F.coalesce(mood, "read_mood"))
-    children = vault.child_tables(parsed, notes)
-    tagged = entries.select("entry_id", F.explode(text.final_tags(F.coalesce("read_tags", F.array().cast("array<string>")), F.col("tags"), config.tags.merge, tuple(config.tags.ignore))).alias("tag"))
-    numbers = parsed.select("entry_id", F.explode("frontmatter").alias("key", "values")).select("entry_id", F.lower("key").alias("key"), text.metric_value(F.col("values")[0]).alias("value"))
+    vectors = log.answers(model.embedding_prompts(entries.select(F.col("entry_id").alias("id"), "summary", F.col("raw_text").alias("text"))), client, "vector")
+    tags = text.final_tags(F.coalesce("read_tags", F.array().cast("array<string>")), F.col("tags"), config.tags.merge, tuple(config.tags.ignore))
+    numbers = parsed.select("entry_id", buckets.PATH, F.explode("frontmatter").alias("key", "values")).select("entry_id", F.lower("key").alias("key"), text.metric_value(F.col("values")[0]).alias("value"), buckets.PATH)
     if config.metrics.keys:
         numbers = numbers.where(F.col("key").isin(*[k.lower() for k in config.metrics.keys]))
-    prompts = parsed.select(F.col("entry_id").alias("id"), F.col("raw_text").alias("prompt"))
-    tables = children | {
-        "files": files.select("path", "content_hash", F.lit("indexed").alias("status"), "kind"),
-        "entries": entries.select("entry_id", "entry_date", F.col("raw_text").alias("text"), "word_count", "mood_score", "summary", F.col("path").alias("file_path")),
-        "entry_tags": tagged,
+    failed = entries.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error_message"))
+    state = files.join(failed, "path", "left").select("path", "content_hash", F.when(F.col("error_message").isNull(), "indexed").otherwise("error").alias("status"), "kind", "error_message", F.col("path").alias(buckets.PATH))
+    return vault.child_tables(parsed, notes, buckets.PATH) | {
+        "files": state,
+        "entries": entries.select("entry_id", "entry_date", F.col("raw_text").alias("text"), "word_count", "mood_score", "summary", F.col("path").alias("file_path"), buckets.PATH),
+        "entry_tags": entries.select("entry_id", F.explode(tags).alias("tag"), buckets.PATH),
         "entry_metrics": numbers.where("value IS NOT NULL AND key <> 'date'").dropDuplicates(["entry_id", "key"]),
-        "notes": notes.select("note_id", "title", "kind", F.col("raw_text").alias("text"), F.col("path").alias("file_path")),
-        "entry_vectors": model.embeddings(entries.select(F.col("entry_id").alias("id"), "summary", F.col("raw_text").alias("text")), client).withColumnRenamed("id", "entry_id"),
-        "memo": model.remember(memo, model.call(prompts, client or model.Offline(), "text", memo), "text", (client or model.Offline()).name),
+        "notes": notes.select("note_id", "title", "kind", F.col("raw_text").alias("text"), F.col("path").alias("file_path"), buckets.PATH),
+        "entry_vectors": model.vectors(vectors).withColumnRenamed("id", "entry_id").join(parsed.select("entry_id", buckets.PATH), "entry_id"),
     }
-    number = (old.version if old else 0) + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/v{number}/{name}")
-    spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{folder}/current")
-    return plan
 
 
 @dataclass(frozen=True)
@@ -75,16 +121,17 @@ class Daybook:
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, missing: bool = False, **withheld) -> Daybook | None:
-        try:
-            number = spark.read.parquet(f"{folder}/current").agg(F.max("version")).first()[0]
-        except Exception as wrong:
-            if missing and "PATH_NOT_FOUND" in str(wrong):
-                return None
-            raise
-        return cls(spark, folder, number, **withheld)
+        number = buckets.BucketStore(spark, folder).number
+        if not number and not missing:
+            raise ValueError(f"{folder} holds no tables: index first")
+        return cls(spark, folder, number, **withheld) if number else None
+
+    @cached_property
+    def store(self) -> buckets.BucketStore:
+        return buckets.BucketStore(self.spark, self.folder, self.version)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}/{name}")
+        return self.store.table(name)
 
     @cached_property
     def view(self) -> dict[str, DataFrame]:
@@ -302,7 +349,11 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("mood", "streaks", "tags", "notes", "insights", "export"):
         sub.add_parser(name, parents=[common])
-    for name in ("index", "watch", "stats", "metrics", "links", "unlinked", "lapsed", "similar-tags", "themes", "prompts", "doctor", "mcp"):
+    indexing = sub.add_parser("index")
+    indexing.add_argument("paths", nargs="*")
+    indexing.add_argument("--force", action="store_true")
+    indexing.add_argument("--dry-run", action="store_true")
+    for name in ("watch", "stats", "metrics", "links", "unlinked", "lapsed", "similar-tags", "themes", "prompts", "doctor", "mcp"):
         sub.add_parser(name)
     for name, argument in (("search", "question"), ("groups", "key"), ("metric", "key")):
         sub.add_parser(name, parents=[common]).add_argument(argument)
@@ -318,7 +369,7 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     a = _parser().parse_args(arguments)
     config = settings.load(a.config) if a.config else settings.Config()
     if a.command == "index":
-        return index(spark, config, a.tables)
+        return index(spark, config, a.tables, force=a.force, named=a.paths, dry_run=a.dry_run)
     if a.command == "init":
         return init(spark, a.path)
     if a.command == "watch":

@@ -41,6 +41,12 @@ def memo_key(kind: str, model: str, prompt, options: dict | None = None):
     return F.sha2(F.to_json(F.struct(F.lit(kind).alias("kind"), F.lit(model).alias("model"), prompt.alias("prompt"), F.lit(rest).alias("options"))), 256)
 
 
+def identity(client: Client) -> str:
+    """A model's name with its weights, where the client tells them: answers of other weights aren't the same answers."""
+    weights = getattr(client, "weights", None)
+    return f"{client.name}@{weights}" if weights else client.name
+
+
 def call(prompts: DataFrame, client: Client, kind: str, memo: DataFrame | None = None, options: dict | None = None) -> DataFrame:
     """(id, key, value, error) for `prompts` (id, prompt): remembered results, else the model's. One bad row doesn't stop the rest.
 
@@ -61,7 +67,7 @@ def call(prompts: DataFrame, client: Client, kind: str, memo: DataFrame | None =
                     errors.append(str(wrong)[:500])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(values, pa.string()), pa.array(errors, pa.string())], ["id", "key", "value", "error"])
 
-    keyed = prompts.select(F.col("id").cast("long").alias("id"), "prompt", memo_key(kind, client.name, F.col("prompt"), options).alias("key"))
+    keyed = prompts.select(F.col("id").cast("long").alias("id"), "prompt", memo_key(kind, identity(client), F.col("prompt"), options).alias("key"))
     schema = "id long, key string, value string, error string"
     if memo is None:
         return keyed.mapInArrow(ask, schema)
@@ -76,11 +82,18 @@ def remember(memo: DataFrame, results: DataFrame, kind: str, model: str) -> Data
 
 
 def readings(entries: DataFrame, client: Client | None = None, memo: DataFrame | None = None, top: float = 10.0) -> DataFrame:
-    """(entry_id, mood_score, summary, tags): the model's reading of each entry, clamped to the scale."""
-    prompts = entries.select(F.col("entry_id").alias("id"), F.col("raw_text").alias("prompt"))
-    found = call(prompts, client or Offline(), "text", memo)
-    read = F.from_json("value", "summary string, mood double, tags array<string>")
-    rows = found.select(F.col("id").alias("entry_id"), read.alias("r"), "error")
+    """(entry_id, mood_score, summary, tags, error): the model's reading of each entry, clamped to the scale."""
+    return read(call(reading_prompts(entries), client or Offline(), "text", memo), top)
+
+
+def reading_prompts(entries: DataFrame) -> DataFrame:
+    return entries.select(F.col("entry_id").alias("id"), F.col("raw_text").alias("prompt"))
+
+
+def read(found: DataFrame, top: float = 10.0) -> DataFrame:
+    """Answers (id, value, error) as readings."""
+    fields = F.from_json("value", "summary string, mood double, tags array<string>")
+    rows = found.select(F.col("id").alias("entry_id"), fields.alias("r"), "error")
     mood = F.when(F.col("r.mood").isNotNull(), F.greatest(F.lit(1.0), F.least(F.col("r.mood"), F.lit(float(top)))))
     return rows.select("entry_id", mood.alias("mood_score"), F.substring("r.summary", 1, 200).alias("summary"), F.coalesce("r.tags", F.array().cast("array<string>")).alias("tags"), "error")
 
@@ -148,12 +161,20 @@ def note_summaries(notes: DataFrame, client: Client | None = None, memo: DataFra
 
 
 def embeddings(rows: DataFrame, client: Client | None = None, memo: DataFrame | None = None, most: int = 8000) -> DataFrame:
-    """(id, embedding) of `rows` (id, summary, text): where the text is too long its summary leads, and it is cut."""
-    lead = F.when((F.length("text") > most) & (F.coalesce("summary", F.lit("")) != ""), F.concat("summary", F.lit("\n\n"), "text")).otherwise(F.col("text"))
-    found = call(rows.select("id", F.substring(lead, 1, most).alias("prompt")), client or Offline(), "vector", memo)
+    """(id, embedding) of `rows` (id, summary, text)."""
+    return vectors(call(embedding_prompts(rows, most), client or Offline(), "vector", memo))
+
+
+def vectors(found: DataFrame) -> DataFrame:
     return found.where("error IS NULL").select("id", F.from_json("value", "array<float>").alias("embedding"))
 
 
+def embedding_prompts(rows: DataFrame, most: int = 8000) -> DataFrame:
+    """(id, prompt): where the text is too long its summary leads, and it is cut."""
+    lead = F.when((F.length("text") > most) & (F.coalesce("summary", F.lit("")) != ""), F.concat("summary", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    return rows.select("id", F.substring(lead, 1, most).alias("prompt"))
+
+
 def photos_to_describe(photos: DataFrame, most: int = PHOTOS) -> DataFrame:
     """Of each entry the first photos that aren't too large: `photos` (entry_id, place, path, bytes)."""
     from pyspark.sql import Window

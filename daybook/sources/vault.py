@@ -72,20 +72,21 @@ def notes(files: DataFrame, rules: markdown.Rules = markdown.Rules()) -> DataFra
     return parsed.where("NOT private").withColumn("note_id", F.xxhash64("path"))
 
 
-def child_tables(entries_: DataFrame, notes_: DataFrame) -> dict[str, DataFrame]:
-    """Links, tags, sections, names and properties, exploded."""
-    names = notes_.select("note_id", F.explode(F.concat(F.array("title"), "aliases")).alias("name")).select("note_id", folded(F.col("name")).alias("key"), "name").distinct()
-    properties = notes_.select("note_id", F.explode("properties").alias("name", "values")).select("note_id", F.lower("name").alias("key"), "name", F.explode("values").alias("value"))
+def child_tables(entries_: DataFrame, notes_: DataFrame, *keep: str) -> dict[str, DataFrame]:
+    """Links, tags, sections, names and properties, exploded; with the columns `keep` of the file's row."""
+    entry = lambda *columns: entries_.select("entry_id", *columns, *keep)
+    note = lambda *columns: notes_.select("note_id", *columns, *keep)
+    properties = note(F.explode("properties").alias("name", "values"))
     return {
-        "entry_links": entries_.select("entry_id", F.explode("links").alias("target")),
-        "entry_link_labels": entries_.select("entry_id", F.explode("labels").alias("l")).select("entry_id", F.col("l")[0].alias("target"), F.col("l")[1].alias("label")),
-        "entry_link_anchors": entries_.select("entry_id", F.explode("anchors").alias("l")).select("entry_id", F.col("l")[0].alias("target"), F.col("l")[1].alias("anchor")),
-        "entry_tags": entries_.select("entry_id", F.explode("tags").alias("tag")),
-        "entry_sections": entries_.select("entry_id", F.posexplode("sections").alias("place", "s")).select("entry_id", "place", "s.*"),
-        "note_names": names,
-        "titles": notes_.select(folded(F.col("title")).alias("key"), "note_id"),
-        "note_property_values": properties,
-        "note_links": notes_.select("note_id", F.explode("links").alias("target")),
+        "entry_links": entry(F.explode("links").alias("target")),
+        "entry_link_labels": entry(F.explode("labels").alias("l")).select("entry_id", F.col("l")[0].alias("target"), F.col("l")[1].alias("label"), *keep),
+        "entry_link_anchors": entry(F.explode("anchors").alias("l")).select("entry_id", F.col("l")[0].alias("target"), F.col("l")[1].alias("anchor"), *keep),
+        "entry_tags": entry(F.explode("tags").alias("tag")),
+        "entry_sections": entry(F.posexplode("sections").alias("place", "s")).select("entry_id", "place", "s.*", *keep),
+        "note_names": note(F.explode(F.concat(F.array("title"), "aliases")).alias("name")).select("note_id", folded(F.col("name")).alias("key"), "name", *keep).distinct(),
+        "titles": note(folded(F.col("title")).alias("key")).select("key", "note_id", *keep),
+        "note_property_values": properties.select("note_id", F.lower("name").alias("key"), "name", F.explode("values").alias("value"), *keep),
+        "note_links": note(F.explode("links").alias("target")),
     }
 
 
