@@ -6,6 +6,7 @@ import argparse
 import datetime as dt
 import json
 import sys
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -41,54 +42,81 @@ def fingerprints(config: settings.Config) -> dict[str, str]:
     return {f"settings.{name}": incremental.fingerprint(group) for name, group in groups.items()}
 
 
-def planned(spark: SparkSession, config: settings.Config, store: buckets.BucketStore, force: bool = False, named: list[str] = ()) -> tuple[DataFrame, DataFrame, set[str]]:
+def planned(spark: SparkSession, config: settings.Config, store: buckets.BucketStore, force: bool = False, named: list[str] | DataFrame = ()) -> tuple[DataFrame, DataFrame, set[str]]:
     """What a run has to do: the listing, the plan (path, change) and the tables that changed settings make anew. Nothing is written.
 
-    `named` files and folders alone are looked at; then nothing else is changed, and nothing vanishes but what is named.
+    `named` files and folders (or a table of files, path) alone are looked at; then nothing else is changed, and nothing vanishes but
+    what is named.
     """
     listed = vault.listing(spark, config.vault.path, rules(config))
     known = store.table("files") if store.number else spark.createDataFrame([], "path string, content_hash string, status string, kind string")
     now = fingerprints(config)
     other = {name.partition(".")[2] for name, mark in now.items() if store.number and store.meta.get(name) != mark}
-    if named:
-        plan = incremental.plan(incremental.targeted(listed, named).select("path", "content_hash", "kind"), incremental.targeted(known, named), force)
-        return listed, plan, set()
+    if isinstance(named, DataFrame) or named:
+        own = (lambda df: df.join(named.select("path").distinct(), "path", "left_semi")) if isinstance(named, DataFrame) else (lambda df: incremental.targeted(df, named))
+        plan = incremental.plan(own(listed).select("path", "content_hash", "kind"), own(known), force)
+        gone = own(known).join(listed.select("path"), "path", "left_anti").select("path", F.lit("vanished").alias("change"))
+        return listed, plan.where("change <> 'vanished'").union(gone), set()
     plan = incremental.plan(listed.select("path", "content_hash", "kind"), known, force or "files" in other)
     return listed, plan, {table for table, group in HANGS_ON.items() if group in other}
 
 
-def index(spark: SparkSession, config: settings.Config, folder: str, client: model.Client | None = None, force: bool = False, named: list[str] = (), dry_run: bool = False) -> DataFrame:
+class Staged:
+    """What a run works on, written once: files as they were listed, parsed once. Gone when the run ends."""
+
+    def __init__(self, store: buckets.BucketStore):
+        self.store, self.folder = store, f"{store.folder}/staged/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Staged:
+        return self
+
+    def __exit__(self, *_) -> None:
+        buckets.remove(self.store.spark, self.folder)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.store.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+
+def index(spark: SparkSession, config: settings.Config, folder: str, client: model.Client | None = None, force: bool = False, named: list[str] | DataFrame = (), dry_run: bool = False) -> DataFrame:
     """Brings the tables up to date with the vault; gives the plan (path, change).
 
     Only new and changed files are parsed and read by the model, one reading and one embedding an entry, and only their buckets are
     written. An entry whose reading fails is stored without one; its file is in error, and the next run tries it again. Changed settings
-    make their tables anew without the model. A run that breaks off leaves the old state; what the model has said is kept.
+    make their tables anew without the model. A run that breaks off leaves the old state; what the model has said is kept. A vault that
+    can't be listed, or is empty after it wasn't, changes nothing.
     """
     client = client or model.Offline()
     store = buckets.BucketStore(spark, folder)
     listed, plan, anew = planned(spark, config, store, force, named)
     if dry_run or (store.number and listed.isEmpty()):
         return plan
-    plan = spark.createDataFrame(plan.collect(), "path string, change string") if plan.limit(1001).count() <= 1000 else plan.persist()
-    todo = plan.where("change NOT IN ('unchanged', 'vanished')").select("path")
+    plan.write.mode("overwrite").parquet(f"{store.folder}/plans/{store.number + 1}")
+    plan = spark.read.schema("path string, change string").parquet(f"{store.folder}/plans/{store.number + 1}")
     touched = plan.where("change <> 'unchanged'").select("path")
-    if store.number and not anew and touched.isEmpty():
+    some = not touched.isEmpty()
+    if store.number and not anew and not some:
         return plan
-    every = listed.select("path").union(touched).distinct()
     log = calls.CallLog(spark, f"{store.folder}/calls")
-    tables = _made(listed.join(todo, "path", "left_semi"), config, log, client)
-    changes = {name: (df, touched) for name, df in tables.items() if not store.number or not touched.isEmpty()}
-    if anew:
-        whole = _made(listed, config, log, client)
-        changes |= {name: (whole[name], every) for name in anew}
-    store.commit(changes, None if named else fingerprints(config))
+    with Staged(store) as staged:
+        changes = {}
+        if some or not store.number:
+            files = listed.join(plan.where("change NOT IN ('unchanged', 'vanished')"), "path", "left_semi")
+            changes = {name: (df, touched) for name, df in _made(files, config, log, client, staged).items()}
+        if anew:
+            whole = _made(listed, config, log, client, staged, "all-")
+            every = staged.table(listed.select("path").union(touched).distinct(), "every")
+            changes |= {name: (whole[name], every) for name in anew}
+        only_named = isinstance(named, DataFrame) or bool(named)
+        store.commit(changes, None if only_named and store.number else fingerprints(config))
     return plan
 
 
-def _made(files: DataFrame, config: settings.Config, log: calls.CallLog, client: model.Client) -> dict[str, DataFrame]:
+def _made(files: DataFrame, config: settings.Config, log: calls.CallLog, client: model.Client, staged: Staged, name: str = "") -> dict[str, DataFrame]:
     """All tables' rows of some files, with the file's path. The model's answers come from its log."""
     own = rules(config)
-    parsed, notes = (df.withColumn(buckets.PATH, F.col("path")) for df in (vault.entries(files, own), vault.notes(files, own)))
+    files = staged.table(files, f"{name}files")
+    parsed, notes = (staged.table(df.withColumn(buckets.PATH, F.col("path")), f"{name}{kind}") for kind, df in (("entries", vault.entries(files, own)), ("notes", vault.notes(files, own))))
     mood = text.mood_scale(F.try_element_at("frontmatter", F.lit(config.metrics.mood_key))[0], config.vault.mood_scale_min, config.vault.mood_scale_max)
     read = model.read(log.answers(model.reading_prompts(parsed), client, "text"))
     entries = parsed.join(read.withColumnsRenamed({"mood_score": "read_mood", "tags": "read_tags"}), "entry_id", "left").withColumn("mood_score", F.coalesce(mood, "read_mood"))
@@ -311,15 +339,47 @@ def init(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(str(file), made)], "path string, made boolean")
 
 
-def watch(spark: SparkSession, config: settings.Config, folder: str, runs: int = 0, pause: float = 45.0) -> DataFrame:
-    """Indexes again and again, a pause apart; `runs` 0: for ever. The last run's plan."""
-    import time
+def apply_due(spark: SparkSession, config: settings.Config, folder: str, due: DataFrame, waiting: str, client: model.Client | None = None) -> bool:
+    """Indexes the files of `due` (path, kind, ts, event_id, attempts) in one commit. Where the model can't be reached they are written
+    to `waiting`, with one attempt more, and nothing is changed."""
+    if due.isEmpty():
+        return True
+    rows = due.persist()
+    try:
+        index(spark, config, folder, client, named=rows.select("path"))
+        return True
+    except Exception as wrong:
+        if "ConnectionError" not in str(wrong):
+            raise
+        rows.select("path", "kind", "ts", "event_id", (F.col("attempts") + 1).alias("attempts")).write.mode("append").parquet(waiting)
+        return False
+    finally:
+        rows.unpersist()
+
+
+def watch(spark: SparkSession, config: settings.Config, folder: str, client: model.Client | None = None, quiet: float = 45.0, every: str = "1 second"):
+    """Indexes what changes, once it has been quiet for a while; gives the running stream.
+
+    The folder's changes are a stream of listings' differences, the debounce is its state, and each batch of due files is one commit.
+    Where the model can't be reached the files wait again, unless something newer has happened to them. Both survive a restart: listings,
+    state and waiting files lie beside the tables.
+    """
+    from .sources import changes
+    from .streaming.debounce import debounced
 
-    plan, k = index(spark, config, folder), 1
-    while not runs or k < runs:
-        time.sleep(pause)
-        plan, k = index(spark, config, folder), k + 1
-    return plan
+    changes.register(spark)
+    index(spark, config, folder, client)
+    waiting, columns = f"{folder}/watch/again", "path string, kind string, ts timestamp, event_id long, attempts int"
+    spark.createDataFrame([], columns).write.mode("append").parquet(waiting)
+    found = spark.readStream.format("vault_changes").option("path", config.vault.path).option("state", f"{folder}/watch/listings").load()
+    new = found.select("path", F.when(F.col("kind") == "delete", "delete").otherwise("change").alias("kind"), F.coalesce("ts", F.current_timestamp()).alias("ts"), "event_id", F.lit(0).alias("attempts"), F.lit(False).alias("again"))
+    again = spark.readStream.schema(columns).parquet(waiting).withColumn("again", F.lit(True))
+
+    def apply(batch: DataFrame, number: int) -> None:
+        apply_due(spark, config, folder, batch, waiting, client)
+
+    stream = debounced(new.unionByName(again), quiet).writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/watch/checkpoint")
+    return stream.trigger(processingTime=every).start()
 
 
 def _names(book: Daybook, kind: str) -> DataFrame:
@@ -373,7 +433,8 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     if a.command == "init":
         return init(spark, a.path)
     if a.command == "watch":
-        return watch(spark, config, a.tables)
+        watch(spark, config, a.tables).awaitTermination()
+        return spark.range(0)
     book = Daybook.open(spark, a.tables, withheld_tags=tuple(config.withheld_tags), withheld_kinds=tuple(config.withheld_kinds))
     which = {k: v for k in ("since", "until", "tag", "about", "group") if (v := getattr(a, k, None))}
     day = lambda: dt.date.fromisoformat(a.day)

@@ -7,6 +7,7 @@ names, so it sees the state before or after a commit, never a part; a run that b
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +18,13 @@ MANIFEST = "number int, buckets int, name string, schema string, versions array<
 #: Buckets of a new store; a bucket's share of the files is what one changed file rewrites.
 BUCKETS = 64
 PATH = "_path"
+#: Tables that are written at a time.
+WRITES = 6
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def missing(wrong: AnalysisException) -> bool:
@@ -26,9 +34,9 @@ def missing(wrong: AnalysisException) -> bool:
 class BucketStore:
     """The tables of a folder as of one commit, the last by default. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, folder: str, number: int | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str, number: int | None = None, buckets: int | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.number, self.buckets, self.meta, self.tables = 0, buckets, {}, {}
+        self.number, self.buckets, self.meta, self.tables = 0, buckets or BUCKETS, {}, {}
         try:
             known = spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests")
             last = known.agg(F.max("number")).first()[0] if number is None else number
@@ -62,28 +70,30 @@ class BucketStore:
 
         Files without new rows are gone from that table. What isn't named stays as it is, without being read or written.
         """
-        number, tables = self.number + 1, dict(self.tables)
-        for name, (new, files) in changes.items():
-            files = files.select("path").distinct()
-            touched = sorted(r.b for r in files.select(self.bucket(F.col("path")).alias("b")).distinct().collect())  # as many as buckets at most
-            if not touched and name in tables:
-                continue
-            rows = new
-            if name in tables:
-                rest = self._rows(name, touched).join(files.withColumnRenamed("path", PATH), PATH, "left_anti")
-                rows = rest.unionByName(new, allowMissingColumns=True)
-            placed = rows.withColumn("bucket", self.bucket(F.col(PATH)))
-            placed.repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/{name}/{number}")
-            versions = list(tables[name][1]) if name in tables else [0] * self.buckets
-            for k in touched:
-                versions[k] = number
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-            tables[name] = (schema, versions)
+        number = self.number + 1
+        with ThreadPoolExecutor(WRITES) as pool:  # small tables are many short jobs: several at a time
+            written = pool.map(lambda name: (name, self._write(number, name, *changes[name])), changes)
+            tables = self.tables | {name: made for name, made in written if made}
         meta = self.meta | (meta or {})
         rows = [(number, self.buckets, name, schema, versions, meta) for name, (schema, versions) in tables.items()]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifests")
         return BucketStore(self.spark, self.folder, number)
 
+    def _write(self, number: int, name: str, new: DataFrame, files: DataFrame) -> tuple[str, list[int]] | None:
+        """A table's new version: its schema, and which version holds each bucket. None where there is nothing to do."""
+        files = files.select("path").distinct()
+        touched = sorted(r.b for r in files.select(self.bucket(F.col("path")).alias("b")).distinct().collect())  # as many as buckets at most
+        schema, versions = self.tables.get(name, (None, [0] * self.buckets))
+        if not touched and schema:
+            return None
+        rows = new
+        if schema:
+            rest = self._rows(name, touched).join(files.withColumnRenamed("path", PATH), PATH, "left_anti")
+            rows = rest.unionByName(new, allowMissingColumns=True)
+        placed = rows.withColumn("bucket", self.bucket(F.col(PATH)))
+        placed.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/{name}/{number}")
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), [number if k in touched else v for k, v in enumerate(versions)]
+
     def vacuum(self) -> list[str]:
         """Removes the versions that this commit doesn't name. Not while an older commit is still being read."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
