@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import config as settings
 from .functions import periods, text
-from .operators import analytics, answer, buckets, calls, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
+from .operators import analytics, answer, buckets, calls, digests, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
 from .sources import markdown, vault
 
 TABLES = ("files", "entries", "entry_links", "entry_link_labels", "entry_tags", "entry_sections", "entry_metrics", "notes", "note_names", "titles", "note_property_values", "note_links", "entry_vectors")
@@ -268,13 +268,14 @@ class Daybook:
         reply = (client or model.Offline()).complete("\n\n".join(told)) if told else ""
         return self.spark.createDataFrame([(k, x) for k, x in enumerate(answer.listed(reply), 1)], "place int, prompt string")
 
-    def rollup(self, kind: str, client: model.Client | None = None) -> DataFrame:
-        """(period, summary) of every period, written by the model from its entries' summaries."""
-        from .functions.periods import KEYS
-
-        members = self.entries.select(F.xxhash64(KEYS[kind](F.col("entry_date"))).alias("period_id"), KEYS[kind](F.col("entry_date")).alias("period"), F.col("entry_date").alias("day"), F.col("summary").alias("line"))
-        written = model.digests(members.select("period_id", "day", "line"), client)
-        return members.select("period_id", "period").distinct().join(written, F.col("period_id") == F.col("id")).select("period", "summary").orderBy("period")
+    def rollup(self, kind: str = "all", client: model.Client | None = None, dry_run: bool = False, **which) -> DataFrame:
+        """Writes the digests that are missing or stale and gives all stored ones; with dry_run the plan alone (kind, key, reason)."""
+        kinds = digests.ORDER if kind == "all" else (kind,)
+        own = digests.Digests(self.spark, f"{self.folder}/digests", client)
+        if dry_run:
+            return own.plan(self.entries, kinds=kinds, **which).orderBy("place", "key").select("kind", "key", "reason")
+        own.refresh(self.entries, self.view["entry_tags"], kinds, **which)
+        return own.stored().where(F.col("kind").isin(*kinds)).orderBy("kind", "key")
 
     def doctor(self) -> DataFrame:
         """(check, found, ok): tables that are there, entries without files, files in error, vectors that are missing."""
@@ -409,6 +410,9 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("mood", "streaks", "tags", "notes", "insights", "export"):
         sub.add_parser(name, parents=[common])
+    rollup = sub.add_parser("rollup")
+    rollup.add_argument("kind", choices=["all", *digests.ORDER])
+    rollup.add_argument("--dry-run", action="store_true")
     indexing = sub.add_parser("index")
     indexing.add_argument("paths", nargs="*")
     indexing.add_argument("--force", action="store_true")
@@ -417,7 +421,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_parser(name)
     for name, argument in (("search", "question"), ("groups", "key"), ("metric", "key")):
         sub.add_parser(name, parents=[common]).add_argument(argument)
-    for name, argument in (("linked-with", "name"), ("on-this-day", "day"), ("show", "day"), ("review", "period"), ("digest", "kind"), ("note", "name"), ("similar", "day"), ("ask", "question"), ("rollup", "kind"), ("complete", "kind"), ("browse", "port"), ("init", "path")):
+    for name, argument in (("linked-with", "name"), ("on-this-day", "day"), ("show", "day"), ("review", "period"), ("digest", "kind"), ("note", "name"), ("similar", "day"), ("ask", "question"), ("complete", "kind"), ("browse", "port"), ("init", "path")):
         sub.add_parser(name).add_argument(argument)
     compare = sub.add_parser("compare")
     compare.add_argument("first")
@@ -444,7 +448,7 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
         "unlinked": book.unlinked, "lapsed": book.lapsed, "similar-tags": book.similar_tags, "search": lambda: book.search(a.question, **which), "groups": lambda: book.groups(a.key, **which),
         "metric": lambda: book.metric(a.key, **which), "linked-with": lambda: book.linked_with(a.name), "on-this-day": lambda: book.on_this_day(day()), "show": lambda: book.show(day()),
         "note": lambda: book.note(a.name), "similar": lambda: book.similar(day()), "themes": book.themes, "ask": lambda: book.ask(a.question), "prompts": book.prompts,
-        "rollup": lambda: book.rollup(a.kind), "doctor": book.doctor, "complete": lambda: _names(book, a.kind), "mcp": lambda: _serve(book, None), "browse": lambda: _serve(book, int(a.port)),
+        "rollup": lambda: book.rollup(a.kind, dry_run=a.dry_run), "doctor": book.doctor, "complete": lambda: _names(book, a.kind), "mcp": lambda: _serve(book, None), "browse": lambda: _serve(book, int(a.port)),
         "review": lambda: book.review(a.period), "digest": lambda: book.digest(a.kind), "compare": lambda: book.compare(a.first, a.second),
     }[a.command]()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
+from ..operators import digests
 from ..operators.fulltext import FullText
 from ..scratch import new_folder
 from ..sources.journal import Journal
@@ -85,3 +86,20 @@ def _(j):
     stream = debounced(rows, 30 * 60, by_event=True).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
     stream.trigger(availableNow=True).start().awaitTermination()
     return j.spark.read.schema("path string, kind string, event_id long").parquet(f"{folder}/rows")
+
+
+SPANS = (("1993-12-20", "1994-01-10"), ("1996-02-28", "1996-03-01"), ("1998-01-01", "1998-12-31"), ("1980-01-01", "1980-01-02"))
+
+
+@query(
+    "digest_graph_plan",
+    ", spans(first, last) AS (VALUES " + ", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in SPANS) + "), p AS (SELECT 1 AS place, 'month' AS kind, strftime(entry_date, '%Y-%m') AS key, mood_score FROM entries UNION ALL SELECT 2, 'year', strftime(entry_date, '%Y'), mood_score FROM entries UNION ALL SELECT 3, 'week', strftime(entry_date, '%G-W%V'), mood_score FROM entries UNION ALL SELECT 4, 'range', strftime(first, '%Y-%m-%d') || '..' || strftime(last, '%Y-%m-%d'), mood_score FROM entries JOIN spans ON entry_date BETWEEN first AND last), s AS (SELECT place, kind, key, count(*) FILTER (mood_score IS NULL OR mood_score < 10) AS was, count(*) FILTER (mood_score = 10) AS came FROM p GROUP BY ALL) SELECT place, kind, key, CASE WHEN was = 0 THEN 'missing' ELSE 'stale' END AS reason FROM s WHERE came > 0",
+    "entries",
+)
+def _(j):
+    """Digests were written before the entries with a mood of 10 came: what is to be written anew, up the graph."""
+    spans = j.spark.createDataFrame([(f"{a}..{b}", a, b) for a, b in SPANS], "key string, first string, last string")
+    spans = spans.select("key", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
+    entries = j.entries.withColumn("summary", F.lit(None).cast("string"))
+    before = digests.inputs(entries.where("mood_score IS NULL OR mood_score < 10"), spans)
+    return digests.plan(digests.inputs(entries, spans), before)
