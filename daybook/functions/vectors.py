@@ -22,9 +22,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; null for a zero vector."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(_double(a), lambda x: x / size))
+    """The vector at length one; null for a zero vector. The norm is a lambda's argument, or it would be worked out for every element."""
+    return F.get(F.transform(F.array(norm(a)), lambda size: F.when(size > 0, F.transform(_double(a), lambda x: x / size))), F.lit(0))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -131,13 +131,13 @@ def learned_names(labels: DataFrame, names: DataFrame, least: int = 2, ignored:
     return use.join(best, "key").join(names.select("key"), "key", "left_anti").select("note_id", "key", "name", "entries")
 
 
-def near_keys(keys: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, distance) of unlike keys of four letters or more within an edit distance of (1 - least) of the longer one's length.
+def near_keys(keys: DataFrame, least: float = 0.8, letters: int = 4) -> DataFrame:
+    """(a, b, distance) of unlike keys of `letters` letters or more within an edit distance of (1 - least) of the longer one's length.
 
     Segments: where the longer key may have d edits, the shorter is cut into d + 1 parts, and one part stands unchanged in the longer
     one, at most d places off. Pairs meet by both lengths, the part's number and its text, so none is lost and few are tried.
     """
-    rows = keys.select("key", F.length("key").alias("n")).where("n >= 4").distinct()
+    rows = keys.select("key", F.length("key").alias("n")).where(F.col("n") >= letters).distinct()
     edits = lambda n: F.floor((1 - F.lit(least)) * n + 1e-9).cast("int")
     start = lambda l, d, i: F.floor(l * i / (d + 1)).cast("int")  # noqa: E731, E741
     longest = F.floor(F.col("n") / least + 1e-9).cast("int")
@@ -145,7 +145,7 @@ def near_keys(keys: DataFrame, least: float = 0.8) -> DataFrame:
     short = short.withColumn("d", edits(F.col("n"))).where("n - l <= d").select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     first, end = start(F.col("l"), F.col("d"), F.col("i")), start(F.col("l"), F.col("d"), F.col("i") + 1)
     short = short.select("short", "l", "n", "i", F.substr("short", first + 1, end - first).alias("part"))
-    long_ = rows.select(F.col("key").alias("long"), "n", edits(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(4)), F.col("n"))).alias("l"))
+    long_ = rows.select(F.col("key").alias("long"), "n", edits(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(letters)), F.col("n"))).alias("l"))
     long_ = long_.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     size = end - first
     places = F.sequence(F.greatest(F.lit(0), first - F.col("d")), F.greatest(F.least(F.col("n") - size, first + F.col("d")), F.greatest(F.lit(0), first - F.col("d"))))

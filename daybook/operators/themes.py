@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import unit
+from ..scratch import new_folder
 
 #: Vectors that a grouping needs, its seed, its most rounds, and the share of vectors that must still move for another.
 LEAST, SEED, ROUNDS, MOVING = 20, 7, 30, 1 / 500
@@ -106,7 +107,10 @@ def group(vectors: DataFrame, count: int | None = None, least: int = 5) -> DataF
     empty takes the furthest vector; a theme under `least` is folded into the others while over two are left. Each pass sums in its
     tasks, and k * tasks short rows reach the driver.
     """
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.xxhash64("vec_id", F.lit(SEED)).alias("hash")).where("u IS NOT NULL")
+    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("u"), F.xxhash64("vec_id", F.lit(SEED)).alias("hash"))
+    folder = new_folder(vectors.sparkSession, "themes")  # every seed and round reads them: they are worked out once
+    rows.where("u IS NOT NULL").write.parquet(folder)
+    rows = vectors.sparkSession.read.schema(rows.schema).parquet(folder)
     n = rows.count()
     if n < LEAST:
         raise ValueError(f"{LEAST} vectors at least, not {n}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from ..operators import digests
+from ..operators import broken, digests
 from ..operators.fulltext import FullText
 from ..scratch import new_folder
 from ..sources.journal import Journal
@@ -103,3 +103,26 @@ def _(j):
     entries = j.entries.withColumn("summary", F.lit(None).cast("string"))
     before = digests.inputs(entries.where("mood_score IS NULL OR mood_score < 10"), spans)
     return digests.plan(digests.inputs(entries, spans), before)
+
+
+@query(
+    "broken_link_reasons",
+    """WITH n AS (SELECT p_partkey AS note_id, p_name AS title, lower(p_name) AS key FROM part), t AS (
+SELECT DISTINCT CASE p_size % 10 WHEN 0 THEN substr(key, 1, 2) || substr(key, 4) WHEN 1 THEN 'x' || p_partkey || '-nowhere' WHEN 2 THEN '1998-02-' || lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE p_type || p_partkey END AS target, p_size % 10 AS what, p_partkey AS id, title FROM n JOIN part ON p_partkey = note_id WHERE NOT (p_size % 10 = 2 AND p_size < 10))
+SELECT target, CASE WHEN what = 0 THEN 'typo' WHEN what = 1 THEN 'missing' WHEN what = 2 THEN CASE WHEN try_cast(target AS DATE) IS NULL THEN 'not_a_date' ELSE 'no_entry' END WHEN what < 6 THEN 'errored' WHEN what < 8 THEN 'private' ELSE 'hidden' END AS reason, CASE WHEN what = 0 THEN any_value(title) END AS "like" FROM t GROUP BY target, what""",
+)
+def _(j):
+    """Every part's name is a note; by its size a part gives a link that finds nothing, for one of seven reasons."""
+    part = j.table("part").withColumn("what", F.col("p_size") % 10)
+    key = F.lower("p_name")
+    other = F.concat("p_type", F.col("p_partkey").cast("string"))
+    target = F.when(F.col("what") == 0, F.concat(F.substring(key, 1, 2), F.substring(key, 4, 999))).when(F.col("what") == 1, F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit("-nowhere")))
+    target = target.when(F.col("what") == 2, F.concat(F.lit("1998-02-"), F.lpad(F.col("p_size").cast("string"), 2, "0"))).otherwise(other)
+    rows = part.where("NOT (what = 2 AND p_size < 10)").select(target.alias("target"), "what", "p_partkey")
+    files = rows.where("what > 2").select(F.col("target").alias("key"), F.col("target").alias("path"), "what")
+    tracked = files.where("what < 8").select("key", "path", F.when(F.col("what") < 6, "error").otherwise("private").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    hidden = files.where("what >= 8").select("key", "path", F.lit("hidden").alias("state"))
+    names = part.select(key.alias("key"), F.col("p_name").alias("name"), F.col("p_name").alias("title"), F.col("p_partkey").alias("note_id"))
+    shared = j.spark.createDataFrame([], "key string, titles array<string>")
+    lost = rows.groupBy("target").agg(F.count("*").alias("entries"), F.lit(0).alias("notes"), F.lit(None).cast("date").alias("last"))
+    return broken.diagnose(lost, tracked, hidden, shared, names).select("target", "reason", "like")
