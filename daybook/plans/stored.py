@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from ..operators import broken, digests
+from ..operators import broken, digests, tables
 from ..operators.fulltext import FullText
 from ..scratch import new_folder
 from ..sources.journal import Journal
@@ -126,3 +126,35 @@ def _(j):
     shared = j.spark.createDataFrame([], "key string, titles array<string>")
     lost = rows.groupBy("target").agg(F.count("*").alias("entries"), F.lit(0).alias("notes"), F.lit(None).cast("date").alias("last"))
     return broken.diagnose(lost, tracked, hidden, shared, names).select("target", "reason", "like")
+
+
+@query(
+    "sql_bursts",
+    "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 20 MINUTES THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id AS key, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def _(j):
+    tables.register(j.spark)
+    return j.spark.sql("SELECT key, first, last, n FROM bursts(TABLE(SELECT user_id, ts FROM {events}), 1200)", events=j.events)
+
+
+@query(
+    "sql_links",
+    """WITH l AS (SELECT entry_id, 'See [[' || key || '#Part|' || substr(key, 1, 3) || ']] and [[Pic.heic]] and [[x/' || name || '.md]]' AS text, key FROM (SELECT p_partkey AS entry_id, lower(p_name) AS key, p_name AS name FROM part))
+SELECT entry_id, place, target, anchor, label FROM (SELECT entry_id, CAST(0 AS BIGINT) AS place, key AS target, 'Part' AS anchor, substr(key, 1, 3) AS label FROM l UNION ALL SELECT entry_id, 1, NULL, NULL, NULL FROM l UNION ALL SELECT entry_id, 2, key, NULL, NULL FROM l)""",
+)
+def _(j):
+    tables.register(j.spark)
+    texts = j.table("part").select(F.col("p_partkey").alias("entry_id"), F.concat(F.lit("See [["), F.lower("p_name"), F.lit("#Part|"), F.substring(F.lower("p_name"), 1, 3), F.lit("]] and [[Pic.heic]] and [[x/"), F.col("p_name"), F.lit(".md]]")).alias("text"))
+    return j.spark.sql("SELECT entry_id, l.place, l.target, l.anchor, l.label FROM {texts} AS t, LATERAL text_links(t.text) AS l", texts=texts)
+
+
+@query(
+    "sql_json_parameters",
+    "SELECT entry_id, entry_date, mood_score FROM entries WHERE author IN (SELECT author FROM (SELECT author, count(*) AS n FROM entries GROUP BY 1 ORDER BY n DESC, author LIMIT 5)) AND entry_date <= DATE '1996-06-30' AND mood_score >= 4",
+    "entries",
+)
+def _(j):
+    """The entries of the five busiest authors, whose ids are handed over as JSON."""
+    busiest = j.entries.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(5)
+    ids = j.entries.join(busiest, "author", "left_semi").agg(F.to_json(F.collect_list("entry_id"))).first()[0]
+    return tables.chosen(j.entries, ids, until="1996-06-30", mood=4.0).select("entry_id", "entry_date", "mood_score")
