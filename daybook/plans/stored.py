@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text
-from ..operators import broken, digests, tables
+from ..operators import broken, digests, quotes, tables
 from ..operators.fulltext import FullText
 from ..scratch import new_folder
 from ..sources.journal import Journal
@@ -158,3 +158,25 @@ def _(j):
     busiest = j.entries.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(5)
     ids = j.entries.join(busiest, "author", "left_semi").agg(F.to_json(F.collect_list("entry_id"))).first()[0]
     return tables.chosen(j.entries, ids, until="1996-06-30", mood=4.0).select("entry_id", "entry_date", "mood_score")
+
+
+@query(
+    "quotes_for_days",
+    f"""WITH e AS (SELECT DATE '2020-01-01' + CAST(n_chars % 500 AS INTEGER) AS entry_date, doc_id, text, string_split(text, chr(10))[1] AS part FROM documents),
+c AS (SELECT * FROM e WHERE entry_date IN (SELECT DATE '2020-01-01' + CAST(length(text) AS INTEGER) FROM benchmark)),
+s AS (SELECT entry_date, doc_id, part, unnest(l) AS sentence, generate_subscripts(l, 1) AS place FROM (SELECT *, string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\\n+', '\x01', 'g'), '\x01') AS l FROM c)),
+w AS (SELECT *, unnest(list_distinct({TOKENS.format(x="sentence")})) AS term FROM s), t AS (SELECT * FROM w WHERE term IN ('the', 'license', 'and', 'public')),
+h AS (SELECT doc_id, term, count(*) AS hits FROM t GROUP BY 1, 2),
+d AS (SELECT entry_date, doc_id, place, sentence, round(sum(1.0 / hits) * (CASE WHEN contains(part, sentence) THEN 1.5 ELSE 1.0 END), 9) AS score FROM t JOIN h USING (doc_id, term) GROUP BY entry_date, doc_id, place, sentence, part),
+r AS (SELECT *, row_number() OVER (PARTITION BY entry_date ORDER BY score DESC, doc_id, place) AS nth FROM d),
+f AS (SELECT *, coalesce(list_min(list_filter([instr(lower(sentence), x) for x in ['the', 'license', 'and', 'public']], lambda x: x > 0)), 1) - 1 AS first FROM r WHERE nth = 1),
+g AS (SELECT *, greatest(0, least(first - 20, length(sentence) - 60)) AS start FROM f)
+SELECT entry_date, doc_id AS entry_id, CASE WHEN length(sentence) <= 60 THEN sentence ELSE (CASE WHEN start > 0 THEN '…' ELSE '' END) || trim(substr(sentence, start + 1, 60)) || (CASE WHEN start + 60 < length(sentence) THEN '…' ELSE '' END) END AS quote, score FROM g""",
+)
+def _(j):
+    """Documents as entries, their days from their length; the days cited are those that the benchmark's items give."""
+    first = F.to_date(F.lit("2020-01-01"))
+    entries = j.table("documents").select(F.date_add(first, (F.col("n_chars") % 500).cast("int")).alias("entry_date"), F.col("doc_id").alias("entry_id"), "text")
+    days = j.table("benchmark").select(F.date_add(first, F.length("text")).alias("entry_date"))
+    parts = entries.select("entry_id", F.split("text", "\n")[0].alias("part"))
+    return quotes.for_days(entries, days, ["the", "license", "and", "public"], parts, 60)
