@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import config as settings
 from .functions import periods, text
-from .operators import analytics, answer, buckets, calls, digests, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
+from .operators import analytics, answer, broken, buckets, calls, digests, export, filters, incremental, links, model, privacy, search, sequences, stats, themes
 from .sources import markdown, vault
 
 TABLES = ("files", "entries", "entry_links", "entry_link_labels", "entry_tags", "entry_sections", "entry_metrics", "notes", "note_names", "titles", "note_property_values", "note_links", "entry_vectors")
@@ -310,14 +310,32 @@ class Daybook:
         keys = self.entries.select(text.folded(F.regexp_replace("file_path", r"^.*/|\.md$", "")).alias("key"), "entry_id")
         return links.unresolved(written, links.link_targets(self.view["titles"], self.view["note_names"]), keys).orderBy(F.desc("n"), "target")
 
+    def broken(self) -> DataFrame:
+        """Links that find nothing, most written first: why, and what may be done."""
+        lost = self.unresolved().select("target", F.col("n").alias("entries"), F.lit(0).alias("notes"), F.col("last_date").alias("last"))
+        key = text.folded(F.regexp_replace("path", r"^.*/|\.md$", "")).alias("key")
+        tracked = self.table("files").where("status IN ('error', 'private')").select(key, "path", "status", "error_message")
+        named = self.view["note_names"].join(self.view["notes"].select("note_id", "title"), "note_id")
+        shared = links.shared_aliases(self.view["titles"], self.view["note_names"]).select("key").join(named, "key").groupBy("key").agg(F.collect_set("title").alias("titles"))
+        none = self.spark.createDataFrame([], "key string, path string, state string")
+        return broken.diagnose(lost, tracked, none, shared, named.select("key", "name", "title", "note_id")).orderBy(F.desc("entries"), "target")
+
     def unlinked(self) -> DataFrame:
         found = search.unlinked_mentions(self.entries.select("entry_id", "text"), self.view["note_names"], self.entities)
         return found.join(self.entries.select("entry_id", "entry_date"), "entry_id").orderBy(F.desc("entry_date"), "key")
 
-    def search(self, question: str, most: int = 8, **which) -> DataFrame:
-        """By keywords, best first, with the best sentence."""
-        plan = answer.Plan(keywords=[w for w in question.lower().split() if len(w) > 2 and w not in text.STOP_WORDS][:8])
-        found = answer.retrieve(plan, self.chosen(**which), most)
+    def search(self, question: str, most: int = 8, client: model.Client | None = None, **which) -> DataFrame:
+        """Best first, with the best sentence: keywords and, where a model can embed the question, nearest vectors, fused."""
+        rows = self.chosen(**which)
+        words = [w for w in question.lower().split() if len(w) > 2 and w not in text.STOP_WORDS][:8]
+        if client is None:
+            found = answer.retrieve(answer.Plan(keywords=words), rows, most)
+        else:
+            asked = self.spark.createDataFrame([(client.embed(question),)], "embedding array<double>")
+            docs = self.entries.select(F.col("entry_id").alias("doc_id"), "text")
+            vectors = self.view["entry_vectors"].withColumnRenamed("entry_id", "vec_id")
+            fused = search.hybrid(docs, vectors, words, asked, most, rows.select(F.col("entry_id").alias("doc_id")))
+            found = rows.join(fused.withColumnRenamed("doc_id", "entry_id"), "entry_id").orderBy(F.desc("score"), "entry_id").drop("score")
         best = search.best_sentences(found.select(F.col("entry_id").alias("doc_id"), "text"), question).withColumnRenamed("doc_id", "entry_id")
         return found.join(best, "entry_id", "left").select("entry_id", "entry_date", "summary", "sentence")
 
@@ -444,7 +462,7 @@ def run(spark: SparkSession, arguments: list[str]) -> DataFrame:
     day = lambda: dt.date.fromisoformat(a.day)
     return {
         "mood": lambda: book.mood(**which), "streaks": lambda: book.streaks(**which), "tags": lambda: book.tags(**which), "notes": lambda: book.notes(**which),
-        "insights": lambda: book.insights(**which), "export": lambda: book.export(**which), "stats": book.stats, "metrics": book.metrics, "links": book.unresolved,
+        "insights": lambda: book.insights(**which), "export": lambda: book.export(**which), "stats": book.stats, "metrics": book.metrics, "links": book.broken,
         "unlinked": book.unlinked, "lapsed": book.lapsed, "similar-tags": book.similar_tags, "search": lambda: book.search(a.question, **which), "groups": lambda: book.groups(a.key, **which),
         "metric": lambda: book.metric(a.key, **which), "linked-with": lambda: book.linked_with(a.name), "on-this-day": lambda: book.on_this_day(day()), "show": lambda: book.show(day()),
         "note": lambda: book.note(a.name), "similar": lambda: book.similar(day()), "themes": book.themes, "ask": lambda: book.ask(a.question), "prompts": book.prompts,

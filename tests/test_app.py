@@ -50,6 +50,22 @@ def test_questions(book):
     assert book.export().count() == 11 and book.lapsed(today=dt.date(2026, 1, 1)).count() == 2
 
 
+def test_broken_links_and_hybrid_search(book):
+    lost = book.broken().collect()
+    assert [(r.target, r.entries, r.reason) for r in lost] == [("lost place", 5, "missing")]
+
+    class Near:
+        name = "near"
+
+        def embed(self, text):
+            return book.table("entry_vectors").orderBy("entry_id").first().embedding
+
+    first = book.table("entry_vectors").orderBy("entry_id").first().entry_id
+    assert first in {r.entry_id for r in book.search("zebra", client=Near()).collect()}
+    both = book.search("market", client=Near()).collect()
+    assert {first} < {r.entry_id for r in both} and any(r.sentence and r.sentence.startswith("Saw Jane") for r in both)
+
+
 def test_withheld(book):
     hidden = app.Daybook(book.spark, book.folder, book.version, ("therapy",), ("people",))
     assert hidden.entries.count() == 0 and app.Daybook(book.spark, book.folder, book.version, ("therapy",)).entries.count() == 10
