@@ -108,7 +108,7 @@ def format_chats(conversations: DataFrame, tools: dict = TOOLS) -> DataFrame:
     its conversation, by turn; of calls with one id, the first by turn and place counts. level: of a result, its call's; of
     calls, the last one's; null in a cycle. Calls in a message go by level, then place; keys are sorted, and so are
     arguments'. Null texts are null content. Repeated rows give repeated results. A long conversation isn't gathered: rows
-    meet by (conversation, id).
+    meet by (conversation, id). Other columns are not read; no messages give no rows.
     """
     scratch = Scratch(conversations.sparkSession, "chat")
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")

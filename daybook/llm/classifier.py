@@ -130,6 +130,7 @@ def quality_classifier(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of label 1), predicted.
 
     Only rows that aren't held out teach. Null and empty texts are scored by their (zero) statistics. Repeated rows score alike.
+    Other columns are not read; no documents give no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "classifier")

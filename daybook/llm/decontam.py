@@ -65,7 +65,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Letters are compared in lower case. Null and empty texts and items have no shingles and match nothing; an item of fewer than five
     words matches only documents that are those words. Repeated documents or items give each pair once, its largest containment;
-    documents without doc_id are told apart by their text.
+    documents without doc_id are told apart by their text. Other columns are not read; no documents or no items give no rows.
     """
     scratch = Scratch(documents.sparkSession, "decontam")
     found = _pairs(documents, benchmark, scratch).withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("hash")))

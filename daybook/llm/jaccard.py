@@ -503,7 +503,7 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     n_links counts the verified links of a document's class to classes of other sets. Inside families of over SMALL classes it is
     a lower bound: members already in one component aren't compared again. Null, empty and wordless texts have an empty set, link
     with nothing, and are their own component. Repeated rows and copies are one class and so one component. A component whose
-    documents all lack a doc_id has none either.
+    documents all lack a doc_id has none either. Other columns are not read; no documents give no rows.
     """
     scratch = Scratch(documents.sparkSession, "jaccard")
     return scratch.result(_linked(documents, scratch).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"))

@@ -116,7 +116,12 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: the counts, base_failed, kept, and the ratio's score."""
+    """One row per document: the counts, base_failed, kept, and the ratio's score.
+
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged each and come out alike; each counts in the raw
+    corpus. A label without a doc_id marks nothing. Other columns are not read; no documents give no rows; without trusted labels the
+    trusted counts are the prior's alone.
+    """
     out = judged(documents.select("doc_id", "text"), labels)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
     return out.select("doc_id", *(F.col(f"__{x}").alias(x) for x in names))

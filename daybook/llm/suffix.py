@@ -331,7 +331,7 @@ def suffix_dedup(documents: DataFrame) -> DataFrame:
 
     Removed is each byte of a string of LENGTH bytes that also starts elsewhere, in the same or another row, judged on the whole
     input. Null text is empty. Texts under LENGTH bytes keep all. A repeated row counts as another document. Passages change nothing
-    of what is removed.
+    of what is removed. Other columns are not read; no documents give no rows.
     """
     scratch = Scratch(documents.sparkSession, "suffix")
     named = _named(documents.select("doc_id", "text"))

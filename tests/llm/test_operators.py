@@ -819,3 +819,11 @@ def test_a_cluster_must_name_its_shared_folder():
             common.shared_folder(session(master))
     assert common.shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
     assert common.shared_folder(session("local[2]")) == common.shared_folder(session("local[2]"))
+
+
+def test_chat_formatting_of_no_rows_and_clashing_columns(spark):
+    rows = [("c", 0, "user", "hi"), ("c", 1, "assistant", None), (None, None, None, None), ("c", 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    want = by_id(chat.format_chats(df))
+    assert len(want) == 4 and chat.format_chats(df.limit(0)).count() == 0
+    assert by_id(chat.format_chats(df.withColumns({n: F.lit("x") for n in ("parsed", "calls", "id", "level", "kind", "message", "n_calls", "row", "place", "name")}))) == want
