@@ -45,10 +45,17 @@ def page_with_total(rows: DataFrame, most: int, skip: int, *order) -> DataFrame:
     return (page if most < 0 else page.limit(most)).join(F.broadcast(total))
 
 
-def reverse_day_links(day_links: DataFrame, day_entries: DataFrame) -> DataFrame:
-    """Entries that link any entry of a day, themselves not of it: `day_links` (entry_id, day_entry_id), `day_entries` (entry_id)."""
-    linking = day_links.join(day_entries.select(F.col("entry_id").alias("day_entry_id")), "day_entry_id", "left_semi").select("entry_id").distinct()
-    return linking.join(day_entries.select("entry_id"), "entry_id", "left_anti")
+def reverse_day_links(links: DataFrame, day_entries: DataFrame, file_keys: DataFrame) -> DataFrame:
+    """Entries that link any entry of a day, by its date or by its file's name, themselves not of it: `links` (entry_id, target),
+    `day_entries` (entry_id, entry_date), `file_keys` (key, entry_id).
+
+    The day's entries have few names, and the links are asked for those; no pairs of entries are made.
+    """
+    own = day_entries.where("entry_id IS NOT NULL")
+    dates = own.select(F.date_format("entry_date", "yyyy-MM-dd").alias("target"))
+    files = file_keys.join(own.select("entry_id"), "entry_id", "left_semi").select(F.col("key").alias("target"))
+    linking = links.where("entry_id IS NOT NULL").join(dates.union(files).distinct(), "target", "left_semi").select("entry_id").distinct()
+    return linking.join(own.select("entry_id"), "entry_id", "left_anti")
 
 
 def writers(entry_links: DataFrame, note_links: DataFrame, target: str) -> DataFrame:

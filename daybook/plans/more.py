@@ -84,10 +84,10 @@ SHIPPED = "shipped AS (SELECT DISTINCT l_orderkey AS entry_id, e.entry_id AS day
 
 @query("reverse_day_links", f", {SHIPPED}, day AS (SELECT entry_id FROM entries WHERE entry_date = (SELECT max(entry_date) FROM entries WHERE entry_date < DATE '1998-01-01')) SELECT DISTINCT entry_id FROM shipped WHERE day_entry_id IN (SELECT entry_id FROM day) AND entry_id NOT IN (SELECT entry_id FROM day)", "entries")
 def _(j):
-    written = j.table("lineitem").select(F.col("l_orderkey").alias("entry_id"), day_key(F.col("l_shipdate")).alias("target")).distinct()
-    linking = links.day_links(written, j.entries, j.spark.range(0).select(F.lit("").alias("key"), F.col("id").alias("entry_id")))
+    written = j.table("lineitem").select(F.col("l_orderkey").alias("entry_id"), day_key(F.col("l_shipdate")).alias("target"))
     last = j.entries.where("entry_date < DATE '1998-01-01'").agg(F.max("entry_date").alias("entry_date"))
-    return lookups.reverse_day_links(linking, j.entries.join(F.broadcast(last), "entry_date", "left_semi"))
+    files = j.spark.range(0).select(F.lit("").alias("key"), F.col("id").alias("entry_id"))
+    return lookups.reverse_day_links(written, j.entries.join(F.broadcast(last), "entry_date", "left_semi"), files)
 
 
 NOTE_LINKS = "note_links AS (SELECT note_id, lower(split_part(title, ' ', 1)) || ' ring' AS target FROM notes)"
