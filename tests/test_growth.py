@@ -22,3 +22,14 @@ def test_reverse_day_links_make_no_pairs(spark):
     found = lookups.reverse_day_links(written, days, spark.createDataFrame([("trip", 2), ("other", 9)], KEYS))
     assert sorted(r.entry_id for r in found.collect()) == [3, 4]
     assert "Join Inner" not in tree(found)
+
+
+def test_day_links_are_not_shuffled_as_pairs(spark):
+    """An entry_id of two dates, names of files that say the same as dates, repeated rows and nulls: each pair once."""
+    a, b = dt.date(2024, 5, 1), dt.date(2024, 5, 2)
+    entries = spark.createDataFrame([(1, a), (2, a), (2, a), (3, a), (3, b), (4, None), (None, b)], "entry_id long, entry_date date")
+    written = spark.createDataFrame([(1, "2024-05-01"), (1, "2024-05-01"), (7, "2024-05-01"), (7, "2024-05-02"), (7, "two"), (8, "two"), (8, "zwei"), (9, None), (None, "two")], "entry_id long, target string")
+    found = links.day_links(written, entries, spark.createDataFrame([("two", 2), ("zwei", 2), (None, 4)], KEYS))
+    want = [(1, 2), (1, 3), (7, 1), (7, 2), (7, 3), (8, 2)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert tree(found).startswith("Union")
