@@ -28,11 +28,8 @@ def closest(targets: DataFrame, names: DataFrame) -> DataFrame:
 
     Targets and names meet by equal parts (`near_keys`), so that none within LIKENESS is lost and not every name is tried.
     """
-    long_ = targets.select("target").where(F.length("target") >= LEAST_LETTERS).distinct()
-    keys = names.select("key").distinct()
-    near = near_keys(long_.select(F.col("target").alias("key")).union(keys), NEAR, NAME_LETTERS)
-    both = near.select(F.col("a").alias("target"), F.col("b").alias("key")).union(near.select("b", "a"))
-    pairs = both.join(long_, "target", "left_semi").join(keys, "key", "left_semi").select("target", "key")
+    long_ = targets.select(F.col("target").alias("key")).where(F.length("target") >= LEAST_LETTERS).distinct()
+    pairs = near_keys(long_, NEAR, NAME_LETTERS, names.select("key").distinct()).select(F.col("a").alias("target"), F.col("b").alias("key"))
     tried = pairs.mapInArrow(_alike, "target string, key string, ratio double").where(F.col("ratio") >= LIKENESS)
     return tried.groupBy("target").agg(F.max(F.struct("ratio", "key")).alias("best")).select("target", F.col("best.key").alias("like_key"))
 

@@ -142,26 +142,37 @@ def learned_names(labels: DataFrame, names: DataFrame, least: int = 2, ignored:
     return use.join(best, "key").join(names.select("key"), "key", "left_anti").select("note_id", "key", "name", "entries")
 
 
-def near_keys(keys: DataFrame, least: float = 0.8, letters: int = 4) -> DataFrame:
+def near_keys(keys: DataFrame, least: float = 0.8, letters: int = 4, others: DataFrame | None = None) -> DataFrame:
     """(a, b, distance) of unlike keys of `letters` letters or more within an edit distance of (1 - least) of the longer one's length.
+    Of keys alone a is the lesser one; with `others` (key) a is of `keys` and b of `others`, and no two of a side are tried.
 
     Segments: where the longer key may have d edits, the shorter is cut into d + 1 parts, and one part stands unchanged in the longer
     one, at most d places off. Pairs meet by both lengths, the part's number and its text, so none is lost and few are tried.
     """
-    rows = keys.select("key", F.length("key").alias("n")).where(F.col("n") >= letters).distinct()
+    sides = keys.select("key", F.lit(0).alias("side"))
+    if others is not None:
+        sides = sides.union(others.select("key", F.lit(1)))
+    rows = sides.select("key", "side", F.length("key").alias("n")).where(F.col("n") >= letters).distinct()
     edits = lambda n: F.floor((1 - F.lit(least)) * n + 1e-9).cast("int")
     start = lambda l, d, i: F.floor(l * i / (d + 1)).cast("int")  # noqa: E731, E741
     longest = F.floor(F.col("n") / least + 1e-9).cast("int")
-    short = rows.select(F.col("key").alias("short"), F.col("n").alias("l"), F.explode(F.sequence(F.col("n"), F.greatest("n", longest))).alias("n"))
+    meets = F.col("side") if others is None else 1 - F.col("side")
+    short = rows.select(F.col("key").alias("short"), "side", F.col("n").alias("l"), F.explode(F.sequence(F.col("n"), F.greatest("n", longest))).alias("n"))
+    if others is not None:  # lengths that the other side has
+        short = short.join(F.broadcast(rows.select(meets.alias("side"), "n").distinct()), ["side", "n"], "left_semi")
     short = short.withColumn("d", edits(F.col("n"))).where("n - l <= d").select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     first, end = start(F.col("l"), F.col("d"), F.col("i")), start(F.col("l"), F.col("d"), F.col("i") + 1)
-    short = short.select("short", "l", "n", "i", F.substr("short", first + 1, end - first).alias("part"))
-    long_ = rows.select(F.col("key").alias("long"), "n", edits(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(letters)), F.col("n"))).alias("l"))
+    short = short.select("short", "side", "l", "n", "i", F.substr("short", first + 1, end - first).alias("part"))
+    long_ = rows.select(F.col("key").alias("long"), meets.alias("side"), "n", edits(F.col("n")).alias("d")).select("*", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(letters)), F.col("n"))).alias("l"))
+    if others is not None:
+        long_ = long_.join(F.broadcast(rows.select("side", F.col("n").alias("l")).distinct()), ["side", "l"], "left_semi")
     long_ = long_.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     size = end - first
     places = F.sequence(F.greatest(F.lit(0), first - F.col("d")), F.greatest(F.least(F.col("n") - size, first + F.col("d")), F.greatest(F.lit(0), first - F.col("d"))))
-    long_ = long_.select("long", "l", "n", "i", F.explode(F.array_distinct(F.transform(places, lambda p: F.substr(F.col("long"), p + 1, size)))).alias("part"))
-    pairs = short.join(long_, ["l", "n", "i", "part"]).where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"), "n").distinct()
+    long_ = long_.select("long", "side", "l", "n", "i", F.explode(F.array_distinct(F.transform(places, lambda p: F.substr(F.col("long"), p + 1, size)))).alias("part"))
+    pairs = short.join(long_, ["side", "l", "n", "i", "part"]).where("short <> long")
+    of_short = F.col("short") < F.col("long") if others is None else F.col("side") == 0
+    pairs = pairs.select(F.when(of_short, F.col("short")).otherwise(F.col("long")).alias("a"), F.when(of_short, F.col("long")).otherwise(F.col("short")).alias("b"), "n").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= edits(F.col("n"))).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 

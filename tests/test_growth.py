@@ -33,3 +33,13 @@ def test_day_links_are_not_shuffled_as_pairs(spark):
     want = [(1, 2), (1, 3), (7, 1), (7, 2), (7, 3), (8, 2)]
     assert sorted(map(tuple, found.collect())) == want
     assert tree(found).startswith("Union")
+
+
+def test_lost_targets_meet_names_alone(spark):
+    """Targets that are alike among themselves, and names too, aren't tried with each other."""
+    lost = spark.createDataFrame([(f"x{k}-nowhere",) for k in range(40)] + [("rde ring",), ("red rings",)], "key string")
+    names = spark.createDataFrame([("red ring",), ("red rink",), ("hot bolt",)], "key string")
+    found = {(r.a, r.b): r.distance for r in links.near_keys(lost, 0.7, 3, names).collect()}
+    assert found == {("rde ring", "red ring"): 2, ("red rings", "red ring"): 1, ("red rings", "red rink"): 2}
+    best = broken.closest(lost.withColumnRenamed("key", "target"), names)
+    assert sorted(map(tuple, best.collect())) == [("rde ring", "red ring"), ("red rings", "red ring")]
