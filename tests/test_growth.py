@@ -43,3 +43,36 @@ def test_lost_targets_meet_names_alone(spark):
     assert found == {("rde ring", "red ring"): 2, ("red rings", "red ring"): 1, ("red rings", "red rink"): 2}
     best = broken.closest(lost.withColumnRenamed("key", "target"), names)
     assert sorted(map(tuple, best.collect())) == [("rde ring", "red ring"), ("red rings", "red ring")]
+
+
+class _Handle:
+    """State of one path, as a processor sees it."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.discard(at)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_debounce_gives_a_frame_a_path():
+    start = pd.Timestamp("2024-05-01")
+    micros = [0, 45_000_000, 45_000_900, 90_000_100, 300_000_000, 344_999_999, 400_000_000]  # quiet to the microsecond
+    rows = pd.DataFrame({"path": "p", "kind": "change", "ts": [start + pd.Timedelta(m, "us") for m in micros], "event_id": range(7), "attempts": 0, "again": False})
+    handle, processor = _Handle(), Debounce(45, True)
+    processor.init(handle)
+    first = list(processor.handleInputRows(("p",), iter([rows.iloc[[5, 2, 0]], rows.iloc[[3, 1, 4]]]), None))
+    assert len(first) == 1 and list(first[0].event_id) == [0, 3]
+    assert len(handle.timers) == 1 and handle.value[2] == 5
+    late = rows.iloc[[6, 4]].assign(again=[False, True])
+    second = list(processor.handleInputRows(("p",), iter([late]), None))
+    assert [list(x.event_id) for x in second] == [[5]] and handle.value[2] == 6 and len(handle.timers) == 1
+    assert list(processor.handleInputRows(("p",), iter([rows.iloc[:3]]), None)) == [] and handle.value[2] == 6
