@@ -183,9 +183,7 @@ def head(term: Column) -> Column:
 
 def positional(docs: DataFrame) -> DataFrame:
     """(term, doc_id, positions, length): where each of a text's words stands, from 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules.tokens(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
-    places = rows.select("doc_id", "length", F.posexplode("terms").alias("place", "term"))
-    return places.groupBy("term", "doc_id", "length").agg(F.sort_array(F.collect_list("place")).alias("positions")).select("term", "doc_id", "positions", "length")
+    return search.by_term(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
 class FullText:

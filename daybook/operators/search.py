@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as rules
@@ -16,12 +18,49 @@ K1, B, DAMPING = 1.2, 0.75, 60
 LEAST_IDF = 1e-6
 
 
+#: Words that are sorted at a time.
+AT_ONCE = 1 << 20
+
+
+def _by_term(batches):
+    """Each text's words as a row a term: a text is whole in its row, so nothing is shuffled for it."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(ends):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, side="right")))
+            part = batch.slice(low, high - low)
+            lengths = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = part.column("terms").flatten().dictionary_encode()
+            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            place = (np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            key = text * max(len(words.dictionary), 1) + codes
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            at = text[order[first]]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order]))
+            columns = [words.dictionary.take(pa.array(codes[order[first]])), part.column("doc_id").take(pa.array(at)), places, pa.array(lengths[at], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "positions", "length"])
+            low = high
+
+
+def by_term(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, positions, length) of `docs` (doc_id, text), a row for each row's words: where they stand, from 0."""
+    rows = docs.select("doc_id", rules.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return rows.mapInArrow(_by_term, f"term string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, positions array<int>, length int")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return by_term(docs).select("doc_id", "term", F.size("positions").cast("long").alias("tf"), "length")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, length) of `docs` (doc_id, text), and a row without term for each text: to be written by term, and read by
     every search from then on."""
-    rows = docs.select("doc_id", rules.tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    words = rows.select("doc_id", F.explode("terms").alias("term"), "length").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    return words.select("doc_id", "term", "tf", "length").union(rows.select("doc_id", F.lit(None).cast("string"), F.lit(0).cast("long"), "length"))
+    rows = docs.select("doc_id", F.size(rules.tokens(F.col("text"))).alias("length"))
+    return _counted(docs).union(rows.select("doc_id", F.lit(None).cast("string"), F.lit(0).cast("long"), "length"))
 
 
 def scores(docs: DataFrame, queries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -33,10 +72,8 @@ def scores(docs: DataFrame, queries: DataFrame, stored: DataFrame | None = None)
     queries = queries.select("query_id", "term").distinct()
     asked = queries.select("term").distinct()
     if stored is None:
-        terms = rules.tokens(F.col("text"))
-        rows = docs.select("doc_id", terms.alias("terms")).withColumn("length", F.size("terms"))
-        corpus = rows.agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
-        hits = rows.select("doc_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+        corpus = docs.select(F.size(rules.tokens(F.col("text"))).alias("length")).agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
+        hits = _counted(docs).join(asked, "term", "left_semi").select("term", "doc_id", "length", "tf")
     else:
         corpus = stored.where("term IS NULL").agg(F.count("*").alias("docs"), F.sum("length").alias("words"))
         hits = stored.join(asked, "term", "left_semi").select("term", "doc_id", "length", "tf")
@@ -44,13 +81,18 @@ def scores(docs: DataFrame, queries: DataFrame, stored: DataFrame | None = None)
 
 
 def weighed(hits: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) from `hits` (term, doc_id, length, tf) of all asked terms and the one row of `corpus` (docs, words)."""
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(F.broadcast(corpus))
+    """(query_id, doc_id, score) from `hits` (term, doc_id, length, tf) of all asked terms and the one row of `corpus` (docs, words).
+
+    Hits are dealt by text once, for the counts and for the sums: a text's sums are made where its hits are, and of the pairs of
+    queries and texts, which are many more than hits, none is shuffled while the queries are few enough to be broadcast.
+    """
+    hits = hits.repartition("doc_id").groupBy("term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("tf").alias("df"))  # tf, so that both read one shuffle
+    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     size = 1 - B + B * F.col("length") / (F.col("words") / F.col("docs"))
     rows = rows.withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size))
-    scored = queries.join(rows.select("term", "doc_id", "w"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    scored = rows.select("term", "doc_id", "w").join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return scored.withColumn("score", F.round("score", 6))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 import pandas as pd
+import pyarrow as pa
 
-from daybook.operators import broken, links, lookups
+from daybook.operators import broken, links, lookups, search
 from daybook.streaming.debounce import Debounce
 
 KEYS = "key string, entry_id long"
@@ -76,3 +77,23 @@ def test_debounce_gives_a_frame_a_path():
     second = list(processor.handleInputRows(("p",), iter([late]), None))
     assert [list(x.event_id) for x in second] == [[5]] and handle.value[2] == 6 and len(handle.timers) == 1
     assert list(processor.handleInputRows(("p",), iter([rows.iloc[:3]]), None)) == [] and handle.value[2] == 6
+
+
+def test_a_texts_terms_are_counted_where_it_is_read(spark, monkeypatch):
+    """In pieces of few words, over empty texts: no shuffle before the postings, and the sums of a text where its hits are."""
+    monkeypatch.setattr(search, "AT_ONCE", 3)
+    texts = ["b a b", "", None, "c c c c c", "a", "Été a été"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = search.by_term(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 0, [1], 3), ("a", 4, [0], 1), ("a", 5, [1], 3), ("b", 0, [0, 2], 3), ("c", 3, [0, 1, 2, 3, 4], 5), ("ete", 5, [0, 2], 3)]
+    assert sorted(map(tuple, found.collect())) == want
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 8, 9], "terms": [["x", "y", "x"], [], ["y"]]})
+    pieces = [tuple(r.values()) for b in search._by_term([batch.slice(1), batch]) for r in b.to_pylist()]
+    assert pieces == [("y", 9, [0], 1), ("x", 7, [0, 2], 3), ("y", 7, [1], 3), ("y", 9, [0], 1)]
+    twice = docs.union(docs.where("doc_id = 0"))
+    queries = spark.createDataFrame([(k, t) for k in range(50) for t in "abc"], "query_id long, term string")
+    scored = search.scores(twice, queries)
+    assert {r.doc_id for r in scored.collect()} == {0, 3, 4, 5} and scored.count() == 200
+    shuffles = [x for x in scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "hashpartitioning(query_id" in x]
+    assert not [x for x in shuffles if "doc_id" in x]
