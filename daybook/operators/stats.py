@@ -72,7 +72,8 @@ def property_groups(entries: DataFrame, entities: DataFrame, properties: DataFra
 
 
 def property_keys(properties: DataFrame) -> DataFrame:
-    return properties.groupBy(F.lower("key").alias("key")).agg(F.min("key").alias("name"), F.countDistinct("note_id").alias("notes"), F.countDistinct("value").alias("n_values"))
+    """Rows are dealt by note first: one small file of many rows would be one task's, which would hold all its notes and values."""
+    return properties.repartition("note_id").groupBy(F.lower("key").alias("key")).agg(F.min("key").alias("name"), F.countDistinct("note_id").alias("notes"), F.countDistinct("value").alias("n_values"))
 
 
 def tag_stats(entries: DataFrame, tags: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 import pandas as pd
 import pyarrow as pa
 
-from daybook.operators import broken, links, lookups, search
+from daybook.operators import broken, links, lookups, search, stats
 from daybook.streaming.debounce import Debounce
 
 KEYS = "key string, entry_id long"
@@ -97,3 +97,10 @@ def test_a_texts_terms_are_counted_where_it_is_read(spark, monkeypatch):
     assert {r.doc_id for r in scored.collect()} == {0, 3, 4, 5} and scored.count() == 200
     shuffles = [x for x in scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "hashpartitioning(query_id" in x]
     assert not [x for x in shuffles if "doc_id" in x]
+
+
+def test_property_keys_deal_their_rows_first(spark):
+    properties = spark.createDataFrame([(1, "Kind", "x"), (2, "kind", "x"), (2, "kind", "y"), (None, "size", None)], "note_id long, key string, value string")
+    found = stats.property_keys(properties)
+    assert sorted(map(tuple, found.collect())) == [("kind", "Kind", 2, 2), ("size", "size", 0, 0)]
+    assert "RepartitionByExpression" in tree(found)
