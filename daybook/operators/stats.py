@@ -55,7 +55,7 @@ def group_entries(entities: DataFrame, properties: DataFrame) -> DataFrame:
 
 def group_mood(entries: DataFrame, entities: DataFrame, properties: DataFrame, least: int = 3) -> DataFrame:
     """Groups of two notes or more."""
-    large = properties.groupBy("key", "value").agg(F.countDistinct("note_id").alias("members")).where("members >= 2").select("key", "value")
+    large = properties.groupBy("key", "value").agg(F.min("note_id").alias("least"), F.max("note_id").alias("most")).where("least <> most").select("key", "value")
     rows = group_entries(entities, properties).join(large, ["key", "value"]).join(scored(entries).select("entry_id", "mood_score"), "entry_id")
     return _mood_of(rows, "key", "value", least=least)
 

@@ -104,3 +104,12 @@ def test_property_keys_deal_their_rows_first(spark):
     found = stats.property_keys(properties)
     assert sorted(map(tuple, found.collect())) == [("kind", "Kind", 2, 2), ("size", "size", 0, 0)]
     assert "RepartitionByExpression" in tree(found)
+
+
+def test_groups_of_two_notes_are_found_without_their_notes(spark):
+    entries = spark.createDataFrame([(k, 4.0) for k in range(4)], "entry_id long, mood_score double")
+    entities = spark.createDataFrame([(k, 1 + k % 2) for k in range(4)], "entry_id long, note_id long")
+    properties = spark.createDataFrame([(1, "kind", "x"), (2, "kind", "x"), (2, "kind", "x"), (1, "kind", "one"), (1, "kind", "one"), (None, "kind", "one")], "note_id long, key string, value string")
+    found = stats.group_mood(entries, entities, properties, 1)
+    assert [(r.key, r.value, r.n) for r in found.collect()] == [("kind", "x", 4)]
+    assert "distinct note_id" not in tree(found)
