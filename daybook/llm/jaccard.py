@@ -13,9 +13,10 @@ shingle fell into a part with a differing one: three shared ones for each differ
 Equal sets are one class. Signatures travel packed, and meet in buckets. Groups of up to SMALL classes give their pairs. Larger
 ones first give a star around their least class. Then, where a group still holds several components, its classes try the ones of
 other components that sizes and parity sketches don't rule out (a sketch's bits that differ are at most the shingles that differ):
-all of them where they are few, else each class's nearest, in rounds; a last round tries all that is left. No class leaves a group
-for the group's size: very large ones are dealt into blocks, and the last round takes all pairs of blocks. Every pair is verified
-on the whole sets.
+all of them where they are few, else each class's nearest, in rounds; a last round tries all that is left. A family of near copies
+has many groups of nearly the same classes: groups with one least class are tried together, so that a pair is tried once for all of
+them. No class leaves a group for the group's size: very large ones are dealt into blocks, and the last round takes all pairs of
+blocks. Every pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ SMALL = 8
 BLOCK = 2048
 #: Other components that a class tries in a round, the nearest first. A group with no more pairs than classes tries all of them.
 TRIES = 2
-#: A class tries its nearest in one of so many groups, picked by hash: large families share many groups.
+#: A class tries its nearest in one of so many groups that are tried alone, picked by hash: large families share many groups.
 ACTIVE = 4
+#: Groups with one least class are tried together if all their classes are at most so many times the largest one's.
+ALIKE = 2
 #: The rounds end when under one in FEW of the pairs tried is a link; the last round tries what is left.
 FEW = 50
 #: A side of at most so many rows (24 bytes each) may be broadcast; a larger one is joined by a shuffle.
@@ -300,23 +303,33 @@ def _possible(batches):
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
-TRIED = "sign long, a struct<c1:bigint,c2:bigint>, b struct<c1:bigint,c2:bigint>"
+TRIED = "task long, a struct<c1:bigint,c2:bigint>, b struct<c1:bigint,c2:bigint>"
+
+
+def _held(signs: pa.ListArray) -> tuple[int, np.ndarray]:
+    """How many signatures there are, and a bit for each that a class has."""
+    sizes = np.diff(signs.offsets.to_numpy())
+    known, place = np.unique(signs.flatten().to_numpy(), return_inverse=True)
+    bits = np.zeros((len(sizes), (len(known) + 7) // 8), np.uint8)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sizes)), sizes), place >> 3), (1 << (place & 7)).astype(np.uint8))
+    return len(known), bits
 
 
 def _across(table: pa.Table, every: bool) -> pa.Table:
-    """Of one large group, or of a pair of its blocks, pairs of different components that sizes and sketches don't rule out: all
-    if `every` is asked for or they are few, else each class's nearest.
+    """Of large groups that are tried together, or of a pair of their blocks, pairs that share a group and are of different
+    components, and that sizes and sketches don't rule out: all if `every` is asked for or they are few, else each class's nearest.
 
-    A group with pairs left gives a row without classes too: the others needn't be tried again. So does a group of more than one
-    block, since pairs across blocks are only tried in the last round.
+    Groups with pairs left give a row without classes too: the others needn't be tried again. So do those of more than one block,
+    since pairs across blocks are only tried in the last round.
     """
     block, other_block = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     several, side = table.column("blocks")[0].as_py() > 1, table.column("block").to_numpy()
     n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
     sketches = table.column("parity").to_pylist()
-    sign, node = table.column("sign")[0].as_py(), table.column("node").combine_chunks()
+    task, node = table.column("task")[0].as_py(), table.column("node").combine_chunks()
+    signs, groups = _held(table.column("signs").combine_chunks())
     order = np.argsort(n, kind="stable")
-    n, label, node, side = n[order], label[order], node.take(pa.array(order)), side[order]
+    n, label, node, side, groups = n[order], label[order], node.take(pa.array(order)), side[order], groups[order]
     sketches = [sketches[k] for k in order]
     one, two, all_ = [], [], True
     close: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(n))]  # by label, the nearest class and its share
@@ -339,7 +352,7 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                 if not len(j):
                     continue
                 bits = np.bitwise_count(own[i - low] ^ other[j - k]).sum(1, dtype=np.int64)
-                near = 7 * bits <= n[j] + n[i]
+                near = (7 * bits <= n[j] + n[i]) & ((groups[j] & groups[i]).any(1) if signs > 1 else True)
                 j, share = j[near], (bits / (n[j] + n[i]))[near]
                 if all_:
                     one.extend([i] * len(j))
@@ -353,12 +366,14 @@ def _across(table: pa.Table, every: bool) -> pa.Table:
                                 close[here][label[there]] = (part, there)
         low = high
     if not all_:
-        active = np.flatnonzero(mix(node.field("c1").to_numpy().view(U64) ^ U64(sign & (1 << 64) - 1)) % U64(ACTIVE) == 0)
+        active = np.arange(len(n))
+        if signs == 1:
+            active = np.flatnonzero(mix(node.field("c1").to_numpy().view(U64) ^ U64(task & (1 << 64) - 1)) % U64(ACTIVE) == 0)
         nearest = [(i, x) for i in active.tolist() for _, x in sorted(close[i].values())[:TRIES]]
         one, two = [x[0] for x in nearest], [x[1] for x in nearest]
     mark = [None] * (not all_ or (several and not every))
     one, two = pa.array([*one, *mark], pa.int64()), pa.array([*two, *mark], pa.int64())
-    return pa.table({"sign": pa.array([sign] * len(one), pa.int64()), "a": node.take(one), "b": node.take(two)})
+    return pa.table({"task": pa.array([task] * len(one), pa.int64()), "a": node.take(one), "b": node.take(two)})
 
 
 def _trying(every: bool):
@@ -366,7 +381,7 @@ def _trying(every: bool):
 
 
 def _dealt(rows: DataFrame, every: bool) -> DataFrame:
-    """Members (with sign, blocks, block) as the tasks (sign, i, j) want them: each block alone, or with every other too."""
+    """Members (with task, blocks, block) as the calls (task, i, j) want them: each block alone, or with every other too."""
     if not every:
         return rows.withColumns({"i": F.col("block"), "j": F.col("block")})
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -393,6 +408,13 @@ def _verified(batches):
 NODE = "struct<c1:bigint,c2:bigint>"
 
 
+def _together(now: DataFrame, apart: DataFrame) -> DataFrame:
+    """(sign, task, size): the large groups that are tried together, named by one of them, and how many classes they have."""
+    every = now.select("least", "node").distinct().groupBy("least").agg(F.count("*").alias("size"))
+    alike = apart.groupBy("least").agg(F.max("m").alias("most"), F.min("sign").alias("task")).join(every, "least").where(F.col("size") <= ALIKE * F.col("most"))
+    return apart.join(alike, "least", "left").select("sign", F.coalesce("task", "sign").alias("task"), F.coalesce("size", "m").alias("size"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -461,21 +483,30 @@ def _linked(documents: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.table(components(links, scratch, "star"), "labels-0")
 
     if not groups.isEmpty():
-        large = classes.select("c1", "node").join(_small(scratch.table(members, "members")), "c1").join(groups_.select("sign", "m"), "sign")
-        blocks = F.ceil(F.col("m") / BLOCK)
-        live = scratch.table(large.select("sign", "node", blocks.alias("blocks"), F.pmod(F.col("c1"), blocks).alias("block")), "live")
+        def labelled(rows: DataFrame) -> DataFrame:
+            named = rows.join(_small(labels).withColumn("label", F.xxhash64("label")), "node", "left")
+            return named.withColumn("label", F.coalesce("label", F.xxhash64("node")))
+
+        large = classes.select("c1", "node").join(_small(scratch.table(members, "members")), "c1").join(groups_.select("sign"), "sign")
+        large = scratch.table(labelled(large.select("sign", "node")), "large")
+        apart = large.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node.c1").alias("least"), F.count("*").alias("m"))
+        apart = scratch.table(apart.where("x != y").select("sign", "least", "m"), "apart")
+        large = large.select("sign", "node").join(_small(apart.select("sign", "least")), "sign")
+        tasks = _small(scratch.table(_together(large, apart), "tasks"))
+        met = large.join(tasks, "sign").groupBy("task", "node").agg(F.first("size").alias("size"), F.collect_list("sign").alias("signs"))
+        blocks = F.ceil(F.col("size") / BLOCK)
+        live = scratch.table(met.select("task", "node", "signs", blocks.alias("blocks"), F.pmod(F.col("node.c1"), blocks).alias("block")), "live")
         k, every = 0, False
         while not live.isEmpty():
             k += 1
-            now = live.join(_small(labels).withColumn("label", F.xxhash64("label")), "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
-            apart = scratch.table(now.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("sign"), f"apart-{k}")
+            now = scratch.table(labelled(live), f"now-{k}")
+            apart = scratch.table(now.groupBy("task").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("task"), f"apart-{k}")
             if apart.isEmpty():
                 break
-            now = scratch.table(now.join(_small(apart), "sign", "left_semi"), f"now-{k}")
-            facts = classes.select("node", "n", "parity").join(_small(now), "node")
-            found_ = scratch.table(_dealt(facts, every).groupBy("sign", "i", "j").applyInArrow(_trying(every), TRIED), f"trying-{k}")
-            left = scratch.table(found_.where("a IS NULL").select("sign").distinct(), f"left-{k}")
-            live = now.select("sign", "node", "blocks", "block").join(_small(left), "sign", "left_semi")
+            facts = classes.select("node", "n", "parity").join(_small(now.join(_small(apart), "task", "left_semi")), "node")
+            found_ = scratch.table(_dealt(facts, every).groupBy("task", "i", "j").applyInArrow(_trying(every), TRIED), f"trying-{k}")
+            left = scratch.table(found_.where("a IS NULL").select("task").distinct(), f"left-{k}")
+            live = scratch.table(live.join(_small(left), "task", "left_semi"), f"live-{k}")
             tried = scratch.table(found_.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"tried-{k}")
             more = tried if tried.isEmpty() else verifier.links(tried)
             joined = more.count()

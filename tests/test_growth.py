@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pyarrow as pa
 
+from daybook.llm import jaccard
 from daybook.operators import broken, links, lookups, search, stats
 from daybook.streaming.debounce import Debounce
 
@@ -113,3 +115,28 @@ def test_groups_of_two_notes_are_found_without_their_notes(spark):
     found = stats.group_mood(entries, entities, properties, 1)
     assert [(r.key, r.value, r.n) for r in found.collect()] == [("kind", "x", 4)]
     assert "distinct note_id" not in tree(found)
+
+
+def test_near_copies_are_tried_once_for_all_their_groups(spark, monkeypatch):
+    """A family of near copies has dozens of groups of the same classes: each pair is tried in one call, not in one for each group."""
+    tried, write = [], jaccard.Scratch.table
+
+    def counting(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("trying-"):
+            pairs = out.where("a IS NOT NULL").select("a", "b")
+            tried.append((pairs.count(), pairs.distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "table", counting)
+    rng = random.Random(12)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for k in range(40):  # any two differ in one shingle too many to be a link, which sketches don't show
+        own = [f"w{k}", *base[1:]]
+        for place in rng.sample(range(5, 145), 2):
+            own[place] = f"w{k}-{place}"
+        texts.append((k, " ".join(own)))
+    found = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found.count() == len(texts) and tried
+    assert sum(n for n, _ in tried) <= 3 * sum(n for _, n in tried), tried
