@@ -315,11 +315,16 @@ def _cut_texts(named: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
     # written, so that the join's sides come straight from shuffles and Spark can split a frequent anchor's partition
     often = scratch.table(often.select("gram", (F.col("n") > HOT).alias("hot")), "often")
     scratch.release()
+    # written too: where the contexts are shuffled, neither the anchors nor their shuffles are on disk any more
     places = found.join(often, "gram").groupBy("u", "v").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("places"))
+    places = scratch.table(places, "places")
+    for name in ("anchors", "often"):
+        scratch.drop(name)
+    scratch.release()
     once = lambda: rows.groupBy("u", "v").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     contexts = once().join(places, ["u", "v"]).mapInArrow(lambda batches: _contexts(batches, buckets), "bucket int, key long, before binary, after binary, members binary")
     spans = scratch.table(contexts.groupBy("bucket").applyInArrow(_families, SPANS), "spans")
-    scratch.drop("anchors")
+    scratch.drop("places")
     scratch.release()
     spans = spans.groupBy("u", "v").agg(F.collect_set(F.struct("start", "end", "passage")).alias("spans"))
     return once().join(spans, ["u", "v"], "left").mapInArrow(lambda batches: _cuts(batches, texts), CUT)

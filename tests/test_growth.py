@@ -8,7 +8,7 @@ import random
 import pandas as pd
 import pyarrow as pa
 
-from daybook.llm import jaccard
+from daybook.llm import jaccard, suffix
 from daybook.operators import broken, links, lookups, search, stats
 from daybook.streaming.debounce import Debounce
 
@@ -140,3 +140,19 @@ def test_near_copies_are_tried_once_for_all_their_groups(spark, monkeypatch):
     found = jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"))
     assert found.count() == len(texts) and tried
     assert sum(n for n, _ in tried) <= 3 * sum(n for _, n in tried), tried
+
+
+def test_anchors_are_gone_where_contexts_are_shuffled(spark, monkeypatch):
+    """The disk holds the places of repeated anchors then, not all anchors with the shuffles that led to the places."""
+    there, write = [], suffix.Scratch.table
+
+    def noting(self, df, name):
+        there.extend(sorted(self.names) if name == "spans" else ())
+        return write(self, df, name)
+
+    monkeypatch.setattr(suffix.Scratch, "table", noting)
+    same = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, same), (2, "before " + same), (3, "alone"), (4, None)]
+    found = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: len(same), 2: len(same), 3: 0, 4: 0}
+    assert there == ["places"]
