@@ -217,10 +217,12 @@ class FullText:
         parts = [self.spark.read.schema(columns).parquet(f"{self.folder}/{kind}/{n}").withColumn("segment", F.lit(n)) for n in segments]
         return reduce(DataFrame.unionByName, parts)
 
-    def _write(self, number: int, postings: DataFrame, texts: DataFrame) -> None:
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = postings.withColumn("head", head(F.col("term"))).repartitionByRange(n, "head", "term", "doc_id").sortWithinPartitions("head", "term", "doc_id")
+    def _write_postings(self, number: int, placed: DataFrame) -> None:
+        """`placed`: postings as they are dealt to tasks, each of which writes a sorted file for every folder."""
+        placed = placed.withColumn("head", head(F.col("term"))).sortWithinPartitions("head", "term", "doc_id")
         placed.write.mode("overwrite").partitionBy("head").parquet(f"{self.folder}/postings/{number}")
+
+    def _write_texts(self, number: int, texts: DataFrame) -> None:
         texts.write.mode("overwrite").parquet(f"{self.folder}/texts/{number}")
 
     def live_texts(self) -> DataFrame:
@@ -236,9 +238,11 @@ class FullText:
         spark, number = self.spark, self.number + 1
         changed = spark.createDataFrame([], "doc_id long, text string") if changed is None else changed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
         gone = spark.createDataFrame([], "doc_id long") if gone is None else gone.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        now = changed.select("doc_id", F.size(rules.tokens(F.coalesce("text", F.lit("")))).alias("length"), F.lit(False).alias("gone"))
         without = gone.join(changed.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("length"), F.lit(True).alias("gone"))
-        self._write(number, positional(changed), now.union(without))
+        now = changed.select("doc_id", F.size(rules.tokens(F.coalesce("text", F.lit("")))).alias("length"), F.lit(False).alias("gone"))
+        # texts are dealt, which are a fraction of their postings
+        self._write_postings(number, positional(changed.repartition("doc_id")))
+        self._write_texts(number, now.union(without))
         written = self._read("texts", TEXTS, [number])
         seen, distinct, more, words = written.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(~F.col("gone")), F.coalesce(F.sum("length"), F.lit(0))).first()
         if seen != distinct:
@@ -252,7 +256,10 @@ class FullText:
         number = self.number + 1
         live = self.live_texts()
         rows = self._read("postings", POSTINGS, self.segments).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
-        self._write(number, rows.select("term", "doc_id", "positions", "length"), live.select("doc_id", "length", F.lit(False).alias("gone")))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.select("term", "doc_id", "positions", "length").repartitionByRange(n, "term", "doc_id")
+        self._write_postings(number, placed)
+        self._write_texts(number, live.select("doc_id", "length", F.lit(False).alias("gone")))
         self._commit(number, [number], self.docs, self.words)
         return self
 

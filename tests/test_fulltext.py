@@ -114,3 +114,18 @@ def test_expressions():
     for wrong in ("(a", "a)", "a OR", "AND a", "NOT", '"a', "a AND OR b", ""):
         with pytest.raises(ValueError):
             parse(wrong)
+
+
+def test_texts_are_dealt_and_postings_are_not(spark, tmp_path, monkeypatch):
+    """No shuffle of postings where a change is written; texts without words count, with a length of 0."""
+    plans, write = [], FullText._write_postings
+
+    def noting(self, number, placed):
+        plans.append(placed._jdf.queryExecution().optimizedPlan().toString())
+        write(self, number, placed)
+
+    monkeypatch.setattr(FullText, "_write_postings", noting)
+    index = FullText(spark, str(tmp_path / "dealt")).apply(spark.createDataFrame([(1, "one two one"), (2, None), (3, "...")], "doc_id long, text string"))
+    assert "MapInArrow" in plans[0] and "Repartition" not in plans[0].split("MapInArrow")[0]
+    assert (index.docs, index.words) == (3, 3)
+    assert sorted((r.doc_id, r.length) for r in index.live_texts().collect()) == [(1, 3), (2, 0), (3, 0)]
