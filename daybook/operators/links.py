@@ -43,16 +43,29 @@ def linked_with(entities: DataFrame, note_id: int) -> DataFrame:
     return entities.where(F.col("note_id") != note_id).join(own, "entry_id", "left_semi").groupBy("note_id").agg(F.count("*").alias("n"))
 
 
-def note_pairs(entities: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of notes that share entries, each pair once. An entry of m links gives m * m pairs: m is what a person writes."""
+#: Rows of entities that are dealt to a task where pairs are made.
+PAIRED_AT_ONCE = 400_000
+
+
+def _counted_pairs(entities: DataFrame, least: int) -> DataFrame:
     a, b = entities.withColumnRenamed("note_id", "a"), entities.withColumnRenamed("note_id", "b")
     return a.join(b, "entry_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def note_pairs(entities: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of notes that share entries, each pair once. An entry of m links gives m * m pairs: m is what a person writes.
+
+    Most pairs come up once, so counting them where they are made holds all of a task's. Rows of entities are counted first, and
+    dealt to tasks of a bounded number; there they are made single and paired without another shuffle.
+    """
+    tasks = max(1, -(-entities.count() // PAIRED_AT_ONCE))
+    return _counted_pairs(entities.repartition(tasks, "entry_id").distinct(), least)
+
+
 def note_map(entities: DataFrame, most: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The notes with most entries, and the pairs among them."""
+    """The notes with most entries, and the pairs among them: a task holds no more of these than the chosen notes make."""
     nodes = limited(entities.groupBy("note_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "note_id"), most)
-    return nodes, note_pairs(entities.join(nodes, "note_id", "left_semi"), least)
+    return nodes, _counted_pairs(entities.join(nodes, "note_id", "left_semi"), least)
 
 
 def tag_pairs(tags: DataFrame, least: int = 2) -> DataFrame:

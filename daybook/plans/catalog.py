@@ -341,7 +341,7 @@ def _(j):
 
 @query("note_pairs", "SELECT a.note_id AS a, b.note_id AS b, count(*) AS shared FROM entry_entities a JOIN entry_entities b ON a.entry_id = b.entry_id AND a.note_id < b.note_id GROUP BY 1, 2 HAVING count(*) >= 2", "entry_entities")
 def _(j):
-    return links.note_pairs(j.entry_entities)
+    return links.note_pairs(j.written_entities)
 
 
 @query("tag_cooccurrence", "SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n FROM entry_tags a JOIN entry_tags b ON a.entry_id = b.entry_id AND a.tag < b.tag GROUP BY 1, 2 HAVING count(*) >= 2", "entry_tags")

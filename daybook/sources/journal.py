@@ -35,9 +35,14 @@ class Journal:
             F.col("p_partkey").alias("note_id"), F.col("p_name").alias("title"), F.lower("p_type").alias("kind"), F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("size")
         )
 
+    @cached_property
+    def written_entities(self) -> DataFrame:
+        """As they are written: a note that an entry names twice is two rows."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("note_id"))
+
     @cached_property
     def entry_entities(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("note_id")).distinct()
+        return self.written_entities.distinct()
 
     @cached_property
     def entry_tags(self) -> DataFrame:

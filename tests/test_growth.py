@@ -117,6 +117,19 @@ def test_groups_of_two_notes_are_found_without_their_notes(spark):
     assert "distinct note_id" not in tree(found)
 
 
+def test_note_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    """More rows make more tasks, whatever the size of the shuffle; rows that say the same are one, and nulls pair with nothing."""
+    rows = [(e, n) for e in range(20) for n in (1, 2, 2, 3 + e)] + [(0, 9), (1, 9), (None, 1), (None, 2), (5, None)]
+    entities = spark.createDataFrame(rows, "entry_id long, note_id long")
+    assert [tuple(r) for r in links.note_pairs(entities, 4).collect()] == [(1, 2, 20)]
+    monkeypatch.setattr(links, "PAIRED_AT_ONCE", 10)
+    found = links.note_pairs(entities)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 20), (1, 9, 3), (2, 9, 3)]
+    dealt = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 2 and all("hashpartitioning(entry_id" in x and ", 9)" in x for x in dealt)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[1].count("Exchange hash") == 3
+
+
 def test_near_copies_are_tried_once_for_all_their_groups(spark, monkeypatch):
     """A family of near copies has dozens of groups of the same classes: each pair is tried in one call, not in one for each group."""
     tried, write = [], jaccard.Scratch.table
