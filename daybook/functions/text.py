@@ -193,3 +193,25 @@ def any_of(tests: list[Column]) -> Column:
 
 def terms(text: str) -> set[str]:
     return {stem(w) for w in re.findall(r"\w+", text.lower()) if len(w) > 2 and w not in STOP_WORDS}
+
+
+def words_among(text: str, stems: set[str]) -> dict[str, str]:
+    """Words of a text, in lower case, with their stems, where these are among `stems`: its values are `terms(text) & stems`.
+
+    A word, case folded, begins with its stem. So a text that holds none of the stems isn't cut into words, and of another each word
+    is stemmed once, if it begins as one of them does.
+    """
+    lower = text.lower()
+    folded = lower if lower.isascii() else lower.casefold()
+    near = [s for s in stems if s in folded]
+    if not near:
+        return {}
+    least = min(map(len, near))
+    begin = {s[:least] for s in near}
+    words = {w for w in re.findall(r"\w+", lower) if len(w) > 2 and w.casefold()[:least] in begin}
+    return {w: s for w in words if w not in STOP_WORDS and (s := stem(w)) in stems}
+
+
+def stems_of(part: str, words: dict[str, str]) -> set[str]:
+    """Stems of a sentence of a text by what `words_among` gives for the whole text."""
+    return {words[w] for w in re.findall(r"\w+", part.lower()) if w in words}

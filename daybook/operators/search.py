@@ -175,12 +175,14 @@ def rerank(found: DataFrame, scorer, most: int) -> DataFrame:
 
 
 def _best(batches, wanted: dict[str, float], most: int):
+    stems = set(wanted)
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             best, score = "", 0.0
-            for sentence in rules.sentences(text or ""):
-                own = sum(wanted[t] for t in rules.terms(sentence) & wanted.keys())
+            words = rules.words_among(text or "", stems)
+            for sentence in rules.sentences(text) if words else ():
+                own = sum(wanted[t] for t in sorted(rules.stems_of(sentence, words)))
                 if own > score:
                     best, score = sentence, own
             out.append((best if len(best) <= most else best[:most].rsplit(" ", 1)[0] + "…", score))
@@ -189,13 +191,13 @@ def _best(batches, wanted: dict[str, float], most: int):
 
 def best_sentences(docs: DataFrame, question: str, most: int = 280) -> DataFrame:
     """(doc_id, sentence, score) of each text that shares a term: the sentence whose shared stems are rarest, the first of equals."""
-    stems = sorted(rules.terms(question))
+    stems = rules.terms(question)
     if not stems:
         return docs.limit(0).select("doc_id", F.lit("").alias("sentence"), F.lit(0.0).alias("score"))
 
     def seen(batches):
         for batch in batches:
-            sets = [sorted(rules.terms(t or "") & set(stems)) for t in batch.column("text").to_pylist()]
+            sets = [sorted({*rules.words_among(t or "", stems).values()}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string()))], ["stems"])
 
     df = {r.stem: r.n for r in docs.select("text").mapInArrow(seen, "stems array<string>").select(F.explode("stems").alias("stem")).groupBy("stem").count().withColumnRenamed("count", "n").toLocalIterator()}

@@ -8,6 +8,7 @@ import random
 import pandas as pd
 import pyarrow as pa
 
+from daybook.functions import text
 from daybook.llm import jaccard, suffix
 from daybook.operators import broken, links, lookups, search, stats
 from daybook.streaming.debounce import Debounce
@@ -101,6 +102,29 @@ def test_a_texts_terms_are_counted_where_it_is_read(spark, monkeypatch):
     assert not [x for x in shuffles if "doc_id" in x]
 
 
+def test_best_sentences_stem_only_words_that_may_match(monkeypatch):
+    """A text without the question's stems isn't cut into words; in another a word is stemmed once, however often it stands there."""
+    stemmed, stem = [], text.stem
+    monkeypatch.setattr(text, "stem", lambda w: stemmed.append(w) or stem(w))
+    said = "# hiked\nWe ate. We hiked and HIKED to an inn, hikers! Then we hiked home. Two hikes."
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["Nothing of it here.", None, said]})
+    (found,) = search._best([batch], {"hik": 0.5, "hom": 1.0}, 280)
+    assert [tuple(r.values()) for r in found.to_pylist()] == [(1, "", 0.0), (2, "", 0.0), (3, "Then we hiked home.", 1.5)]
+    assert sorted(stemmed) == ["hiked", "hikers", "hikes", "home"]
+
+
+def test_words_among_gives_the_terms():
+    """Letters whose case folds to others or to several, closing sigmas, stems that begin alike, short words and stop words."""
+    rng, letters = random.Random(5), "aAsSßſςσΣİıﬁŉ'-_ .9éɈͅΐǰẞeEdDnNgGlLyY\n"
+    for _ in range(2000):
+        asked = "".join(rng.choice(letters) for _ in range(8)) + " running the add"
+        whole = "".join(rng.choice(letters) for _ in range(40)) + rng.choice([" runs", asked.upper(), asked + "ing", " the ads adding"])
+        stems = text.terms(asked)
+        words = text.words_among(whole, stems)
+        assert set(words.values()) == text.terms(whole) & stems
+        assert all(text.stems_of(s, words) == text.terms(s) & stems for s in text.sentences(whole))
+
+
 def test_property_keys_deal_their_rows_first(spark):
     properties = spark.createDataFrame([(1, "Kind", "x"), (2, "kind", "x"), (2, "kind", "y"), (None, "size", None)], "note_id long, key string, value string")
     found = stats.property_keys(properties)
