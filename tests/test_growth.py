@@ -39,6 +39,31 @@ def test_day_links_are_not_shuffled_as_pairs(spark):
     assert tree(found).startswith("Union")
 
 
+def test_day_links_shuffle_links_of_days_alone(spark, monkeypatch):
+    """As lists, in blocks of a day's links and entries, by as many tasks as pairs need; of links that name no day none is shuffled."""
+    a, b, far = dt.date(2024, 5, 1), dt.date(2024, 5, 2), dt.date(31, 1, 2)
+    days = [(k, a) for k in range(20)] + [(k, b) for k in range(20, 30)] + [(30, a), (30, b), (31, far)]
+    said = [(k, t) for k in range(25, 60) for t in ("2024-05-01", "2024-05-02", "0031-01-02", "31-01-02", "2024-5-1", " 2024-05-01", "2024-02-30", f"supplier#{k}")] + [(70, "2024-05-01"), (61, "n")]
+    entries, written = spark.createDataFrame(days, "entry_id long, entry_date date"), spark.createDataFrame(said, "entry_id long, target string")
+    files, of = spark.createDataFrame([("n", 1), ("2024-05-01", 2), ("2024-05-01", 25)], KEYS), spark.createDataFrame([(k,) for k in range(62)], "entry_id long")
+    names = {(d.isoformat(), k) for k, d in days} | {("n", 1), ("2024-05-01", 2), ("2024-05-01", 25)}
+    want = sorted({(e, k) for e, t in said for name, k in names if t == name and e < 62 and e != k})
+    assert sorted(map(tuple, links.day_links(written, entries, files, of).collect())) == want
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "LIST", 4)
+    monkeypatch.setattr(links, "PAIRS_AT_ONCE", 100)
+    monkeypatch.setattr(links, "LISTED_AT_ONCE", 50)
+    found = links.day_links(written, entries, files, of)
+    assert sorted(map(tuple, found.collect())) == want
+    tasks = -(-sum(n * m for n, m in ((36, 21), (35, 11), (35, 1))) // 100)
+    dealt = [x for x in tree(found).splitlines() if "RepartitionByExpression" in x and "l#" in x and "e#" in x]
+    assert len(dealt) == 4 and all(x.endswith(f", {tasks}") for x in dealt), (tasks, dealt)
+    lists = [pa.RecordBatch.from_pydict({"entry_id": [3, 1, 2], "day": [b, a, b]}), pa.RecordBatch.from_pydict({"entry_id": [9, 8, 7, 6], "day": [b, b, b, a]})]
+    assert [tuple(r.values()) for x in links._listed(lists) for r in x.to_pylist()] == [(a, [1, 6]), (b, [3, 2, 9, 8]), (b, [7])]
+    none = links.day_links(written, entries.limit(0), files.limit(0))
+    assert none.count() == 0
+
+
 def test_lost_targets_meet_names_alone(spark):
     """Targets that are alike among themselves, and names too, aren't tried with each other."""
     lost = spark.createDataFrame([(f"x{k}-nowhere",) for k in range(40)] + [("rde ring",), ("red rings",)], "key string")
