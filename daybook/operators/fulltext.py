@@ -11,6 +11,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
@@ -181,9 +184,45 @@ def head(term: Column) -> Column:
     return F.when(first.rlike("^[a-z0-9]$"), first).otherwise("other")
 
 
+#: In the place of a term: a row of a text itself, which lies in the folder of its first term ("other" where it has none).
+TEXT = " "
+
+
+def _placed(batches):
+    """Each text's words as rows of the index in the order of its files, search.AT_ONCE words at a time, and a row a text.
+
+    Rows come as few sorted runs, which Spark's sort only has to merge.
+    """
+    names = ["head", "term", "doc_id", "positions", "length"]
+    for part in search.pieces(batches):
+        part = part.take(pc.array_sort_indices(part.column("doc_id")))
+        docs, n = part.column("doc_id"), len(part)
+        lengths = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = part.column("terms").flatten().dictionary_encode()
+        letters = pc.utf8_slice_codeunits(words.dictionary, 0, 1)
+        heads = pc.if_else(pc.string_is_ascii(letters), letters, "other")
+        by = pc.sort_indices(pa.table({"head": heads, "term": words.dictionary}), [("head", "ascending"), ("term", "ascending")])
+        heads, terms, rank = heads.take(by), words.dictionary.take(by), np.empty(len(by), np.int64)
+        rank[by.to_numpy()] = np.arange(len(by))
+        text, place = search.places(lengths)
+        key = rank[words.indices.to_numpy(zero_copy_only=False)] * n + text
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        code, at = np.divmod(key[first], n)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order]))
+        least = np.full(n, -1)
+        least[at[::-1]] = code[::-1]
+        own = pc.fill_null(heads.take(pa.array(least, mask=least < 0)), "other")
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.array([], pa.int32()))
+        yield pa.RecordBatch.from_arrays([own, pa.array([TEXT] * n, pa.string()), docs, none, pa.array(lengths, pa.int32())], names).take(pc.array_sort_indices(own))
+        yield pa.RecordBatch.from_arrays([heads.take(pa.array(code)), terms.take(pa.array(code)), docs.take(pa.array(at)), lists, pa.array(lengths[at], pa.int32())], names)
+
+
 def positional(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, positions, length): where each of a text's words stands, from 0."""
-    return search.by_term(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """(head, term, doc_id, positions, length): where each of a text's words stands, from 0, and a row of term TEXT for the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rules.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return rows.mapInArrow(_placed, "head string, term string, doc_id long, positions array<int>, length int")
 
 
 class FullText:
@@ -219,8 +258,7 @@ class FullText:
 
     def _write_postings(self, number: int, placed: DataFrame) -> None:
         """`placed`: postings as they are dealt to tasks, each of which writes a sorted file for every folder."""
-        placed = placed.withColumn("head", head(F.col("term"))).sortWithinPartitions("head", "term", "doc_id")
-        placed.write.mode("overwrite").partitionBy("head").parquet(f"{self.folder}/postings/{number}")
+        placed.sortWithinPartitions("head", "term", "doc_id").write.mode("overwrite").partitionBy("head").parquet(f"{self.folder}/postings/{number}")
 
     def _write_texts(self, number: int, texts: DataFrame) -> None:
         texts.write.mode("overwrite").parquet(f"{self.folder}/texts/{number}")
@@ -239,9 +277,9 @@ class FullText:
         changed = spark.createDataFrame([], "doc_id long, text string") if changed is None else changed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
         gone = spark.createDataFrame([], "doc_id long") if gone is None else gone.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         without = gone.join(changed.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("length"), F.lit(True).alias("gone"))
-        now = changed.select("doc_id", F.size(rules.tokens(F.coalesce("text", F.lit("")))).alias("length"), F.lit(False).alias("gone"))
-        # texts are dealt, which are a fraction of their postings
+        # texts are dealt, which are a fraction of their postings, and taken apart once: their lengths are read from where they were written
         self._write_postings(number, positional(changed.repartition("doc_id")))
+        now = self._read("postings", POSTINGS, [number]).where(F.col("term") == TEXT).select("doc_id", "length", F.lit(False).alias("gone"))
         self._write_texts(number, now.union(without))
         written = self._read("texts", TEXTS, [number])
         seen, distinct, more, words = written.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(~F.col("gone")), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -255,9 +293,9 @@ class FullText:
         """One segment of all: what was replaced is left behind."""
         number = self.number + 1
         live = self.live_texts()
-        rows = self._read("postings", POSTINGS, self.segments).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
+        rows = self._read("postings", POSTINGS, self.segments).where(F.col("term") != TEXT).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = rows.select("term", "doc_id", "positions", "length").repartitionByRange(n, "term", "doc_id")
+        placed = rows.select("head", "term", "doc_id", "positions", "length").repartitionByRange(n, "term", "doc_id")
         self._write_postings(number, placed)
         self._write_texts(number, live.select("doc_id", "length", F.lit(False).alias("gone")))
         self._commit(number, [number], self.docs, self.words)

@@ -22,30 +22,40 @@ LEAST_IDF = 1e-6
 AT_ONCE = 1 << 20
 
 
-def _by_term(batches):
-    """Each text's words as a row a term: a text is whole in its row, so nothing is shuffled for it."""
+def pieces(batches):
+    """Batches with lists of terms, cut where AT_ONCE words are reached: a text is whole in its row."""
     for batch in batches:
         ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
         low = 0
         while low < len(ends):
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, side="right")))
-            part = batch.slice(low, high - low)
-            lengths = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = part.column("terms").flatten().dictionary_encode()
-            codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            place = (np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            key = text * max(len(words.dictionary), 1) + codes
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            at = text[order[first]]
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order]))
-            columns = [words.dictionary.take(pa.array(codes[order[first]])), part.column("doc_id").take(pa.array(at)), places, pa.array(lengths[at], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "positions", "length"])
+            yield batch.slice(low, high - low)
             low = high
 
 
+def places(lengths):
+    """For the words of texts one behind the other: the number of each one's text, and where it stands there."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+
+
+def _by_term(batches):
+    """Each text's words as a row a term: a text is whole in its row, so nothing is shuffled for it."""
+    for part in pieces(batches):
+        lengths = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = part.column("terms").flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        text, place = places(lengths)
+        key = text * max(len(words.dictionary), 1) + codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        at = text[order[first]]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order]))
+        columns = [words.dictionary.take(pa.array(codes[order[first]])), part.column("doc_id").take(pa.array(at)), lists, pa.array(lengths[at], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "positions", "length"])
+
+
 def by_term(docs: DataFrame) -> DataFrame:
     """(term, doc_id, positions, length) of `docs` (doc_id, text), a row for each row's words: where they stand, from 0."""
     rows = docs.select("doc_id", rules.tokens(F.coalesce("text", F.lit(""))).alias("terms"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from daybook.operators import fulltext, search
 from daybook.operators.fulltext import Both, Either, FullText, Not, Words, parse, query_tokens
 
 VOCABULARY = "an ant bee beehive béé cat cats dog do don't 7 70 ñandú zoo".split()
@@ -129,3 +131,27 @@ def test_texts_are_dealt_and_postings_are_not(spark, tmp_path, monkeypatch):
     assert "MapInArrow" in plans[0] and "Repartition" not in plans[0].split("MapInArrow")[0]
     assert (index.docs, index.words) == (3, 3)
     assert sorted((r.doc_id, r.length) for r in index.live_texts().collect()) == [(1, 3), (2, 0), (3, 0)]
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path, monkeypatch):
+    """Lengths are read from where postings were written; postings come in the order of their files, cut where many words are reached."""
+    plans, write = [], FullText._write_texts
+
+    def noting(self, number, texts):
+        plans.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        write(self, number, texts)
+
+    monkeypatch.setattr(FullText, "_write_texts", noting)
+    monkeypatch.setattr(search, "AT_ONCE", 3)
+    texts = {3: "öl öl an other", 1: None, 2: "pan other", 5: " ... ", 4: "7 öl"}
+    index = FullText(spark, str(tmp_path)).apply(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    index.apply(spark.createDataFrame([(2, "öl")], "doc_id long, text string"), spark.createDataFrame([(4,)], "doc_id long"))
+    assert not any("split(" in p for p in plans)
+    assert sorted((r.doc_id, r.length, r.segment) for r in index.live_texts().collect()) == [(1, 0, 1), (2, 1, 2), (3, 4, 1), (5, 0, 1)]
+    assert ids(index.match('"öl an" OR NOT other*')) == {1, 2, 3, 5} and ids(index.merge().match("öl")) == {2, 3}
+    assert {r.term for r in index._read("postings", fulltext.POSTINGS, index.segments).collect()} == {"ol", "an", "other"}
+    monkeypatch.setattr(search, "AT_ONCE", 100)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [9, 8, 7, 6], "terms": [["pan", "œl", "pan"], ["other", "œl", "1"], [], ["œl"]]})
+    own, rows = ([tuple(r.values()) for r in b.to_pylist()] for b in fulltext._placed([batch]))
+    assert own == [("1", " ", 8, [], 3), ("other", " ", 6, [], 1), ("other", " ", 7, [], 0), ("other", " ", 9, [], 3)]
+    assert rows == [("1", "1", 8, [2], 3), ("o", "other", 8, [0], 3), ("other", "œl", 6, [0], 1), ("other", "œl", 8, [1], 3), ("other", "œl", 9, [1], 3), ("p", "pan", 9, [0, 2], 3)]
