@@ -277,8 +277,9 @@ class FullText:
         changed = spark.createDataFrame([], "doc_id long, text string") if changed is None else changed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
         gone = spark.createDataFrame([], "doc_id long") if gone is None else gone.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         without = gone.join(changed.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("length"), F.lit(True).alias("gone"))
-        # texts are dealt, which are a fraction of their postings, and taken apart once: their lengths are read from where they were written
-        self._write_postings(number, positional(changed.repartition("doc_id")))
+        # texts are dealt, which are a fraction of their postings, and taken apart once: their lengths are read from where they were written.
+        # They are dealt anew even if they come by doc_id: few changed texts among many would make a file for every task and folder
+        self._write_postings(number, positional(changed.hint("rebalance", "doc_id")))
         now = self._read("postings", POSTINGS, [number]).where(F.col("term") == TEXT).select("doc_id", "length", F.lit(False).alias("gone"))
         self._write_texts(number, now.union(without))
         written = self._read("texts", TEXTS, [number])
